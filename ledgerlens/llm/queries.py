@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, rlz, sharding
+from . import chat, decontaminate, embeddings, jaccard, mixing, quality, rlz, sharding, tokencount, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (host, path, action)
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+#: (tool, argument, type, required)
+TOOLS = [("answer", "query", "string", True), ("answer", "turn", "integer", True), ("answer", "words", "integer", True)]
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = chat.as_calls(table(spark, sf_dir, "conversations"))
+    return chat.format_messages(messages, spark.createDataFrame(TOOLS, "name string, argument string, type string, required boolean"))
+
+
 def op2_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -21,11 +33,29 @@ def op3_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.repeated_spans(table(spark, sf_dir, "documents"), 13).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    return urls.judged(table(spark, sf_dir, "pages"), rules, "allow")
+
+
+def op5_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op6_edit_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.edited_counts(docs.withColumn("edits", tokencount.sample_edits(F.col("text"), F.col("doc_id"))), vocabulary)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
     return decontaminate.digest(hits)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, (3, 1, 2), 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
@@ -35,7 +65,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 4, 85)
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_sharding, op3_rlz_dedup, op7_decontamination, op9_source_mix, op10_jaccard_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_tool_calls, op2_vector_sharding, op3_rlz_dedup, op4_url_filter, op5_itq_dedup, op6_edit_counts, op7_decontamination, op8_quality, op9_source_mix, op10_jaccard_join)
+}
 
 #: Words of every document by position, as CTEs for the statements below.
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -78,4 +111,36 @@ reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN li
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(c.c, w.doc_id)) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) c USING (doc_id)"""
 
-ORACLE_SQL = {"op3_rlz_dedup": _OP3, "op7_decontamination": _OP7, "op10_jaccard_join": _OP10}
+_OP1 = r"""WITH q AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM conversations),
+c AS (SELECT conv_id, turn FROM q WHERE role = 'user'),
+r AS (SELECT conv_id, turn - 1 AS turn FROM q WHERE role = 'assistant'),
+x AS (SELECT q.*, c.turn IS NOT NULL AS has_call, r.turn IS NOT NULL AS has_result,
+        CASE WHEN role = 'user' THEN q.turn WHEN role = 'assistant' THEN q.turn - 1 END AS t
+      FROM q LEFT JOIN c ON c.conv_id = q.conv_id AND c.turn = CASE WHEN role = 'user' THEN q.turn WHEN role = 'assistant' THEN q.turn - 1 END
+             LEFT JOIN r ON r.conv_id = q.conv_id AND r.turn = q.turn AND role = 'user')
+SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND has_call THEN 1 ELSE 0 END::INT AS level, 't' || t AS call_id,
+       CASE WHEN role = 'user' THEN has_result WHEN role = 'assistant' THEN has_call END AS linked,
+       CASE WHEN role = 'user' THEN true END AS valid,
+       CASE WHEN role = 'assistant' AND NOT has_call THEN 'orphan' END AS error,
+       '{' || CASE WHEN role = 'user' THEN '"call":{"arguments":{"query":' || to_json(coalesce(text, ''))::VARCHAR || ',"turn":' || turn || ',"words":' || n
+         || '},"id":"t' || t || '","name":"answer"},' ELSE '' END || '"content":' || to_json(coalesce(text, ''))::VARCHAR
+         || CASE WHEN role = 'assistant' THEN ',"result_of":"t' || t || '"' ELSE '' END || ',"role":' || to_json(role)::VARCHAR || '}' AS json
+FROM x"""
+
+_OP4 = f"""WITH r(r_host, r_path, action) AS (VALUES {", ".join(str(r) for r in RULES)}),
+p AS (SELECT page_id, {_FOLD.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")} AS host,
+             regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+f AS (SELECT host, path, arg_max(r_host || r_path, length(r_host || r_path)) AS rule, arg_max(action, length(r_host || r_path)) AS action
+      FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f USING (host, path)"""
+
+_OP5 = """WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) >= 0.9 * a.n * b.n),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a), k AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT u.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, least(u.vec_id, coalesce(c.m, u.vec_id)) AS component_id,
+       u.vec_id = least(u.vec_id, coalesce(c.m, u.vec_id)) AS kept
+FROM u LEFT JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)"""
+
+ORACLE_SQL = {"op1_tool_calls": _OP1, "op4_url_filter": _OP4, "op5_itq_dedup": _OP5, "op3_rlz_dedup": _OP3, "op7_decontamination": _OP7, "op10_jaccard_join": _OP10}

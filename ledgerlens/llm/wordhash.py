@@ -80,6 +80,7 @@ class Words:
     start: np.ndarray  #: byte offsets within `data`
     end: np.ndarray
     data: np.ndarray
+    offsets: np.ndarray  #: byte offsets of the texts within `data`, and its length
     _sums: dict[int, np.ndarray]
 
     @property
@@ -150,7 +151,7 @@ def _words(data: np.ndarray, off: np.ndarray, at: int, alphabet: Alphabet) -> Wo
     h = mix((sums[end] - sums[start]) * q[start])
     row = np.searchsorted(off, start, "right") - 1
     first = np.searchsorted(row, np.arange(rows + 1))
-    return Words(rows, at, row, first, h, start, end, data, {})
+    return Words(rows, at, row, first, h, start, end, data, off, {})
 
 
 def by_row(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
