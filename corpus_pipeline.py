@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, jaccard, mixing, sharding
+from ledgerlens.llm import decontaminate, jaccard, mixing, quality, sharding
 from ledgerlens.llm.packing import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score(docs, labels, keep=tuple(COLUMNS)).where("predicted = 1").select(COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one that names the component. Shingles of five words, similarity 0.8."""
     groups = jaccard.jaccard_components(docs, 5, 80)
@@ -37,6 +43,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", classifier),
     ("near duplicates", near_duplicates),
     ("decontamination", decontamination),
     ("mixture", mixture),
