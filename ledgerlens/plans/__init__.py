@@ -1,0 +1,4 @@
+"""Registered queries with their SQL."""
+
+from . import metrics  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401
