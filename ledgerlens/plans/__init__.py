@@ -1,4 +1,4 @@
 """Registered queries with their SQL."""
 
-from . import metrics, store  # noqa: F401
+from . import history, metrics, store  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
