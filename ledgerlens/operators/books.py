@@ -84,7 +84,7 @@ def realized_balance(book: DataFrame, by: str, start: float, share: float, floor
     """Running balance of each book, and the stake it allows: a share of it within floor and cap, rounded to 3 decimals."""
     w = Window.partitionBy(by).orderBy("exit_time", "id").rowsBetween(Window.unboundedPreceding, 0)
     b = book.select("id", by, (F.lit(start) + F.sum("pnl").over(w)).alias("balance"))
-    return b.withColumn("size", F.round(F.least(F.greatest(F.col("balance") * share, F.lit(floor)), F.lit(cap)), 3))
+    return b.withColumn("size", F.floor(F.least(F.greatest(F.round("balance", 6) * share, F.lit(floor)), F.lit(cap)) * 1000 + 0.5) / 1000)
 
 
 def session_summary(runs: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
 """Registered queries with their SQL."""
 
-from . import history, metrics, store  # noqa: F401
+from . import decisions, history, metrics, store, windows  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401

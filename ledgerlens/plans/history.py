@@ -353,7 +353,7 @@ def nth_entry_summary(spark, sf_dir):
 
 
 @query(
-    f"""WITH {POSITIONS_SQL} SELECT id, config_id, balance, CASE WHEN balance * 0.05 < 0.05 THEN 0.05 WHEN balance * 0.05 > 0.5 THEN 0.5 ELSE round(balance * 0.05, 3) END AS size
+    f"""WITH {POSITIONS_SQL} SELECT id, config_id, balance, floor(least(greatest(round(balance, 6) * 0.05::DOUBLE, 0.05::DOUBLE), 0.5::DOUBLE) * 1000 + 0.5) / 1000 AS size
 FROM (SELECT id, config_id, 1.0 + sum(pnl) OVER (PARTITION BY config_id ORDER BY exit_time, id ROWS UNBOUNDED PRECEDING) AS balance FROM positions WHERE status = 'closed')""",
     rounded=("balance",),
 )
