@@ -190,3 +190,30 @@ def ladder(p: Column, steps: list[tuple[float, float]], base: float) -> Column:
     for at, share in ordered[1:]:
         out = out.when(p >= at, share)
     return out.otherwise(base)
+
+
+def exit_overrides(rows: DataFrame, stop: float, cap: float, confident: float = 0.10) -> DataFrame:
+    """What a model's scores change in the exit cascade, per row (id, zone, proba, q25, pnl, peak, elapsed, max_hold_pred).
+
+    tighten: sell before the stop while in a loss and the lower quantile is below -5; block_take_profit and block_weak_exit: hold on
+    when the model is sure; escalate: sell what the model says after 15 s; max_hold: its prediction, between 30 s and the cap.
+    """
+    c = F.col
+    selling = c("zone").isin("SELL_ALL", "SELL_PARTIAL")
+    hold = c("zone") == "HOLD_HARD"
+    lo = min(30.0, cap)
+    return rows.select(
+        "id",
+        (selling & (c("pnl") > -stop) & (c("pnl") <= -5) & c("q25").between(-100, 0) & (c("q25") < -5)).alias("tighten"),
+        (hold & (c("proba") < confident) & (c("peak") < 300) & (c("pnl") < 500)).alias("block_take_profit"),
+        hold.alias("block_weak_exit"),
+        F.when(selling & (c("elapsed") >= 15), c("zone")).alias("escalate"),
+        F.greatest(F.lit(lo), F.least(c("max_hold_pred"), F.lit(cap))).alias("max_hold"),
+    )
+
+
+def survival_exit(rows: DataFrame, least_life: float, gate: float, min_hold: float, horizon: float) -> DataFrame:
+    """Positions (id, predicted_life, confidence, elapsed) to close because little life is predicted with confidence."""
+    c = F.col
+    go = (c("predicted_life") < least_life) & (c("confidence") >= gate) & (c("elapsed") >= min_hold) & (c("elapsed") < horizon)
+    return rows.select("id", F.coalesce(go, F.lit(False)).alias("sell"))

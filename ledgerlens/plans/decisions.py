@@ -177,3 +177,20 @@ def exit_model_zone(spark, sf_dir):
 @query(f"WITH {POSITIONS_SQL} SELECT id, CASE WHEN proba >= 0.7 THEN 0.75 WHEN proba >= 0.6 THEN 0.5 WHEN proba >= 0.55 THEN 0.25 ELSE 0 END::DOUBLE AS share FROM positions")
 def confidence_ladder(spark, sf_dir):
     return positions(spark, sf_dir).select("id", D.ladder(F.col("proba"), [(0.55, 0.25), (0.6, 0.5), (0.7, 0.75)], 0.0).alias("share"))
+
+
+@query(
+    f"""WITH {POSITIONS_SQL}, z AS (SELECT id, proba, pnl_pct AS q25, score - 60 AS pnl, score * 4 AS peak, hold_seconds AS elapsed, proba * 120 AS mp, CASE WHEN proba >= 0.8 THEN 'SELL_ALL' WHEN proba >= 0.55 THEN 'SELL_PARTIAL' WHEN proba < 0.2 AND score - 60 >= -5 THEN 'HOLD_HARD' ELSE 'RULES' END AS zone FROM positions)
+SELECT id, zone IN ('SELL_ALL', 'SELL_PARTIAL') AND pnl > -15 AND pnl <= -5 AND q25 BETWEEN -100 AND 0 AND q25 < -5 AS tighten, zone = 'HOLD_HARD' AND proba < 0.1 AND peak < 300 AND pnl < 500 AS block_take_profit, zone = 'HOLD_HARD' AS block_weak_exit,
+CASE WHEN zone IN ('SELL_ALL', 'SELL_PARTIAL') AND elapsed >= 15 THEN zone END AS escalate, greatest(30, least(mp, 90)) AS max_hold FROM z""",
+    rounded=("max_hold",),
+)
+def exit_model_overrides(spark, sf_dir):
+    p = positions(spark, sf_dir).select("id", "proba", F.col("pnl_pct").alias("q25"), (F.col("score") - 60).alias("pnl"), (F.col("score") * 4).alias("peak"), F.col("hold_seconds").alias("elapsed"), (F.col("proba") * 120).alias("max_hold_pred"))
+    return D.exit_overrides(p.withColumn("zone", D.exit_zone(F.col("proba"), F.col("pnl"))), 15.0, 90.0)
+
+
+@query(f"WITH {POSITIONS_SQL} SELECT id, score < 30 AND proba >= 0.4 AND hold_seconds >= 20 AND hold_seconds < 60 AS sell FROM positions")
+def survival_exit(spark, sf_dir):
+    p = positions(spark, sf_dir).select("id", F.col("score").alias("predicted_life"), F.col("proba").alias("confidence"), F.col("hold_seconds").alias("elapsed"))
+    return D.survival_exit(p, 30.0, 0.4, 20.0, 60.0)
