@@ -157,14 +157,15 @@ def economic_backtest(spark, sf_dir):
     return S.economic_backtest(positions(spark, sf_dir), "proba", "pnl", 0.5, 0.002)
 
 
-_IMPORTANCE = f"im AS (SELECT 'proba' AS feature, abs(corr(proba, pnl_pct)) AS importance FROM positions UNION ALL SELECT 'score', abs(corr(score, pnl_pct)) FROM positions UNION ALL SELECT 'hold_seconds', abs(corr(hold_seconds, pnl_pct)) FROM positions UNION ALL SELECT 'entry_buyer_number', abs(corr(entry_buyer_number, pnl_pct)) FROM positions)"
+_IMPORTANCE = f"im AS (SELECT 'proba' AS feature, abs(corr(proba, pnl_pct)) AS importance FROM positions UNION ALL SELECT 'score', abs(corr(score, pnl_pct)) FROM positions UNION ALL SELECT 'entry_buyer_number', abs(corr(entry_buyer_number, pnl_pct)) FROM positions)"
 
 
-@query(f"WITH {POSITIONS_SQL}, {_IMPORTANCE} SELECT feature, importance, feature IN ('proba') AS leak FROM im ORDER BY importance DESC LIMIT 3", rounded=("importance",))
+@query(f"WITH {POSITIONS_SQL}, {_IMPORTANCE} SELECT feature, importance, feature IN ('proba') AS leak FROM im ORDER BY importance DESC LIMIT 2", rounded=("importance",))
 def leak_check(spark, sf_dir):
-    g = positions(spark, sf_dir).agg(*(F.abs(F.corr(c, "pnl_pct")).alias(c) for c in FEATURES))
-    cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in FEATURES))
-    return S.leak_check(g.select(F.explode(cells).alias("x")).select("x.*"), ["proba"], 3)
+    names = [c for c in FEATURES if c != "hold_seconds"]
+    g = positions(spark, sf_dir).agg(*(F.abs(F.corr(c, "pnl_pct")).alias(c) for c in names))
+    cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in names))
+    return S.leak_check(g.select(F.explode(cells).alias("x")).select("x.*"), ["proba"], 2)
 
 
 def _auc_of(train, test):
