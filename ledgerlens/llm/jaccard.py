@@ -8,10 +8,9 @@ The Jaccard distance is a metric. Two levels of pivots split the documents:
    distance differ in at most h shingles, so with m = h + 1 parts they share a region: a set is replicated to all of its
    regions, for its own class of sizes and, where the window of sizes around the class below reaches it, for that too
    (sizes are distances from the empty set; the triangle inequality bounds their difference).
-2. Pivots that are documents. Each region picks pivots, whose distances to the region's other sets are computed
-   exactly; sets in one component with a pivot are done with it, the pivot retires, and what is left of the region is
-   joined again, recursively, until it is one component or empty. A region of n near copies costs about n distances,
-   never n^2.
+2. Pivots that are documents. Each region picks one, whose distances to the region's other sets are computed; the
+   components that come of all regions' links are then the regions' own Voronoi cells, and only sets of different cells
+   meet again, in parts of bounded size. A region of n near copies costs about n distances, not n^2.
 """
 
 from __future__ import annotations
@@ -23,8 +22,12 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 from .components import components
-from .packing import ARROW, INDEX, PACKED, bucket_count, key_bucket, materialize, read, rows_of
+from .packing import INDEX, PACKED, bucket_count, key_bucket, materialize, read, rows_of, stored
 
+BROADCAST_ROWS = 200_000  # ids that are broadcast at most, counted before; more are joined by shuffle
+KEY_BYTES = 5
+REGION = 512  # sets of a region that meet in one cell
+PARTNERS = 4  # of a set in a cell, in the first turn
 SPARE = 2  # parts beyond h + 1; sets with no more empty parts than this need no regions for them
 
 
@@ -74,34 +77,64 @@ def set_ids(row: np.ndarray, x: np.ndarray, rows: int) -> tuple[np.ndarray, np.n
     return (W.mix(s ^ n.astype(W.U)) >> W.U(1)).astype(np.int64), n
 
 
+def odd_sketches(row: np.ndarray, x: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each set the parity of its shingles in 2 to 4 bits per shingle (a power of two, 64 at least).
+
+    Shingles that two sets share cancel out in the difference of their sketches, so its weight is a lower bound of the
+    number of shingles in which they differ. A sketch folds by halves to the length of a shorter one.
+    """
+    m = 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(m)])
+    bit = at[row] + (W.mix(x ^ W.U(0xBB67AE8584CAA73B)) & (m[row] - 1).astype(W.U)).astype(np.int64)
+    packed = np.packbits((np.bincount(bit, minlength=at[-1]) & 1).astype(np.uint8)).tobytes()
+    return [packed[i:j] for i, j in zip((at[:-1] // 8).tolist(), (at[1:] // 8).tolist())]
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, node, n_shingles) of every document; node identifies its set and is null where it is empty."""
+    """(doc_id, node, n_shingles, sketch) of every document; node identifies its set and is null where it is empty."""
 
     def of(batches):
         for b in batches:
             for w in W.slices(b.column(1), W.FOLDED):
                 r, x = W.shingle_sets(w, k)
                 node, n = set_ids(r, x, w.rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.at, w.rows), pa.array(node, mask=n == 0), pa.array(n.astype(np.int64))], names=["doc_id", "node", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.at, w.rows), pa.array(node, mask=n == 0), pa.array(n.astype(np.int64)), pa.array(odd_sketches(r, x, n), pa.binary(), mask=n == 0)], names=["doc_id", "node", "n_shingles", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, node long, n_shingles long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, node long, n_shingles long, sketch binary")
 
 
 def regions(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """(region long, node long) of every region that holds two or more sets of matching sizes; equal regions count once."""
+    """(region long, doc_id long) of every region that holds two or more documents; equal regions count once.
+
+    Signatures are cut to KEY_BYTES: they only propose who is compared.
+    """
 
     def send(batches):
         classes: list = []
         for b in batches:
-            got: dict[str, list] = {"key": [], "node": [], "size": []}
-            for w in W.slices(b.column(0), W.FOLDED):
+            got: dict[str, list] = {"key": [], "doc": []}
+            ids, known = np.asarray(b.column(0)), np.zeros(0, np.int64)
+            for w in W.slices(b.column(1), W.FOLDED):
                 r, x = W.shingle_sets(w, k)
                 node, n = set_ids(r, x, w.rows)
-                first = np.zeros(w.rows, bool)  # equal sets of a slice are one
+                first = np.zeros(w.rows, bool)  # equal sets of a batch are one
                 first[np.unique(node, return_index=True)[1]] = True
-                first &= n > 0
+                first &= (n > 0) & ~np.isin(node, known)
                 if not first.any():
                     continue
+                known = np.concatenate([known, node[first]])
                 if not classes or classes[-1][1] < n.max():
                     classes = size_classes(percent, int(n.max()))
                 own = np.searchsorted([c[0] for c in classes], n, "right") - 1
@@ -112,37 +145,109 @@ def regions(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
                             if use.any():
                                 pick = use[r]
                                 rr, key = _signatures(r[pick], x[pick], n, classes[at], percent)
-                                got["key"].append(key), got["node"].append(node[rr]), got["size"].append(n[rr])
+                                got["key"].append(key), got["doc"].append(ids[w.at + rr])
             if got["key"]:
-                key, node, size = (np.concatenate(got[c]) for c in ("key", "node", "size"))
-                yield rows_of(INDEX, key_bucket(key, buckets), key=key, owner=node, value=size)
+                key, doc = (np.concatenate(got[c]) for c in ("key", "doc"))
+                yield rows_of(INDEX, key_bucket(key, buckets), key=key, owner=doc, key_bytes=KEY_BYTES)
 
     def match(rows: pa.Table) -> pa.Table:
-        key, node, size = read(rows, INDEX, "key", "owner", "value")
-        order = np.lexsort((node, key))
-        key, node, size = key[order], node[order], size[order]
+        key, doc = read(rows, INDEX, "key", "owner", key_bytes=KEY_BYTES)
+        key, doc = _distinct(key, doc)
         if len(key):
-            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-            key, node, size = key[new], node[new], size[new]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-        count = np.diff(np.r_[start, len(key)])
-        group = np.repeat(np.arange(len(start)), count)
-        if len(start):
-            keep = (count > 1)[group]
-            id_ = np.add.reduceat(W.mix(node.astype(W.U)), start)
-        else:
-            keep, id_ = np.zeros(0, bool), np.zeros(0, W.U)
-        region = W.mix(id_ + count.astype(W.U)).astype(np.int64)[group][keep] if len(start) else np.zeros(0, np.int64)
-        node = node[keep]
-        if len(region):
-            order = np.lexsort((node, region))
-            region, node = region[order], node[order]
-            new = np.r_[True, (region[1:] != region[:-1]) | (node[1:] != node[:-1])]
-            region, node = region[new], node[new]
-        return pa.table({"region": pa.array(region, pa.int64()), "node": pa.array(node, pa.int64())})
-
-    sent = docs.select("text").mapInArrow(send, PACKED)
-    return sent.groupBy("bucket").applyInArrow(match, "region long, node long").dropDuplicates(["region", "node"])
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            count = np.diff(np.r_[start, len(key)])
+            name = W.mix(np.add.reduceat(W.mix(doc.astype(W.U)), start) + count.astype(W.U)).astype(np.int64)
+            keep = np.repeat(count > 1, count)
+            key, doc = _distinct(np.repeat(name, count)[keep], doc[keep])
+        return pa.table({"region": pa.array(key.astype(np.int64), pa.int64()), "doc_id": pa.array(doc, pa.int64())})
+
+    sent = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(send, PACKED)
+    return sent.groupBy("bucket").applyInArrow(match, "region long, doc_id long").dropDuplicates(["region", "doc_id"])
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n_a, n_b, sketch_a, sketch_b) that their sketches don't rule out, as (a, b)."""
+
+    def of(batches):
+        for b in batches:
+            n = np.asarray(b.column(2)) + np.asarray(b.column(3))
+            d = np.array([least_difference(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column(4), b.column(5))], np.int64)
+            ok = pa.array((100 + percent) * d <= (100 - percent) * n)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(of, "a long, b long")
+
+
+def _cells(state: DataFrame) -> DataFrame:
+    """state (region, node, n, comp) dealt into cells (region, part) of at most about 2 * REGION sets.
+
+    In a region with few sets outside its largest component, that component's sets are dealt into parts and the others go to
+    every part; else all sets are dealt into chunks and every two chunks meet. In a cell marked `cross` only sets of different
+    sides have to meet, in others all do.
+    """
+    sizes = state.groupBy("region", "comp").agg(F.count("*").alias("c")).groupBy("region").agg(F.sum("c").alias("g"), F.max(F.struct("c", "comp")).alias("m"))
+    sizes = sizes.where("g > m.c").select("region", "g", F.col("m.c").alias("m"), F.col("m.comp").alias("main"))
+    s = state.join(sizes, "region")
+    few = F.col("g") - F.col("m") <= REGION
+    k = F.when(few, F.ceil(F.col("m") / REGION)).otherwise(F.ceil(F.col("g") / REGION)).cast("int")
+    chunk = F.pmod(F.xxhash64("node", F.lit(9)), k).cast("int")
+    s = s.withColumn("k", k).withColumn("chunk", chunk)
+    major = F.col("comp") == F.col("main")
+    cell = lambda part, cross, side: F.struct(part.alias("part"), cross.alias("cross"), side.alias("side"))
+    every = F.sequence(F.lit(0), F.col("k") - 1)
+    one = F.lit(1)
+    dealt = F.when(major, F.array(cell(F.col("chunk"), F.col("chunk") > 0, one))).otherwise(F.transform(every, lambda i: cell(i, i > 0, F.lit(0))))
+    both = F.transform(every, lambda i: cell(F.least(i, F.col("chunk")) * F.col("k") + F.greatest(i, F.col("chunk")), i != F.col("chunk"), (i < F.col("chunk")).cast("int")))
+    return s.select("region", "node", "n", "comp", F.explode(F.when(few, dealt).otherwise(both)).alias("x")).select("region", "node", "n", "comp", "x.part", "x.cross", "x.side")
+
+
+def possible_in_regions(state: DataFrame, info: DataFrame, percent: int, lots: int, partners: int) -> DataFrame:
+    """Pairs (a, b) of a region and of different components that their sketches don't rule out.
+
+    Sets travel to the cells of their regions; pairs are compared as bit matrices and only what is left is written: of
+    each set and cell the `partners` closest pairs. Where a set has more, a row with a = b says so.
+    """
+
+    def meet(rows: pa.Table) -> pa.Table:
+        region, part, node, n, comp, cross, side = (np.asarray(rows.column(c)) for c in ("region", "part", "node", "n", "comp", "cross", "side"))
+        sketch = rows.column("sketch").to_pylist()
+        order = np.lexsort((node, part, region))
+        region, part, node, n, comp, cross, side = (x[order] for x in (region, part, node, n, comp, cross, side))
+        sketch = [sketch[i] for i in order]
+        cut = np.flatnonzero(np.r_[True, (region[1:] != region[:-1]) | (part[1:] != part[:-1]), True]).tolist()
+        left, right = [], []
+        for i, j in zip(cut[:-1], cut[1:]):
+            size = min(map(len, sketch[i:j]))
+            bits = np.stack([_folded(b, size) for b in sketch[i:j]]).view(np.uint64)
+            for k in range(i, j, 64):
+                e = min(k + 64, j)
+                d = np.zeros((e - k, j - i), np.int64)
+                for word in range(bits.shape[1]):
+                    d += np.bitwise_count(bits[k - i : e - i, word, None] ^ bits[None, :, word])
+                ok = ((100 + percent) * d <= (100 - percent) * (n[k:e, None] + n[None, i:j])) & (comp[k:e, None] != comp[None, i:j])
+                if cross[i]:
+                    ok &= side[k:e, None] != side[None, i:j]
+                if ok.shape[1] > partners and (more := ok.sum(1) > partners).any():
+                    d[~ok] = 1 << 40
+                    far = np.argpartition(d[more], partners - 1, axis=1)[:, partners:]
+                    ok[np.flatnonzero(more)[:, None], far] = False
+                    left.append(node[k : k + 1]), right.append(node[k : k + 1])
+                p, q = np.nonzero(ok)
+                left.append(node[p + k]), right.append(node[q + i])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        a, b = _distinct(np.minimum(a, b), np.maximum(a, b))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = _cells(state).join(info.select("node", "sketch"), "node").withColumn("lot", F.pmod(F.xxhash64("region", "part"), F.lit(lots)))
+    return rows.groupBy("lot").applyInArrow(meet, "a long, b long").distinct()
 
 
 def similar(pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -177,15 +282,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, buckets:
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a set holds the distinct k-word shingles, or the whole
     sequence of a text with fewer words. Two documents link when 100 |a & b| >= percent |a | b|; component_id is the
     smallest doc_id reachable. Null and empty texts have n_shingles 0 and link with nothing (component_id: their own
-    doc_id). Repeated rows are answered each; a null doc_id never names a component unless all its members have none.
+    doc_id). Repeated rows are answered each. Rows with a null doc_id link with nothing and have a null component_id.
     Extra columns are ignored. Sets are told apart by 64-bit hashes of shingles.
     """
     docs = docs.select("doc_id", "text")
-    buckets = buckets or bucket_count(docs.count())
+    buckets = buckets or bucket_count(docs.count(), per_bucket=4000, least=16)
     sets = materialize(shingle_sets(docs, k))
-    nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
-    r = materialize(regions(docs, k, percent, buckets))
-    links = _links(docs, r, nodes, k, percent)
+    nodes = sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
+    r = regions(docs, k, percent, buckets).join(sets.where("node is not null").select("doc_id", "node"), "doc_id")
+    r = materialize(r.select("region", "node").distinct())
+    links = _links(docs, r, sets, nodes, k, percent)
     if links is None:
         first = nodes.select("node", F.col("doc").alias("component_id"))
     else:
@@ -194,53 +300,69 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, buckets:
         comp = comp.join(named, "component").select("node", "least")
         first = nodes.join(comp, "node", "left").select("node", F.coalesce("least", "doc").alias("component_id"))
     out = sets.join(first, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def _own_texts(docs: DataFrame, owner: DataFrame, k: int) -> DataFrame:
-    """(node, n, text) of each node of owner (doc_id, node, n); of rows that repeat a doc_id, those whose set it is."""
+    """(node, text) of each node of owner (doc_id, node); of rows that repeat a doc_id, those whose set it is."""
 
     def of(batches):
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
-            for w in W.slices(b.column(2), W.FOLDED):
+            for w in W.slices(b.column(1), W.FOLDED):
                 r, x = W.shingle_sets(w, k)
                 keep[w.at : w.at + w.rows] = set_ids(r, x, w.rows)[0] == np.asarray(b.column(0))[w.at : w.at + w.rows]
             yield b.filter(pa.array(keep))
 
-    found = docs.join(owner, "doc_id").select("node", "n", "text")
-    return found.mapInArrow(of, "node long, n long, text string").dropDuplicates(["node"])
+    n = owner.count()
+    found = docs.join(F.broadcast(owner) if n <= BROADCAST_ROWS else owner, "doc_id").select("node", "text")
+    texts = stored(found.mapInArrow(of, "node long, text string"))
+    return stored(texts.dropDuplicates(["node"])) if texts.count() > n else texts  # rows repeat
 
 
-def _links(docs: DataFrame, r: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame | None:
+def _links(docs: DataFrame, r: DataFrame, sets: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Verified links (a, b) that connect all that belongs together, or None.
 
-    Each turn compares the pivots of every unfinished region with the region's sets of other components. One pivot is
-    enough for families of near copies; what they leave over gets 8 times as many pivots in each further turn.
+    First the pivot of every region meets the region's other sets, which settles families of near copies; then all that is
+    left meets within its regions, sets of one component excepted: the closest partners of each set first, and, where
+    a set has more, again with 16 times as many, until no pair of different components is left out. Pairs are compared by their sketches, a lower bound of
+    the distance that rules out nearly all that is too far, and those that pass exactly by their texts.
     """
-    if r.isEmpty():
+    wanted = r.groupBy("region").agg(F.count("*").alias("c")).where("c > 1").select("region")
+    r = materialize(r.join(wanted, "region"))
+    n_rows = r.count()
+    if not n_rows:
         return None
-    wanted = r.select("node").distinct()
-    owner = nodes.join(wanted, "node").select("node", "n", F.col("doc").alias("doc_id"))
-    texts = materialize(_own_texts(docs, owner, k))
-    state = r.join(owner.select("node", "n"), "node").select("region", "node", "n", F.col("node").alias("comp"))
-    links, pivots = None, 1
+    known = r.select("node").distinct()
+    info = sets.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    info = materialize(info.join(known, "node"))
+    state = r.join(info.select("node", "n"), "node").select("region", "node", "n")
+
+    pivot = state.groupBy("region").agg(F.min(F.struct("node", "n")).alias("p")).select("region", F.col("p.node").alias("p"), F.col("p.n").alias("pn"))
+    fits = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (F.col("node") != F.col("p"))
+    pairs = state.join(pivot, "region").where(fits).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
+    named = lambda x: info.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    pairs = materialize(possible(pairs.join(named("b"), "b").join(named("a"), "a"), percent))
+    links = _verified(docs, nodes, pairs, words, percent)
+    comp = state.withColumn("comp", F.col("node"))
+    if not links.isEmpty():
+        comp = state.join(components(links), "node", "left").select("region", "node", "n", F.coalesce("component", "node").alias("comp"))
+    partners = PARTNERS
     while True:
-        # a region whose sets are all in one component is done
-        open_ = state.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("region")
-        live = materialize(state.join(open_, "region"))
-        if live.isEmpty():
-            return links
-        spot = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-        p = live.groupBy("region", spot.alias("spot")).agg(F.min(F.struct("node", "n", "comp")).alias("p")).select("region", F.col("p.node").alias("p"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
-        fits = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (F.col("comp") != F.col("pc"))
-        pairs = live.join(p, "region").where(fits).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-        with_text = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        new = materialize(similar(with_text, k, percent))
-        # pivots have met all others of their region
-        state = live.join(p.select("region", F.col("p").alias("node")), ["region", "node"], "left_anti")
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            comp = components(links)
-            state = state.drop("comp").join(comp, "node", "left").select("region", "node", "n", F.coalesce("component", "node").alias("comp"))
-        pivots *= 8
+        found = materialize(possible_in_regions(materialize(comp), info, percent, bucket_count(n_rows, 20_000, 16), partners))
+        new = _verified(docs, nodes, found.where("a <> b"), words, percent)
+        links = links.unionByName(new)
+        if found.where("a = b").isEmpty():  # no pair was left out
+            return None if links.isEmpty() else links
+        comp = state.join(components(links), "node", "left").select("region", "node", "n", F.coalesce("component", "node").alias("comp"))
+        partners *= 16
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of nodes, those whose texts reach the similarity."""
+    if pairs.isEmpty():
+        return pairs
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = _own_texts(docs, nodes.join(needed, "node").select("node", F.col("doc").alias("doc_id")), k)
+    text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    return materialize(similar(pairs.join(text("b"), "b").join(text("a"), "a"), k, percent))

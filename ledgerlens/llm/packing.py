@@ -7,6 +7,8 @@ transposed, which shuffle compression then shrinks to one or two bytes an entry.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +49,13 @@ def key_bucket(key: np.ndarray, n: int) -> np.ndarray:
     return (mix(key ^ U(0x1F83D9ABFB41BD6B)) % U(n)).astype(np.int32)
 
 
-def rows_of(kind: int, bucket: np.ndarray, key=None, owner=None, value=None, ref=None, at=None) -> pa.RecordBatch:
-    """PACKED rows: one for each bucket that has entries, in the order of owner and value."""
+def rows_of(kind: int, bucket: np.ndarray, key=None, owner=None, value=None, ref=None, at=None, key_bytes: int = 8) -> pa.RecordBatch:
+    """PACKED rows: one for each bucket that has entries, in the order of owner and value.
+
+    Keys that only propose candidates may be cut to fewer bytes; the bucket adds its own bits.
+    """
+    if key is not None and key_bytes < 8:
+        key = np.ascontiguousarray(np.asarray(key, "<u8")).view(np.uint8).reshape(-1, 8)[:, :key_bytes]
     order = np.lexsort((value, owner, bucket)) if value is not None else np.lexsort((owner, bucket))
     b = bucket[order]
     cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True]) if len(b) else np.zeros(1, int)
@@ -66,13 +73,22 @@ def rows_of(kind: int, bucket: np.ndarray, key=None, owner=None, value=None, ref
     )
 
 
-def read(rows: pa.Table, kind: int, *columns: str) -> list[np.ndarray]:
+def _keys(b: memoryview, n: int) -> np.ndarray:
+    if n == 8:
+        return np.frombuffer(b, np.uint64)
+    short = np.frombuffer(b, np.uint8).reshape(-1, n)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, :n] = short
+    return out.view("<u8").ravel().astype(U)
+
+
+def read(rows: pa.Table, kind: int, *columns: str, key_bytes: int = 8) -> list[np.ndarray]:
     """The entries of all rows of a kind, column by column."""
     is_kind = np.asarray(rows.column("kind")) == kind
     chosen = rows.filter(pa.array(is_kind))
     out = []
     for c in columns:
-        parts = [np.frombuffer(b.as_buffer(), np.uint64) if c == "key" else unsqueeze(b.as_buffer()) for b in chosen.column(c)]
+        parts = [_keys(b.as_buffer(), key_bytes) if c == "key" else unsqueeze(b.as_buffer()) for b in chosen.column(c)]
         out.append(np.concatenate(parts) if parts else np.zeros(0, np.uint64 if c == "key" else np.int64))
     return out
 
@@ -92,6 +108,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like `materialize`, as a compressed Parquet table in the same folder: for tables with texts."""
+    spark = df.sparkSession
+    ready(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ready(spark: SparkSession) -> None:
     """The cluster names its shared folder; only where none is set, as in tests, a local one is used."""
     sc = spark.sparkContext
