@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
+from .packing import small_batches
 
 BLOCK_BYTES = 16 << 20  # of item texts that are broadcast at once
 COUNTS = "token long, n long"
@@ -137,6 +138,7 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 10, block_bytes: in
     empty benchmark hits nothing. With more than block_bytes of items, the blocks' results are merged by doc_id and
     text, so rows equal in both then merge into as many equal rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0

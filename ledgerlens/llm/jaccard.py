@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 from .components import components
-from .packing import INDEX, PACKED, bucket_count, key_bucket, materialize, read, rows_of, stored
+from .packing import INDEX, PACKED, bucket_count, key_bucket, materialize, read, rows_of, small_batches, stored
 
 BROADCAST_ROWS = 200_000  # ids that are broadcast at most, counted before; more are joined by shuffle
 KEY_BYTES = 5
@@ -285,6 +285,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, buckets:
     doc_id). Repeated rows are answered each. Rows with a null doc_id link with nothing and have a null component_id.
     Extra columns are ignored. Sets are told apart by 64-bit hashes of shingles.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     buckets = buckets or bucket_count(docs.count(), per_bucket=4000, least=16)
     sets = materialize(shingle_sets(docs, k))

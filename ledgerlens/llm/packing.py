@@ -108,6 +108,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Send texts to Python in batches of a few megabytes; a setting that the user changed stays as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "67108864", "64m"):  # Spark's default
+        spark.conf.set(key, size)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like `materialize`, as a compressed Parquet table in the same folder: for tables with texts."""
     spark = df.sparkSession

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
+from .packing import small_batches
 
 BITS = 18
 MAX_TRAIN_ROWS = 8000  # labelled rows that a model is fitted on
@@ -127,6 +128,7 @@ def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     as are those without a document; a null doc_id is not held out and not trained on. Without labels of both classes
     the score is the share of label 1. Rows that repeat are scored each.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held).select("doc_id", "quality")
@@ -168,10 +170,11 @@ def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
                 dot, norm = np.bincount(row, pull[f], s.rows), np.sqrt(np.bincount(row, square[f], s.rows))
                 margin = dot / np.maximum(norm, 1e-12) + bias
                 got.append(1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)) if got else pa.array([], pa.float64()), *batch.columns[1:]], names=["score", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)) if got else pa.array([], pa.float64()), *batch.columns[skip:]], names=["score", *names])
 
-    columns = docs.select(F.col("text").alias("_text"), "doc_id", held.alias("held_out"), *(c for c in keep if c not in ("doc_id", "held_out")))
-    names = columns.columns[1:]
-    schema = "score double, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[1:])
+    columns = docs.select("text", "doc_id", held.alias("held_out"), *(c for c in keep if c not in ("text", "doc_id", "held_out")))
+    skip = 0 if "text" in keep else 1
+    names = columns.columns[skip:]
+    schema = "score double, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[skip:])
     out = columns.mapInArrow(rate, schema)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), *(c for c in keep if c not in ("doc_id", "held_out")))

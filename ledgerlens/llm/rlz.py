@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .packing import ARROW, INDEX, NOTE, PACKED, REPLY, bucket_count, bucket_of, key_bucket, owner_bucket, pass_on, read, rows_of
+from .packing import ARROW, INDEX, NOTE, PACKED, REPLY, bucket_count, bucket_of, key_bucket, owner_bucket, pass_on, read, rows_of, small_batches
 
 ANCHOR = 5
 
@@ -120,8 +120,11 @@ def repeated_spans(docs: DataFrame, k: int = 13, buckets: int | None = None) ->
     one space. spans are the factors of the parse in order: runs of repeating windows that go on in the same reference
     document. An exact copy of an earlier document has no spans of its own: ref_doc is that document.
     Null and empty texts have no words (the digest of nothing). A null doc_id is before and after nothing: it keeps all
-    its words. Rows that repeat a doc_id are answered each; equal ids never repeat each other. Extra columns are ignored.
+    its words. Rows that repeat are answered each; equal ids never repeat each other. doc_id names one text: where rows of
+    one id hold different texts, a repeating window of one counts for the same positions of the others. Extra columns
+    are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     n = buckets or bucket_count(docs.count())
     known = docs.where("doc_id is not null")

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import small_batches
+
 BLOCK = 512  # characters of a leaf when a tree is built, about
 SURE = re.compile(r"(?<=\S) (?=[^\W\d_])")  # a pre-token starts at such a space whatever is around
 CONTEXT = 4  # characters behind a pre-token that its match may have looked at: `'ve`, `\s+(?!\S)`
@@ -199,6 +201,7 @@ def edited_counts(docs: DataFrame, vocabulary: str, pattern: str = PATTERN) -> D
     empty texts have no tokens but can be inserted into. Rows that repeat are answered each, null doc_ids too. Extra
     columns are ignored. vocabulary is a file on the driver, of bounded size, whose bytes are broadcast.
     """
+    small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
