@@ -94,6 +94,7 @@ def parse_create(raw: DataFrame) -> DataFrame:
     """Raw JSON of creation messages (value) as typed rows; pools get their public names."""
     schema = "mint string, name string, symbol string, traderPublicKey string, timestamp double, uri string, pool string, txType string"
     j = raw.select(F.from_json("value", schema).alias("j")).where("j.txType = 'create'")
+    # fixed values: short names of pools in messages, and the names they are stored under
     pool = F.when(F.col("j.pool") == "pump", "pumpfun").when(F.col("j.pool") == "bonk", "letsbonk").otherwise(F.col("j.pool"))
     return j.select(F.col("j.mint").alias("entity_id"), "j.name", "j.symbol", F.col("j.traderPublicKey").alias("creator_id"), F.col("j.timestamp").alias("created_at"), "j.uri", pool.alias("source"))
 
