@@ -115,23 +115,22 @@ def chrono_split(df: DataFrame, key: str, share: float) -> DataFrame:
     return ranked.withColumn("split", F.when(F.col("row") <= cut, "train").otherwise("test")).drop("row")
 
 
-def global_row_number(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """df with row: the position by a unique numeric key, from offsets of key ranges and numbers within a range."""
+def global_row_number(df: DataFrame, key: str, buckets: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with row: the position by a numeric key (and ties), from offsets of key ranges and numbers within a range."""
     lo, hi = df.agg(F.min(key), F.max(key)).first()
     width = float(hi - lo) / buckets if lo is not None and hi > lo else 1.0
     d = df.withColumn("_b", F.floor((F.col(key) - F.lit(lo)) / F.lit(width)))
     per = d.groupBy("_b").agg(F.count("*").alias("s"))  # buckets + 1 rows
     offset = per.select("_b", (F.sum("s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("_o"))
-    return d.join(F.broadcast(offset), "_b").withColumn("row", F.col("_o") + F.row_number().over(Window.partitionBy("_b").orderBy(key))).drop("_b", "_o")
+    return d.join(F.broadcast(offset), "_b").withColumn("row", F.col("_o") + F.row_number().over(Window.partitionBy("_b").orderBy(key, *ties))).drop("_b", "_o")
 
 
 def grouped_split(df: DataFrame, group: str, key: str, share: float) -> DataFrame:
     """Train and test by groups in order of their first key (ties by group); no group is on both sides."""
-    first = df.groupBy(group).agg(F.min(F.struct(key, group)).alias("f"))
-    n = first.count()
-    w = Window.orderBy("f")
-    order = first.select(group, F.row_number().over(w).alias("r"))
-    return df.join(order.select(group, F.when(F.col("r") <= int(n * share), "train").otherwise("test").alias("split")), group)
+    first = df.groupBy(group).agg(F.min(key).alias("f"))
+    cut = int(first.count() * share)
+    order = global_row_number(first, "f", ties=(group,))
+    return df.join(order.select(group, F.when(F.col("row") <= cut, "train").otherwise("test").alias("split")), group)
 
 
 def time_folds(df: DataFrame, key: str, k: int, burn: float = 0.1) -> DataFrame:
