@@ -2,7 +2,7 @@
 
 A text is read as UTF-8 bytes. Words are maximal runs of word bytes; both alphabets used here are cut at ASCII bytes
 only, so cutting bytes equals cutting characters. Every word gets a 64-bit hash, every run of k words a 64-bit hash
-that also depends on k. Nulls count as texts without words. Arrays are cut into slices of about a megabyte of text, so
+that also depends on k. Nulls count as texts without words. Arrays are cut into slices of about a quarter of a megabyte of text, so
 memory follows the longest text and not the batch.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BYTE_STEP = 0x9E3779B97F4A7C13  # 3 modulo 8: byte and word positions stay distinguishable modulo 2^64
 _WORD_STEPS = (0xC2B2AE3D27D4EB4B, 0xD6E8FEB86659FD93)
 
