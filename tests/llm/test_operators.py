@@ -263,6 +263,50 @@ def test_embeddings(spark):
     assert embeddings.linked(t.limit(0)).count() == 0
 
 
+def links(v):
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    g = u @ u.T >= 0.9
+    np.fill_diagonal(g, False)
+    return g.sum(1)
+
+
+def around(centre, cosine, n, rng):
+    z = rng.standard_normal((n, len(centre)))
+    z -= np.outer(z @ centre, centre)
+    return cosine * centre + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+def test_embeddings_shared_direction(spark):
+    """Pairs just above the threshold among vectors with a common mean, and in a hot cluster of pairwise cosine 0.90 to 0.93."""
+    rng = np.random.default_rng(4)
+    centre = np.eye(32)[0]
+    x = around(centre, 0.83, 2000, rng)
+    pairs = np.stack([around(a, 0.903, 1, rng)[0] for a in x[:1000]])
+    table = lambda v: spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(v)], "vec_id long, embedding array<float>")
+    for v in (np.concatenate([x, pairs]), np.concatenate([around(centre, 0.956, 700, rng), around(centre, 0.0, 1400, rng)])):
+        v = v.astype(np.float32)
+        got = {r.vec_id: r.n_links for r in embeddings.linked(table(v), 0.9).collect()}
+        want = links(v)
+        assert want.sum() > 1500 and all(got[i] <= n for i, n in enumerate(want))
+        assert sum(got.values()) >= 0.96 * want.sum()
+
+
+def test_embeddings_salted_and_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centre = np.eye(16)[0]
+    v = np.concatenate([around(centre, 0.956, 300, rng), around(centre, 0.999, 300, rng), rng.standard_normal((100, 16))]).astype(np.float32)
+    short = rng.standard_normal((20, 3)).astype(np.float32)
+    short[5] = short[6] * 2
+    data = [(i, x.tolist()) for i, x in enumerate([*v, *short])]
+    t = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    plain = sorted(map(tuple, embeddings.linked(t, 0.9).collect()))
+    monkeypatch.setattr(embeddings, "PART", 20)
+    assert plain == sorted(map(tuple, embeddings.linked(t, 0.9).collect()))
+    want = [*links(v), *links(short)]
+    assert sum(r[1] for r in plain) >= 0.97 * sum(want) and all(r[1] <= n for r, n in zip(plain, want))
+    assert plain[705][1] > 0 and plain[705][2] >= 700
+
+
 def test_edit_counts(spark):
     path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     counter = tokencount.Counter(tokencount.load_ranks(path))
