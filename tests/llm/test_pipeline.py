@@ -1,5 +1,8 @@
 """The corpus pipeline on the smallest tables: what each stage keeps, and the decisions of its operators."""
 
+import re
+from collections import Counter
+
 import corpus_pipeline as P
 from ledgerlens.llm import decontaminate, jaccard, quality
 from ledgerlens.llm.packing import materialize
@@ -35,3 +38,52 @@ def test_stages(spark):
 
 def test_run(spark):
     assert P.run(spark, SF).count() > 0
+
+
+def odd_ids():
+    words = [f"w{i}" for i in range(400)]
+    text = lambda i, n=40: " ".join(words[(i * 7 + j * (i + 3)) % 400] for j in range(n))
+    near = lambda i: text(i) + " end"
+    passage = " ".join(f"leak{i}" for i in range(12))
+    rows = [
+        (None, text(0)),  # alone, null id
+        (None, text(1)),
+        (9, near(1)),  # near copy of a null id: 9 stays
+        (5, text(2)),
+        (5, text(3)),  # one id, two texts
+        (3, near(3)),  # 3 stays instead of the second 5
+        (7, text(4)),
+        (7, text(4)),  # equal rows
+        (None, text(5)),
+        (None, text(5)),
+        (None, None),
+        (8, ""),
+        (8, ""),
+        (11, text(6) + " " + passage),
+        (11, text(7)),  # namesake of a contaminated one
+        (None, text(8) + " " + passage),
+    ]
+    return [(d, t, "en", "s", 1) for d, t in rows], passage
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    rows, passage = odd_ids()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = Counter(min((rows[i][:2] for i in range(len(rows)) if group[i] == g), key=lambda r: (r[0] is None, r[0] or 0)) for g in set(group))
+    got = Counter((r.doc_id, r.text) for r in P.near_duplicates(spark, docs, SF).collect())
+    assert got == want
+
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = Counter((r.doc_id, r.text) for r in P.decontamination(spark, docs, str(tmp_path)).collect())
+    assert got == Counter(r[:2] for r in rows if passage not in (r[1] or ""))
