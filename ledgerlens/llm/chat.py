@@ -20,25 +20,48 @@ def quoted(x):
     return F.regexp_extract(F.to_json(F.struct(F.coalesce(x, F.lit("")).alias("s"))), r'(?s)^\{"s":(.*)\}$', 1)
 
 
-def _levels(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (conv_id, id) with their topological level: 0, or one more than the highest level before it.
 
-    Nodes on cycles or behind them get level null. One round of joins a level; `rounds` bounds them.
+    Nodes on cycles or behind them get level null. Chains, whose nodes have one before them with nothing else behind it,
+    are first shortened to their heads by pointer doubling; then one round of joins for each level of what is left.
     """
-    left = materialize(edges.distinct())
-    done = materialize(nodes.join(left.select("conv_id", F.col("to").alias("id")).distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)))
-    newest, level = done, 0
-    while not left.isEmpty() and not newest.isEmpty() and level < rounds:
-        level += 1
-        left = materialize(left.join(newest.select("conv_id", F.col("id").alias("from")), ["conv_id", "from"], "left_anti"))
-        waiting = left.select("conv_id", F.col("to").alias("id")).distinct()
-        rest = nodes.join(done.select("conv_id", "id"), ["conv_id", "id"], "left_anti")
-        newest = materialize(rest.join(waiting, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(level)))
-        done = done.unionByName(newest)
-    return nodes.join(done, ["conv_id", "id"], "left")
-
-
-def format_messages(messages: DataFrame, schemas: DataFrame, rounds: int = 64) -> DataFrame:
+    edges = materialize(edges.select("conv_id", "from", "to").distinct())
+    ways_out = edges.groupBy("conv_id", "from").agg(F.count("*").alias("n_out"))
+    ways_in = edges.groupBy("conv_id", "to").agg(F.count("*").alias("n_in"))
+    single = edges.join(ways_out.where("n_out = 1"), ["conv_id", "from"]).join(ways_in.where("n_in = 1"), ["conv_id", "to"])
+    # (id, head, far): id lies `far` levels behind head; open while head is within a chain itself, for ever on a cycle
+    chain = materialize(single.select("conv_id", F.col("to").alias("id"), F.col("from").alias("head"), F.lit(1).cast("long").alias("far")))
+    longest = chain.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        ahead = chain.select("conv_id", F.col("id").alias("head"), F.col("head").alias("next"), F.col("far").alias("more"))
+        chain = materialize(chain.join(ahead, ["conv_id", "head"], "left").select("conv_id", "id", F.coalesce("next", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNotNull().alias("moved")))
+        if chain.where("moved").isEmpty():
+            break
+
+    inner = chain.select("conv_id", "id")
+    heads = materialize(nodes.join(inner, ["conv_id", "id"], "left_anti"))
+    left = edges.join(inner.withColumnRenamed("id", "to"), ["conv_id", "to"], "left_anti").join(chain.withColumnRenamed("id", "from"), ["conv_id", "from"], "left")
+    left = materialize(left.select("conv_id", F.coalesce("head", "from").alias("from"), "to", (F.coalesce("far", F.lit(0)) + 1).alias("far")))
+    newest = materialize(heads.join(left.select("conv_id", F.col("to").alias("id")).distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0).cast("long")))
+    done, least = newest, newest.limit(0)  # least: the level that a waiting node has at least
+    rounds = 0
+    while not left.isEmpty() and not newest.isEmpty():
+        by = newest.withColumnRenamed("id", "from")
+        reached = left.join(by, ["conv_id", "from"]).select("conv_id", F.col("to").alias("id"), (F.col("level") + F.col("far")).alias("level"))
+        least = materialize(least.unionByName(reached).groupBy("conv_id", "id").agg(F.max("level").alias("level")))
+        left = materialize(left.join(by, ["conv_id", "from"], "left_anti"))
+        newest = materialize(least.join(left.select("conv_id", F.col("to").alias("id")).distinct(), ["conv_id", "id"], "left_anti"))
+        least = least.join(newest.select("conv_id", "id"), ["conv_id", "id"], "left_anti")
+        done, rounds = done.unionByName(newest), rounds + 1
+        if rounds % 32 == 0:
+            done = materialize(done)
+    done = materialize(done)
+    behind = chain.join(done.withColumnRenamed("id", "head"), ["conv_id", "head"]).select("conv_id", "id", (F.col("level") + F.col("far")).alias("level"))
+    return nodes.join(done.unionByName(behind).select("conv_id", "id", F.col("level").cast("int").alias("level")), ["conv_id", "id"], "left")
+
+
+def format_messages(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row for each row of `messages` (the columns of MESSAGE), in canonical form.
 
     schemas: (name, argument, type, required): type is string, integer, number or boolean. Returns conv_id, turn, role,
@@ -70,7 +93,7 @@ def format_messages(messages: DataFrame, schemas: DataFrame, rounds: int = 64) -
     pairs = links.where("has_call and has_result").select("conv_id", F.col("call_id").alias("from"), F.concat(F.lit("result:"), "call_id").alias("to"))
     named = m.where("kind = 'call' and conv_id is not null and id is not null").select("conv_id", F.explode("after").alias("from"), F.col("id").alias("to")).where("`from` is not null")
     named = named.join(nodes.select("conv_id", F.col("id").alias("from")), ["conv_id", "from"], "left_semi")
-    levels = _levels(nodes, pairs.unionByName(named), rounds)
+    levels = _levels(nodes, pairs.unionByName(named))
 
     # the schema of a tool as a map of its arguments, small per tool
     tools = schemas.where("name is not null and argument is not null").groupBy("name").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("argument", F.struct("type", "required").alias("rule"))))).alias("rules"))

@@ -263,6 +263,21 @@ def test_embeddings(spark):
     assert embeddings.linked(t.limit(0)).count() == 0
 
 
+def test_chat_levels(spark):
+    """A chain longer than 64 levels, branches that meet again, a tail behind them, and nodes behind a cycle."""
+    edges = [(1, f"c{i}", f"c{i + 1}") for i in range(100)]
+    edges += [(2, "a", "b"), (2, "b", "c"), (2, "a", "d"), (2, "c", "e"), (2, "d", "e"), (2, "e", "f"), (2, "f", "g")]
+    edges += [(3, "p", "q"), (3, "q", "p"), (3, "q", "r"), (3, "r", "s"), (4, "x", "y"), (4, "y", "x"), (5, "z", "z")]
+    nodes = sorted({(c, x) for c, a, b in edges for x in (a, b)} | {(5, "alone")})
+    want = {n: 0 for n in nodes}
+    for _ in range(101):
+        for c, a, b in edges:
+            want[c, b] = max(want[c, b], want[c, a] + 1)
+    want = {n: None if n[0] in (3, 4) or n[1] == "z" else v for n, v in want.items()}
+    got = chat._levels(spark.createDataFrame(nodes, "conv_id long, id string"), spark.createDataFrame(edges, "conv_id long, from string, to string")).collect()
+    assert {(r.conv_id, r.id): r.level for r in got} == want and want[1, "c100"] == 100
+
+
 def links(v):
     u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
     g = u @ u.T >= 0.9
