@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import materialize
+from .packing import discard, stored
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node long, component long) of every node of `edges` (a long, b long): the smallest node reachable.
 
     Nulls and loops are ignored; an empty table gives an empty one; repeated edges count once. Every step replaces
     the edges by a star-shaped set with the same components; hubs only ever meet in aggregations and equi-joins, and
-    each round is written to the shared checkpoint folder.
+    each round is written to the shared checkpoint folder and the one before deleted. Rounds grow with the logarithm of the
+    largest component, squared at most.
     """
     ok = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))
     big_small = edges.where(ok).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(big_small)
+    e = stored(big_small)
     state = None
-    for _ in range(rounds):
+    while True:
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -27,11 +28,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pulled = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(pulled.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, stored(pulled.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s"), (F.count("*") - F.count_distinct("u")).alias("many")).first()
         if now["many"] == 0 and state == (now["n"], now["s"]):
             break
         state = (now["n"], now["s"])
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

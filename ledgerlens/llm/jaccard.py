@@ -1,16 +1,15 @@
 """N-gram Jaccard join: an exact metric-space join of shingle sets, for groups of near copies of any size.
 
-The Jaccard distance is a metric. Two levels of pivots split the documents:
-
-1. Pivots that are small sets. Texts are unrelated to almost every other text (distance 1), so document pivots alone
-   would replicate everything everywhere. The shingle universe is therefore dealt into m parts, and every content of
-   a part that occurs is a pivot; its Voronoi region holds the sets with just this content there. Sets within the
-   distance differ in at most h shingles, so with m = h + 1 parts they share a region: a set is replicated to all of its
-   regions, for its own class of sizes and, where the window of sizes around the class below reaches it, for that too
-   (sizes are distances from the empty set; the triangle inequality bounds their difference).
-2. Pivots that are documents. Each region picks one, whose distances to the region's other sets are computed; the
-   components that come of all regions' links are then the regions' own Voronoi cells, and only sets of different cells
-   meet again, in parts of bounded size. A region of n near copies costs about n distances, not n^2.
+The Jaccard distance and the number of shingles in which two sets differ are metrics.
+
+1. Most texts are at distance 1 from each other, where no pivot can tell them apart: every window would hold everything.
+   Documents are therefore first blocked. The shingle universe is dealt into m parts, and sets with the same content of a
+   part form a region; sets within the distance differ in at most h shingles, so with m = h + 1 parts they share one. Where
+   the window of sizes around the class below reaches a set (sizes are distances from the empty set), it goes there too.
+2. Each region picks a pivot and measures all its sets against it: a region of n near copies costs n distances, not n^2.
+3. Regions of different components are joined. A large one samples more pivots, whose Voronoi cells divide it; the
+   triangle inequality gives the window in which sets near a boundary are replicated. Cells that are still large are
+   divided again, and small ones are compared in one task, by odd sketches and then exactly by texts.
 """
 
 from __future__ import annotations
@@ -22,12 +21,17 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 from .components import components
-from .packing import INDEX, PACKED, bucket_count, key_bucket, materialize, read, rows_of, small_batches, stored
+from .packing import INDEX, PACKED, bucket_count, discard, key_bucket, read, rows_of, small_batches, stored
 
 BROADCAST_ROWS = 200_000  # ids that are broadcast at most, counted before; more are joined by shuffle
 KEY_BYTES = 5
-REGION = 512  # sets of a region that meet in one cell
-PARTNERS = 4  # of a set in a cell, in the first turn
+REGION = 1024  # sets of a region that meet in one task; larger ones are split
+PIVOTS = 32  # of a region at once
+SPREAD, MOST = 3, 0.75  # rows a set that a split writes at most, and the share of a region that one cell keeps at most
+BLOCK = 8192  # sets of a block, where pivots can't split
+PARTNERS = 4  # of a set in a task, in the first turn
+LOT = 400_000  # shingles that are verified in one group, about
+MEASURED = pa.schema([*((c, pa.int64()) for c in ("region", "node", "n", "own", "comp", "g")), ("d", pa.list_(pa.int32()))])
 SPARE = 2  # parts beyond h + 1; sets with no more empty parts than this need no regions for them
 
 
@@ -77,13 +81,17 @@ def set_ids(row: np.ndarray, x: np.ndarray, rows: int) -> tuple[np.ndarray, np.n
     return (W.mix(s ^ n.astype(W.U)) >> W.U(1)).astype(np.int64), n
 
 
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    return 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+
+
 def odd_sketches(row: np.ndarray, x: np.ndarray, n: np.ndarray) -> list[bytes]:
     """For each set the parity of its shingles in 2 to 4 bits per shingle (a power of two, 64 at least).
 
     Shingles that two sets share cancel out in the difference of their sketches, so its weight is a lower bound of the
     number of shingles in which they differ. A sketch folds by halves to the length of a shorter one.
     """
-    m = 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+    m = sketch_bits(n)
     at = np.concatenate([[0], np.cumsum(m)])
     bit = at[row] + (W.mix(x ^ W.U(0xBB67AE8584CAA73B)) & (m[row] - 1).astype(W.U)).astype(np.int64)
     packed = np.packbits((np.bincount(bit, minlength=at[-1]) & 1).astype(np.uint8)).tobytes()
@@ -186,52 +194,153 @@ def possible(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(of, "a long, b long")
 
 
-def _cells(state: DataFrame) -> DataFrame:
-    """state (region, node, n, comp) dealt into cells (region, part) of at most about 2 * REGION sets.
+def window(n, percent: int):
+    """In how many shingles a set of n may differ from a set that reaches the similarity, at most."""
+    return F.floor(n * (100 - percent) / percent)
+
+
+def _sized(state: DataFrame) -> DataFrame:
+    """state with g, the sets of its region, and least, the size of the smallest; regions of one component are left out."""
+    sizes = state.groupBy("region").agg(F.count("*").alias("g"), F.min("n").alias("least"), (F.min("comp") < F.max("comp")).alias("open"))
+    return state.drop("g", "least").join(sizes.where("open").drop("open"), "region")
+
 
-    In a region with few sets outside its largest component, that component's sets are dealt into parts and the others go to
-    every part; else all sets are dealt into chunks and every two chunks meet. In a cell marked `cross` only sets of different
-    sides have to meet, in others all do.
+def _alone(docs: DataFrame, nodes: DataFrame, owners: DataFrame, k: int) -> DataFrame:
+    """(node, own): how many shingles of each node's set no other of these sets has."""
+
+    def of(batches):
+        for b in batches:
+            node = np.asarray(b.column(0))
+            for w in W.slices(b.column(1), W.FOLDED):
+                r, x = W.shingle_sets(w, k)
+                yield pa.RecordBatch.from_arrays([pa.array(node[w.at + r]), pa.array(x.view(np.int64))], names=["node", "shingle"])
+
+    texts = _own_texts(docs, owners.join(nodes, "node").select("node", F.col("doc").alias("doc_id")), k)
+    once = texts.mapInArrow(of, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("c")).where("c = 1")
+    own = stored(once.groupBy("node").agg(F.count("*").alias("own")))
+    discard(texts)
+    return own
+
+
+def _cells(big: DataFrame, info: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Regions (region, node, n, own, comp, g, least) split into Voronoi cells: (cells, regions that pivots can't split).
+
+    The distance is the number of bits in which two odd sketches differ once both are folded to the length of the region's
+    shortest: a pseudometric, never above the number of shingles in which the sets differ. Every region samples up to
+    PIVOTS pivots, one for each half REGION of sets; each set belongs to the nearest. If x and y differ in at most w, and
+    x is nearest to p and y to q, then d(y, p) <= d(y, q) + 2w and d(y, p) <= r + w with r the radius of p's cell: in
+    this window y is replicated to p, for one order of p and q, which is enough for the pair to meet. A split is made if it
+    writes at most SPREAD rows for each set and no cell keeps more than MOST of the region.
+    """
+    k = F.least(F.lit(PIVOTS), F.ceil(2 * F.col("g") / REGION)).cast("int")
+    draw = F.xxhash64("node", "region", F.lit(21))
+    one, rare = F.struct(draw.alias("draw"), "node"), F.pmod(F.xxhash64("node", "region", F.lit(22)), F.greatest(F.lit(1), F.floor(F.col("g") / (4 * k)).cast("int"))) == 0
+    few = F.array_union(F.collect_list(F.when(rare, one)), F.array(F.min(one)))  # 4 * PIVOTS or so
+    drawn = big.groupBy("region").agg(F.sort_array(few).alias("all"), F.first(k).alias("k"), F.first("g").alias("g"))
+    lots = F.ceil(F.col("g") / REGION).cast("int")
+    pivots = drawn.select("region", lots.alias("lots"), F.posexplode(F.slice("all", 1, F.col("k")))).select("region", "pos", "col.node", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    pivots = pivots.join(info.select("node", "sketch"), "node").select(F.col("region").alias("to"), F.col("lot").alias("at"), F.col("pos").alias("number"), F.col("sketch").alias("bits"))
+    sets = big.withColumn("lot", F.pmod(F.xxhash64("node", F.lit(23)), lots).cast("int")).join(info.select("node", "sketch"), "node")
+
+    def apart(rows: pa.Table, near: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return MEASURED.empty_table()
+        least = rows.column("least")[0].as_py()
+        size = int(sketch_bits(np.array([least]))[0]) // 8
+        order = np.argsort(np.asarray(near.column("number")))
+        fold = lambda x: np.stack([_folded(b, size) for b in x.to_pylist()]).view(np.uint64)
+        p, s = fold(near.column("bits"))[order], fold(rows.column("sketch"))
+        d = np.stack([np.bitwise_count(s ^ x).sum(1) for x in p], 1).astype(np.int32)
+        return pa.table([*(rows.column(c) for c in MEASURED.names[:-1]), pa.array(list(d), pa.list_(pa.int32()))], schema=MEASURED)
+
+    measured = sets.groupBy("region", "lot").cogroup(pivots.groupBy("to", "at")).applyInArrow(apart, "region long, node long, n long, own long, comp long, g long, d array<int>")
+    near = F.array_min("d")
+    measured = stored(measured.withColumn("home", (F.array_position("d", near) - 1).cast("int")).withColumn("w", window(F.col("n"), percent)))
+    radius = measured.groupBy("region", "home").agg(F.max(near).alias("r")).groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("home", "r"))).alias("radius"))  # PIVOTS at most
+    inside = lambda i: (F.get("d", i) <= near + 2 * F.col("w")) & (F.get("d", i) <= F.coalesce(F.element_at("radius", i), F.lit(-1)) + F.col("w"))
+    own = F.array(F.col("home"))
+    below = F.when(F.col("home") > 0, F.filter(F.sequence(F.lit(0), F.col("home") - 1), inside)).otherwise(F.array().cast("array<int>"))
+    dealt = stored(measured.join(radius, "region").select("region", "node", "n", "own", "comp", "g", F.concat(own, below).alias("cells")))
+    counts = dealt.select("region", "g", F.explode("cells").alias("cell")).groupBy("region", "cell").agg(F.count("*").alias("c"), F.first("g").alias("g"))
+    good = counts.groupBy("region").agg((F.sum("c") <= SPREAD * F.first("g")).alias("a"), (F.max("c") <= MOST * F.first("g")).alias("b")).where("a and b").select("region")
+    split = dealt.join(good, "region", "left_semi").select(F.explode("cells").alias("cell"), "region", "node", "n", "own", "comp")
+    split = stored(split.select(F.xxhash64("region", "cell").alias("region"), "node", "n", "own", "comp"))
+    stuck = stored(dealt.join(good, "region", "left_anti").select("region", "node", "n", "own", "comp", "g"))
+    discard(measured, dealt)
+    return split, stuck
+
+
+def _blocks(stuck: DataFrame) -> DataFrame:
+    """Regions that pivots can't split, dealt into blocks that meet: (region, part, cross, side, node, n, own).
+
+    All their sets lie within two windows of each other. In a region with up to BLOCK sets outside its largest component, that
+    component's sets are dealt into blocks and the others go to each; else all are dealt into blocks of BLOCK sets and
+    every two blocks meet: g / BLOCK rows for each of g sets. In a part marked `cross` only sets of different sides meet.
     """
-    sizes = state.groupBy("region", "comp").agg(F.count("*").alias("c")).groupBy("region").agg(F.sum("c").alias("g"), F.max(F.struct("c", "comp")).alias("m"))
-    sizes = sizes.where("g > m.c").select("region", "g", F.col("m.c").alias("m"), F.col("m.comp").alias("main"))
-    s = state.join(sizes, "region")
-    few = F.col("g") - F.col("m") <= REGION
-    k = F.when(few, F.ceil(F.col("m") / REGION)).otherwise(F.ceil(F.col("g") / REGION)).cast("int")
-    chunk = F.pmod(F.xxhash64("node", F.lit(9)), k).cast("int")
-    s = s.withColumn("k", k).withColumn("chunk", chunk)
-    major = F.col("comp") == F.col("main")
-    cell = lambda part, cross, side: F.struct(part.alias("part"), cross.alias("cross"), side.alias("side"))
+    sizes = stuck.groupBy("region", "comp").agg(F.count("*").alias("c")).groupBy("region").agg(F.max(F.struct("c", "comp")).alias("m"))
+    s = stuck.join(sizes.select("region", F.col("m.c").alias("m"), F.col("m.comp").alias("main")), "region")
+    few = F.col("g") - F.col("m") <= BLOCK
+    k = F.ceil(F.when(few, F.col("m")).otherwise(F.col("g")) / BLOCK).cast("int")
+    s = s.withColumn("k", k).withColumn("block", F.pmod(F.xxhash64("node", F.lit(9)), k).cast("int"))
+    place = lambda part, cross, side: F.struct(part.alias("part"), cross.alias("cross"), side.alias("side"))
     every = F.sequence(F.lit(0), F.col("k") - 1)
-    one = F.lit(1)
-    dealt = F.when(major, F.array(cell(F.col("chunk"), F.col("chunk") > 0, one))).otherwise(F.transform(every, lambda i: cell(i, i > 0, F.lit(0))))
-    both = F.transform(every, lambda i: cell(F.least(i, F.col("chunk")) * F.col("k") + F.greatest(i, F.col("chunk")), i != F.col("chunk"), (i < F.col("chunk")).cast("int")))
-    return s.select("region", "node", "n", "comp", F.explode(F.when(few, dealt).otherwise(both)).alias("x")).select("region", "node", "n", "comp", "x.part", "x.cross", "x.side")
+    dealt = F.when(F.col("comp") == F.col("main"), F.array(place(F.col("block"), F.col("block") > 0, F.lit(1)))).otherwise(F.transform(every, lambda i: place(i, i > 0, F.lit(0))))
+    both = F.transform(every, lambda i: place(F.least(i, F.col("block")) * F.col("k") + F.greatest(i, F.col("block")), i != F.col("block"), (i < F.col("block")).cast("int")))
+    return s.select("region", "node", "n", "own", F.explode(F.when(few, dealt).otherwise(both)).alias("x")).select("region", "x.part", "x.cross", "x.side", "node", "n", "own")
 
 
-def possible_in_regions(state: DataFrame, info: DataFrame, percent: int, lots: int, partners: int) -> DataFrame:
-    """Pairs (a, b) of a region and of different components that their sketches don't rule out.
+def _meetings(docs: DataFrame, state: DataFrame, info: DataFrame, owners: DataFrame, k: int, percent: int) -> DataFrame:
+    """state (region, node, n, comp) as groups of sets that meet in one task: (region, part, cross, side, node, n, own).
 
-    Sets travel to the cells of their regions; pairs are compared as bit matrices and only what is left is written: of
-    each set and cell the `partners` closest pairs. Where a set has more, a row with a = b says so.
+    Regions of more than REGION sets are split by pivots, again and again. Before that, sets that can't link leave them: two sets
+    differ at least in the shingles that are in no other set, so a set goes if its own ones and the least number of
+    own ones of its region exceed its window.
+    """
+    state = stored(_sized(state).withColumn("own", F.lit(0).cast("long")))
+    whole = lambda df: df.select("region", F.lit(0).alias("part"), F.lit(False).alias("cross"), F.lit(0).alias("side"), "node", "n", "own")
+    out = whole(state.where(F.col("g") <= REGION))
+    big = state.where(F.col("g") > REGION)
+    if big.isEmpty():
+        return out
+    own = _alone(docs, big.select("node").distinct(), owners, k)
+    big = big.drop("own").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    fewest = big.groupBy("region").agg(F.min("own").alias("fewest"))
+    big = stored(_sized(big.join(fewest, "region").where(F.col("own") + F.col("fewest") <= window(F.col("n"), percent)).drop("fewest")))
+    while True:
+        out = out.unionByName(whole(big.where(F.col("g") <= REGION)))
+        big = big.where(F.col("g") > REGION)
+        if big.isEmpty():
+            return out
+        split, stuck = _cells(big, info, percent)
+        out = out.unionByName(_blocks(stuck))
+        big = stored(_sized(split))
+        discard(split)
+
+
+def possible_in_regions(groups: DataFrame, comp: DataFrame | None, info: DataFrame, percent: int, lots: int, partners: int) -> DataFrame:
+    """Pairs (a, b) of a group and of different components that their sketches and own shingles don't rule out.
+
+    Pairs are compared as bit matrices and only what is left is written: of each set and group the `partners` closest
+    pairs. Where a set has more, a row with a = b says so.
     """
 
     def meet(rows: pa.Table) -> pa.Table:
-        region, part, node, n, comp, cross, side = (np.asarray(rows.column(c)) for c in ("region", "part", "node", "n", "comp", "cross", "side"))
-        sketch = rows.column("sketch").to_pylist()
+        region, part, node, n, own, comp, cross, side = (np.asarray(rows.column(c)) for c in ("region", "part", "node", "n", "own", "comp", "cross", "side"))
         order = np.lexsort((node, part, region))
-        region, part, node, n, comp, cross, side = (x[order] for x in (region, part, node, n, comp, cross, side))
-        sketch = [sketch[i] for i in order]
+        sketches = rows.column("sketch").combine_chunks()
+        region, part, node, n, own, comp, cross, side = (x[order] for x in (region, part, node, n, own, comp, cross, side))
         cut = np.flatnonzero(np.r_[True, (region[1:] != region[:-1]) | (part[1:] != part[:-1]), True]).tolist()
         left, right = [], []
         for i, j in zip(cut[:-1], cut[1:]):
-            size = min(map(len, sketch[i:j]))
-            bits = np.stack([_folded(b, size) for b in sketch[i:j]]).view(np.uint64)
+            sketch = [np.frombuffer(sketches[k].as_buffer(), np.uint8) for k in order[i:j].tolist()]
+            size = min(map(len, sketch))
+            bits = np.stack([_folded(b, size) for b in sketch]).view(np.uint64)
             for k in range(i, j, 64):
                 e = min(k + 64, j)
                 d = np.zeros((e - k, j - i), np.int64)
                 for word in range(bits.shape[1]):
                     d += np.bitwise_count(bits[k - i : e - i, word, None] ^ bits[None, :, word])
+                d = np.maximum(d, own[k:e, None] + own[None, i:j])
                 ok = ((100 + percent) * d <= (100 - percent) * (n[k:e, None] + n[None, i:j])) & (comp[k:e, None] != comp[None, i:j])
                 if cross[i]:
                     ok &= side[k:e, None] != side[None, i:j]
@@ -246,34 +355,91 @@ def possible_in_regions(state: DataFrame, info: DataFrame, percent: int, lots: i
         a, b = _distinct(np.minimum(a, b), np.maximum(a, b))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = _cells(state).join(info.select("node", "sketch"), "node").withColumn("lot", F.pmod(F.xxhash64("region", "part"), F.lit(lots)))
+    rows = groups.withColumn("comp", F.col("node")) if comp is None else groups.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    left = rows.groupBy("region", "part").agg((F.min("comp") < F.max("comp")).alias("open")).where("open").select("region", "part")
+    rows = rows.join(left, ["region", "part"]).join(info.select("node", "sketch"), "node").withColumn("lot", F.pmod(F.xxhash64("region", "part"), F.lit(lots)))
     return rows.groupBy("lot").applyInArrow(meet, "a long, b long").distinct()
 
 
-def similar(pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, text_a, text_b) that reach the similarity, as (a, b), by exact set operations."""
+def _links(docs: DataFrame, r: DataFrame, sets: DataFrame, owners: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Verified links (a, b) that connect all that belongs together, or None.
 
-    def of(batches):
-        for batch in batches:
-            for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                sets = []
-                for c in (2, 3):
-                    rows, xs = [], []
-                    for w in W.slices(b.column(c), W.FOLDED):
-                        r, x = W.shingle_sets(w, k)
-                        rows.append(r.astype(np.int64) + w.at), xs.append(x)
-                    sets.append((np.concatenate(rows), np.concatenate(xs)))
-                n = [np.bincount(r, minlength=b.num_rows) for r, _ in sets]
-                row, x = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets])
-                order = np.argsort(x)
-                order = order[np.argsort(row[order].astype(np.uint16), kind="stable")]
-                row, x = row[order], x[order]
-                twice = (row[1:] == row[:-1]) & (x[1:] == x[:-1])
-                both = np.bincount(row[1:][twice], minlength=b.num_rows)
-                ok = pa.array((100 * both >= percent * (n[0] + n[1] - both)) & (both > 0))
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(of, "a long, b long")
+    First one pivot of every region meets the region's other sets, which settles families of near copies; then all that is
+    left meets within its region, or within the cells that pivots split a large one into, sets of one component excepted:
+    the closest partners of each set first, and, where a set has more, again with 16 times as many, until no pair of
+    different components is left out. Sketches rule out nearly all that is too far, and the texts decide exactly.
+    """
+    n_rows = r.count()
+    if not n_rows:
+        return None
+    info = sets.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    info = stored(info.join(r.select("node").distinct(), "node"))
+    state = stored(r.join(info.select("node", "n"), "node").select("region", "node", "n"))
+
+    pivot = state.groupBy("region").agg(F.min(F.struct("node", "n")).alias("p")).select("region", F.col("p.node").alias("p"), F.col("p.n").alias("pn"))
+    fits = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (F.col("node") != F.col("p"))
+    pairs = state.join(pivot, "region").where(fits).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
+    named = lambda x: info.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    pairs = stored(possible(pairs.join(named("b"), "b").join(named("a"), "a"), percent))
+    links = _verified(docs, owners, info, pairs, words, percent)
+    discard(pairs)
+    comp = None if links.isEmpty() else stored(components(links))
+    first = state.withColumn("comp", F.col("node")) if comp is None else state.join(comp, "node", "left").select("region", "node", "n", F.coalesce("component", "node").alias("comp"))
+    groups = _meetings(docs, first, info, owners, words, percent)
+    partners, size = PARTNERS, bucket_count(n_rows, 20_000, 16)
+    while True:
+        found = stored(possible_in_regions(groups, comp, info, percent, size, partners))
+        new = _verified(docs, owners, info, found.where("a <> b"), words, percent)
+        links = links.unionByName(new)
+        if found.where("a = b").isEmpty():  # no pair was left out
+            return None if links.isEmpty() else links
+        discard(found, *([] if comp is None else [comp]))
+        comp = None if links.isEmpty() else stored(components(links))
+        partners *= 16
+
+
+def _verified(docs: DataFrame, owners: DataFrame, info: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of nodes, those whose texts reach the similarity, by exact set operations.
+
+    Pairs are dealt into lots of about LOT shingles, those of one `a` into as many as their sizes ask for; a lot gets each
+    of its texts once.
+    """
+    sized = pairs.join(info.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+    load = sized.groupBy("a").agg((F.floor(F.sum("n_b") / LOT) + 1).alias("parts"))
+    total = sized.agg(F.sum("n_b")).first()[0]
+    if total is None:
+        return pairs.sparkSession.createDataFrame([], "a long, b long")
+    lots = bucket_count(total, LOT, 16)
+    dealt = stored(pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")), F.lit(lots)).cast("int").alias("lot")))
+    needed = dealt.select(F.col("lot").alias("place"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = _own_texts(docs, owners.join(needed.select("node").distinct(), "node").select("node", F.col("doc").alias("doc_id")), k)
+
+    def decide(some: pa.Table, rows: pa.Table) -> pa.Table:
+        sets = {}
+        node = rows.column("node").to_pylist()
+        for w in W.slices(rows.column("text"), W.FOLDED):
+            r, x = W.shingle_sets(w, k)
+            cut = np.searchsorted(r, np.arange(w.rows + 1))
+            for i in range(w.rows):
+                sets[node[w.at + i]] = x[cut[i] : cut[i + 1]]
+        a, b = some.column("a").to_pylist(), some.column("b").to_pylist()
+        ok = [_reach(sets[x], sets[y], percent) for x, y in zip(a, b)]
+        return some.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    out = stored(dealt.groupBy("lot").cogroup(needed.join(texts, "node").groupBy("place")).applyInArrow(decide, "a long, b long"))
+    discard(texts, dealt)
+    return out
+
+
+def _reach(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, buckets: int | None = None) -> DataFrame:
@@ -287,20 +453,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, buckets:
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    buckets = buckets or bucket_count(docs.count(), per_bucket=4000, least=16)
-    sets = materialize(shingle_sets(docs, k))
-    nodes = sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
+    sets = stored(shingle_sets(docs, k))
+    buckets = buckets or bucket_count(sets.count())
+    owners = sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
     r = regions(docs, k, percent, buckets).join(sets.where("node is not null").select("doc_id", "node"), "doc_id")
-    r = materialize(r.select("region", "node").distinct())
-    links = _links(docs, r, sets, nodes, k, percent)
+    r = stored(r.select("region", "node").distinct())
+    several = r.groupBy("region").agg(F.count("*").alias("c")).where("c > 1").select("region")
+    links = _links(docs, r.join(several, "region"), sets, owners, k, percent)
     if links is None:
-        first = nodes.select("node", F.col("doc").alias("component_id"))
+        first = owners.select("node", F.col("doc").alias("component_id"))
     else:
-        comp = materialize(components(links))
-        named = nodes.join(comp, "node").groupBy("component").agg(F.min("doc").alias("least"))
+        comp = stored(components(links))
+        named = owners.join(comp, "node").groupBy("component").agg(F.min("doc").alias("least"))
         comp = comp.join(named, "component").select("node", "least")
-        first = nodes.join(comp, "node", "left").select("node", F.coalesce("least", "doc").alias("component_id"))
-    out = sets.join(first, "node", "left")
+        first = owners.join(comp, "node", "left").select("node", F.coalesce("least", "doc").alias("component_id"))
+    out = sets.drop("sketch").join(first, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
@@ -318,52 +485,8 @@ def _own_texts(docs: DataFrame, owner: DataFrame, k: int) -> DataFrame:
     n = owner.count()
     found = docs.join(F.broadcast(owner) if n <= BROADCAST_ROWS else owner, "doc_id").select("node", "text")
     texts = stored(found.mapInArrow(of, "node long, text string"))
-    return stored(texts.dropDuplicates(["node"])) if texts.count() > n else texts  # rows repeat
-
-
-def _links(docs: DataFrame, r: DataFrame, sets: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Verified links (a, b) that connect all that belongs together, or None.
-
-    First the pivot of every region meets the region's other sets, which settles families of near copies; then all that is
-    left meets within its regions, sets of one component excepted: the closest partners of each set first, and, where
-    a set has more, again with 16 times as many, until no pair of different components is left out. Pairs are compared by their sketches, a lower bound of
-    the distance that rules out nearly all that is too far, and those that pass exactly by their texts.
-    """
-    wanted = r.groupBy("region").agg(F.count("*").alias("c")).where("c > 1").select("region")
-    r = materialize(r.join(wanted, "region"))
-    n_rows = r.count()
-    if not n_rows:
-        return None
-    known = r.select("node").distinct()
-    info = sets.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    info = materialize(info.join(known, "node"))
-    state = r.join(info.select("node", "n"), "node").select("region", "node", "n")
-
-    pivot = state.groupBy("region").agg(F.min(F.struct("node", "n")).alias("p")).select("region", F.col("p.node").alias("p"), F.col("p.n").alias("pn"))
-    fits = (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent) & (F.col("node") != F.col("p"))
-    pairs = state.join(pivot, "region").where(fits).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
-    named = lambda x: info.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    pairs = materialize(possible(pairs.join(named("b"), "b").join(named("a"), "a"), percent))
-    links = _verified(docs, nodes, pairs, words, percent)
-    comp = state.withColumn("comp", F.col("node"))
-    if not links.isEmpty():
-        comp = state.join(components(links), "node", "left").select("region", "node", "n", F.coalesce("component", "node").alias("comp"))
-    partners = PARTNERS
-    while True:
-        found = materialize(possible_in_regions(materialize(comp), info, percent, bucket_count(n_rows, 20_000, 16), partners))
-        new = _verified(docs, nodes, found.where("a <> b"), words, percent)
-        links = links.unionByName(new)
-        if found.where("a = b").isEmpty():  # no pair was left out
-            return None if links.isEmpty() else links
-        comp = state.join(components(links), "node", "left").select("region", "node", "n", F.coalesce("component", "node").alias("comp"))
-        partners *= 16
-
-
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of nodes, those whose texts reach the similarity."""
-    if pairs.isEmpty():
-        return pairs
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = _own_texts(docs, nodes.join(needed, "node").select("node", F.col("doc").alias("doc_id")), k)
-    text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    return materialize(similar(pairs.join(text("b"), "b").join(text("a"), "a"), k, percent))
+    if texts.count() == n:
+        return texts
+    once = stored(texts.dropDuplicates(["node"]))  # rows repeat
+    discard(texts)
+    return once

@@ -121,7 +121,16 @@ def stored(df: DataFrame) -> DataFrame:
     ready(spark)
     path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote, once nothing reads them any more."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df._stored
+        jvm.org.apache.hadoop.fs.Path(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def ready(spark: SparkSession) -> None:
