@@ -74,7 +74,8 @@ def format_messages(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     is linked and checked, the others get the error `repeated id`. valid: a call's tool is known, no required argument
     is missing, none is unknown, and each has its type; error names the first violation in the order of argument names.
     A result without a call is an `orphan`. json has its keys in order and no spaces; arguments are sorted by name,
-    numbers and booleans that the schema declares stand bare. Nulls: a null conv_id groups with nothing (its rows are
+    numbers and booleans that the schema declares stand bare. Several schema rows of one argument are one: the first
+    type by name, required if one says so; a null type fits nothing. Nulls: a null conv_id groups with nothing (its rows are
     plain or orphans), null text is "", a null id makes a call with the error `no id`. Empty tables give empty ones;
     extra columns are ignored; rows that repeat are answered each.
     """
@@ -96,7 +97,8 @@ def format_messages(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     levels = _levels(nodes, pairs.unionByName(named))
 
     # the schema of a tool as a map of its arguments, small per tool
-    tools = schemas.where("name is not null and argument is not null").groupBy("name").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("argument", F.struct("type", "required").alias("rule"))))).alias("rules"))
+    rules = schemas.where("name is not null and argument is not null").groupBy("name", "argument").agg(F.min("type").alias("type"), F.coalesce(F.bool_or("required"), F.lit(False)).alias("required"))
+    tools = rules.groupBy("name").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("argument", F.struct("type", "required").alias("rule"))))).alias("rules"))
     m = m.withColumn("name", F.col("call.name")).withColumn("call_id", F.when(F.col("kind") == "call", F.col("id")).when(F.col("kind") == "result", F.col("result_of")))
     out = m.join(links, ["conv_id", "call_id"], "left").join(levels, ["conv_id", "id"], "left").join(tools, "name", "left")
 
@@ -136,12 +138,19 @@ def format_messages(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 def as_calls(conversations: DataFrame) -> DataFrame:
     """Plain conversations (conv_id, turn, role, text) as messages of MESSAGE's form.
 
-    A user turn becomes a call of the tool `answer` with the turn, the number of words and the text, an assistant turn
-    the result of the call of the turn before it, a system turn stays plain.
+    A user turn becomes a call, an assistant turn the result of the call of the turn before it, a system turn stays plain.
+    Each call comes after the result of the call two turns before, so conversations are chains of as many levels as turns.
+    Arguments are the text, the turn and the number of words; by that number modulo 5 the turn is no integer (0), the
+    words are missing (1), there is an argument too many (2), or the tool is unknown (3).
     """
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    arguments = F.create_map(F.lit("turn"), F.col("turn").cast("string"), F.lit("words"), words.cast("string"), F.lit("query"), F.coalesce("text", F.lit("")))
-    call = F.when(user, F.struct(F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), F.lit("answer").alias("name"), arguments.alias("arguments")))
+    turn, kind, query = F.col("turn").cast("string"), words % 5, F.coalesce("text", F.lit(""))
+    given = lambda *names: F.map_from_arrays(F.array(*(F.lit(n) for n, _ in names)), F.array(*(v for _, v in names)))
+    q, t, w, e = ("query", query), ("turn", turn), ("words", words.cast("string")), ("extra", F.lit("1"))
+    arguments = F.when(kind == 0, given(q, ("turn", F.concat(F.lit("x"), turn)), w)).when(kind == 1, given(q, t)).when(kind == 2, given(q, t, w, e)).otherwise(given(q, t, w))
+    name = F.when(kind == 3, F.lit("unheard")).otherwise(F.lit("answer"))
+    call = F.when(user, F.struct(F.concat(F.lit("t"), turn).alias("id"), name.alias("name"), arguments.alias("arguments")))
     result = F.when(assistant, F.concat(F.lit("t"), (F.col("turn") - 1).cast("string")))
-    return conversations.select("conv_id", "turn", "role", "text", call.alias("call"), result.alias("result_of"), F.array().cast("array<string>").alias("after"))
+    after = F.when(user, F.array(F.concat(F.lit("result:t"), (F.col("turn") - 2).cast("string"))))
+    return conversations.select("conv_id", "turn", "role", "text", call.alias("call"), result.alias("result_of"), after.alias("after"))

@@ -361,8 +361,8 @@ def possible_in_regions(groups: DataFrame, comp: DataFrame | None, info: DataFra
     return rows.groupBy("lot").applyInArrow(meet, "a long, b long").distinct()
 
 
-def _links(docs: DataFrame, r: DataFrame, sets: DataFrame, owners: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Verified links (a, b) that connect all that belongs together, or None.
+def _linked(docs: DataFrame, r: DataFrame, sets: DataFrame, owners: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """(node, component) of all nodes that have links, or None.
 
     First one pivot of every region meets the region's other sets, which settles families of near copies; then all that is
     left meets within its region, or within the cells that pivots split a large one into, sets of one component excepted:
@@ -391,10 +391,12 @@ def _links(docs: DataFrame, r: DataFrame, sets: DataFrame, owners: DataFrame, wo
         found = stored(possible_in_regions(groups, comp, info, percent, size, partners))
         new = _verified(docs, owners, info, found.where("a <> b"), words, percent)
         links = links.unionByName(new)
-        if found.where("a = b").isEmpty():  # no pair was left out
-            return None if links.isEmpty() else links
-        discard(found, *([] if comp is None else [comp]))
-        comp = None if links.isEmpty() else stored(components(links))
+        whole = found.where("a = b").isEmpty()  # no pair was left out
+        discard(found)
+        if not new.isEmpty():
+            comp = stored(components(links))
+        if whole:
+            return comp
         partners *= 16
 
 
@@ -459,11 +461,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, buckets:
     r = regions(docs, k, percent, buckets).join(sets.where("node is not null").select("doc_id", "node"), "doc_id")
     r = stored(r.select("region", "node").distinct())
     several = r.groupBy("region").agg(F.count("*").alias("c")).where("c > 1").select("region")
-    links = _links(docs, r.join(several, "region"), sets, owners, k, percent)
-    if links is None:
+    comp = _linked(docs, r.join(several, "region"), sets, owners, k, percent)
+    if comp is None:
         first = owners.select("node", F.col("doc").alias("component_id"))
     else:
-        comp = stored(components(links))
         named = owners.join(comp, "node").groupBy("component").agg(F.min("doc").alias("least"))
         comp = comp.join(named, "component").select("node", "least")
         first = owners.join(comp, "node", "left").select("node", F.coalesce("least", "doc").alias("component_id"))
@@ -482,6 +483,7 @@ def _own_texts(docs: DataFrame, owner: DataFrame, k: int) -> DataFrame:
                 keep[w.at : w.at + w.rows] = set_ids(r, x, w.rows)[0] == np.asarray(b.column(0))[w.at : w.at + w.rows]
             yield b.filter(pa.array(keep))
 
+    owner = stored(owner)
     n = owner.count()
     found = docs.join(F.broadcast(owner) if n <= BROADCAST_ROWS else owner, "doc_id").select("node", "text")
     texts = stored(found.mapInArrow(of, "node long, text string"))

@@ -18,12 +18,14 @@ def targets(sources: DataFrame, weights: list[float], share: float, most: float)
     """(source, source_size, target) for sources (source, source_size): a share of all sizes dealt by weight.
 
     Sources are ranked by code point, null last, and weigh weights[rank modulo their number]. A target stops at
-    `most` times its source's size; the excess is dealt to the others by weight, again and again. The ranks come from a
-    range-partitioned sort, the loop looks at sums only.
+    `most` times its source's size; the excess is dealt to the others by weight, again and again. Ranks come from ranges of
+    sources, counted, and numbered within; the loop looks at sums only.
     """
-    spark = sources.sparkSession
-    ranked = sources.orderBy(F.col("source").asc_nulls_last()).rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    table = spark.createDataFrame(ranked, "source string, source_size long, rank long")
+    first = F.col("source").asc_nulls_last()
+    dealt = materialize(sources.repartitionByRange(first).select("source", "source_size", F.spark_partition_id().alias("part")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    offset = dealt.groupBy("part").agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    table = dealt.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(first))).join(offset, "part").withColumn("rank", F.col("offset") + F.col("n") - 1)
     w = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int"))
     table = materialize(table.select("source", "source_size", w.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")))
     total = table.agg(F.sum("source_size")).first()[0] or 0
@@ -44,27 +46,31 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     text; within its source the documents lie in the order of their keys. A source takes whole epochs of its documents
     and then, in that order, up to its exact budget: `taken` counts the words of the document that the mix takes,
     repeats included, and the document at the cut gives a part. Sources without words and documents without words take
-    none. Null is a source of its own. Rows that repeat count each; equal rows are interchangeable. Reruns agree.
+    none. Null is a source of its own. Rows that repeat count each; equal rows are interchangeable. Reruns agree. Columns of
+    docs keep their values whatever their names, but those named like the results are replaced.
 
     Keys are uniform, so their leading bits range-partition a source evenly whatever its size: sums per (source, range)
-    give each range its offset, and a window within the range does the rest. Columns of docs named like the results are
-    replaced.
+    give each range its offset, and a window within the range does the rest.
     """
-    docs = docs.drop("size", "source_size", "target", "taken", "_key", "_range", "_before")
-    sized = docs.withColumn("size", word_count("text")).withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    slim = materialize(sized.select("source", "size", "_key"))
-    n = slim.count()
-    bits = max(0, (n // per_bucket).bit_length())
-    span = F.shiftrightunsigned("_key", 64 - bits) if bits else F.lit(0).cast("long")
-    sums = slim.groupBy("source", span.alias("_range")).agg(F.sum("size").alias("part"))
-    by_range = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sums.select("source", "_range", F.coalesce(F.sum("part").over(by_range), F.lit(0)).alias("_offset"))
-    goal = targets(sums.groupBy("source").agg(F.sum("part").alias("source_size")), list(weights), share, most)
-    parts = parts.alias("p").join(goal.alias("g"), F.expr("p.source <=> g.source")).select(F.col("p.source").alias("_s"), F.col("_range").alias("_r"), "_offset", "source_size", "target")
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_range", span).withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(parts, F.expr("source <=> _s and _range = _r"))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    left = F.round("target").cast("long") - epochs * F.col("source_size") - F.col("_offset") - F.col("_before")
+    docs = docs.drop("size", "source_size", "target", "taken")
+    own = "_"  # starts the names of columns used on the way, and no name of docs
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    key, part, before, offset, sum_, named, numbered, goal_size, goal = (own + c for c in ("key", "part", "before", "offset", "sum", "named", "numbered", "size", "goal"))
+    sized = docs.withColumn("size", word_count("text")).withColumn(key, F.xxhash64(F.lit(seed), "doc_id", "text"))
+    slim = materialize(sized.select("source", "size", key))
+    bits = max(0, (slim.count() // per_bucket).bit_length())
+    span = F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
+    sums = slim.groupBy("source", span.alias(part)).agg(F.sum("size").alias(sum_))
+    by_range = Window.partitionBy("source").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.select(F.col("source").alias(named), F.col(part).alias(numbered), F.coalesce(F.sum(sum_).over(by_range), F.lit(0)).alias(offset))
+    goals = targets(sums.groupBy("source").agg(F.sum(sum_).alias("source_size")), list(weights), share, most)
+    goals = goals.select(F.col("source").alias(own + "source"), F.col("source_size").alias(goal_size), F.col("target").alias(goal))
+    parts = parts.join(goals, F.col(named).eqNullSafe(F.col(own + "source"))).drop(own + "source")
+    inside = Window.partitionBy("source", part).orderBy(key, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn(part, span).withColumn(before, F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = placed.join(parts, F.col("source").eqNullSafe(F.col(named)) & (F.col(part) == F.col(numbered)))
+    epochs = F.when(F.col(goal_size) > 0, F.floor(F.col(goal) / F.col(goal_size))).otherwise(F.lit(0)).cast("long")
+    left = F.round(goal).cast("long") - epochs * F.col(goal_size) - F.col(offset) - F.col(before)
     taken = F.col("size") * epochs + F.greatest(F.lit(0).cast("long"), F.least("size", left))
-    return placed.withColumn("taken", taken).drop("_key", "_range", "_before", "_offset", "_s", "_r")
+    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), "size", F.col(goal_size).alias("source_size"), F.col(goal).alias("target"), taken.alias("taken"))

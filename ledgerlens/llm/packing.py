@@ -7,6 +7,7 @@ transposed, which shuffle compression then shrinks to one or two bytes an entry.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -37,12 +38,22 @@ def unsqueeze(b: bytes) -> np.ndarray:
 
 def owner_bucket(owner: np.ndarray, n: int) -> np.ndarray:
     """The bucket of an owner; `bucket_of` is the same as a column."""
-    return ((owner.astype(np.int64) ^ (owner.astype(np.int64) >> 17)) % n).astype(np.int32)
+    return (xxhash64(owner) % n).astype(np.int32)
 
 
 def bucket_of(owner, n: int):
-    x = owner.bitwiseXOR(F.shiftright(owner, 17))
-    return F.pmod(x, F.lit(n)).cast("int")
+    return F.pmod(F.xxhash64(owner), F.lit(n)).cast("int")
+
+
+def xxhash64(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs. The five constants and the seed 42 are fixed values of that hash."""
+    p1, p2, p3, p4, p5 = U(0x9E3779B185EBCA87), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x85EBCA77C2B2AE63), U(0x27D4EB2F165667C5)
+    turned = lambda v, k: (v << U(k)) | (v >> U(64 - k))
+    h = (U(42) + p5 + U(8)) ^ (turned(np.asarray(x, np.int64).view(U) * p2, 31) * p1)
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ (h >> U(33))) * p2
+    h = (h ^ (h >> U(29))) * p3
+    return (h ^ (h >> U(32))).view(np.int64)
 
 
 def key_bucket(key: np.ndarray, n: int) -> np.ndarray:
@@ -134,12 +145,12 @@ def discard(*tables: DataFrame) -> None:
 
 
 def ready(spark: SparkSession) -> None:
-    """The cluster names its shared folder; only where none is set, as in tests, a local one is used."""
+    """The cluster names its shared folder in spark.checkpoint.dir. A local session without one gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None:
-            import tempfile
-
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(named)

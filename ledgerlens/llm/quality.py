@@ -3,14 +3,14 @@
 Features are indicators of word unigrams and bigrams and of byte trigrams, hashed into 2^18. Each indicator is scaled by
 its log-count ratio between the classes, rows get unit length, and a hinge-loss model is fitted by dual coordinate
 descent. A logistic curve, fitted on training rows the machine has not seen, turns margins into scores. The model is
-trained on a bounded sample of labelled rows; scoring goes over every document in place, without a shuffle.
+trained on a sample of labelled rows, bounded in rows and in features; scoring goes over every document in place, without a shuffle.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as W
@@ -18,6 +18,7 @@ from .packing import small_batches
 
 BITS = 18
 MAX_TRAIN_ROWS = 8000  # labelled rows that a model is fitted on
+MAX_TRAIN_FEATURES = 40_000_000  # and features that they have together: 160 MB
 
 
 def features(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -51,16 +52,14 @@ def hinge(indptr, feature, y, ratio, c: float = 1.0, epochs: int = 12, seed: int
     rng = np.random.default_rng(seed)
     n = len(y)
     w, bias = np.zeros(1 << BITS), 0.0
-    rows = [feature[a:z] for a, z in zip(indptr[:-1], indptr[1:])]
-    values = []
-    for f in rows:
-        x = ratio[f]
-        values.append(x / max(np.linalg.norm(x), 1e-12))
+    ends = indptr.tolist()
+    length = np.array([max(np.linalg.norm(ratio[feature[a:z]]), 1e-12) for a, z in zip(ends[:-1], ends[1:])])
     alpha = np.zeros(n)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(n):
-            f, x = rows[i], values[i]
+            f = feature[ends[i] : ends[i + 1]]
+            x = ratio[f] / length[i]
             g = y[i] * (w[f] @ x + bias) - 1
             old = alpha[i]
             alpha[i] = min(max(old - g / 2, 0.0), c)  # |x|^2 and the bias make 2
@@ -90,32 +89,30 @@ def logistic(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float
     return float(theta[0]), float(theta[1])
 
 
-def fit(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, float, float, float]:
+def fit(label: np.ndarray, features: list[np.ndarray]) -> tuple[np.ndarray, float, float, float]:
     """(weights, bias, a, b) of labelled rows (label 0 or 1, features). One class only: a constant score."""
-    label = np.array([r[0] for r in rows])
-    if not len(rows) or label.min() == label.max():
-        share = (label.sum() + 0.5) / (len(rows) + 1)
+    if not len(label) or label.min() == label.max():
+        share = (label.sum() + 0.5) / (len(label) + 1)
         return np.zeros(1 << BITS), 0.0, 0.0, float(np.log(share / (1 - share)))
 
     def train(some):
-        f = [rows[i][1] for i in some]
-        indptr = np.cumsum([0, *map(len, f)])
-        flat = np.concatenate(f).astype(np.int64)
+        indptr = np.cumsum([0, *(len(features[i]) for i in some)])
+        flat = np.concatenate([features[i] for i in some])
         ratio = log_count_ratio(flat, np.repeat(label[some] > 0, np.diff(indptr)))
         w, bias = hinge(indptr, flat, np.where(label[some] > 0, 1.0, -1.0), ratio)
         return ratio, w, bias
 
     def margin(model, i):
-        x = model[0][rows[i][1]]
-        return model[1][rows[i][1]] @ x / max(np.linalg.norm(x), 1e-12) + model[2]
+        x = model[0][features[i]]
+        return model[1][features[i]] @ x / max(np.linalg.norm(x), 1e-12) + model[2]
 
-    fold = np.arange(len(rows)) % 4 == 0  # calibration rows, unseen by the machine whose margins they give
+    fold = np.arange(len(label)) % 4 == 0  # calibration rows, unseen by the machine whose margins they give
     part = train(np.flatnonzero(~fold)) if 0 < label[~fold].sum() < (~fold).sum() else None
     if part is None:
         a, b = 1.0, 0.0
     else:
         a, b = logistic(np.array([margin(part, i) for i in np.flatnonzero(fold)]), label[fold])
-    ratio, w, bias = train(np.arange(len(rows)))
+    ratio, w, bias = train(np.arange(len(label)))
     return np.stack([ratio, w]), bias, a, b
 
 
@@ -123,7 +120,9 @@ def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     """(doc_id, held_out, score, predicted) and the columns `keep` of every row of docs (doc_id, text).
 
     labels (doc_id, quality 0 or 1) are learned only from rows whose crc32(doc_id as text) modulo 5 is not 0 (held_out
-    is the others); of these, the max_train_rows with the smallest hash of doc_id are used. Null texts and texts without
+    is the others); of these, the max_train_rows with the smallest hash of doc_id are used, and fewer where they would have more
+    than MAX_TRAIN_FEATURES features together. Labels that repeat, and rows that share a doc_id, count as often as they
+    stand, within these bounds. Null texts and texts without
     words have no features: their score follows from the bias alone. Labels that are null or neither 0 nor 1 are ignored,
     as are those without a document; a null doc_id is not held out and not trained on. Without labels of both classes
     the score is the share of label 1. Rows that repeat are scored each.
@@ -140,18 +139,22 @@ def score(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
                 row, f = features(w)
                 cut = np.searchsorted(row, np.arange(w.rows + 1))
                 f = f.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.at, w.rows), pa.array([f[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary()), b.column(2).slice(w.at, w.rows)], names=["label", "features", "h"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(w.at, w.rows), pa.array([f[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary()), b.column(2).slice(w.at, w.rows), pa.array(np.diff(cut))], names=["label", "features", "h", "n"])
 
     # at most max_train_rows labels are broadcast, and as many rows fitted in one task
     train = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select(F.col("quality").cast("int").alias("label"), "text", F.xxhash64("doc_id").alias("h"))
 
     def fit_all(rows: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(rows.column("h")), kind="stable")
-        label, f = rows.column("label").to_pylist(), [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("features")]
-        w, bias, a, b = fit([(label[i], f[i]) for i in order])
+        order = np.lexsort((np.asarray(rows.column("tie")), np.asarray(rows.column("label")), np.asarray(rows.column("h"))))
+        label, column = np.asarray(rows.column("label"))[order], rows.column("features").combine_chunks()
+        w, bias, a, b = fit(label, [np.frombuffer(column[i].as_buffer(), np.int32) for i in order.tolist()])
         return pa.table({"w": pa.array([np.asarray(w, np.float32).tobytes()], pa.binary()), "bias": [bias], "a": [a], "b": [b]})
 
-    found = train.mapInArrow(extract, "label int, features binary, h long").groupBy().applyInArrow(fit_all, "w binary, bias double, a double, b double").collect()
+    rows = train.mapInArrow(extract, "label int, features binary, h long, n long").withColumn("tie", F.xxhash64("features"))
+    first = Window.orderBy("h", "label", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("rows", F.count("*").over(first)).withColumn("total", F.sum("n").over(first))
+    rows = rows.where((F.col("rows") <= max_train_rows) & (F.col("total") <= MAX_TRAIN_FEATURES)).select("label", "features", "h", "tie")
+    found = rows.groupBy().applyInArrow(fit_all, "w binary, bias double, a double, b double").collect()
     if found:
         r = found[0]
         w = np.frombuffer(r["w"], np.float32).astype(float).reshape(-1, 1 << BITS)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, embeddings, jaccard, mixing, quality, rlz, sharding, tokencount, urls
+from .packing import discard, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +44,13 @@ def op5_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_edit_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Trees of all documents are built and stored, edited and stored again, and edited once more from the stored table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokencount.edited_counts(docs.withColumn("edits", tokencount.sample_edits(F.col("text"), F.col("doc_id"))), vocabulary)
+    edits = tokencount.sample_edits(docs)
+    built = stored(tokencount.build_trees(docs, vocabulary))
+    once = stored(tokencount.edit_trees(built, edits.where("seq < 3"), vocabulary))
+    discard(built)
+    return tokencount.tree_counts(tokencount.edit_trees(once, edits.where("seq = 3"), vocabulary))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,19 +117,30 @@ reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN li
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(c.c, w.doc_id)) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) c USING (doc_id)"""
 
-_OP1 = r"""WITH q AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM conversations),
-c AS (SELECT conv_id, turn FROM q WHERE role = 'user'),
-r AS (SELECT conv_id, turn - 1 AS turn FROM q WHERE role = 'assistant'),
-x AS (SELECT q.*, c.turn IS NOT NULL AS has_call, r.turn IS NOT NULL AS has_result,
+_OP1 = r"""WITH RECURSIVE q AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM conversations),
+u AS (SELECT conv_id, turn FROM q WHERE role = 'user'),
+a AS (SELECT conv_id, turn FROM q WHERE role = 'assistant'),
+-- a call waits for the result of the call two turns before, which is the assistant's turn just before it
+lv(conv_id, turn, level) AS (
+  SELECT u.conv_id, u.turn, CASE WHEN a.turn IS NULL THEN 0 ELSE 1 END
+  FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn - 1 LEFT JOIN u p ON p.conv_id = u.conv_id AND p.turn = u.turn - 2 WHERE a.turn IS NULL OR p.turn IS NULL
+  UNION ALL SELECT u.conv_id, u.turn, level + 2 FROM lv JOIN u ON u.conv_id = lv.conv_id AND u.turn = lv.turn + 2 JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn - 1),
+x AS (SELECT q.*, c.level AS at, r.turn IS NOT NULL AS has_result, n % 5 AS m, '"query":' || to_json(coalesce(text, ''))::VARCHAR AS query,
         CASE WHEN role = 'user' THEN q.turn WHEN role = 'assistant' THEN q.turn - 1 END AS t
-      FROM q LEFT JOIN c ON c.conv_id = q.conv_id AND c.turn = CASE WHEN role = 'user' THEN q.turn WHEN role = 'assistant' THEN q.turn - 1 END
-             LEFT JOIN r ON r.conv_id = q.conv_id AND r.turn = q.turn AND role = 'user')
-SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND has_call THEN 1 ELSE 0 END::INT AS level, 't' || t AS call_id,
-       CASE WHEN role = 'user' THEN has_result WHEN role = 'assistant' THEN has_call END AS linked,
-       CASE WHEN role = 'user' THEN true END AS valid,
-       CASE WHEN role = 'assistant' AND NOT has_call THEN 'orphan' END AS error,
-       '{' || CASE WHEN role = 'user' THEN '"call":{"arguments":{"query":' || to_json(coalesce(text, ''))::VARCHAR || ',"turn":' || turn || ',"words":' || n
-         || '},"id":"t' || t || '","name":"answer"},' ELSE '' END || '"content":' || to_json(coalesce(text, ''))::VARCHAR
+      FROM q LEFT JOIN lv c ON c.conv_id = q.conv_id AND c.turn = CASE WHEN role = 'user' THEN q.turn WHEN role = 'assistant' THEN q.turn - 1 END
+             LEFT JOIN a r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1 AND role = 'user')
+SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN at WHEN role = 'assistant' AND at IS NOT NULL THEN at + 1 ELSE 0 END::INT AS level, 't' || t AS call_id,
+       CASE WHEN role = 'user' THEN has_result WHEN role = 'assistant' THEN at IS NOT NULL END AS linked,
+       CASE WHEN role = 'user' THEN m = 4 END AS valid,
+       CASE WHEN role = 'user' THEN CASE m WHEN 0 THEN 'wrong type of turn' WHEN 1 THEN 'missing argument words' WHEN 2 THEN 'unknown argument extra' WHEN 3 THEN 'unknown tool' END
+            WHEN role = 'assistant' AND at IS NULL THEN 'orphan' END AS error,
+       '{' || CASE WHEN role = 'user' THEN '"call":{"arguments":{' || CASE m
+           WHEN 0 THEN query || ',"turn":"x' || turn || '","words":' || n
+           WHEN 1 THEN query || ',"turn":' || turn
+           WHEN 2 THEN '"extra":"1",' || query || ',"turn":' || turn || ',"words":' || n
+           WHEN 3 THEN query || ',"turn":"' || turn || '","words":"' || n || '"'
+           ELSE query || ',"turn":' || turn || ',"words":' || n END
+         || '},"id":"t' || t || '","name":"' || CASE m WHEN 3 THEN 'unheard' ELSE 'answer' END || '"},' ELSE '' END || '"content":' || to_json(coalesce(text, ''))::VARCHAR
          || CASE WHEN role = 'assistant' THEN ',"result_of":"t' || t || '"' ELSE '' END || ',"role":' || to_json(role)::VARCHAR || '}' AS json
 FROM x"""
 

@@ -1,9 +1,10 @@
 """Substring dedup by relative Lempel-Ziv parsing against the corpus's own earlier documents.
 
 The reference is every document with a smaller doc_id, indexed in blocks: hash buckets that each hold part of the
-windows of all documents. Parsing a document looks its windows up in every block, chains hits that continue each other
-in one reference document into factors, and keeps factors of at least `k` words. A lookup exists for every window that
-can match, so windows that lie across the boundary of two factors are checked as well and nothing is missed.
+windows of all documents. Parsing a document looks its windows up in every block and goes through it once: a factor starts
+at the first window that stands in a reference and takes in words as long as they go on there; factors have at least `k`
+words. What they cover is what is removed. A factor may not go on although the next window stands in another reference: so
+every window across the boundary of two factors was looked up too, and the next factor starts within the one before.
 
 Indexing all windows would shuffle more than the corpus, so a first exchange finds anchors: of every k consecutive
 words the run of ANCHOR words with the least hash. Equal windows have equal anchors, so only windows around an anchor
@@ -25,6 +26,7 @@ from . import wordhash as W
 from .packing import ARROW, INDEX, NOTE, PACKED, REPLY, bucket_count, bucket_of, key_bucket, owner_bucket, pass_on, read, rows_of, small_batches
 
 ANCHOR = 5
+SALTS = 16
 
 
 def _anchors(w: W.Words, k: int) -> np.ndarray:
@@ -133,7 +135,9 @@ def repeated_spans(docs: DataFrame, k: int = 13, buckets: int | None = None) ->
     # exact copies are known from whole-text digests; they take no part in the exchanges beyond the first
     digests = known.where("text is not null").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
     first = digests.groupBy("a", "b").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last")).where("ref <> last")
-    copies = digests.join(first, ["a", "b"]).where("doc_id <> ref").select("doc_id", "ref").withColumn("bucket", bucket_of(F.col("doc_id"), n))
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a text may have very many copies
+    digests = digests.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = digests.join(first, ["a", "b", "salt"]).where("doc_id <> ref").select("doc_id", "ref").withColumn("bucket", bucket_of(F.col("doc_id"), n))
 
     def note(batches):
         for b in batches:
@@ -203,28 +207,32 @@ def _parsed(rows: pa.Table, k: int, doc, pos, ref, at, copy, of) -> pa.Table:
         if len(word):  # the same window may be answered twice; its smallest reference counts
             one = np.r_[True, word[1:] != word[:-1]]
             word, entry = word[one], entry[one]
-        gone = W.covered(len(w.hash), word, k)
         mine = ids[w.at : w.at + w.rows]
         spot = np.minimum(np.searchsorted(copy, mine), max(len(copy) - 1, 0))
         is_copy = (copy[spot] == mine) & (w.counts >= k) if len(copy) else np.zeros(w.rows, bool)
-        gone |= is_copy[w.row]
-        n, removed = w.counts, np.bincount(w.row[gone], minlength=w.rows)
-        factors: list = [[] for _ in range(w.rows)]
-        if len(word):
-            r, p, d, a = w.row[word], word - w.first[w.row[word]], ref[entry], at[entry]
-            cut = np.r_[True, (word[1:] != word[:-1] + 1) | (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1) | (r[1:] != r[:-1])]
-            s = np.flatnonzero(cut)
-            length = np.diff(np.r_[s, len(word)]) + k - 1
-            for row, start, size, rd, ra in zip(r[s].tolist(), p[s].tolist(), length.tolist(), d[s].tolist(), a[s].tolist()):
-                factors[row].append({"start": start, "length": size, "ref_doc": rd, "ref_start": ra})
-        for row in np.flatnonzero(is_copy).tolist():
-            factors[row] = [{"start": 0, "length": int(n[row]), "ref_doc": int(of[spot[row]]), "ref_start": 0}]
+        n, factors = w.counts, [[] for _ in range(w.rows)]
+        row, start, length, rd, ra = _factors(w, k, word, ref[entry], at[entry])
+        for i, *factor in zip(row.tolist(), start.tolist(), length.tolist(), rd.tolist(), ra.tolist()):
+            factors[i].append(dict(zip(("start", "length", "ref_doc", "ref_start"), factor)))
+        for i in np.flatnonzero(is_copy).tolist():
+            factors[i] = [{"start": 0, "length": int(n[i]), "ref_doc": int(of[spot[i]]), "ref_start": 0}]
+        gone = W.covered(len(w.hash), w.first[row] + start, length) | is_copy[w.row]
+        removed = np.bincount(w.row[gone], minlength=w.rows)
         out["n_words"].append(n), out["n_removed"].append(removed), out["spans"].extend(factors)
         out["kept_sha256"].extend(hashlib.sha256(t).hexdigest() for t in kept_texts(w, ~gone))
     whole = lambda c: np.concatenate(out[c]) if out[c] else np.zeros(0, np.int64)
     return pa.table({"doc_id": column, "n_words": pa.array(whole("n_words"), pa.int64()), "n_removed": pa.array(whole("n_removed"), pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "spans": pa.array(out["spans"], _SPANS)})
 
 
+def _factors(w: W.Words, k: int, word: np.ndarray, ref: np.ndarray, at: np.ndarray):
+    """(row, start, length, ref, ref start) of the factors that windows at `word` make, each as long as it goes on."""
+    row = w.row[word]
+    start = word - w.first[row]
+    on = (word[1:] == word[:-1] + 1) & (ref[1:] == ref[:-1]) & (at[1:] == at[:-1] + 1) & (row[1:] == row[:-1])
+    s = np.flatnonzero(np.r_[True, ~on]) if len(word) else np.zeros(0, np.int64)
+    return row[s], start[s], np.diff(np.r_[s, len(word)]) + k - 1, ref[s], at[s]
+
+
 def kept_texts(w: W.Words, keep: np.ndarray) -> list[memoryview]:
     """The kept words of each text, joined by one space, as bytes."""
     i = np.flatnonzero(keep)

@@ -1,10 +1,13 @@
 """Edit-aware token counts: per document a segment tree over its pre-tokens; edits re-encode only what they touch.
 
 A tokenizer of byte pairs first cuts a text into pre-tokens by a regular expression and then encodes each for itself,
-so a document's count is the sum over its pre-tokens. The tree's leaves are blocks of pre-tokens, cut where a word
-surely starts; inner nodes hold sums of characters and tokens. A block is taken apart into pre-tokens when an edit first touches it.
-An edit finds its block by position, cuts again from a few characters before the edit (matching looks no further ahead
-than that) until it meets an old boundary behind the edit, and updates the sums on the way to the root.
+so a document's count is the sum over its pre-tokens. The tree's leaves are runs of whole pre-tokens, cut where a word
+surely starts, and its inner nodes hold sums of characters and tokens. A leaf is taken apart into single pre-tokens when an edit
+first touches it. An edit finds its leaf by position, cuts again from a few characters before the edit (matching looks no
+further ahead than that) until it meets an old boundary behind the edit, and updates the sums on the way to the root.
+
+Trees are kept as a table, a row for each document (TREE). `build_trees` makes it, `edit_trees` joins it with a table of edits
+and returns it changed; only edited leaves are encoded, everything else is taken over as it was stored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,10 @@ SURE = re.compile(r"(?<=\S) (?=[^\W\d_])")  # a pre-token starts at such a space
 CONTEXT = 4  # characters behind a pre-token that its match may have looked at: `'ve`, `\s+(?!\S)`
 #: Fixed value: the pattern by which the byte-level vocabularies cut texts into pre-tokens.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-RESULT = "doc_id long, n_tokens long, n_edits int, n_tokens_edited long, n_reencoded long"
+#: chars and tokens are the tree's sums in heap order (the root at 1, the leaves in the last half), cuts the lengths of the pre-tokens of
+#: leaves that were taken apart; n_tokens counts the text as it was built, n_edits and n_reencoded what happened since.
+TREE = "doc_id long, text string, chars array<int>, tokens array<int>, cuts array<array<int>>, n_tokens long, n_edits int, n_reencoded long"
+EDITS = "doc_id long, seq int, pos int, del int, ins string"
 
 
 class Counter:
@@ -53,25 +59,53 @@ class Counter:
 
 
 class Tree:
-    """Blocks of (pre-tokens, counts) under a binary tree of (characters, tokens)."""
+    """Leaves of (pre-tokens, counts) under a binary tree of (characters, tokens)."""
+
+    def __init__(self, blocks: list, sums: list[tuple[int, int]], counter: Counter):
+        self.counter, self.blocks, self.sums = counter, blocks, sums  # a block is a text, or its pre-tokens once it was taken apart
+        self.width = len(sums) // 2
+        self.reencoded = 0
 
-    def __init__(self, text: str, counter: Counter):
-        self.counter = counter
-        self.blocks: list[str | list[str]] = []  # the text, or its pre-tokens once it was taken apart
-        i = 0
+    @classmethod
+    def of(cls, text: str, counter: Counter) -> Tree:
+        blocks, i = [], 0
         while i < len(text):
             m = SURE.search(text, i + BLOCK)
             j = m.start() if m else len(text)
-            self.blocks.append(text[i:j])
+            blocks.append(text[i:j])
             i = j
-        self.blocks = self.blocks or [""]
-        self.width = 1 << (len(self.blocks) - 1).bit_length()
-        self.sums = [(0, 0)] * (2 * self.width)
-        for i, b in enumerate(self.blocks):
-            self.sums[self.width + i] = (len(b), len(counter.encode(b)))
-        for i in range(self.width - 1, 0, -1):
-            self._sum(i)
-        self.reencoded = 0
+        blocks = blocks or [""]
+        width = 1 << (len(blocks) - 1).bit_length()
+        tree = cls(blocks, [(0, 0)] * (2 * width), counter)
+        for i, b in enumerate(blocks):
+            tree.sums[width + i] = (len(b), len(counter.encode(b)))
+        for i in range(width - 1, 0, -1):
+            tree._sum(i)
+        return tree
+
+    @classmethod
+    def restored(cls, text: str, chars: list[int], tokens: list[int], cuts: list | None, counter: Counter) -> Tree:
+        """The tree that `row` gave; nothing is encoded."""
+        blocks, at, width = [], 0, len(chars) // 2
+        n = len(cuts) if cuts is not None else width
+        for i in range(n):
+            stop = at + chars[width + i]
+            if cuts is not None and cuts[i] is not None:
+                ends = [at]
+                for x in cuts[i]:
+                    ends.append(ends[-1] + x)
+                blocks.append([text[p:q] for p, q in zip(ends[:-1], ends[1:])])
+            else:
+                blocks.append(text[at:stop])
+            at = stop
+        return cls(blocks, list(zip(chars, tokens)), counter)
+
+    def row(self) -> tuple:
+        """(text, chars, tokens, cuts)."""
+        cuts = None
+        if any(isinstance(b, list) for b in self.blocks):
+            cuts = [[len(x) for x in b] if isinstance(b, list) else None for b in self.blocks]
+        return self.text(), [c for c, _ in self.sums], [t for _, t in self.sums], cuts
 
     def pieces(self, b: int) -> list[str]:
         if isinstance(self.blocks[b], str):
@@ -192,46 +226,80 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def edited_counts(docs: DataFrame, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
-    """Token counts of every row of docs (doc_id, text, edits) before and after its edits.
+_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("cuts", pa.list_(pa.list_(pa.int32()))), ("n_tokens", pa.int64()), ("n_edits", pa.int32()), ("n_reencoded", pa.int64())])
+
 
-    edits is an array of (pos, del, ins), applied in order, each in characters of the text as it then is; positions
-    and lengths beyond the text are cut to it, a null array or null entry is no edit, a null ins inserts nothing. Returns doc_id,
-    n_tokens (before), n_edits, n_tokens_edited and n_reencoded (pre-tokens that edits had to encode). Null and
-    empty texts have no tokens but can be inserted into. Rows that repeat are answered each, null doc_ids too. Extra
-    columns are ignored. vocabulary is a file on the driver, of bounded size, whose bytes are broadcast.
+def _counter(spark, vocabulary: str, pattern: str):
+    """What makes a Counter in a task. vocabulary is a file on the driver, of bounded size, whose bytes are broadcast."""
+    with open(vocabulary, "rb") as f:
+        shared = spark.sparkContext.broadcast(f.read())
+    return lambda: Counter({base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}, pattern)
+
+
+def build_trees(docs: DataFrame, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
+    """TREE of every row of docs (doc_id, text).
+
+    Null and empty texts have a tree without tokens, and an empty text. Rows that repeat have a tree each, null doc_ids too.
+    Extra columns are ignored; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    with open(vocabulary, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    make = _counter(docs.sparkSession, vocabulary, pattern)
 
     def of(batches):
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
-        counter = Counter(ranks, pattern)
+        counter = make()
+        for b in batches:
+            trees = [Tree.of(t.as_py() or "", counter) for t in b.column(1)]
+            text, chars, tokens, cuts = zip(*(t.row() for t in trees)) if trees else ([],) * 4
+            n = [t.tokens for t in trees]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip((b.column(0), text, chars, tokens, cuts, n, [0] * len(n), [0] * len(n)), _ARROW)], schema=_ARROW)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, TREE)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
+    """TREE after the edits (EDITS) of each doc_id, applied in the order of seq to every row that has it.
+
+    Each edit replaces `del` characters at `pos` of the text as it then is by `ins`; positions and lengths beyond the text
+    are cut to it, nulls count as 0 and as nothing. Edits that repeat a doc_id and seq are one, the first by position,
+    length and text; those of a null or unknown doc_id do nothing. Trees without edits stay as they are.
+    """
+    small_batches(trees.sparkSession)
+    make = _counter(trees.sparkSession, vocabulary, pattern)
+    one = edits.where("doc_id is not null").groupBy("doc_id", "seq").agg(F.min(F.struct("pos", "del", "ins")).alias("e"))
+    todo = one.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "e"))), lambda x: x["e"]).alias("todo"))
+    names = [f.name for f in _ARROW]
+
+    def of(batches):
+        counter = make()
         for b in batches:
             out = []
-            for text, edits in zip(b.column(1), b.column(2)):
-                tree = Tree(text.as_py() or "", counter)
-                before, n = tree.tokens, 0
-                for e in edits.as_py() or []:
-                    if e is not None:
+            for r in b.to_pylist():
+                if r["todo"]:
+                    tree = Tree.restored(r["text"], r["chars"], r["tokens"], r["cuts"], counter)
+                    for e in r["todo"]:
                         tree.edit(e["pos"] or 0, e["del"] or 0, e["ins"] or "")
-                        n += 1
-                out.append((before, n, tree.tokens, tree.reencoded))
-            cols = list(zip(*out)) if out else [[]] * 4
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text", "edits").mapInArrow(of, RESULT)
-
-
-def sample_edits(text, doc_id):
-    """Three edits that follow from the text alone: an insertion, a deletion and a replacement, at hashed positions."""
-    n = F.coalesce(F.length(text), F.lit(0))
-    spot = lambda k: F.pmod(F.xxhash64(doc_id, F.lit(k)), n + 1).cast("int")
-    edit = lambda pos, cut, ins: F.struct(pos.alias("pos"), F.lit(cut).alias("del"), ins.alias("ins"))
-    return F.array(
-        edit(spot(1), 0, F.concat(F.lit(" revised "), doc_id.cast("string"))),
-        edit(spot(2), 11, F.lit("")),
-        edit(spot(3), 5, F.coalesce(F.substring(text, 1, 9), F.lit(""))),
+                    r["text"], r["chars"], r["tokens"], r["cuts"] = tree.row()
+                    r["n_edits"] += len(r["todo"])
+                    r["n_reencoded"] += tree.reencoded
+                out.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in zip(names, _ARROW)], schema=_ARROW)
+
+    return trees.join(todo, "doc_id", "left").select(*names, "todo").mapInArrow(of, TREE)
+
+
+def tree_counts(trees: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_edits, n_tokens_edited, n_reencoded): the root's tokens are the text's."""
+    return trees.select("doc_id", "n_tokens", "n_edits", F.get("tokens", F.lit(1)).cast("long").alias("n_tokens_edited"), "n_reencoded")
+
+
+def sample_edits(docs: DataFrame) -> DataFrame:
+    """EDITS that follow from docs (doc_id, text) alone: an insertion, a deletion and a replacement, at hashed positions."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    spot = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), n + 1).cast("int")
+    edit = lambda seq, pos, cut, ins: F.struct(F.lit(seq).alias("seq"), pos.alias("pos"), F.lit(cut).alias("del"), ins.alias("ins"))
+    three = F.array(
+        edit(1, spot(1), 0, F.concat(F.lit(" revised "), F.col("doc_id").cast("string"))),
+        edit(2, spot(2), 11, F.lit("")),
+        edit(3, spot(3), 5, F.coalesce(F.substring("text", 1, 9), F.lit(""))),
     )
+    return docs.select(F.col("doc_id").cast("long"), F.inline(three))

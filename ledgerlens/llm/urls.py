@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_LENGTHS = 4096  # distinct path lengths of rules; a rule's path is never longer than a URL can be
+MAX_LENGTHS = 4096  # distinct path lengths of rules that are listed; beyond them every prefix of a path is looked up
 
 
 def parsed(url):
@@ -44,12 +44,13 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     rules = rules.groupBy("r_host", "r_path").agg(F.max("action").alias("action"))  # block over allow
     rules = rules.withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path"))).withColumn("short", _short(F.col("r_digest")))
     lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().limit(MAX_LENGTHS + 1).collect())
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"rules have paths of more than {MAX_LENGTHS} lengths")
+    every = F.sequence(F.lit(0), F.length("path"))
+    if len(lengths) <= MAX_LENGTHS:
+        every = F.filter(F.lit(lengths), lambda n: n <= F.length("path")) if lengths else F.array().cast("array<int>")
     urls = pages.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.transform(F.filter(F.lit(lengths) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    paths = F.transform(every, lambda n: F.substring(F.col("path"), F.lit(1), n))
     each = urls.withColumn("e_host", F.explode(hosts)).withColumn("e_path", F.explode(paths)).withColumn("digest", _digest(F.col("e_host"), F.col("e_path"))).withColumn("short", _short(F.col("digest")))
     fits = each.join(rules, "short").where(F.col("digest") == F.col("r_digest"))
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), "action", F.concat("r_host", "r_path").alias("rule"))

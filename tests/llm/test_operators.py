@@ -8,10 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, decontaminate, embeddings, jaccard, mixing, quality, rlz, sharding, tokencount, urls
+from ledgerlens.llm import chat, decontaminate, embeddings, jaccard, mixing, packing, quality, rlz, sharding, tokencount, urls
+from ledgerlens.llm import wordhash as W
 
 SPACE = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -78,6 +80,63 @@ def test_rlz(docs):
             assert s.ref_doc < r.doc_id and s.length >= 13
 
 
+def test_jaccard_hot_region(spark):
+    """20,000 sets that share half of their shingles and link with nothing, and families among them: regions far above REGION."""
+    r = random.Random(8)
+    half = " ".join(f"t{i}" for i in range(40))
+    data = [(i, half + " " + " ".join(f"u{i}x{j}" for j in range(40))) for i in range(20_000)]
+    for f in range(40):  # families of near copies of one of them
+        words = data[f * 7][1].split()
+        for j in range(3):
+            w = list(words)
+            w[r.randrange(2, len(w))] = f"z{f}y{j}"
+            data.append((30_000 + f * 10 + j, " ".join(w)))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_components(docs, 4, 85).collect()}
+    want = {i: i for i in range(20_000)}
+    shingles = lambda t: {t[i : i + 4] for i in range(len(t) - 3)}
+    for f in range(40):
+        ids = [f * 7, *(30_000 + f * 10 + j for j in range(3))]
+        sets = {i: shingles(tuple((data[i] if i < 20_000 else data[20_000 + f * 3 + i % 10])[1].split())) for i in ids}
+        name = {i: i for i in ids}
+        for i in ids:
+            for j in ids:
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    name = {x: min(name[i], name[j]) if y in (name[i], name[j]) else y for x, y in name.items()}
+        want |= name
+    assert got == want and len({got[i] for i in got if i >= 30_000} & set(range(20_000))) > 30
+
+
+def test_jaccard_cells(spark, monkeypatch):
+    """Families around several centres in one region: pivots split it, into few rows for each set, and no pair is lost."""
+    monkeypatch.setattr(jaccard, "REGION", 40)
+    r = random.Random(3)
+    data, centres = [], [[f"c{c}w{j}" for j in range(60)] for c in range(12)]
+    for i in range(600):
+        w = list(centres[i % 12])
+        for _ in range(r.randrange(0, 4)):
+            w[r.randrange(60)] = f"m{r.randrange(40)}"
+        data.append((i, " ".join(w)))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    sets = jaccard.shingle_sets(docs, 4).where("node is not null")
+    info = sets.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    big = info.select(F.lit(1).cast("long").alias("region"), "node", "n", F.lit(0).cast("long").alias("own"), F.col("node").alias("comp"))
+    big = jaccard._sized(big)
+    split, stuck = jaccard._cells(big, info, 85)
+    assert stuck.count() == 0 and split.count() <= jaccard.SPREAD * big.count()
+    cells = defaultdict(set)
+    for x in split.collect():
+        cells[x.region].add(x.node)
+    byid = {x.doc_id: x.node for x in sets.collect()}
+    words = {byid[d]: t.split() for d, t in data}
+    shingles = {n: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for n, w in words.items()}
+    nodes = list(shingles)
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            if 100 * len(shingles[a] & shingles[b]) >= 85 * len(shingles[a] | shingles[b]):
+                assert any(a in c and b in c for c in cells.values())
+
+
 @pytest.mark.parametrize("k,percent,region,partners", [(4, 85, 512, 4), (5, 80, 2, 1), (2, 50, 3, 2)])
 def test_jaccard(docs, k, percent, region, partners, monkeypatch):
     monkeypatch.setattr(jaccard, "REGION", region)
@@ -107,18 +166,17 @@ def test_jaccard(docs, k, percent, region, partners, monkeypatch):
     assert bag(jaccard.jaccard_components(docs, k, percent, buckets=5).collect()) == bag(want)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 200])
-def test_decontamination(spark, docs, block):
-    items = [(1, " ".join((rows()[6][1]).split()[5:30])), (2, "two, WORDS!"), (2, rows()[40][1]), (10, ""), (11, None), (None, "one"), (12, "a b c"), (13, "..")]
+def item_hits(rows_, items, k):
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row, by brute force."""
     wins = defaultdict(set)
     for i, t in items:
         w = re.findall(ALNUM, low(t))
         if i is None or not w:
             continue
-        for a in range(max(1, len(w) - 9)):
-            wins[tuple(w[a : a + 10])].add(i)
+        for a in range(max(1, len(w) - k + 1)):
+            wins[tuple(w[a : a + k])].add(i)
     want = []
-    for d, t, *_ in rows():
+    for d, t in rows_:
         w = re.findall(ALNUM, low(t))
         hit, got = [0] * len(w), set()
         for n in {len(x) for x in wins}:
@@ -127,9 +185,36 @@ def test_decontamination(spark, docs, block):
                     got |= wins[tuple(w[a : a + n])]
                     hit[a : a + n] = [1] * n
         want.append((d, len(w), sum(hit), len(got), hashlib.sha256(",".join(sorted(map(str, got))).encode()).hexdigest(), sum(hit) > 0))
-    found = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), 10, block)
-    got = bag(decontaminate.digest(found).collect())
-    assert got == bag(want)
+    return want
+
+
+@pytest.mark.parametrize("most_bits", [28, 5])
+def test_decontamination(spark, docs, most_bits, monkeypatch):
+    """With an ample filter, and with one so small that it lets nearly everything through."""
+    monkeypatch.setattr(decontaminate, "MOST_BITS", most_bits)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 5)
+    items = [(1, " ".join((rows()[6][1]).split()[5:30])), (2, "two, WORDS!"), (2, rows()[40][1]), (10, ""), (11, None), (None, "one"), (12, "a b c"), (13, "..")]
+    found = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), 10).collect()
+    got = spark.createDataFrame(found, decontaminate_schema())
+    assert bag(decontaminate.digest(got).collect()) == bag(item_hits([r[:2] for r in rows()], items, 10))
+    assert all(sum(s.length for s in r.spans) == r.n_hit and [s.start for s in r.spans] == sorted(s.start for s in r.spans) for r in found)
+
+
+def decontaminate_schema():
+    return "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:int,length:int>>"
+
+
+def test_decontamination_by_row(spark):
+    """Rows of one doc_id and as many words, or of none, are judged each by its own text."""
+    data = [(7, "a b c d"), (7, "p q r s"), (None, "x a b c"), (None, "q q q q"), (7, "a b c d"), (8, None)]
+    items = [(1, "a b c"), (2, "a b c"), (3, "never seen words here")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in data], "doc_id long, text string, a int, token int").repartition(3)
+    got = decontaminate.digest(decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), 10))
+    assert bag(got.collect()) == bag(item_hits(data, items, 10))
+    long = [(1, " ".join(f"w{i % 50}" for i in range(3000)))]
+    items = [(5, " ".join(f"w{i % 50}" for i in range(7, 400)))]
+    got = decontaminate.digest(decontaminate.contaminated(spark.createDataFrame(long, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 10))
+    assert bag(got.collect()) == bag(item_hits(long, items, 10))
 
 
 def test_mixing(docs):
@@ -171,6 +256,146 @@ def test_sharding(spark, docs):
     assert all(len(s) == 1 for t, s in where.items() if t != "same text here")
 
 
+def packed(rows_, shards, hashes):
+    """Shards of rows (doc_id, size, tokens, group): a plain packer. hashes: group -> hash, doc_id -> piece hash, (group, piece) -> cell hash."""
+    total = [max(1, sum(r[1] for r in rows_)), max(1, sum(r[2] for r in rows_)), max(1, len(rows_))]
+    groups = defaultdict(lambda: [0, 0, 0])
+    for d, size, tokens, g in rows_:
+        groups[g] = [x + y for x, y in zip(groups[g], (size, tokens, 1))]
+    share = lambda v: max(x / t for x, t in zip(v, total))
+    pieces = {g: math.ceil(share(v) * shards * sharding.PIECE) if share(v) * shards > 1 else 1 for g, v in groups.items()}
+    units, member = defaultdict(lambda: [0, 0, 0]), []
+    for d, size, tokens, g in rows_:
+        u = (g, hashes["piece"](d, pieces[g]) if pieces[g] > 1 else 0)
+        member.append(u)
+        units[u] = [x + y for x, y in zip(units[u], (size, tokens, 1))]
+    vec = {u: np.array([x / t for x, t in zip(v, total)]) for u, v in units.items()}
+    order = lambda us: sorted(us, key=lambda u: (-vec[u].max(), u[0], u[1]))
+    heavy = [u for u in units if vec[u].max() * shards * sharding.HEAVY >= 1]
+    room, to = np.full((shards, 3), 1 / shards), {}
+    for u in order(heavy):
+        to[u] = int(np.argmax(room @ vec[u]))
+        room[to[u]] -= vec[u]
+    room = np.maximum(room, 1e-12)
+    room /= room.sum(0)
+    cells = defaultdict(list)
+    for u in set(units) - set(heavy):
+        cells[hashes["cell"](u, max(1, len(rows_) // sharding.CELL))].append(u)
+    for us in cells.values():
+        left = room * sum(vec[u] for u in us)
+        for u in order(us):
+            to[u] = int(np.argmax(left @ vec[u]))
+            left[to[u]] -= vec[u]
+    return [to[u] for u in member]
+
+
+def test_sharding_brute_force(spark, monkeypatch):
+    """Row by row against a plain packer: many small groups, two hot ones, several cells."""
+    monkeypatch.setattr(sharding, "CELL", 100)
+    monkeypatch.setattr(sharding, "HEAVY", 8)
+    r = random.Random(11)
+    texts = [" ".join("xyz"[: r.randrange(4)] for _ in range(r.randrange(30))) for _ in range(150)] + [None, "", "hot " * 40]
+    data = [(i, texts[-1] if i % 3 == 0 else texts[r.randrange(len(texts))]) for i in range(900)] + [(5, "twice"), (5, "twice"), (None, "null")]
+    t = spark.createDataFrame(data, "doc_id long, text string")
+    h = t.select("doc_id", F.xxhash64("text", F.lit(1)).alias("g"), F.xxhash64("doc_id", F.lit(2)).alias("p")).collect()
+    piece = {x.doc_id: x.p for x in h}
+    pairs = spark.createDataFrame(sorted({(x.g, p) for x in h for p in range(64)}), "g long, p int")
+    cell = {(x.g, x.p): x.c for x in pairs.select("g", "p", F.xxhash64("g", "p", F.lit(3)).alias("c")).collect()}
+    rows_ = [(d, len((x or "").encode()) + 1, len(re.findall(SPACE, x or "")), y.g) for (d, x), y in zip(data, h)]
+    want = packed(rows_, 4, {"piece": lambda d, n: piece[d] % n, "cell": lambda u, n: cell[u] % n})
+    got = sharding.shard(t.repartition(3), 4, ("text",)).collect()
+    assert Counter((x.doc_id, x.text, x.shard) for x in got) == Counter((d, x, s) for (d, x), s in zip(data, want))
+    slots = defaultdict(list)
+    for x in got:
+        slots[x.shard].append(x.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_mixing_brute_force(docs):
+    """Row by row against a plain mixer that gets nothing from Spark but the random keys."""
+    plain = docs.select("doc_id", "text", "source", F.col("lang").alias("_offset"), F.col("size").alias("_s"), F.col("kind").alias("__r"))
+    out = mixing.mix(plain, (3, 1, 2), 1.5, 2.0, per_bucket=5).collect()
+    keys = plain.select("doc_id", "text", "source", F.xxhash64(F.lit(0), "doc_id", "text").alias("k")).collect()
+    sizes = Counter()
+    for x in keys:
+        sizes[x.source] += len(re.findall(SPACE, x.text or ""))
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    weight = {s: [3, 1, 2][i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(sizes.values())
+    while free:
+        w = sum(weight[s] for s in free)
+        full = {s for s in free if left * weight[s] / w > 2 * sizes[s]}
+        if not full:
+            target |= {s: left * weight[s] / w for s in free}
+            break
+        target |= {s: 2.0 * sizes[s] for s in full}
+        left -= sum(2.0 * sizes[s] for s in full)
+        free -= full
+    want = []
+    for s in order:
+        budget = round(target[s])
+        epochs, before = (int(target[s] // sizes[s]) if sizes[s] else 0), 0
+        for x in sorted((x for x in keys if x.source == s), key=lambda x: (x.k & (2**64 - 1), x.doc_id is not None, x.doc_id or 0)):
+            n = len(re.findall(SPACE, x.text or ""))
+            want.append((x.doc_id, x.text, s, n, sizes[s], epochs * n + max(0, min(n, budget - epochs * sizes[s] - before))))
+            before += n
+    assert Counter((x.doc_id, x.text, x.source, x["size"], x.source_size, x.taken) for x in out) == Counter(want)
+    assert all(x.target == pytest.approx(target[x.source]) and x._offset == "en" and x._s == 5 and x["__r"] == "k" for x in out)
+
+
+def test_quality_brute_force(spark):
+    """Scores against a plain trainer: dictionaries of features instead of arrays, the same order of rows."""
+    r = random.Random(5)
+    pool = [f"w{i}" for i in range(60)]
+    data = [(i, " ".join(r.choice(pool[: 40 if i % 2 else 60]) for _ in range(r.randrange(1, 40)))) for i in range(120)] + [(500, None), (501, ""), (502, "Å ß")]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(120)] + [(7, 1), (700, 1)]
+    got = {x.doc_id: x.score for x in quality.score(table, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    keys = {x.doc_id: x.h for x in table.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    size = 1 << quality.BITS
+
+    def number(words, raw):
+        w = next(iter(W.slices(pa.array([raw]), W.FOLDED)))
+        return int(w.span_hash(np.array([0]), 2)[0]) % size if words == 2 else int(w.hash[0]) % size
+
+    def features(text):
+        out, b = set(), (text or "").encode()
+        words = re.findall(SPACE, low(text))
+        out |= {number(1, x) for x in words} | {number(2, f"{x} {y}") for x, y in zip(words, words[1:])}
+        return sorted(out | {int(W.mix(np.array([b[i] | b[i + 1] << 8 | b[i + 2] << 16], np.uint64))[0]) % size for i in range(len(b) - 2)})
+
+    rows_ = [(keys[d], y, features(t)) for d, y in labels for e, t in data if d == e and zlib.crc32(str(d).encode()) % 5]
+    tie = {tuple(f): x for f, x in zip([r_[2] for r_ in rows_], [x.t for x in spark.createDataFrame([(bytearray(np.array(r_[2], np.int32).tobytes()),) for r_ in rows_], "f binary").select(F.xxhash64("f").alias("t")).collect()])}
+    rows_.sort(key=lambda x: (x[0], x[1], tie[tuple(x[2])]))
+
+    def train(some):
+        count = {y: Counter(f for _, z, fs in some if z == y for f in fs) for y in (0, 1)}
+        n = {y: sum(count[y].values()) + size for y in (0, 1)}
+        ratio = lambda f: math.log((1 + count[1][f]) / n[1] / ((1 + count[0][f]) / n[0]))
+        norm = lambda fs: max(math.sqrt(sum(ratio(f) ** 2 for f in fs)), 1e-12)
+        x = [{f: ratio(f) / norm(fs) for f in fs} for _, _, fs in some]
+        y, alpha, w, bias, rng = [2 * z - 1 for _, z, _ in some], [0.0] * len(some), Counter(), 0.0, np.random.default_rng(0)
+        for _ in range(12):
+            moved = 0.0
+            for i in rng.permutation(len(some)):
+                g = y[i] * (sum(w[f] * v for f, v in x[i].items()) + bias) - 1
+                old, alpha[i] = alpha[i], min(max(alpha[i] - g / 2, 0.0), 1.0)
+                step = (alpha[i] - old) * y[i]
+                for f, v in x[i].items():
+                    w[f] += step * v
+                bias, moved = bias + step, max(moved, abs(step))
+            if moved < 1e-3:
+                break
+        return lambda fs: sum(w[f] * ratio(f) for f in fs) / norm(fs) + bias
+
+    part = train([x for i, x in enumerate(rows_) if i % 4])
+    fold = [x for i, x in enumerate(rows_) if i % 4 == 0]
+    a, b = quality.logistic(np.array([part(fs) for _, _, fs in fold]), np.array([y for _, y, _ in fold]))
+    whole = train(rows_)
+    for d, t in data:
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-(a * whole(features(t)) + b))), abs=2e-4), d
+
+
 def test_quality(spark, docs):
     r = random.Random(3)
     good = [(1000 + i, " ".join(r.choice(["tree", "house", "river", "stone"]) + r.choice("abc") for _ in range(30))) for i in range(300)]
@@ -323,28 +548,46 @@ def test_embeddings_salted_and_lengths(spark, monkeypatch):
 
 
 def test_edit_counts(spark):
+    """Counts after each of three rounds of edits on the stored trees against encoding the whole edited texts."""
     path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     counter = tokencount.Counter(tokencount.load_ranks(path))
     r = random.Random(2)
     pool = [" ", "  ", "\n", "'", "'ve", "l", " a", "ab", "1", "!", "'s ", "\t\n x", "é", "", " longer words here"]
-    texts = [None, "", "a", "'", "hello world, it's 2024!  \n\n ok", " ".join(r.choice(["alpha", "it's", "42", "x  y"]) for _ in range(3000))] + ["".join(r.choice(pool) for _ in range(200)) for _ in range(30)]
-    data, want = [], []
-    for i, t in enumerate(texts):
-        edits, cur = [], t or ""
-        for _ in range(12):
-            e = (r.randint(-1, len(cur) + 2), r.choice([0, 0, 1, 3, 40, 1000]), "".join(r.choice(pool) for _ in range(r.choice([0, 1, 3]))))
-            edits.append(e)
-            p = min(max(e[0], 0), len(cur))
-            cur = cur[:p] + e[2] + cur[p + max(0, e[1]) :]
-        data.append((i, t, edits))
-        want.append((i, len(counter.encode(t or "")), 12, len(counter.encode(cur))))
-    data += [(98, "no edits", None), (99, "null edit", [None])]
-    want += [(98, 2, 0, 2), (99, 2, 0, 2)]
-    t = spark.createDataFrame(data, "doc_id long, text string, edits array<struct<pos:int,del:int,ins:string>>").withColumn("n_tokens", F.lit(0))
-    got = tokencount.edited_counts(t, path).collect()
-    assert bag((r.doc_id, r.n_tokens, r.n_edits, r.n_tokens_edited) for r in got) == bag(want)
-    long = next(r for r in got if r.doc_id == 5)
-    assert long.n_reencoded < 12 * 200  # not the whole text
+    texts = [None, "", "a", "'", "hello world, it's 2024!  \n\n ok", " ".join(r.choice(["alpha", "it's", "42", "x  y"]) for _ in range(3000)), "nospace" * 3000] + ["".join(r.choice(pool) for _ in range(200)) for _ in range(30)]
+    t = spark.createDataFrame([(i, x, 1, "z") for i, x in enumerate(texts)] + [(5, "second of an id", 1, "z"), (None, "no id", 1, "z")], "doc_id long, text string, n_tokens int, cuts string")
+    trees = tokencount.build_trees(t, path)
+    now = [(d, x or "") for d, x, *_ in ((row.doc_id, row.text) for row in t.collect())]
+    first = [len(counter.encode(x)) for _, x in now]
+    for turn in range(3):
+        trees = packing.stored(trees)
+        edits = []
+        for i in range(len(texts)):
+            if i % 7 == turn:
+                continue  # not edited in this round
+            size = len(dict(now)[i])
+            edits += [(i, k, r.choice([None, r.randint(-1, size + 9)]), r.choice([None, 0, 0, 1, 3, 40, 1000]), "".join(r.choice(pool) for _ in range(r.choice([0, 1, 3]))) or None) for k in range(4)]
+        for d, _, pos, cut, ins in edits:
+            for j, (e, x) in enumerate(now):
+                if e == d:
+                    p = min(max(pos or 0, 0), len(x))
+                    now[j] = (d, x[:p] + (ins or "") + x[p + max(0, cut or 0) :])
+        r.shuffle(edits)
+        more = [edits[0], (None, 1, 0, 0, "x"), (12345, 1, 0, 0, "x")]  # a repeated one, and some for no tree
+        trees = tokencount.edit_trees(trees, spark.createDataFrame(edits + more, tokencount.EDITS), path)
+        got = trees.select("doc_id", "text", "n_tokens", F.get("tokens", F.lit(1)).alias("now")).collect()
+        assert bag(got) == bag((d, x, n, len(counter.encode(x))) for (d, x), n in zip(now, first))
+    counts = {(x.doc_id, x.n_tokens): x for x in tokencount.tree_counts(trees).collect()}
+    long = counts[5, first[5]]
+    assert long.n_edits == 12 and long.n_reencoded < 12 * 200  # not the whole text
+    assert counts[None, first[-1]].n_edits == 0
+    assert tokencount.edit_trees(trees, spark.createDataFrame([], tokencount.EDITS), path).count() == len(now)
+    assert tokencount.build_trees(t.limit(0), path).count() == 0
+
+
+def test_packed_hash_is_sparks(spark):
+    x = np.array([0, 1, -1, 2**62, -(2**63), 12345678901], np.int64)
+    got = [r.h for r in spark.createDataFrame([(int(v),) for v in x], "v long").select(F.xxhash64("v").alias("h")).collect()]
+    assert packing.xxhash64(x).tolist() == got
 
 
 def test_empty_tables(spark, docs):
