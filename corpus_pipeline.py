@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate, jaccard, mixing, quality, sharding
-from ledgerlens.llm.packing import materialize
+from ledgerlens.llm.packing import discard, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,7 +17,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go: each row by its own text, whatever its doc_id."""
+    """Documents that the quality classifier rejects go: each row by its own text, whatever its doc_id.
+
+    Null and empty texts have no features and are judged by the model's bias; rows that repeat are judged alike. Without
+    labels the score is a constant. Columns besides COLUMNS are dropped, here and in every stage; empty tables stay empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.score(docs, labels, keep=tuple(COLUMNS)).where("predicted = 1").select(COLUMNS)
 
@@ -34,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = groups.groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("component"), ((F.first("n_shingles") > 0) & (F.count("*") > 1)).alias("repeated"))
     ids = docs.groupBy("key").agg(F.first("doc_id").alias("doc_id"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "repeated")).alias("m")
-    keep = materialize(groups.join(ids, "key").groupBy("component").agg(least).select("m.key", "m.repeated"))
+    keep = stored(groups.join(ids, "key").groupBy("component").agg(least).select("m.key", "m.repeated"))
     out = docs.join(keep.where("not repeated"), "key", "left_semi")
     again = keep.where("repeated")
     if not again.isEmpty():
@@ -43,7 +47,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go: each row by its own text, with a null or repeated doc_id too."""
+    """Documents that hold a window of a benchmark item go: each row by its own text, with a null or repeated doc_id too.
+
+    Null and empty texts stay; items without words hit nothing, and an empty benchmark keeps all.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs = keyed(docs)
     hits = decontaminate.contaminated(docs.select(F.col("key").alias("doc_id"), "text"), items, 10)
@@ -52,14 +59,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, whatever its doc_id; the one at a source's cut stays whole."""
+    """Each row as often as the mix takes it, whatever its doc_id; the one at a source's cut stays whole.
+
+    Texts without words are never taken. A null source is a source like others; rows that repeat are taken each.
+    """
     mixed = mixing.mix(docs.select(COLUMNS), (3, 1, 2), 1.5, 2.0).where("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     return mixed.withColumn("time", F.explode(F.sequence(F.lit(1), times))).select(COLUMNS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs, 16)
+    """Every row with its shard and its slot there, and the text and other columns to write. Null texts are one group; rows that
+    repeat each get a slot."""
+    return sharding.shard(docs.select(COLUMNS), 16, tuple(COLUMNS))
 
 
 STAGES = [
@@ -77,6 +89,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents table, each stage's rows written to the shared checkpoint folder before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
