@@ -84,7 +84,7 @@ def shard(docs: DataFrame, shards: int = 16, keep: tuple[str, ...] = ()) -> Data
 
     def pack_cell(pdf: pd.DataFrame) -> pd.DataFrame:
         v, order = ordered(pdf)
-        capacity = room * v.sum(0)
+        capacity = room * v[order].sum(0)  # in one order, so that reruns agree to the last bit
         to = np.empty(len(v), np.int32)
         to[order] = _pack(v[order], np.zeros_like(capacity), capacity)
         return pd.DataFrame({"group": pdf["group"], "piece": pdf["piece"], "shard": to})

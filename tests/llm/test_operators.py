@@ -276,13 +276,13 @@ def packed(rows_, shards, hashes):
     for u in order(heavy):
         to[u] = int(np.argmax(room @ vec[u]))
         room[to[u]] -= vec[u]
-    room = np.maximum(room, 1e-12)
+    room = np.maximum(1 / shards - (1 / shards - room), 1e-12)  # as the loads are summed up
     room /= room.sum(0)
     cells = defaultdict(list)
     for u in set(units) - set(heavy):
         cells[hashes["cell"](u, max(1, len(rows_) // sharding.CELL))].append(u)
     for us in cells.values():
-        left = room * sum(vec[u] for u in us)
+        left = room * np.array([vec[u] for u in order(us)]).sum(0)
         for u in order(us):
             to[u] = int(np.argmax(left @ vec[u]))
             left[to[u]] -= vec[u]
