@@ -74,37 +74,70 @@ def fast_decision(m: DataFrame, r: FastRules) -> DataFrame:
     return m.select("entity_id", "buy_count", decision.alias("decision"), F.when(reject.isNotNull(), 0).otherwise(score).alias("score"), F.coalesce(reject, reasons).alias("reasons"))
 
 
-#: (name, metric, comparison, parameter): the entry gates in order; a gate's parameter at its neutral value never fires.
+#: (name, column, comparison, parameter): the entry gates in order; a gate without its parameter is off. A null never fires.
 GATES = [
+    ("mcap_too_low", "last_mcap", "<", "min_mcap"),
+    ("sell_pressure_reject", "sell_ratio", ">", "max_sell_ratio"),
+    ("curve_too_low", "reserve_pct", "<", "min_reserve_pct"),
     ("uniq_buyers_low", "unique_buyers", "<", "min_buyers"),
     ("volume_low", "buy_volume", "<", "min_volume"),
     ("velocity_fade", "velocity_trend", "<", "min_velocity"),
+    ("curve_vel_low", "curve_velocity", "<", "min_curve_velocity"),
     ("curve_accel_low", "curve_acceleration", "<", "min_acceleration"),
     ("curve_accel_high", "curve_acceleration", ">", "max_acceleration"),
     ("top3_concentrated", "top3_share", ">", "max_top3"),
     ("creator_spammer", "n_same_day", ">", "max_same_day"),
+    ("holder_top1", "holder_top1", ">", "max_holder_top1"),
+    ("holder_top5", "holder_top5", ">", "max_holder_top5"),
+    ("holder_delta1_high", "holder_delta1", ">", "max_holder_delta1"),
+    ("holder_delta1_low", "holder_delta1", "<", "min_holder_delta1"),
+    ("creator_blacklisted", "blacklisted", "is", "blacklist"),
+    ("creator_rug_rate", "rug_rate", ">=", "max_rug_rate"),
+    ("creator_grad_rate_low", "graduated_rate", "<", "min_graduated_rate"),
+    ("creator_too_new", "age_days", "<", "min_age_days"),
 ]
+#: Gates that look at a creator's past only if it has `min_priors` entities.
+PAST = {"creator_rug_rate", "creator_grad_rate_low", "creator_too_new"}
 
 
 def hard_gates(m: DataFrame, params: dict[str, float]) -> DataFrame:
-    """(entity_id, gate): the first gate, in order, that the entity fails; parameters may be names of columns."""
-    test = lambda col, op, p: (F.col(col) < _c(p)) if op == "<" else (F.col(col) > _c(p))
-    return m.withColumn("gate", cascade([(test(col, op, params[p]), name) for name, col, op, p in GATES if p in params]))
+    """m with `gate`: the first gate, in order, that the entity fails; parameters may be names of columns."""
+    known = F.col("n_prior") >= _c(params.get("min_priors", 0))
 
+    def test(name: str, col: str, op: str, p) -> Column:
+        c = F.col(col)
+        fails = c if op == "is" else c < _c(p) if op == "<" else c >= _c(p) if op == ">=" else c > _c(p)
+        return known & fails if name in PAST else fails
 
-def rule_score(p: dict[str, float]) -> Column:
-    """The additive score of metric rows; bands are exclusive, the highest that holds counts."""
-    c = F.col
+    return m.withColumn("gate", cascade([(test(name, col, op, params[p]), name) for name, col, op, p in GATES if p in params]))
+
+
+#: Points and thresholds of the additive score; any may be replaced.
+SCORE = {
+    "serial_above": 50, "serial": -5, "clean": 10, "min_priors": 3,
+    "buyers_30": 30, "buyers_10": 20, "buyers_5": 10, "buyers_low": -5,
+    "volume_massive": 20.0, "volume_high": 5.0, "volume_ok": 0.5, "massive": 20, "high": 10, "ok": 5, "low": -5,
+    "near_graduation_pct": 80.0, "mid_pct": 60.0, "low_pct": 5.0, "near_graduation": 5, "mid": 0, "healthy": 10, "curve_low": -5,
+    "creator_sold": -15, "whale_pct": 50.0, "sniper": 2.0,
+    "dump_ratio": 2.0, "heavy_ratio": 1.0, "moderate_ratio": 0.5, "dump": -20, "heavy": -10, "moderate": -5, "dominant": 5,
+}
+
+
+def rule_score(params: dict[str, float]) -> Column:
+    """The additive score of metric rows with the creator's past; bands are exclusive, the highest that holds counts."""
+    c, p = F.col, {**SCORE, **params}
     band = lambda *steps: F.coalesce(*(F.when(cond, _c(v)) for cond, v in steps), F.lit(0))
-    whale = F.when(c("buy_volume") > 0, c("max_buy") / c("buy_volume") * 100)
+    whale = F.when((c("buy_volume") > 0) & (c("max_buy") > 0), c("max_buy") / c("buy_volume") * 100)
     return (
-        band((c("unique_buyers") >= 30, p["buyers_30"]), (c("unique_buyers") >= 10, p["buyers_10"]), (c("unique_buyers") >= 5, p["buyers_5"]), (F.lit(True), p["buyers_low"]))
-        + band((c("buy_volume") > p["volume_massive"], 20), (c("buy_volume") > p["volume_high"], 10), (c("buy_volume") > p["volume_ok"], 5), (F.lit(True), -5))
+        band((c("n_prior") > p["serial_above"], p["serial"]), (c("n_prior") > 1, p["clean"]))
+        + band(((c("n_prior") >= p["min_priors"]) & (c("graduated_rate") > 0), F.least(F.lit(20), F.floor(c("graduated_rate") * 30).cast("int"))))
+        + band((c("unique_buyers") >= 30, p["buyers_30"]), (c("unique_buyers") >= 10, p["buyers_10"]), (c("unique_buyers") >= 5, p["buyers_5"]), (F.lit(True), p["buyers_low"]))
+        + band((c("buy_volume") > p["volume_massive"], p["massive"]), (c("buy_volume") > p["volume_high"], p["high"]), (c("buy_volume") > p["volume_ok"], p["ok"]), (F.lit(True), p["low"]))
         + band((c("buy_diversity") >= 4, 10), ((c("buy_diversity") < 2) & (c("buy_count") > 3), -15))
-        + band((c("reserve_pct") > 80, 5), (c("reserve_pct") > 60, 0), (c("reserve_pct") > 5, 10), (F.lit(True), -5))
-        + F.when(c("creator_sold"), -15).otherwise(5)
+        + band((c("reserve_pct") > p["near_graduation_pct"], p["near_graduation"]), (c("reserve_pct") > p["mid_pct"], p["mid"]), (c("reserve_pct") > p["low_pct"], p["healthy"]), (F.lit(True), p["curve_low"]))
+        + F.when(c("creator_sold"), p["creator_sold"]).otherwise(5)
         + band((whale > p["whale_pct"], -20))
-        + F.when(c("buy_count") >= 3, band((c("sell_ratio") >= 2, -20), (c("sell_ratio") >= 1, -10), (c("sell_ratio") >= 0.5, -5), (F.lit(True), 5))).otherwise(0)
+        + F.when(c("buy_count") >= 3, band((c("sell_ratio") >= p["dump_ratio"], p["dump"]), (c("sell_ratio") >= p["heavy_ratio"], p["heavy"]), (c("sell_ratio") >= p["moderate_ratio"], p["moderate"]), (F.lit(True), p["dominant"]))).otherwise(0)
         + band((c("top3_share") > 80, -10), ((c("top3_share") < 50) & (c("unique_buyers") >= 5), 5))
         + band((c("velocity_trend") > 1.5, 10), ((c("velocity_trend") < 0.5) & (c("buy_count") >= 6), -10))
         + band(((c("buys_per_unique") > 2) & (c("buy_count") >= 6), -15))
@@ -118,20 +151,23 @@ def score_decision(score: Column, buy: float, borderline: float, gate: Column |
     return base if gate is None else F.when(gate.isNotNull(), "SKIP").otherwise(base)
 
 
-def observation_score(m: DataFrame) -> DataFrame:
-    """The older score of observation_metrics: buyers, volume, variety, pressure, each in bands."""
+def observation_score(m: DataFrame, massive: float = 20.0, high: float = 5.0, ok: float = 0.5, mid_pct: float = 40.0, whale_pct: float = 50.0, buy: float = 40, borderline: float = 20) -> DataFrame:
+    """The older score of observation_metrics, seven parts in bands: buyers, volume, variety, curve, creator, largest buyer, pressure."""
     c = F.col
-    kinds = F.size(F.array_distinct(F.transform("buy_amounts", lambda a: F.bround(a, 2))))
+    n = F.size("buy_amounts")
+    kinds = F.size(F.array_distinct(F.transform("buy_amounts", lambda a: F.bround(a, 4))))
     ratio = c("sell_count") / F.greatest(c("buy_count"), F.lit(1))
     top = F.coalesce(F.array_max("buy_amounts"), F.lit(0.0))
     score = (
-        F.when(c("unique_buyers") >= 10, 25).when(c("unique_buyers") >= 5, 15).when(c("unique_buyers") >= 3, 5).otherwise(-10)
-        + F.when(c("buy_volume") >= 300000, 20).when(c("buy_volume") >= 100000, 10).otherwise(0)
-        + F.when(kinds >= 4, 10).when(kinds < 2, -10).otherwise(0)
-        + F.when(ratio > 1, -20).when(ratio > 0.5, -10).otherwise(5)
-        + F.when((c("buy_volume") > 0) & (top / c("buy_volume") > 0.5), -15).otherwise(0)
+        F.when(c("unique_buyers") >= 30, 30).when(c("unique_buyers") >= 10, 20).when(c("unique_buyers") >= 5, 5).otherwise(-15)
+        + F.when(c("buy_volume") > massive, 25).when(c("buy_volume") > high, 15).when(c("buy_volume") > ok, 5).otherwise(-5)
+        + F.when(n == 0, 0).when(kinds >= 4, 10).when((kinds < 2) & (n > 3), -15).otherwise(0)
+        + F.when(c("reserve_pct") > 70, -10).when(c("reserve_pct") > mid_pct, -5).when(c("reserve_pct") > 10, 5).otherwise(0)
+        + F.when(c("creator_sold"), -15).otherwise(5)
+        + F.when((c("buy_volume") > 0) & (top > 0) & (top / c("buy_volume") * 100 > whale_pct), -20).otherwise(0)
+        + F.when(c("buy_count") < 3, 0).when(ratio >= 1.0, -30).when(ratio >= 0.7, -15).when(ratio >= 0.4, -5).otherwise(5)
     )
-    return m.select("entity_id", score.alias("score"), score_decision(score, 40, 20).alias("decision"))
+    return m.select("entity_id", score.alias("score"), score_decision(score, buy, borderline).alias("decision"))
 
 
 def entry_decision(df: DataFrame, mode: Column, lo: int, hi: int, max_fast: int) -> DataFrame:

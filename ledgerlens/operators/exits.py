@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import pnl_pct
+from .decisions import exit_zone
 from .windows import WARM, pulse
 
 PARAMS = "config_id string, stop double, take_profit double, trail_from double, trail_by double, max_hold double, dead_rate double, dying double, pressure double, drop_ratio double, drop_floor double, blood_events double, near_grad double"
@@ -23,90 +24,134 @@ def states(trades: DataFrame, entries: DataFrame, whale: float, tick: float) ->
     Warm rows (from the 15th event on) have the pulse columns and `tick_ts`, the first tick of the grid entry + i * tick
     after the event if no event comes before it: between events nothing but time and the lack of new actors can change.
     """
-    e = after_entry(trades, entries)
     w = Window.partitionBy("entity_id").orderBy("ts", "event_id")
-    gain = pnl_pct(F.col("entry_price"), F.col("price"), 0.0)
-    e = e.withColumn("pnl", gain).withColumn("next_ts", F.lead("ts").over(w)).withColumn("elapsed", F.col("ts") - F.col("entry_ts"))
-    rows = e.withColumn("order", F.row_number().over(w))
-    warm = pulse(rows, whale).select("event_id", "entity_id", "ts", "buy_rate", "sell_rate", "new_actor_rate", "creator_selling", "whale_exit", "declining_run", "peak_rate", "of_peak", "reserve_pct", "window_events")
-    s = rows.join(warm, ["entity_id", "ts", "event_id"], "left")
-    is_warm = F.col("order") >= WARM
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    by_time = Window.partitionBy("entity_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    e = pulse(after_entry(trades, entries), whale, cold=True).withColumnRenamed("rn", "order")
+    e = e.withColumn("warm", F.col("order") >= WARM).withColumn("pnl", pnl_pct(F.col("entry_price"), F.col("price"), 0.0)).withColumn("elapsed", F.col("ts") - F.col("entry_ts"))
+    e = e.withColumn("next_ts", F.lead("ts").over(w)).withColumn("peak_pnl", F.max(F.when(F.col("warm"), F.col("pnl"))).over(upto))
+    for side in ("buy", "sell"):
+        e = e.withColumn(f"{side}s_now", F.count_if(F.col("side") == side).over(by_time))
+        e = e.withColumn(f"{side}s_next", F.lead(f"{side}s_now").over(w))
     first_tick = F.col("entry_ts") + F.lit(tick) * (F.floor((F.col("ts") - F.col("entry_ts")) / tick) + 1)
-    s = s.withColumn("tick_ts", F.when(is_warm & (F.col("next_ts").isNull() | (first_tick <= F.col("next_ts"))), first_tick))
-    peak = F.max(F.when(is_warm, F.col("pnl"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return s.withColumn("warm", is_warm).withColumn("peak_pnl", peak)
+    return e.withColumn("tick_ts", F.when(F.col("warm") & (F.col("next_ts").isNull() | (first_tick <= F.col("next_ts"))), first_tick))
 
 
-def signals(s: DataFrame, configs: DataFrame, creator_dump: bool = True, whale: bool = False) -> DataFrame:
+def signals(s: DataFrame, configs: DataFrame, creator_dump: bool = True, whale: bool = False, scores: DataFrame | None = None, confident: float = 0.10) -> DataFrame:
     """Rows of `states` under each configuration with `reason`: the first rule of the cascade that fires, or NULL.
 
-    configs (PARAMS) is a parameter table, a row per configuration, and is broadcast.
+    configs (PARAMS) is a parameter table, a row per configuration, and is broadcast. scores (entity_id, proba, q25,
+    max_hold_pred), a row per entity, let a model's view change the cascade: sell before the stop in a loss that it expects to
+    grow, hold on against weak exits and early profits when it is sure, sell when it says so after 15 s, and set the longest hold.
     """
-    j = s.crossJoin(F.broadcast(configs))
     c = F.col
+    no = F.lit(False)
+    tighten, hold, sure, sell, longest = no, no, no, no, c("max_hold")
+    if scores is not None:
+        s = s.join(scores.select("entity_id", "proba", "q25", "max_hold_pred"), "entity_id", "left")
+        zone = exit_zone(c("proba"), c("pnl"))
+        selling, held = zone.isin("SELL_ALL", "SELL_PARTIAL"), zone == "HOLD_HARD"
+        yes = lambda x: F.coalesce(x, no)
+        tighten = yes(selling & (c("pnl") > -c("stop")) & (c("pnl") <= -5) & c("q25").between(-100, 0) & (c("q25") < -5))
+        hold, sell = yes(held), yes(selling & (c("elapsed") >= 15))
+        sure = yes(held & (c("proba") < confident) & (c("peak_pnl") < 300) & (c("pnl") < 500))
+        longest = F.coalesce(F.greatest(F.least(F.lit(30.0), c("max_hold")), F.least("max_hold_pred", "max_hold")), c("max_hold"))
+    j = s.crossJoin(F.broadcast(configs))
     rules = [
         (c("pnl") < -c("stop"), "hard_stop"),
+        (tighten, "model_tighten"),
         (F.lit(creator_dump) & c("creator_selling"), "creator_dump"),
-        (c("buy_rate") < c("dead_rate"), "pulse_dead"),
-        (c("declining_run") >= c("dying"), "trend_dying"),
-        (c("sell_rate") > c("buy_rate") * c("pressure"), "sell_pressure"),
-        ((c("drop_ratio") > 0) & (c("peak_rate") >= c("drop_floor")) & (c("of_peak") <= c("drop_ratio")), "buy_rate_drop"),
-        ((c("new_actor_rate") == 0) & (c("window_events") >= c("blood_events")), "no_new_blood"),
+        (~hold & (c("buy_rate") < c("dead_rate")), "pulse_dead"),
+        (~hold & (c("declining_run") >= c("dying")), "trend_dying"),
+        (~hold & (c("sell_rate") > c("buy_rate") * c("pressure")), "sell_pressure"),
+        (~hold & (c("drop_ratio") > 0) & (c("peak_rate") >= c("drop_floor")) & (c("of_peak") <= c("drop_ratio")), "buy_rate_drop"),
+        (~hold & (c("new_actor_rate") == 0) & (c("window_events") >= c("blood_events")), "no_new_blood"),
         (F.lit(whale) & c("whale_exit"), "whale_exit"),
         (c("reserve_pct") > c("near_grad"), "near_graduation"),
-        (c("pnl") >= c("take_profit"), "take_profit"),
+        (~sure & (c("pnl") >= c("take_profit")), "take_profit"),
         ((c("peak_pnl") >= c("trail_from")) & (c("peak_pnl") - c("pnl") >= c("trail_by")), "trailing_stop"),
-        (c("elapsed") > c("max_hold"), "timeout"),
+        (sell, "model_sell"),
+        (c("elapsed") > c("longest"), "timeout"),
     ]
     # the stop is tested on every event, the others once the window is warm
+    j = j.withColumn("longest", longest)
     return j.withColumn("reason", F.coalesce(*(F.when(cond if i == 0 else c("warm") & cond, r) for i, (cond, r) in enumerate(rules))))
 
 
-def first_exits(sig: DataFrame, ticks_count_as_no_new_actor: bool = True) -> DataFrame:
-    """(config_id, entity_id, exit_ts, exit_price, reason, pnl): the earliest signal by event or tick."""
+def exit_at(sig: DataFrame, ticks_count_as_no_new_actor: bool = True) -> DataFrame:
+    """sig with `why` and `at`: what closes a position at or, by a tick, after each row, and when."""
     c = F.col
-    late = c("tick_ts") - c("entry_ts") > c("max_hold")
+    late = c("tick_ts") - c("entry_ts") > c("longest")
     by_tick = F.when(c("tick_ts").isNotNull(), F.when(F.lit(ticks_count_as_no_new_actor) & (c("window_events") >= c("blood_events")), "no_new_blood").when(late, "timeout"))
-    at = F.coalesce(F.when(c("reason").isNotNull(), c("ts")), c("tick_ts"))
-    hit = sig.withColumn("why", F.coalesce("reason", by_tick)).where("why is not null")
-    g = hit.groupBy("config_id", "entity_id").agg(F.min_by(F.struct(at.alias("exit_ts"), c("price").alias("exit_price"), c("why").alias("reason"), c("pnl").alias("pnl")), "order").alias("x"))
-    return g.select("config_id", "entity_id", "x.*")
+    return sig.withColumn("why", F.coalesce("reason", by_tick)).withColumn("at", F.coalesce(F.when(c("reason").isNotNull(), c("ts")), c("tick_ts")))
 
 
-def simulated(trades: DataFrame, entries: DataFrame, configs: DataFrame, whale: float, tick: float) -> DataFrame:
-    """The whole replay per configuration and entity; positions without a signal end as timeout at their last price."""
-    sig = signals(states(trades, entries, whale, tick), configs)
-    out = first_exits(sig)
-    last = sig.groupBy("config_id", "entity_id").agg(F.max_by(F.struct("price", "pnl"), "order").alias("l"), F.max("entry_ts").alias("entry_ts"), F.max("max_hold").alias("max_hold"))
-    j = last.join(out, ["config_id", "entity_id"], "left")
-    c = F.col
-    done = c("reason").isNotNull()
-    j = j.select("config_id", "entity_id", "entry_ts", F.coalesce("reason", F.lit("timeout")).alias("reason"), F.coalesce("exit_price", "l.price").alias("exit_price"), F.coalesce("pnl", "l.pnl").alias("pnl"), F.when(done, c("exit_ts") - c("entry_ts")).otherwise(c("max_hold") + tick).alias("hold"))
-    e = after_entry(trades, entries).select("entity_id", "ts", "side", "entry_ts")
-    n = e.join(j.select("config_id", "entity_id", (c("entry_ts") + c("hold")).alias("until")), "entity_id").where(c("ts") <= c("until")).groupBy("config_id", "entity_id").agg(F.count_if(c("side") == "buy").alias("n_buys"), F.count_if(c("side") == "sell").alias("n_sells"))
-    return j.join(n, ["config_id", "entity_id"], "left").fillna(0, ["n_buys", "n_sells"])
+def first_exits(sig: DataFrame, ticks_count_as_no_new_actor: bool = True) -> DataFrame:
+    """(config_id, entity_id, exit_ts, exit_price, reason, pnl): the earliest signal by event or tick."""
+    hit = exit_at(sig, ticks_count_as_no_new_actor).where("why is not null")
+    g = hit.groupBy("config_id", "entity_id").agg(F.min_by(F.struct(F.col("at").alias("exit_ts"), F.col("price").alias("exit_price"), F.col("why").alias("reason"), "pnl"), "order").alias("x"))
+    return g.select("config_id", "entity_id", "x.*")
 
 
-def partial_exits(sig: DataFrame, profit_at: float, profit_share: float, weak_rate: float, weak_at: float, weak_share: float, moonbag: float) -> DataFrame:
-    """Replay with partial sales: (config_id, entity_id, pnl, remaining, reason), result weighted over the legs.
+def simulated(trades: DataFrame, entries: DataFrame, configs: DataFrame, whale: float, tick: float, scores: DataFrame | None = None, legs: dict[str, float] | None = None) -> DataFrame:
+    """The whole replay per configuration and entity; positions without a signal end as timeout at their last price.
 
-    A fold over each position's rows in order, inside the JVM: a strong profit sells once, a weak pulse in profit again and
-    again, down to the moonbag; the first full exit sells the rest, else the last price values it.
+    Everything comes from one aggregation of the signal rows, which stay where the windows put them. scores: see `signals`.
+    legs (parameters of `partial_exits`): the result is weighted over partial sales, and `remaining` says what the exit sold.
     """
-    rows = F.array_sort(F.collect_list(F.struct("order", "pnl", "warm", "buy_rate", "reason")))
-    g = sig.groupBy("config_id", "entity_id").agg(rows.alias("rows"))
-    start = F.struct(F.lit(1.0).alias("left"), F.lit(0.0).alias("got"), F.lit(False).alias("took"), F.lit(None).cast("string").alias("why"), F.lit(0.0).alias("last"))
+    c = F.col
+    sig = exit_at(signals(states(trades, entries, whale, tick), configs, scores=scores))
+    by_tick = c("reason").isNull() & (c("tick_ts") == c("next_ts"))
+    seen = lambda side: F.when(by_tick, c(f"{side}s_next")).otherwise(c(f"{side}s_now")).alias(f"{side}s")
+    exit_ = F.struct(c("at").alias("exit_ts"), c("price").alias("exit_price"), c("why").alias("reason"), "pnl", seen("buy"), seen("sell"))
+    until = c("entry_ts") + c("max_hold") + tick
+    out = {
+        "x": F.min_by(exit_, F.when(c("why").isNotNull(), c("order"))),
+        "last": F.max_by(F.struct("price", "pnl"), "order"),
+        "entry_ts": F.max("entry_ts"),
+        "max_hold": F.max("max_hold"),
+        "buys": F.count_if((c("side") == "buy") & (c("ts") <= until)),
+        "sells": F.count_if((c("side") == "sell") & (c("ts") <= until)),
+    }
+    if legs:
+        out["rows"] = F.array_sort(F.collect_list(F.struct("order", "pnl", "warm", "buy_rate", "reason", "why")))
+    g = sig.groupBy("config_id", "entity_id").agg(*(x.alias(k) for k, x in out.items()))
+    done = c("x").isNotNull()
+    pick = lambda a, b: F.when(done, c(a)).otherwise(c(b))
+    hold = F.when(done, c("x.exit_ts") - c("entry_ts")).otherwise(c("max_hold") + tick)
+    pnl, more = pick("x.pnl", "last.pnl"), []
+    if legs:
+        g = g.withColumn("legs", _legs(c("rows"), **legs))
+        pnl, more = c("legs.got") + c("legs.left") * c("legs.last"), [c("legs.sold").alias("remaining")]
+    return g.select("config_id", "entity_id", "entry_ts", F.coalesce("x.reason", F.lit("timeout")).alias("reason"), pick("x.exit_price", "last.price").alias("exit_price"), pnl.alias("pnl"), hold.alias("hold"), pick("x.buys", "buys").alias("n_buys"), pick("x.sells", "sells").alias("n_sells"), *more)
+
+
+def _legs(rows: Column, profit_at: float, profit_share: float, weak_rate: float, weak_at: float, weak_share: float, moonbag: float) -> Column:
+    """A fold over rows (order, pnl, warm, buy_rate, reason, why): what is left, what was got, and what the full exit sold."""
+    start = F.struct(F.lit(1.0).alias("left"), F.lit(0.0).alias("got"), F.lit(False).alias("took"), F.lit(None).cast("string").alias("why"), F.lit(0.0).alias("last"), F.lit(0.0).alias("sold"))
 
     def step(a: Column, r: Column) -> Column:
         free = a["left"] - moonbag
         can = r["warm"] & r["reason"].isNull() & (free > 0.01)
-        strong = can & (r["pnl"] > profit_at) & ~a["took"]
+        strong = F.coalesce(can & (r["pnl"] > profit_at) & ~a["took"], F.lit(False))
         weak = can & ~strong & (r["buy_rate"] < weak_rate) & (r["pnl"] > weak_at)
-        sold = F.when(r["reason"].isNotNull(), a["left"]).when(strong, F.least(F.lit(profit_share), free)).when(weak, F.least(F.lit(weak_share), free)).otherwise(0.0)
-        moved = F.struct((a["left"] - sold).alias("left"), (a["got"] + sold * r["pnl"]).alias("got"), (a["took"] | F.coalesce(strong, F.lit(False))).alias("took"), r["reason"].alias("why"), r["pnl"].alias("last"))
+        part = F.when(strong, F.least(F.lit(profit_share), free)).when(weak, F.least(F.lit(weak_share), free)).otherwise(0.0)
+        left = F.when(r["why"].isNotNull(), 0.0).otherwise(a["left"] - part)
+        sold = F.when(r["why"].isNotNull(), a["left"] - part).otherwise(0.0)
+        moved = F.struct(left.alias("left"), (a["got"] + (a["left"] - left) * r["pnl"]).alias("got"), (a["took"] | strong).alias("took"), r["why"].alias("why"), r["pnl"].alias("last"), sold.alias("sold"))
         return F.when(a["why"].isNotNull(), a).otherwise(moved)
 
-    x = g.withColumn("x", F.aggregate("rows", start, step))
+    return F.aggregate(rows, start, step)
+
+
+def partial_exits(sig: DataFrame, profit_at: float, profit_share: float, weak_rate: float, weak_at: float, weak_share: float, moonbag: float) -> DataFrame:
+    """Replay with partial sales: (config_id, entity_id, pnl, remaining, reason), result weighted over the legs.
+
+    A fold over each position's rows in order, inside the JVM: a strong profit sells once, a weak pulse in profit again and
+    again, down to the moonbag; the first full exit sells the rest, else the last price values it.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("order", "pnl", "warm", "buy_rate", "reason", F.col("reason").alias("why"))))
+    x = sig.groupBy("config_id", "entity_id").agg(rows.alias("rows")).withColumn("x", _legs(F.col("rows"), profit_at, profit_share, weak_rate, weak_at, weak_share, moonbag))
     return x.select("config_id", "entity_id", (F.col("x.got") + F.col("x.left") * F.col("x.last")).alias("pnl"), F.col("x.left").alias("remaining"), F.coalesce("x.why", F.lit("timeout")).alias("reason"))
 
 

@@ -163,10 +163,12 @@ def fast_metrics(events: DataFrame) -> DataFrame:
 
 
 def observation_metrics(events: DataFrame) -> DataFrame:
-    """A reduced set with the list of buy amounts in order."""
+    """A reduced set with the list of buy amounts in order; events carry their entity's creator_id."""
     buy = F.col("side") == "buy"
+    last = F.max_by("reserve", F.struct("ts", "event_id"))
+    sold = F.coalesce(F.bool_or(~buy & (F.col("actor_id") == F.col("creator_id"))), F.lit(False))
     amounts = F.transform(F.array_sort(F.collect_list(F.when(buy, F.struct("ts", "event_id", "amount")))), lambda x: x["amount"])
-    return events.groupBy("entity_id").agg(F.count_if(buy).alias("buy_count"), F.count_if(~buy).alias("sell_count"), F.count_distinct(F.when(buy, F.col("actor_id"))).alias("unique_buyers"), F.coalesce(F.sum(F.when(buy, F.col("amount"))), F.lit(0.0)).alias("buy_volume"), amounts.alias("buy_amounts"))
+    return events.groupBy("entity_id").agg(F.count_if(buy).alias("buy_count"), F.count_if(~buy).alias("sell_count"), F.count_distinct(F.when(buy, F.col("actor_id"))).alias("unique_buyers"), F.coalesce(F.sum(F.when(buy, F.col("amount"))), F.lit(0.0)).alias("buy_volume"), reserve_pct(last).alias("reserve_pct"), sold.alias("creator_sold"), amounts.alias("buy_amounts"))
 
 
 def top_buyers(events: DataFrame, n: int) -> DataFrame:

@@ -10,15 +10,16 @@ from .metrics import reserve_pct
 SIZE, WARM = 20, 15  # events in the window, events before the first row
 
 
-def pulse(events: DataFrame, whale: float, threshold: float = 0.15, size: int = SIZE, warm: int = WARM, keys: tuple = ("entity_id",)) -> DataFrame:
+def pulse(events: DataFrame, whale: float, threshold: float = 0.15, size: int = SIZE, warm: int = WARM, keys: tuple = ("entity_id",), cold: bool = False) -> DataFrame:
     """The state of each entity's last `size` events at every event from the `warm`-th on.
 
     One window specification serves all columns: rates, mean and total buys, the largest sell, whether the creator sold, the share
     of actors not seen before, trends against the previous row, the run of declines and the fall from the peak rate.
+    With `cold` the rows before the `warm`-th stay, with NULL in what only warm rows have.
     """
     w = Window.partitionBy(*keys).orderBy("ts", "event_id")
     last, upto = w.rowsBetween(-(size - 1), 0), w.rowsBetween(Window.unboundedPreceding, 0)
-    buy = F.col("side") == "buy"
+    buy, is_warm = F.col("side") == "buy", F.col("rn") >= warm
     creator = F.col("creator_id").isNotNull() & (F.col("actor_id") == F.col("creator_id"))
     e = events.withColumn("rn", F.row_number().over(w)).withColumn("new_actor", F.row_number().over(Window.partitionBy(*keys, "actor_id").orderBy("ts", "event_id")) == 1)
     e = e.select(
@@ -29,21 +30,22 @@ def pulse(events: DataFrame, whale: float, threshold: float = 0.15, size: int =
         F.coalesce(F.max(F.when(~buy, F.col("amount"))).over(last), F.lit(0.0)).alias("max_sell"),
         F.max(~buy & creator).over(last).alias("creator_selling"),
         F.size(F.collect_set(F.when(buy, F.col("actor_id"))).over(w.rowsBetween(-(warm - 1), 0))).alias("distinct_buyers"),
-    ).where(F.col("rn") >= warm)
-    e = e.withColumn("buy_rate", F.col("n_buys") / F.col("window_events")).withColumn("sell_rate", 1 - F.col("n_buys") / F.col("window_events"))
-    e = e.withColumn("avg_buy", F.col("buy_volume") / F.greatest("n_buys", F.lit(1))).withColumn("whale_exit", F.col("max_sell") > whale).withColumn("reserve_pct", reserve_pct(F.col("reserve")))
+    )
+    e = e.withColumn("buy_rate", F.when(is_warm, F.col("n_buys") / F.col("window_events"))).withColumn("sell_rate", 1 - F.col("buy_rate"))
+    e = e.withColumn("avg_buy", F.when(is_warm, F.col("buy_volume") / F.greatest("n_buys", F.lit(1)))).withColumn("whale_exit", F.col("max_sell") > whale).withColumn("reserve_pct", reserve_pct(F.col("reserve")))
     unseen = F.when(F.col("rn") == warm, F.col("distinct_buyers")).otherwise((buy & F.col("new_actor")).cast("int"))
-    e = e.withColumn("new_actor_rate", unseen / F.greatest("n_buys", F.lit(1)))
+    e = e.withColumn("new_actor_rate", F.when(is_warm, unseen / F.greatest("n_buys", F.lit(1))))
 
     def trend(c):
         before = F.lag(c).over(w)
         change = (F.col(c) - before) / before
-        return F.when(before.isNull() | (before < 0.001), "stable").when(change > threshold, "rising").when(change < -threshold, "declining").otherwise("stable")
+        return F.when(is_warm, F.when(before.isNull() | (before < 0.001), "stable").when(change > threshold, "rising").when(change < -threshold, "declining").otherwise("stable"))
 
     e = e.withColumn("rate_trend", trend("buy_rate")).withColumn("size_trend", trend("avg_buy"))
     stop = F.coalesce(F.max(F.when(F.col("rate_trend") != "declining", F.col("rn"))).over(upto), F.lit(warm - 1))
-    e = e.withColumn("declining_run", F.col("rn") - stop).withColumn("peak_rate", F.max("buy_rate").over(upto))
-    return e.withColumn("of_peak", F.when(F.col("peak_rate") > 0, F.col("buy_rate") / F.col("peak_rate")).otherwise(1.0))
+    e = e.withColumn("declining_run", F.when(is_warm, F.col("rn") - stop)).withColumn("peak_rate", F.max("buy_rate").over(upto))
+    e = e.withColumn("of_peak", F.when(is_warm, F.when(F.col("peak_rate") > 0, F.col("buy_rate") / F.col("peak_rate")).otherwise(1.0)))
+    return e if cold else e.where(is_warm)
 
 
 def replayed_reserve(events: DataFrame, start: float, k: float, supply: float, floor: float = 1e-9) -> DataFrame:

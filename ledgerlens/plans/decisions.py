@@ -9,7 +9,7 @@ from ..operators import metrics as M
 from ..operators import windows as W
 from ..sources.tables import ledger_tokens
 from .base import A, query
-from .history import _CLASS_SQL, _CLUSTER_SQL, actor_cluster_table, flags
+from .history import _CLASS_SQL, _CLUSTER_SQL, _HOLD_SQL, AGES, SNAP_SQL, actor_cluster_table, flags, holders, snapshots
 from .metrics import FAST, FULL, MSQL, full_metrics, window
 from .store import POSITIONS_SQL, positions
 
@@ -34,20 +34,41 @@ def fast_decision(spark, sf_dir):
     return fast(spark, sf_dir)
 
 
-GATE_PARAMS = {"min_buyers": 3, "min_volume": 80000.0, "min_velocity": 0.3, "min_acceleration": -0.001, "max_acceleration": 0.001, "max_top3": 95.0, "max_same_day": 1}
-_GATED = "gated AS (SELECT m.*, n_same_day, CASE WHEN unique_buyers < 3 THEN 'uniq_buyers_low' WHEN buy_volume < 80000 THEN 'volume_low' WHEN velocity_trend < 0.3 THEN 'velocity_fade' WHEN curve_acceleration < -0.001 THEN 'curve_accel_low' WHEN curve_acceleration > 0.001 THEN 'curve_accel_high' WHEN top3_share > 95 THEN 'top3_concentrated' WHEN n_same_day > 1 THEN 'creator_spammer' END AS gate FROM m JOIN (SELECT entity_id, row_number() OVER (PARTITION BY creator_id, floor(created_at / 86400) ORDER BY insert_order) - 1 AS n_same_day FROM tokens) USING (entity_id))"
-_SCORED = """scored AS (SELECT *, CASE WHEN unique_buyers >= 30 THEN 30 WHEN unique_buyers >= 10 THEN 20 WHEN unique_buyers >= 5 THEN 10 ELSE -5 END + CASE WHEN buy_volume > 400000 THEN 20 WHEN buy_volume > 200000 THEN 10 WHEN buy_volume > 50000 THEN 5 ELSE -5 END
+GATE_PARAMS = {
+    "min_mcap": 8.0, "max_sell_ratio": 2.5, "min_reserve_pct": 3.0, "min_buyers": 2, "min_volume": 40000.0, "min_velocity": 2e-7, "min_curve_velocity": -3e-6,
+    "min_acceleration": -1.5e-5, "max_acceleration": 1.5e-5, "max_top3": 99.0, "max_same_day": 1, "max_holder_top1": 50.0, "max_holder_top5": 99.0,
+    "max_holder_delta1": -1.0, "min_holder_delta1": -25.0, "blacklist": True, "max_rug_rate": 0.05, "min_graduated_rate": 0.95, "min_age_days": 30.0, "min_priors": 4,
+}
+_CONTEXT = f"""{SNAP_SQL}{_HOLD_SQL.split(A, 1)[1]},
+hx AS (SELECT entity_id, max(top1_pct) FILTER (age = {AGES[1]}) AS holder_top1, max(top5_pct) FILTER (age = {AGES[1]}) AS holder_top5, max(top1_pct) FILTER (age = {AGES[2]}) - max(top1_pct) FILTER (age = {AGES[1]}) AS holder_delta1 FROM holders GROUP BY entity_id),
+sd AS (SELECT entity_id, row_number() OVER (PARTITION BY creator_id, floor(created_at / 86400) ORDER BY insert_order) - 1 AS n_same_day, creator_id IN (SELECT creator_id FROM tokens GROUP BY creator_id HAVING count(*) >= 26) AS blacklisted FROM tokens),
+ctx AS (SELECT entity_id, n_same_day, blacklisted, holder_top1, holder_top5, holder_delta1, n_prior, rug_count / nullif(n_prior, 0) AS rug_rate, graduated_count / nullif(n_prior, 0) AS graduated_rate, age_days FROM sd LEFT JOIN snap USING (entity_id) LEFT JOIN hx USING (entity_id))"""
+_GATED = f"""{_CONTEXT}, gated AS (SELECT m.*, ctx.* EXCLUDE (entity_id), CASE WHEN last_mcap < 8 THEN 'mcap_too_low' WHEN sell_ratio > 2.5 THEN 'sell_pressure_reject' WHEN reserve_pct < 3 THEN 'curve_too_low' WHEN unique_buyers < 2 THEN 'uniq_buyers_low' WHEN buy_volume < 40000 THEN 'volume_low'
+ WHEN velocity_trend < 2e-7::DOUBLE THEN 'velocity_fade' WHEN curve_velocity < -3e-6::DOUBLE THEN 'curve_vel_low' WHEN curve_acceleration < -1.5e-5::DOUBLE THEN 'curve_accel_low' WHEN curve_acceleration > 1.5e-5::DOUBLE THEN 'curve_accel_high' WHEN top3_share > 99 THEN 'top3_concentrated' WHEN n_same_day > 1 THEN 'creator_spammer'
+ WHEN holder_top1 > 50 THEN 'holder_top1' WHEN holder_top5 > 99 THEN 'holder_top5' WHEN holder_delta1 > -1 THEN 'holder_delta1_high' WHEN holder_delta1 < -25 THEN 'holder_delta1_low' WHEN blacklisted THEN 'creator_blacklisted'
+ WHEN n_prior >= 4 AND rug_rate >= 0.05 THEN 'creator_rug_rate' WHEN n_prior >= 4 AND graduated_rate < 0.95 THEN 'creator_grad_rate_low' WHEN n_prior >= 4 AND age_days < 30 THEN 'creator_too_new' END AS gate FROM m JOIN ctx USING (entity_id))"""
+_SCORED = """scored AS (SELECT *, CASE WHEN n_prior > 15 THEN -5 WHEN n_prior > 1 THEN 10 ELSE 0 END + CASE WHEN n_prior >= 4 AND graduated_rate > 0 THEN least(20, floor(graduated_rate * 30)::INT) ELSE 0 END + CASE WHEN unique_buyers >= 30 THEN 30 WHEN unique_buyers >= 10 THEN 20 WHEN unique_buyers >= 5 THEN 10 ELSE -5 END + CASE WHEN buy_volume > 400000 THEN 20 WHEN buy_volume > 200000 THEN 10 WHEN buy_volume > 50000 THEN 5 ELSE -5 END
  + CASE WHEN buy_diversity >= 4 THEN 10 WHEN buy_diversity < 2 AND buy_count > 3 THEN -15 ELSE 0 END + CASE WHEN reserve_pct > 80 THEN 5 WHEN reserve_pct > 60 THEN 0 WHEN reserve_pct > 5 THEN 10 ELSE -5 END + CASE WHEN creator_sold THEN -15 ELSE 5 END
  + CASE WHEN buy_volume > 0 AND max_buy / buy_volume * 100 > 50 THEN -20 ELSE 0 END + CASE WHEN buy_count >= 3 THEN CASE WHEN sell_ratio >= 2 THEN -20 WHEN sell_ratio >= 1 THEN -10 WHEN sell_ratio >= 0.5 THEN -5 ELSE 5 END ELSE 0 END
  + CASE WHEN top3_share > 80 THEN -10 WHEN top3_share < 50 AND unique_buyers >= 5 THEN 5 ELSE 0 END + CASE WHEN velocity_trend > 1.5 THEN 10 WHEN velocity_trend < 0.5 AND buy_count >= 6 THEN -10 ELSE 0 END
  + CASE WHEN buys_per_unique > 2 AND buy_count >= 6 THEN -15 ELSE 0 END + CASE WHEN first_buy > 90000 THEN -10 ELSE 0 END + CASE WHEN curve_velocity > 0.5 THEN 5 ELSE 0 END AS score FROM gated)"""
-SCORE_PARAMS = {"buyers_30": 30, "buyers_10": 20, "buyers_5": 10, "buyers_low": -5, "volume_massive": 400000.0, "volume_high": 200000.0, "volume_ok": 50000.0, "whale_pct": 50.0, "sniper": 90000.0}
+SCORE_PARAMS = {"serial_above": 15, "min_priors": 4, "volume_massive": 400000.0, "volume_high": 200000.0, "volume_ok": 50000.0, "whale_pct": 50.0, "sniper": 90000.0}
 _FULL = f"{MSQL}, {_GATED}, {_SCORED}, decided AS (SELECT *, CASE WHEN gate IS NOT NULL THEN 'SKIP' WHEN score >= 30 THEN 'BUY' WHEN score >= 15 THEN 'BORDERLINE' ELSE 'SKIP' END AS decision FROM scored)"
 
 
+def context(spark, sf_dir):
+    """What is known of each entity besides its events: its creator's past and day, and its holders at two ages."""
+    t = ledger_tokens(spark, sf_dir)
+    bad = t.groupBy("creator_id").agg(F.count("*").alias("n")).where("n >= 26").select("creator_id", F.lit(True).alias("blacklisted"))
+    past = snapshots(spark, sf_dir).select("entity_id", "n_prior", F.try_divide("rug_count", "n_prior").alias("rug_rate"), F.try_divide("graduated_count", "n_prior").alias("graduated_rate"), "age_days")
+    at = lambda c, age: F.max(F.when(F.col("age") == age, F.col(c)))
+    held = holders(spark, sf_dir).groupBy("entity_id").agg(at("top1_pct", AGES[1]).alias("holder_top1"), at("top5_pct", AGES[1]).alias("holder_top5"), (at("top1_pct", AGES[2]) - at("top1_pct", AGES[1])).alias("holder_delta1"))
+    day = W.same_day(t).join(t.select("entity_id", "creator_id"), "entity_id").join(bad, "creator_id", "left").drop("creator_id").withColumn("blacklisted", F.coalesce("blacklisted", F.lit(False)))
+    return day.join(past, "entity_id", "left").join(held, "entity_id", "left")
+
+
 def gated(spark, sf_dir):
-    m = full_metrics(spark, sf_dir).join(W.same_day(ledger_tokens(spark, sf_dir)), "entity_id")
-    return D.hard_gates(m, GATE_PARAMS)
+    return D.hard_gates(full_metrics(spark, sf_dir).join(context(spark, sf_dir), "entity_id"), GATE_PARAMS)
 
 
 def decided(spark, sf_dir):
@@ -71,13 +92,16 @@ def score_decision(spark, sf_dir):
 
 
 @query(
-    f"""WITH {MSQL}, o AS (SELECT entity_id, count(*) FILTER (is_buy) AS b, count(*) FILTER (NOT is_buy) AS s, count(DISTINCT actor_id) FILTER (is_buy) AS u, coalesce(sum(amount) FILTER (is_buy), 0) AS v, count(DISTINCT round_even(amount, 2)) FILTER (is_buy) AS k, coalesce(max(amount) FILTER (is_buy), 0) AS t FROM r GROUP BY entity_id),
-p AS (SELECT entity_id, CASE WHEN u >= 10 THEN 25 WHEN u >= 5 THEN 15 WHEN u >= 3 THEN 5 ELSE -10 END + CASE WHEN v >= 300000 THEN 20 WHEN v >= 100000 THEN 10 ELSE 0 END + CASE WHEN k >= 4 THEN 10 WHEN k < 2 THEN -10 ELSE 0 END
- + CASE WHEN s / greatest(b, 1) > 1 THEN -20 WHEN s / greatest(b, 1) > 0.5 THEN -10 ELSE 5 END + CASE WHEN v > 0 AND t / v > 0.5 THEN -15 ELSE 0 END AS score FROM o)
+    f"""WITH {MSQL}, o AS (SELECT entity_id, count(*) FILTER (is_buy) AS b, count(*) FILTER (NOT is_buy) AS s, count(DISTINCT actor_id) FILTER (is_buy) AS u, coalesce(sum(amount) FILTER (is_buy), 0) AS v, count(DISTINCT round_even(amount, 4)) FILTER (is_buy) AS k, coalesce(max(amount) FILTER (is_buy), 0) AS t,
+ first(reserve ORDER BY ts DESC, event_id DESC) AS lr, coalesce(bool_or(NOT is_buy AND actor_id = creator_id), false) AS cs FROM r GROUP BY entity_id),
+q AS (SELECT *, CASE WHEN lr > 0 THEN least(lr / 85 * 100, 100) ELSE 0 END AS pct, s / greatest(b, 1) AS ratio FROM o),
+p AS (SELECT entity_id, CASE WHEN u >= 30 THEN 30 WHEN u >= 10 THEN 20 WHEN u >= 5 THEN 5 ELSE -15 END + CASE WHEN v > 600000 THEN 25 WHEN v > 300000 THEN 15 WHEN v > 100000 THEN 5 ELSE -5 END + CASE WHEN b = 0 THEN 0 WHEN k >= 4 THEN 10 WHEN k < 2 AND b > 3 THEN -15 ELSE 0 END
+ + CASE WHEN pct > 70 THEN -10 WHEN pct > 40 THEN -5 WHEN pct > 10 THEN 5 ELSE 0 END + CASE WHEN cs THEN -15 ELSE 5 END + CASE WHEN v > 0 AND t > 0 AND t / v * 100 > 50 THEN -20 ELSE 0 END
+ + CASE WHEN b < 3 THEN 0 WHEN ratio >= 1.0 THEN -30 WHEN ratio >= 0.7 THEN -15 WHEN ratio >= 0.4 THEN -5 ELSE 5 END AS score FROM q)
 SELECT entity_id, score, CASE WHEN score >= 40 THEN 'BUY' WHEN score >= 20 THEN 'BORDERLINE' ELSE 'SKIP' END AS decision FROM p"""
 )
 def observation_score(spark, sf_dir):
-    return D.observation_score(M.observation_metrics(window(spark, sf_dir)))
+    return D.observation_score(M.observation_metrics(window(spark, sf_dir)), 600000.0, 300000.0, 100000.0)
 
 
 _MODES = "(VALUES ('fast'), ('full'), ('both')) v(mode)"
@@ -111,7 +135,7 @@ SELECT entity_id, count(*) FILTER ({flag}) AS n, count(*) FILTER ({flag}) >= {le
     )(lambda spark, sf_dir: D.early_flag_gate(window(spark, sf_dir), flags(spark, sf_dir).withColumn("is_positive", F.coalesce(F.col("graduated_winrate") > 0.10, F.lit(False))), where or flag, 200 * DAY, least))
 
 
-_gate("gate_bot_cluster", "is_sniper", 2)
+_gate("gate_bot_cluster", "is_bot", 1)
 _gate("gate_smart_money", "is_smart", 1)
 _gate("gate_positive_actor", "graduated_winrate > 0.10", 1, "is_positive")
 

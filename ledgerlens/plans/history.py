@@ -63,7 +63,7 @@ def left_join_holders(spark, sf_dir):
 
 def _probes(spark, sf_dir):
     t = ledger_tokens(spark, sf_dir).select("entity_id", "creator_id")
-    return ledger_trades(spark, sf_dir).where("event_id % 5 = 0").join(t, "entity_id").select("event_id", "entity_id", "creator_id", "ts")
+    return ledger_trades(spark, sf_dir).join(t, "entity_id").select("event_id", "entity_id", "creator_id", "ts")
 
 
 def _observed(spark, sf_dir):
@@ -72,7 +72,7 @@ def _observed(spark, sf_dir):
 
 for _name, _op, _strict in (("asof_creator_snapshot", "<=", False), ("asof_strict", "<", True)):
     query(
-        f"""WITH {A}, {SNAP_SQL}, p AS (SELECT event_id, entity_id, creator_id, ts FROM trades JOIN tokens USING (entity_id) WHERE event_id % 5 = 0),
+        f"""WITH {A}, {SNAP_SQL}, p AS (SELECT event_id, entity_id, creator_id, ts FROM trades JOIN tokens USING (entity_id)),
 o AS (SELECT creator_id, ref_ts AS observed_at, n_prior, rug_count, graduated_count FROM (SELECT *, row_number() OVER (PARTITION BY creator_id, ref_ts ORDER BY entity_id DESC) AS q FROM snap) WHERE q = 1)
 SELECT p.*, o.observed_at, o.n_prior, o.rug_count, o.graduated_count FROM p ASOF LEFT JOIN o ON p.creator_id = o.creator_id AND o.observed_at {_op} p.ts""",
         _name,

@@ -71,8 +71,8 @@ def parse_create_event(spark, sf_dir):
 
 @query("""SELECT 'p' || l_partkey AS entity_id, 'w' || (l_suppkey % 50) AS actor_id, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side,
 CASE WHEN l_extendedprice > 1000 THEN l_extendedprice / 1e9 ELSE l_extendedprice END AS amount, l_quantity AS qty,
-CASE WHEN l_quantity * 40 > 1000 THEN l_quantity * 40 / 1e9 ELSE l_quantity * 40 END AS reserve, l_tax AS mcap, l_linenumber * 1.0::DOUBLE AS ts,
-(l_suppkey % 50) = (l_partkey % 50) AS is_creator, l_orderkey::VARCHAR AS signature FROM lineitem""")
+CASE WHEN l_quantity * 40 > 1000 THEN l_quantity * 40 / 1e9 ELSE l_quantity * 40 END AS reserve, CASE WHEN l_extendedprice * 30 > 1000 THEN l_extendedprice * 30 / 1e9 ELSE l_extendedprice * 30 END AS mcap, l_linenumber * 1.0::DOUBLE AS ts,
+(l_suppkey % 50) = (l_partkey % 50) AS is_creator, l_orderkey::VARCHAR AS signature, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity * 7 ELSE 0 END AS new_balance, 'k' || l_partkey AS curve_key, l_quantity * 1000 AS token_reserve FROM lineitem""")
 def parse_trade_event(spark, sf_dir):
     raw = table(spark, sf_dir, "lineitem").select(
         F.to_json(
@@ -81,11 +81,14 @@ def parse_trade_event(spark, sf_dir):
                 F.concat(F.lit("w"), F.col("l_suppkey") % 50).alias("traderPublicKey"),
                 F.concat(F.lit("w"), F.col("l_partkey") % 50).alias("creator"),
                 (F.col("l_linenumber") * 1.0).alias("timestamp"),
-                F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("txType"),
+                F.when(F.col("l_returnflag") == "R", "sell").when(F.col("l_returnflag") == "A", "buy").alias("txType"),  # the rest has none
                 F.col("l_extendedprice").alias("solAmount"),
                 F.col("l_quantity").alias("tokenAmount"),
                 (F.col("l_quantity") * 40).alias("vSolInBondingCurve"),
-                F.col("l_tax").alias("marketCapSol"),
+                (F.col("l_extendedprice") * 30).alias("marketCapSol"),
+                F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity") * 7).alias("newTokenBalance"),
+                F.concat(F.lit("k"), "l_partkey").alias("bondingCurveKey"),
+                (F.col("l_quantity") * 1000).alias("vTokensInBondingCurve"),
                 F.col("l_orderkey").cast("string").alias("signature"),
             )
         ).alias("value")
@@ -289,10 +292,10 @@ def random_sample(spark, sf_dir):
     return X.random_sample(ledger_tokens(spark, sf_dir), "entity_id", 200, seed=7)
 
 
-@query(f"WITH {_SCORES_SQL} SELECT entity_id FROM scores WHERE source = 'live' AND decision = 'BUY' AND event_id % 17 = 0 INTERSECT SELECT entity_id FROM scores WHERE source = 'backfill' AND event_id % 13 = 0")
+@query(f"WITH {_SCORES_SQL} SELECT entity_id FROM scores WHERE source = 'live' AND decision = 'BUY' INTERSECT SELECT entity_id FROM scores WHERE source = 'backfill'")
 def common_keys(spark, sf_dir):
     s = scores(spark, sf_dir)
-    return U.common_keys(s.where("source = 'live' and decision = 'BUY' and event_id % 17 = 0"), s.where("source = 'backfill' and event_id % 13 = 0"), "entity_id")
+    return U.common_keys(s.where("source = 'live' and decision = 'BUY'"), s.where("source = 'backfill'"), "entity_id")
 
 
 @query(f"""WITH {B_TRADES}, o AS (SELECT DISTINCT actor_id FROM trades WHERE event_id % 3 = 0), n AS (SELECT DISTINCT actor_id FROM trades WHERE event_id % 3 = 1)

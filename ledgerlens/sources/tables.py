@@ -94,8 +94,8 @@ def parse_create(raw: DataFrame) -> DataFrame:
     """Raw JSON of creation messages (value) as typed rows; pools get their public names."""
     schema = "mint string, name string, symbol string, traderPublicKey string, timestamp double, uri string, pool string, txType string"
     j = raw.select(F.from_json("value", schema).alias("j")).where("j.txType = 'create'")
-    # fixed values: short names of pools in messages, and the names they are stored under
-    pool = F.when(F.col("j.pool") == "pump", "pumpfun").when(F.col("j.pool") == "bonk", "letsbonk").otherwise(F.col("j.pool"))
+    # a message without a pool comes from the first of these; fixed values: short names of pools in messages, and the names they are stored under
+    pool = F.when(F.col("j.pool") == "pump", "pumpfun").when(F.col("j.pool") == "bonk", "letsbonk").otherwise(F.coalesce(F.nullif(F.col("j.pool"), F.lit("")), F.lit("pumpfun")))
     return j.select(F.col("j.mint").alias("entity_id"), "j.name", "j.symbol", F.col("j.traderPublicKey").alias("creator_id"), F.col("j.timestamp").alias("created_at"), "j.uri", pool.alias("source"))
 
 
@@ -105,20 +105,29 @@ def descaled(x):
 
 
 def parse_trade(raw: DataFrame) -> DataFrame:
-    """Raw JSON of trade messages (value), typed; amounts and reserves are brought to whole units."""
-    schema = "mint string, traderPublicKey string, creator string, timestamp double, txType string, solAmount double, tokenAmount double, vSolInBondingCurve double, marketCapSol double, signature string"
-    j = raw.select(F.from_json("value", schema).alias("j")).where("j.txType in ('buy', 'sell')")
-    return j.select(
-        F.col("j.mint").alias("entity_id"),
-        F.col("j.traderPublicKey").alias("actor_id"),
-        F.col("j.txType").alias("side"),
-        descaled(F.col("j.solAmount")).alias("amount"),
-        F.col("j.tokenAmount").alias("qty"),
-        descaled(F.col("j.vSolInBondingCurve")).alias("reserve"),
-        F.col("j.marketCapSol").alias("mcap"),
+    """Raw JSON of trade messages (value), typed; amounts, reserves and valuations are brought to whole units.
+
+    A message without a type is a buy, missing numbers are 0, missing names empty.
+    """
+    numbers = ["solAmount", "tokenAmount", "newTokenBalance", "vSolInBondingCurve", "vTokensInBondingCurve", "marketCapSol", "timestamp"]
+    names = ["mint", "traderPublicKey", "creator", "txType", "bondingCurveKey", "signature"]
+    j = raw.select(F.from_json("value", ", ".join([*(f"{n} double" for n in numbers), *(f"{n} string" for n in names)])).alias("j"))
+    number = lambda n: F.coalesce(F.col(f"j.{n}"), F.lit(0.0))
+    side = F.coalesce(F.col("j.txType"), F.lit("buy"))
+    return j.where(side.isin("buy", "sell")).select(
+        F.coalesce("j.mint", F.lit("")).alias("entity_id"),
+        F.coalesce("j.traderPublicKey", F.lit("")).alias("actor_id"),
+        side.alias("side"),
+        descaled(number("solAmount")).alias("amount"),
+        number("tokenAmount").alias("qty"),
+        descaled(number("vSolInBondingCurve")).alias("reserve"),
+        descaled(number("marketCapSol")).alias("mcap"),
         F.col("j.timestamp").alias("ts"),
         F.coalesce(F.col("j.traderPublicKey") == F.col("j.creator"), F.lit(False)).alias("is_creator"),
         "j.signature",
+        number("newTokenBalance").alias("new_balance"),
+        F.coalesce("j.bondingCurveKey", F.lit("")).alias("curve_key"),
+        number("vTokensInBondingCurve").alias("token_reserve"),
     )
 
 
