@@ -171,6 +171,12 @@ def observation_metrics(events: DataFrame) -> DataFrame:
     return events.groupBy("entity_id").agg(F.count_if(buy).alias("buy_count"), F.count_if(~buy).alias("sell_count"), F.count_distinct(F.when(buy, F.col("actor_id"))).alias("unique_buyers"), F.coalesce(F.sum(F.when(buy, F.col("amount"))), F.lit(0.0)).alias("buy_volume"), reserve_pct(last).alias("reserve_pct"), sold.alias("creator_sold"), amounts.alias("buy_amounts"))
 
 
+def buyers_within(events: DataFrame, span: float) -> DataFrame:
+    """(entity_id, n): different buyers less than `span` after creation."""
+    age = F.col("ts") - F.col("created_at")
+    return events.groupBy("entity_id").agg(F.count_distinct(F.when((F.col("side") == "buy") & (age >= 0) & (age < span), F.col("actor_id"))).alias("n"))
+
+
 def top_buyers(events: DataFrame, n: int) -> DataFrame:
     """(entity_id, actor_id, volume, rank) of the n largest buyers, ties by actor."""
     per = events.where("side = 'buy'").groupBy("entity_id", "actor_id").agg(F.sum("amount").alias("volume"))

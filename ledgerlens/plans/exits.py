@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import exits as E
+from ..operators import features as X
+from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators.books import sweep_summary as summary
 from ..sources.tables import ledger_tokens, ledger_trades, stream_tokens, stream_trades
 from .base import A, B, query
 from .decisions import _FULL, decided
-from .history import TOP_SQL, prior
-from .metrics import FULL, MSQL, full_metrics, window
+from .history import _CLASS_SQL, _CLUSTER_SQL, _HOLD_SQL, SNAP_SQL, actor_cluster_table, holders, prior, snapshots, top_flags
+from .history import AGES as AGES_H
+from .metrics import AGES as AGES_M
+from .metrics import ATTENTION, EARLY, FAST, FULL, MSQL, window
 from .store import POSITIONS_SQL, positions
 from .windows import PULSE_SQL, WHALE
 
@@ -134,31 +138,101 @@ def entry_labels(spark, sf_dir):
     return j.select("entity_id", F.coalesce((F.col("pnl") > 0).cast("int"), F.lit(0)).alias("label"), F.col("pnl").alias("realized"), F.col("pnl").isNull().alias("doa"))
 
 
-_DS = ("buy_count", "unique_buyers", "buy_volume", "top3_share", "velocity_trend", "curve_velocity", "reserve_pct")
-_DATASET_SQL = f"""SELECT m.entity_id, {', '.join('m.' + c for c in _DS)}, p.n AS n_prior_entities, b.np AS top3_prior, CASE WHEN x.late > m.last_price THEN 1 ELSE 0 END AS label FROM m
-LEFT JOIN (SELECT entity_id, nullif(count(*) OVER (PARTITION BY creator_id ORDER BY insert_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM tokens) p USING (entity_id)
-LEFT JOIN (SELECT entity_id, avg(n_prior) FILTER (n_prior > 0 AND rank <= 3) AS np FROM prior GROUP BY entity_id) b USING (entity_id)
-LEFT JOIN (SELECT entity_id, arg_max(price, ts * 1e7 + event_id) AS late FROM trades GROUP BY entity_id) x USING (entity_id)"""
-
-
-def dataset(spark, sf_dir, m):
-    from ..operators.joins import prior_by_order
-
-    p = prior_by_order(ledger_tokens(spark, sf_dir)).select("entity_id", F.col("n_prior").alias("n_prior_entities"))
-    b = prior(spark, sf_dir).groupBy("entity_id").agg(F.avg(F.when((F.col("n_prior") > 0) & (F.col("rank") <= 3), F.col("n_prior"))).alias("top3_prior"))
-    late = ledger_trades(spark, sf_dir).groupBy("entity_id").agg(F.max_by("price", F.struct("ts", "event_id")).alias("late"))
-    j = m.join(p, "entity_id", "left").join(b, "entity_id", "left").join(late, "entity_id", "left")
-    return j.select("entity_id", *_DS, "n_prior_entities", "top3_prior", F.when(F.col("late") > F.col("last_price"), 1).otherwise(0).alias("label"))
-
-
-@query(f"WITH {MSQL}, {TOP_SQL.split(A, 1)[1].lstrip(', ')} {_DATASET_SQL}", rounded=("top3_prior", "buy_volume"))
+#: Features are made when an entity is scored, at the end of its window; its position is replayed on what comes after.
+EARLY_SPAN, FIRST, NEAR = 30 * DAY, 5 * DAY, 3 * DAY
+LEDGER_TICK = 30 * DAY
+LEDGER_CONFIG = ("book", 60.0, 150.0, 80.0, 40.0, 900 * DAY, 0.05, 4.0, 3.0, 0.2, 0.3, 21.0, 200.0)
+
+
+def _label_sql(span: float) -> str:
+    """(entity_id, status, reason, pnl) of each entity's position in the ledger."""
+    later = STATES_SQL[len(ENTRY_SQL) :].replace(_CONFIG_SQL, f"configs({', '.join(_COLS)}) AS (VALUES ({', '.join(repr(x) if isinstance(x, str) else f'{x}::DOUBLE' for x in LEDGER_CONFIG)}))").replace(str(TICK), str(LEDGER_TICK))
+    later = later.replace("(SELECT entity_id, event_id, buy_rate", "(SELECT entity_id, event_id, ts, buy_rate").replace("USING (entity_id, event_id)),", "USING (entity_id, event_id, ts)),")
+    usable = f"side = 'buy' AND amount <> 0 AND qty <> 0 AND ts >= created_at + {span}"
+    return f"""{A}, entries AS (SELECT entity_id, creator_id, arg_min(ts, ts * 1e6 + event_id) AS entry_ts, arg_min(price, ts * 1e6 + event_id) AS entry_price FROM trades JOIN tokens USING (entity_id) WHERE {usable} GROUP BY ALL){later},
+stt AS (SELECT entity_id, CASE WHEN count(*) FILTER (ts >= created_at + {span}) = 0 THEN 'doa_no_trades' WHEN count(*) FILTER ({usable}) = 0 THEN 'doa_no_entry' END AS status FROM tokens LEFT JOIN trades USING (entity_id) GROUP BY entity_id)
+SELECT entity_id, coalesce(status, reason, 'timeout') AS exit_reason, coalesce(CASE WHEN status IS NULL THEN pnl END, 0) AS realized FROM stt LEFT JOIN sim USING (entity_id)"""
+
+
+def _dataset_sql(span: float, order: list[str]) -> str:
+    msql = MSQL.replace(f"created_at + {FULL}", f"created_at + {span}")
+    fast = MSQL.replace(f"created_at + {FULL}", f"created_at + {FAST}")
+    top = _CLASS_SQL.replace(f"created_at + {365 * DAY}", f"created_at + {span}")
+    ahead = lambda n: f"2 * {n}_2 - {n}_1"
+    pct = ", ".join(f"CASE WHEN {ahead(n)} IS NOT NULL THEN greatest(0, least(100, {ahead(n)})) END AS {n}_3" for n in ("top1", "top5", "top10"))
+    zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in (*X.HOLDERS_1, *X.HOLDERS_3))
+    return f"""WITH me AS (SELECT * FROM (WITH {msql} SELECT * FROM m)), fa AS (SELECT * FROM (WITH {fast} SELECT entity_id, buy_count AS fast_buy_count, unique_buyers AS fast_unique_buyers, buy_volume AS fast_volume, buy_count / greatest(window_span, 0.1) AS fast_buy_rate, n_events AS fast_events, last_price AS fast_price FROM m)),
+nr AS (SELECT * FROM (WITH {A} SELECT t.entity_id, t.created_at, t.creator_id, count(o.entity_id) FILTER (o.created_at > t.created_at - {NEAR}) AS entities_recent, count(o.entity_id) AS concurrent FROM tokens t LEFT JOIN tokens o ON o.insert_order < t.insert_order AND o.created_at < t.created_at AND o.created_at >= t.created_at - {NEAR} GROUP BY ALL)),
+nb AS (SELECT * FROM (WITH {A} SELECT entity_id, count(DISTINCT actor_id) FILTER (side = 'buy' AND ts - created_at < {FIRST}) AS n_buyers_first FROM trades JOIN tokens USING (entity_id) WHERE ts >= created_at GROUP BY entity_id)),
+h0 AS (SELECT * FROM (WITH {_HOLD_SQL} SELECT entity_id, {", ".join(f"max({c}) FILTER (age = {AGES_H[i - 1]}) AS {n}_{i}" for c, n in (("top1_pct", "top1"), ("top5_pct", "top5"), ("top10_pct", "top10"), ("holder_count", "holders")) for i in (1, 2))} FROM holders GROUP BY entity_id)),
+h1 AS (SELECT *, {pct}, CASE WHEN {ahead("holders")} IS NOT NULL THEN greatest({ahead("holders")}, holders_1, holders_2) END AS holders_3 FROM h0),
+h2 AS (SELECT *, top1_3 - top1_1 AS top1_delta, top5_3 - top5_1 AS top5_delta, top10_3 - top10_1 AS top10_delta, (holders_3 - holders_1) / 90 AS holder_velocity FROM h1),
+ho AS (SELECT nr.entity_id, {zero} FROM nr LEFT JOIN h2 USING (entity_id)),
+cs AS (SELECT * FROM (WITH {A}, {SNAP_SQL}, o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY creator_id, ref_ts ORDER BY entity_id DESC) AS q FROM snap) WHERE q = 1)
+ SELECT p.entity_id, o.age_days AS creator_age_days, CASE WHEN o.n_prior >= 2 THEN o.median_peak END AS creator_median_peak, CASE WHEN o.n_prior >= 2 THEN o.mean_interval END AS creator_interval, CASE WHEN o.ref_ts IS NOT NULL THEN 0.0::DOUBLE END AS creator_balance
+ FROM (SELECT *, created_at + {span} AS at FROM tokens) p ASOF LEFT JOIN o ON p.creator_id = o.creator_id AND o.ref_ts <= p.at)),
+pr AS (SELECT * FROM (WITH {top}, x AS (SELECT p.*, n_prior > 0 AS has, n_closed > 0 AS closed, n_won / nullif(n_closed, 0) AS wr, CASE WHEN cutoff > fs THEN (cutoff - fs) / 86400 END AS ad FROM prior p LEFT JOIN (SELECT t.entity_id, t.actor_id, min(a.first_ts) AS fs FROM top t JOIN act a ON a.actor_id = t.actor_id AND a.last_ts < t.cutoff WHERE t.rank <= 10 GROUP BY ALL) USING (entity_id, actor_id))
+ SELECT entity_id, (sum(n_prior) FILTER (has AND rank <= 3))::BIGINT AS top3_prior_entities, sum(sum_realized) FILTER (has AND rank <= 3) AS top3_prior_realized, avg(wr) FILTER (closed AND rank <= 3) AS top3_prior_winrate, max(sum_realized) FILTER (closed AND rank <= 3) AS top3_best_realized,
+ avg(ad) FILTER (has AND rank <= 3) AS top3_age_days, CASE WHEN count(*) > 3 THEN avg(wr) FILTER (closed) END AS top10_prior_winrate, CASE WHEN count(*) > 3 THEN sum(sum_realized) FILTER (has) END AS top10_prior_realized FROM x GROUP BY entity_id)),
+fg AS (SELECT * FROM (WITH RECURSIVE {top}, {_CLUSTER_SQL} SELECT entity_id, CASE WHEN count(fg.actor_id) > 0 THEN count(*) FILTER (is_sniper) END AS n_sniper, CASE WHEN count(fg.actor_id) > 0 THEN count(*) FILTER (is_smart) END AS n_smart, CASE WHEN count(fg.actor_id) > 0 THEN count(*) FILTER (is_bot) END AS n_bot,
+ CASE WHEN count(fg.actor_id) > 0 THEN count(*) FILTER (cluster_size BETWEEN 3 AND 50) END AS n_small_cluster FROM top t LEFT JOIN fg USING (actor_id) LEFT JOIN cl USING (actor_id) WHERE rank <= 10 GROUP BY entity_id)),
+la AS (SELECT * FROM (WITH {_label_sql(span)})),
+al AS (SELECT me.* EXCLUDE (created_at), nr.created_at, coalesce(fast_buy_count, 0) AS fast_buy_count, coalesce(fast_unique_buyers, 0) AS fast_unique_buyers, coalesce(fast_volume, 0) AS fast_volume, coalesce(fast_buy_rate, 0) AS fast_buy_rate, coalesce(fast_events, 0) AS fast_events,
+ CASE WHEN fast_price > 0 AND last_price > 0 THEN (last_price - fast_price) / fast_price * 100 ELSE 0 END AS pnl_at_fast_entry, entities_recent, concurrent, first_delay AS gap_to_first_event, 0.0::DOUBLE AS market_price, coalesce(n_buyers_first, 0) AS n_buyers_first,
+ ho.* EXCLUDE (entity_id), cs.* EXCLUDE (entity_id), pr.* EXCLUDE (entity_id), fg.* EXCLUDE (entity_id), exit_reason, realized, hour(to_timestamp(nr.created_at) AT TIME ZONE 'UTC') * (2 * pi() / 24) AS angle
+ FROM me JOIN nr USING (entity_id) LEFT JOIN fa USING (entity_id) LEFT JOIN nb USING (entity_id) LEFT JOIN ho USING (entity_id) LEFT JOIN cs USING (entity_id) LEFT JOIN pr USING (entity_id) LEFT JOIN fg USING (entity_id) LEFT JOIN la USING (entity_id)),
+de AS (SELECT *, sin(angle) AS hour_sin, cos(angle) AS hour_cos, buy_volume / (sell_volume + 0.01::DOUBLE) AS volume_ratio, buy_count / (sell_count + 1) AS count_ratio, max_buy / (avg_buy + 0.001::DOUBLE) AS buy_size_growth, fast_volume / (buy_volume + 0.01::DOUBLE) AS fast_volume_share, fast_buy_rate / (buy_count / {span} + 0.001::DOUBLE) AS fast_rate_share,
+ top5_3 - top1_3 AS top5_minus_top1, top10_3 - top5_3 AS top10_minus_top5, holders_3 / (holders_1 + 1) AS holder_growth, holders_1 / 30 AS holder_velocity_early, top1_1 + (top1_3 - top1_1) / 3 AS top1_at_2, (top1_3 - top1_1) / 3 AS top1_1_to_2, buy_rate_at_3 - buy_rate_at_2 AS buy_rate_2_to_3, unique_buyers_at_2 - unique_buyers_at_1 AS unique_buyers_1_to_2 FROM al)
+SELECT entity_id, {", ".join(order)}, (realized > 0)::INT AS label, realized, exit_reason FROM de"""
+
+
+def dataset(spark, sf_dir, span, order):
+    """The features of `order` for every entity with events in its window, and what its position would have made."""
+    tokens, trades = ledger_tokens(spark, sf_dir), ledger_trades(spark, sf_dir)
+    m = M.entity_metrics(window(spark, sf_dir, span), EARLY, ATTENTION, AGES_M).drop("created_at")
+    fast = M.entity_metrics(window(spark, sf_dir, FAST)).select("entity_id", F.col("last_price").alias("fast_price"), F.col("buy_count").alias("fast_buy_count"), F.col("unique_buyers").alias("fast_unique_buyers"), F.col("buy_volume").alias("fast_volume"), (F.col("buy_count") / F.greatest("window_span", F.lit(0.1))).alias("fast_buy_rate"), F.col("n_events").alias("fast_events"))
+    near = J.ranged_count(tokens, NEAR, True).withColumnRenamed("n", "entities_recent").join(J.ranged_count(tokens, NEAR, False).withColumnRenamed("n", "concurrent"), "entity_id")
+    first = M.buyers_within(window(spark, sf_dir, FIRST), FIRST).withColumnRenamed("n", "n_buyers_first")
+    held = X.holder_features(holders(spark, sf_dir), *AGES_H[:2])
+    observed = snapshots(spark, sf_dir).select("creator_id", F.col("ref_ts").alias("observed_at"), "n_prior", "median_peak", "mean_interval", "age_days", F.col("entity_id").alias("id"))
+    creator = J.asof(tokens.select("entity_id", "creator_id", (F.col("created_at") + span).alias("at")), observed, "creator_id", "at", "observed_at", ["n_prior", "median_peak", "mean_interval", "age_days"], tie="id")
+    several = F.col("n_prior") >= 2
+    creator = creator.select("entity_id", F.col("age_days").alias("creator_age_days"), F.when(several, F.col("median_peak")).alias("creator_median_peak"), F.when(several, F.col("mean_interval")).alias("creator_interval"), F.when(F.col("observed_at").isNotNull(), 0.0).alias("creator_balance"))
+    buyers = X.buyer_features(prior(spark, sf_dir, span))
+    flagged = top_flags(spark, sf_dir, span).join(actor_cluster_table(spark, sf_dir), "actor_id", "left")
+    known = F.count("is_sniper") > 0
+    flagged = flagged.groupBy("entity_id").agg(*(F.when(known, F.count_if(f"is_{c}")).alias(f"n_{c}") for c in ("sniper", "smart", "bot")), F.when(known, F.count_if(F.col("cluster_size").between(3, 50))).alias("n_small_cluster"))
+    points = M.entry_points(tokens, trades, span)
+    inside = points.where("status = 'entered'").join(tokens.select("entity_id", "creator_id"), "entity_id")
+    sim = E.simulated(trades, inside, spark.createDataFrame([LEDGER_CONFIG], E.PARAMS), WHALE, LEDGER_TICK).select("entity_id", "reason", "pnl")
+    d = m.join(tokens.select("entity_id", "created_at"), "entity_id")
+    for part in (near, fast, first, held, creator, buyers, flagged, points.select("entity_id", "status"), sim):
+        d = d.join(part, "entity_id", "left")
+    gain = F.when((F.col("fast_price") > 0) & (F.col("last_price") > 0), (F.col("last_price") - F.col("fast_price")) / F.col("fast_price") * 100).otherwise(0.0)
+    d = d.withColumns({"pnl_at_fast_entry": gain, "gap_to_first_event": F.col("first_delay"), "market_price": F.lit(0.0)})
+    d = X.derived(d.fillna(0, ["fast_buy_count", "fast_unique_buyers", "fast_volume", "fast_buy_rate", "fast_events", "n_buyers_first"]), span)
+    realized = F.coalesce(F.when(F.col("status") == "entered", F.col("pnl")), F.lit(0.0))
+    why = F.coalesce(F.when(F.col("status") != "entered", F.col("status")), "reason", F.lit("timeout"))
+    return X.in_order(d.withColumns({"label": (realized > 0).cast("int"), "realized": realized, "exit_reason": why}), [*order, "label", "realized", "exit_reason"], "entity_id")
+
+
+#: Columns that are exact on both sides; all others are sums, or follow from some, and are rounded.
+_EXACT = {"first_delay", "gap_to_first_event", "velocity_trend", "curve_velocity", "curve_acceleration", "sell_ratio", "count_ratio", "buys_per_unique", "fast_buy_rate", "fast_rate_share", "market_price", "creator_balance"}
+_COUNTS = {c for c in X.FEATURE_ORDER if c.startswith(("unique_", "n_", "holders_", "buy_rate")) or c.endswith("_events") or c in ("buy_count", "sell_count", "buy_diversity", "repeat_buyers", "fast_buy_count", "fast_unique_buyers", "entities_recent", "concurrent", "top3_prior_entities")}
+
+
+def _sums(order: list[str]) -> tuple[str, ...]:
+    return (*(c for c in order if c not in _EXACT | _COUNTS), "realized")
+
+
+@query(_dataset_sql(FULL, X.FEATURE_ORDER), rounded=_sums(X.FEATURE_ORDER), digits=4)
 def entry_dataset(spark, sf_dir):
-    return dataset(spark, sf_dir, full_metrics(spark, sf_dir))
+    return dataset(spark, sf_dir, FULL, X.FEATURE_ORDER)
 
 
-@query(f"WITH {MSQL.replace(f'created_at + {FULL}', f'created_at + {30 * DAY}')}, {TOP_SQL.split(A, 1)[1].lstrip(', ')} {_DATASET_SQL}", rounded=("top3_prior", "buy_volume"))
+@query(_dataset_sql(EARLY_SPAN, X.FEATURE_ORDER_EARLY), rounded=_sums(X.FEATURE_ORDER_EARLY), digits=4)
 def entry_dataset_early(spark, sf_dir):
-    return dataset(spark, sf_dir, M.entity_metrics(window(spark, sf_dir, 30 * DAY)))
+    return dataset(spark, sf_dir, EARLY_SPAN, X.FEATURE_ORDER_EARLY)
 
 
 _SAMPLE_SQL = f"""{ENTRY_SQL}, af AS (SELECT t.entity_id, t.ts, t.event_id, t.price, t.side, entry_ts FROM trades t JOIN entries USING (entity_id) WHERE ts > entry_ts), sm AS (SELECT entity_id, i, entry_ts + i * {12 * 3600.0} AS t FROM entries, range(1, 21) r(i))

@@ -123,9 +123,9 @@ prior AS (SELECT t.entity_id, t.actor_id, t.rank, t.cutoff, count(a.entity_id) A
  coalesce(sum(a.realized) FILTER (a.is_closed), 0) AS sum_realized, min(a.first_ts) AS first_seen FROM top t LEFT JOIN act a ON a.actor_id = t.actor_id AND a.entity_id <> t.entity_id AND a.last_ts < t.cutoff WHERE t.rank <= 10 GROUP BY ALL)"""
 
 
-def prior(spark, sf_dir):
-    top = M.top_buyers(window(spark, sf_dir), 10).select("entity_id", "actor_id", "rank")
-    cut = ledger_tokens(spark, sf_dir).select("entity_id", (F.col("created_at") + 365 * DAY).alias("cutoff"))
+def prior(spark, sf_dir, span=365 * DAY):
+    top = M.top_buyers(window(spark, sf_dir, span), 10).select("entity_id", "actor_id", "rank")
+    cut = ledger_tokens(spark, sf_dir).select("entity_id", (F.col("created_at") + span).alias("cutoff"))
     return C.prior_stats(top.join(cut, "entity_id"), activity(spark, sf_dir))
 
 
@@ -150,7 +150,11 @@ def flags(spark, sf_dir):
 
 @query(f"WITH {_CLASS_SQL} SELECT t.entity_id, t.actor_id, t.rank, is_sniper, is_bot, is_smart FROM top t LEFT JOIN fg USING (actor_id) WHERE rank <= 10")
 def classification_join(spark, sf_dir):
-    top = M.top_buyers(window(spark, sf_dir), 10).select("entity_id", "actor_id", "rank")
+    return top_flags(spark, sf_dir)
+
+
+def top_flags(spark, sf_dir, span=365 * DAY):
+    top = M.top_buyers(window(spark, sf_dir, span), 10).select("entity_id", "actor_id", "rank")
     return top.join(flags(spark, sf_dir).select("actor_id", "is_sniper", "is_bot", "is_smart"), "actor_id", "left").select("entity_id", "actor_id", "rank", "is_sniper", "is_bot", "is_smart")
 
 

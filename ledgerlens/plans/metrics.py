@@ -133,10 +133,7 @@ def observation_metrics(spark, sf_dir):
 
 @query(f"WITH {events_sql()} SELECT entity_id, count(DISTINCT actor_id) FILTER (is_buy AND age >= 0 AND age < {5 * DAY}) AS n_buyers_first FROM r GROUP BY entity_id")
 def n_buyers_first_5s(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    age = F.col("ts") - F.col("created_at")
-    return window(spark, sf_dir).groupBy("entity_id").agg(F.count_distinct(F.when((F.col("side") == "buy") & (age >= 0) & (age < 5 * DAY), F.col("actor_id"))).alias("n_buyers_first"))
+    return M.buyers_within(window(spark, sf_dir), 5 * DAY).withColumnRenamed("n", "n_buyers_first")
 
 
 @query(
