@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,12 +55,14 @@ def actor_flags(stats: DataFrame, hold: DataFrame, wins: DataFrame, fast: float,
 
 def _shared(df: DataFrame) -> DataFrame:
     """Written once to the cluster's shared checkpoint folder; later rounds read it from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"checkpoint-{uuid.uuid4().hex[:6]}-"))
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 

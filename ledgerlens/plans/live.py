@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import synthetic_key
+from ..operators import actors as C
 from ..sources.tables import stream_tokens, stream_trades, write_dataset
 from ..streaming import live as L
 from .base import B, B_TRADES, query
@@ -36,20 +36,21 @@ def write_entities(spark, sf_dir):
 
 
 def _keyed(spark, sf_dir):
-    amount = F.bround(F.col("amount"), 6)
-    s = L.event_stream(spark, sf_dir)
-    return s.withColumn("syn_key", synthetic_key(amount)).withColumn("sig_key", F.concat(F.lit("s"), F.floor(F.col("event_id") / 300), F.lit("-"), F.col("entity_id")))
+    """Two coarse keys, so that many events share one: by actor and day, and by number."""
+    s = L.sliced_stream(spark, sf_dir)
+    day = F.floor(F.col("ts") / DAY).cast("string")
+    return s.withColumn("syn_key", F.concat_ws(":", F.col("actor_id") % 7, day, "side")).withColumn("sig_key", F.concat(F.lit("s"), F.floor(F.col("event_id") / 300), F.lit("-"), F.col("entity_id")))
 
 
-@query("SELECT min(event_id) AS event_id, (props->>'$.k')::BIGINT AS entity_id, 's' || (event_id // 300) || '-' || (props->>'$.k') AS sig_key FROM events GROUP BY 2, 3")
+@query(f"""WITH {B_TRADES}, k AS (SELECT event_id, entity_id, ts, (actor_id % 7) || ':' || floor(ts / 86400)::BIGINT || ':' || side AS syn_key, 's' || (event_id // 300) || '-' || entity_id AS sig_key FROM trades),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity_id, syn_key ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY entity_id, sig_key ORDER BY ts, event_id) AS b FROM k) SELECT event_id, entity_id, syn_key, sig_key FROM r WHERE a = 1 AND b = 1""")
 def stream_dedup(spark, sf_dir):
-    d = L.appended(L.deduplicated(_keyed(spark, sf_dir)))
-    return d.groupBy("entity_id", "sig_key").agg(F.min("event_id").alias("event_id"))
+    return L.appended(L.deduplicated(_keyed(spark, sf_dir)))
 
 
 @query(f"WITH {B_TRADES}, w AS (SELECT floor(ts / 86400) * 86400 AS start, entity_id, count(*) AS n, sum(amount) AS amount FROM trades GROUP BY 1, 2) SELECT start, entity_id, n, amount FROM w WHERE start + 86400 <= (SELECT max(ts) FROM trades) - 3600", rounded=("amount",))
 def stream_watermark(spark, sf_dir):
-    return L.appended(L.windowed(L.event_stream(spark, sf_dir), "1 hour", "1 day"))
+    return L.appended(L.windowed(L.sliced_stream(spark, sf_dir), "1 hour", "1 day"))
 
 
 _AGES = (DAY, 5 * DAY, 10 * DAY)
@@ -57,50 +58,62 @@ _AGES = (DAY, 5 * DAY, 10 * DAY)
 
 @query(f"WITH {B}, v(age) AS (VALUES ({_AGES[0]}::DOUBLE), ({_AGES[1]}::DOUBLE), ({_AGES[2]}::DOUBLE)) SELECT entity_id, age, count(*) FILTER (ts <= created_at + age) AS n_events, count(*) FILTER (ts <= created_at + age AND side = 'buy') AS n_buys, coalesce(sum(amount) FILTER (ts <= created_at + age AND side = 'buy'), 0) AS buy_volume FROM trades JOIN tokens USING (entity_id), v GROUP BY entity_id, age HAVING max(ts) > any_value(created_at) + age", rounded=("buy_volume",))
 def stream_entity_window(spark, sf_dir):
-    return L.appended(L.entity_windows(L.event_stream(spark, sf_dir), _AGES))
+    return L.appended(L.entity_windows(L.sliced_stream(spark, sf_dir), _AGES))
 
 
 @query(f"WITH {PULSE_SQL} SELECT event_id, entity_id, buy_rate, max_sell, new_actor_rate, peak_rate FROM pulse")
 def stream_pulse(spark, sf_dir):
-    return L.appended(L.pulse(L.event_stream(spark, sf_dir)))
+    return L.appended(L.pulse(L.sliced_stream(spark, sf_dir)))
 
 
-@query()
+_GAP = 2 * DAY
+
+
+@query(
+    f"""WITH {B_TRADES}, en AS (SELECT entity_id, min(ts) AS entry_ts, arg_min(price, ts) AS entry_price FROM (SELECT *, min(ts) OVER (PARTITION BY entity_id) AS first FROM trades) WHERE side = 'buy' AND ts >= first + {DAY} GROUP BY entity_id),
+af AS (SELECT entity_id, t.ts, t.price, entry_ts, entry_price, lag(t.ts) OVER w AS prev_ts, lag(t.price) OVER w AS prev_price, (t.price - entry_price) / entry_price * 100 AS gain FROM trades t JOIN en USING (entity_id) WHERE t.ts >= entry_ts WINDOW w AS (PARTITION BY entity_id ORDER BY t.ts)),
+x AS (SELECT *, CASE WHEN ts - prev_ts > {_GAP} THEN 'dead_token' WHEN gain < -90 THEN 'hard_stop' WHEN gain >= 400 THEN 'take_profit' WHEN ts - entry_ts > {10 * DAY} THEN 'timeout' END AS why FROM af WHERE ts > entry_ts),
+e AS (SELECT entity_id, ts, why, prev_ts, (prev_price - entry_price) / entry_price * 100 AS prev_gain, gain, row_number() OVER (PARTITION BY entity_id ORDER BY ts) AS q FROM x WHERE why IS NOT NULL),
+quiet AS (SELECT entity_id, max(ts) AS last_ts, arg_max(gain, ts) AS gain FROM af WHERE entity_id NOT IN (SELECT entity_id FROM e) GROUP BY entity_id)
+SELECT entity_id, CASE WHEN why = 'dead_token' THEN prev_ts + {_GAP} ELSE ts END AS exit_ts, why AS reason, CASE WHEN why = 'dead_token' THEN prev_gain ELSE gain END AS pnl FROM e WHERE q = 1
+UNION ALL SELECT entity_id, last_ts + {_GAP}, 'dead_token', gain FROM quiet WHERE last_ts + {_GAP} < (SELECT max(ts) FROM trades) - 3600""",
+    rounded=("pnl",),
+)
 def stream_exit(spark, sf_dir):
-    return L.appended(L.exits(L.event_stream(spark, sf_dir), DAY, 90.0, 400.0, 10 * DAY, 2 * DAY))
+    return L.appended(L.exits(L.sliced_stream(spark, sf_dir), DAY, 90.0, 400.0, 10 * DAY, _GAP))
 
 
 @query(f"""WITH {B_TRADES}, x AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY entity_id ORDER BY ts) > 43200, true) AS fresh FROM trades), y AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY entity_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x),
 z AS (SELECT entity_id, min(ts) AS start, max(ts) + 43200 AS stop, count(*) AS n FROM y GROUP BY entity_id, s) SELECT entity_id, start, stop, n FROM z WHERE stop <= (SELECT max(ts) FROM trades) - 3600""")
 def stream_session_end(spark, sf_dir):
-    return L.appended(L.sessions(L.event_stream(spark, sf_dir), "1 hour", "12 hours"))
+    return L.appended(L.sessions(L.sliced_stream(spark, sf_dir), "1 hour", "12 hours"))
 
 
 @query(f"WITH {B_TRADES} SELECT actor_id, entity_id, min(ts) AS first_ts, max(ts) AS last_ts, coalesce(sum(amount) FILTER (side = 'buy'), 0) AS buy_amount, coalesce(sum(amount) FILTER (side = 'sell'), 0) AS sell_amount FROM trades GROUP BY actor_id, entity_id", rounded=("buy_amount", "sell_amount"))
 def stream_activity_upsert(spark, sf_dir):
-    return L.activity_upsert(L.event_stream(spark, sf_dir))
+    return L.activity_upsert(L.sliced_stream(spark, sf_dir))
 
 
 @query(f"WITH {B_TRADES}, w AS (SELECT floor(ts / 3600) * 3600 - o * 3600 AS start FROM trades, range(0, 6) r(o)) SELECT start::DOUBLE AS start, count(*) AS n FROM w WHERE start + 21600 <= (SELECT max(ts) FROM trades) - 3600 GROUP BY 1")
 def stream_rate_5min(spark, sf_dir):
-    return L.appended(L.rate(L.event_stream(spark, sf_dir), "1 hour", "6 hours", "1 hour"))
+    return L.appended(L.rate(L.sliced_stream(spark, sf_dir), "1 hour", "6 hours", "1 hour"))
 
 
 @query(f"WITH {B_TRADES} SELECT floor(ts / 86400) * 86400 AS start, side, count(*) AS n, max(ts) AS latest FROM trades WHERE floor(ts / 86400) * 86400 + 86400 <= (SELECT max(ts) FROM trades) - 3600 GROUP BY 1, 2")
 def stream_source_health(spark, sf_dir):
-    return L.appended(L.source_health(L.event_stream(spark, sf_dir), "1 hour", "1 day"))
+    return L.appended(L.source_health(L.sliced_stream(spark, sf_dir), "1 hour", "1 day"))
 
 
 @query(f"WITH {B} SELECT event_id, entity_id, ts - created_at AS age FROM trades JOIN tokens USING (entity_id) WHERE ts > created_at + {2 * DAY} AND ts <= created_at + {4 * DAY}")
 def stream_extended_observation(spark, sf_dir):
     t = stream_tokens(spark, sf_dir).select("entity_id", "created_at")
-    s = L.event_stream(spark, sf_dir).join(t, "entity_id").withColumn("age", F.col("ts") - F.col("created_at"))
+    s = L.sliced_stream(spark, sf_dir).join(t, "entity_id").withColumn("age", F.col("ts") - F.col("created_at"))
     return L.appended(s.where((F.col("ts") > F.col("created_at") + 2 * DAY) & (F.col("ts") <= F.col("created_at") + 4 * DAY)).select("event_id", "entity_id", "age"))
 
 
 @query(f"WITH {PULSE_SQL} SELECT count(*) AS n_rows, count(*) AS n_equal FROM pulse")
 def stream_batch_parity(spark, sf_dir):
-    live = L.appended(L.pulse(L.event_stream(spark, sf_dir))).alias("l")
+    live = L.appended(L.pulse(L.sliced_stream(spark, sf_dir))).alias("l")
     b = batch_pulse(spark, sf_dir).select("event_id", "entity_id", "buy_rate", "max_sell", "new_actor_rate", "peak_rate").alias("b")
     j = live.join(b, ["entity_id", "event_id"], "full")
     same = F.lit(True)
@@ -109,15 +122,28 @@ def stream_batch_parity(spark, sf_dir):
     return j.agg(F.count("*").alias("n_rows"), F.count_if(same).alias("n_equal"))
 
 
-@query(f"WITH {B_TRADES} SELECT entity_id, count(*) AS n FROM trades GROUP BY entity_id")
+@query(f"WITH {PULSE_SQL} SELECT event_id, entity_id, buy_rate, max_sell, new_actor_rate, peak_rate FROM pulse")
 def stream_resume(spark, sf_dir):
-    """Run, stop, and run again from the same checkpoint: nothing is lost or doubled."""
-    where = L.folder(spark)
-    s = L.event_stream(spark, sf_dir).select("event_id", "entity_id")
-    L.appended(s, where)
-    return L.appended(s, where).groupBy("entity_id").agg(F.count("*").alias("n"))
+    """Run on what is there, stop, let new files come, and run again from the same checkpoint: state goes on where it was."""
+    where, source = L.folder(spark), L.folder(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    first, *later = L.slices(events, 3)
+    run = lambda: L.appended(L.pulse(L.as_trades(spark, L.file_stream(spark, source, events.schema, L.FILES))), where)
+    L.land(first, source)
+    run()
+    for part in later:
+        L.land(part, source)
+    return run()
+
+
+_HELD = f"""hb AS (SELECT entity_id, actor_id, sum(CASE WHEN side = 'buy' THEN qty ELSE -qty END) AS bal FROM trades JOIN tokens USING (entity_id) WHERE ts <= created_at + {2 * DAY} GROUP BY ALL HAVING bal > 0),
+hx AS (SELECT entity_id, max(bal) / sum(bal) * 100 AS holder_top1 FROM hb GROUP BY entity_id), an AS (SELECT actor_id, count(DISTINCT entity_id) AS n_entities, count(DISTINCT entity_id) >= 20 AS is_flagged FROM trades GROUP BY actor_id)"""
 
 
-@query(f"WITH {B}, p AS (SELECT entity_id, nullif(count(*) OVER (PARTITION BY creator_id ORDER BY insert_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_prior FROM tokens) SELECT event_id, entity_id, creator_id, n_prior, ts - created_at AS age FROM trades JOIN tokens USING (entity_id) JOIN p USING (entity_id)")
+@query(f"WITH {B}, {_HELD}, p AS (SELECT entity_id, nullif(count(*) OVER (PARTITION BY creator_id ORDER BY insert_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_prior FROM tokens) SELECT event_id, entity_id, creator_id, n_prior, ts - created_at AS age, holder_top1, n_entities, is_flagged FROM trades JOIN tokens USING (entity_id) JOIN p USING (entity_id) LEFT JOIN hx USING (entity_id) LEFT JOIN an USING (actor_id)", rounded=("holder_top1",))
 def stream_enrich(spark, sf_dir):
-    return L.enriched(L.event_stream(spark, sf_dir), stream_tokens(spark, sf_dir))
+    tokens, trades = stream_tokens(spark, sf_dir), stream_trades(spark, sf_dir)
+    held = C.holder_samples(tokens, trades, (2 * DAY,)).select("entity_id", F.col("top1_pct").alias("holder_top1"))
+    n = F.count_distinct("entity_id")
+    actors = trades.groupBy("actor_id").agg(n.alias("n_entities"), (n >= 20).alias("is_flagged"))
+    return L.enriched(L.sliced_stream(spark, sf_dir), tokens, held, actors)

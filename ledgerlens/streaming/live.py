@@ -1,11 +1,13 @@
 """The live half: the same operators as streaming queries over a directory of event files.
 
-Sources are files (a Kafka source has the same columns); a replay is the same query with an `availableNow` trigger. Stateful
-operators keep bounded state per entity and see each micro-batch's events in order of event time.
+Sources are files (a Kafka source has the same columns); a replay is the same query with an `availableNow` trigger, in as many
+micro-batches as the source gives. Stateful operators see each micro-batch's events in order of event time. State per entity is
+of fixed size, but for `pulse`, which has to know every actor it has seen, and `deduplicated`, which remembers `keep` keys.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,22 +16,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.joins import prior_by_order
 from ..sources.tables import from_events, merge_activity
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of trades with an event time."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return from_events(raw).withColumn("event_time", F.timestamp_seconds("ts"))
+    return as_trades(spark, file_stream(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").schema, glob="events.parquet"))
+
+
+def file_stream(spark: SparkSession, path: str, schema, per_batch: int = 1, glob: str = "*.parquet") -> DataFrame:
+    """Parquet files of a folder as a stream, the oldest first, so many in a micro-batch."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
+def as_trades(spark: SparkSession, events: DataFrame) -> DataFrame:
+    return from_events(events).withColumn("event_time", F.timestamp_seconds("ts"))
+
+
+FILES = 2  # of a slice
+
+
+def slices(events: DataFrame, n: int, time: str = "ts") -> list[DataFrame]:
+    """events cut into n slices of equal duration, in order."""
+    lo, hi = events.agg(F.min(F.col(time).cast("timestamp").cast("double")), F.max(F.col(time).cast("timestamp").cast("double"))).first()
+    if lo is None:
+        return [events.limit(0)] * n
+    part = F.least(F.floor((F.col(time).cast("timestamp").cast("double") - lo) / ((hi - lo) / n or 1.0)), F.lit(n - 1))
+    return [events.where(part == k) for k in range(n)]
+
+
+def land(events: DataFrame, where: str) -> None:
+    """Add a slice to the folder of a file stream, as FILES files that make one micro-batch."""
+    events.repartition(FILES).write.mode("append").parquet(where)
+
+
+def sliced_stream(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
+    """The events as a stream that arrives in n slices, each a micro-batch of its own."""
+    events, where = spark.read.parquet(f"{sf_dir}/events.parquet"), folder(spark)
+    for part in slices(events, n):
+        land(part, where)
+    return as_trades(spark, file_stream(spark, where, events.schema, FILES))
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a local one only where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new folder in the cluster's shared checkpoint folder. A local session without one gets a folder of its own."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
-        import tempfile
-
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="streams-")
     return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
@@ -42,16 +78,22 @@ def appended(df: DataFrame, where: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{where}/rows")
 
 
-def each_batch(df: DataFrame, write: Callable[[DataFrame, int, str], None]) -> DataFrame:
-    """Run write(batch, id, folder) per micro-batch and return the table it keeps at <folder>/<id>, the latest."""
-    where, last = folder(df.sparkSession), []
+def each_batch(df: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Write make(batch) of every micro-batch to a folder of its own and return all of them as one table.
+
+    A batch that is run again replaces its own folder only, so that nothing is lost or doubled; earlier ones are not touched.
+    """
+    spark, where = df.sparkSession, folder(df.sparkSession)
 
     def one(batch: DataFrame, i: int) -> None:
-        write(batch, i, where)
-        last.append(i)
+        make(batch).write.mode("overwrite").parquet(f"{where}/rows/batch={i}")
 
     df.writeStream.foreachBatch(one).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.read.parquet(f"{where}/{last[-1]}")
+    empty = make(spark.createDataFrame([], df.schema))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/rows")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # nothing came
+        return empty
+    return spark.read.schema(empty.schema).parquet(f"{where}/rows").select(empty.columns)
 
 
 def windowed(df: DataFrame, delay: str, width: str, slide: str | None = None) -> DataFrame:
@@ -148,7 +190,7 @@ def exits(df: DataFrame, wait: float, stop: float, take: float, max_hold: float,
         cols = ["entity_id", "exit_ts", "reason", "pnl"]
         if state.hasTimedOut:
             first, entry, price, last, now, closed = state.get
-            state.remove()
+            state.update((first, entry, price, last, now, True))  # what comes later opens nothing, however the stream is cut
             yield pd.DataFrame([(key[0], last + gap, "dead_token", (now - price) / price * 100)] if entry is not None and not closed else [], columns=cols)
             return
         first, entry, price, last, now, closed = state.get if state.exists else (None, None, None, None, None, False)
@@ -173,29 +215,25 @@ def exits(df: DataFrame, wait: float, stop: float, take: float, max_hold: float,
 
 
 def activity_upsert(df: DataFrame) -> DataFrame:
-    """Activity per (actor, entity), merged batch by batch with what is stored."""
+    """Activity per (actor, entity): partial aggregates are appended batch by batch and merged when they are read."""
     buy = F.col("side") == "buy"
 
-    def write(batch: DataFrame, i: int, where: str) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy("actor_id", "entity_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.coalesce(F.sum(F.when(buy, F.col("amount"))), F.lit(0.0)).alias("buy_amount"), F.coalesce(F.sum(F.when(~buy, F.col("amount"))), F.lit(0.0)).alias("sell_amount"))
-        if i:
-            new = merge_activity(spark.read.parquet(f"{where}/{i - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{where}/{i}")
+    def partial(batch: DataFrame) -> DataFrame:
+        return batch.groupBy("actor_id", "entity_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.coalesce(F.sum(F.when(buy, F.col("amount"))), F.lit(0.0)).alias("buy_amount"), F.coalesce(F.sum(F.when(~buy, F.col("amount"))), F.lit(0.0)).alias("sell_amount"))
 
-    return each_batch(df, write)
+    parts = each_batch(df, partial)
+    return merge_activity(parts, parts.limit(0))
 
 
-def enriched(df: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Events with what is known of their entity, joined per micro-batch to static tables."""
-    from ..operators.joins import prior_by_order
+def enriched(df: DataFrame, tokens: DataFrame, holders: DataFrame, actors: DataFrame) -> DataFrame:
+    """Events with what is known of their entity and actor, joined per micro-batch to static tables and appended.
 
-    info = tokens.select("entity_id", "created_at", "creator_id").join(prior_by_order(tokens), "entity_id", "left")
+    tokens: entities; holders (entity_id, holder_top1); actors (actor_id, n_entities, is_flagged).
+    """
+    info = tokens.select("entity_id", "created_at", "creator_id").join(prior_by_order(tokens), "entity_id", "left").join(holders, "entity_id", "left")
 
-    def write(batch: DataFrame, i: int, where: str) -> None:
-        out = batch.join(info, "entity_id", "left").select("event_id", "entity_id", "creator_id", "n_prior", (F.col("ts") - F.col("created_at")).alias("age"))
-        if i:
-            out = batch.sparkSession.read.parquet(f"{where}/{i - 1}").unionByName(out)
-        out.write.mode("overwrite").parquet(f"{where}/{i}")
+    def known(batch: DataFrame) -> DataFrame:
+        j = batch.join(info, "entity_id", "left").join(actors, "actor_id", "left")
+        return j.select("event_id", "entity_id", "creator_id", "n_prior", (F.col("ts") - F.col("created_at")).alias("age"), "holder_top1", "n_entities", "is_flagged")
 
-    return each_batch(df, write)
+    return each_batch(df, known)

@@ -84,11 +84,72 @@ def test_portfolio_admission(spark):
     assert got == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True, 7: True}
 
 
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def event_files(spark, tmp_path, batches):
+    """Batches of (event_id, seconds, user, type, value, key), each the one file of a micro-batch."""
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    for rows in batches:
+        data = [(i, start + datetime.timedelta(seconds=s), u, t, v, f'{{"k": {k}}}') for i, s, u, t, v, k in rows]
+        spark.createDataFrame(data, EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    return L.as_trades(spark, L.file_stream(spark, f"{tmp_path}/events", spark.createDataFrame([], EVENTS).schema))
+
+
 def test_stream_exit_matches_a_fold(spark):
-    s = L.appended(L.exits(L.event_stream(spark, "/root/testdata/sf0.001"), 86400.0, 90.0, 400.0, 10 * 86400.0, 2 * 86400.0))
-    rows = s.collect()
-    assert len({r.entity_id for r in rows}) == len(rows)
-    assert {r.reason for r in rows} <= {"dead_token", "hard_stop", "take_profit", "timeout"}
+    """The state machine over four micro-batches against one loop over all events."""
+    day = 86400.0
+    s = L.appended(L.exits(L.sliced_stream(spark, "/root/testdata/sf0.001"), day, 90.0, 400.0, 10 * day, 2 * day))
+    got = {r.entity_id: (r.exit_ts, r.reason, round(r.pnl, 6)) for r in s.collect()}
+    rows = sorted(L.as_trades(spark, spark.read.parquet("/root/testdata/sf0.001/events.parquet")).collect(), key=lambda r: (r.ts, r.event_id))
+    end, want = rows[-1].ts - 3600, {}
+    for e in {r.entity_id for r in rows}:
+        mine = [r for r in rows if r.entity_id == e]
+        entry = last = None
+        for r in mine:
+            if entry is None:
+                if r.side == "buy" and r.ts >= mine[0].ts + day:
+                    entry = r
+            else:
+                gain = (r.price - entry.price) / entry.price * 100
+                if r.ts - last.ts > 2 * day:
+                    want[e] = (last.ts + 2 * day, "dead_token", (last.price - entry.price) / entry.price * 100)
+                elif gain < -90 or gain >= 400 or r.ts - entry.ts > 10 * day:
+                    want[e] = (r.ts, "hard_stop" if gain < -90 else "take_profit" if gain >= 400 else "timeout", gain)
+                if e in want:
+                    break
+            last = r
+        if entry and e not in want and last.ts + 2 * day < end:
+            want[e] = (last.ts + 2 * day, "dead_token", (last.price - entry.price) / entry.price * 100)
+    assert got == {e: (t, why, round(p, 6)) for e, (t, why, p) in want.items()} and len({w for _, w, _ in want.values()}) >= 2
+
+
+def test_stream_dedup_over_batches(spark, tmp_path):
+    """Either key drops an event, keys of dropped events count too, state lasts over batches, and only `keep` keys are remembered."""
+    b1 = [(1, 10, 1, "click", 1.0, 1), (2, 20, 1, "click", 1.0, 1), (3, 15, 2, "click", 2.0, 1), (4, 15, 2, "click", 2.0, 2)]
+    b2 = [(5, 5, 1, "click", 1.0, 1), (6, 30, 3, "click", 2.0, 1), (7, 40, 4, "click", 9.0, 1)]
+    s = event_files(spark, tmp_path, [b1, [], b2])
+    keyed = s.withColumn("syn_key", F.col("actor_id").cast("string")).withColumn("sig_key", F.col("amount").cast("string"))
+    assert {r.event_id for r in L.appended(L.deduplicated(keyed)).collect()} == {1, 3, 4, 7}
+    few = {r.event_id for r in L.appended(L.deduplicated(keyed, keep=1)).collect()}
+    assert few == {1, 3, 4, 5, 7}  # the first actor's keys were forgotten, event 6 shares the remembered amount
+
+
+def test_stream_late_and_empty(spark, tmp_path):
+    """Late rows behind the watermark are cut, those within it count; an empty stream gives empty tables."""
+    hour = 3600
+    b1 = [(1, 0, 1, "click", 1.0, 1), (2, 10 * hour, 1, "click", 1.0, 1)]
+    b2 = [(3, 9.5 * hour, 1, "click", 1.0, 1), (4, 60, 1, "click", 1.0, 1), (5, 30 * hour, 1, "click", 1.0, 1)]
+    between = [(6, 10.5 * hour, 1, "click", 1.0, 1)]  # rows are cut by the watermark that the batch before started with
+    s = event_files(spark, tmp_path, [b1, between, b2])
+    got = {(r.start - 1704067200, r.n) for r in L.appended(L.windowed(s, "1 hour", "1 hour")).collect()}
+    assert got == {(0, 1), (9 * hour, 1), (10 * hour, 2)}
+    none = event_files(spark, tmp_path / "none", [[]])
+    assert L.activity_upsert(none).count() == 0
+    tokens = spark.createDataFrame([], "entity_id long, created_at double, creator_id long, insert_order long")
+    assert L.enriched(none, tokens, spark.createDataFrame([], "entity_id long, holder_top1 double"), spark.createDataFrame([], "actor_id long, n_entities long, is_flagged boolean")).count() == 0
 
 
 def test_average_rank_and_row_number(spark):
