@@ -35,16 +35,19 @@ BALLS = 48  # balls at most, each of at least 1 / BALLS of the sample
 ENTRY = "table int, key int, salt int, split int, node long, copies long, ball int, vec binary, keys binary"
 
 
-def learn(sample: np.ndarray, rotations: int, rounds: int = 25, seed: int = 0) -> np.ndarray:
-    """Rotations as one matrix of d x (d * rotations): PCA, then alternate between codes and rotation."""
+def learn(sample: np.ndarray, rotations: int, rounds: int = 25, seed: int = 0, learned: int | None = None) -> np.ndarray:
+    """Rotations as one matrix of d x (d * rotations): PCA, then alternate between codes and rotation.
+
+    Beyond the first `learned` they stay random: in few dimensions learning always ends at the same one.
+    """
     rng = np.random.default_rng(seed)
     mean = sample.mean(0)
     _, _, axes = np.linalg.svd(sample - mean, full_matrices=True)
     v = (sample - mean) @ axes.T
     out = []
-    for _ in range(rotations):
+    for i in range(rotations):
         r, _ = np.linalg.qr(rng.standard_normal((len(axes), len(axes))))
-        for _ in range(rounds):
+        for _ in range(rounds if learned is None or i < learned else 0):
             code = np.where(v @ r >= 0, 1.0, -1.0)
             a, _, b = np.linalg.svd(code.T @ v)
             r = (a @ b).T
@@ -76,8 +79,9 @@ def probes(sample: np.ndarray, threshold: float, seed: int = 0) -> list[tuple[np
 def fitted(sample: np.ndarray, bits: int, tables: int, threshold: float, recall: float) -> tuple[np.ndarray, int]:
     """(rotations, tables): the planned tables, and more until the probes are missed with a chance of 1 - recall at most."""
     pairs, dims = probes(sample, threshold), sample.shape[1]
+    planned = -(-bits * tables // dims)
     while True:
-        rotation = learn(sample, -(-bits * tables // dims))[:, : bits * tables]
+        rotation = learn(sample, -(-bits * tables // dims), learned=planned)[:, : bits * tables]
         codes = lambda x: (x @ rotation >= 0).reshape(len(x), tables, bits)
         missed = max((1 - (codes(a) == codes(b)).all(2).any(1).mean() for a, b in pairs), default=0.0)
         if missed <= 1 - recall:
@@ -115,7 +119,7 @@ def _unit(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def linked(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, sample: int = SAMPLE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding array<float>).
+    """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, an array of numbers).
 
     Two rows link when the cosine of their vectors, in double precision, is at least `threshold`; equal vectors do.
     n_links counts the other rows linked directly, component_id is the smallest vec_id reachable. A pair at the
@@ -127,7 +131,9 @@ def linked(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, sam
     e = F.col("embedding")
     norm = F.aggregate(e, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     fine = F.coalesce(~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (norm > 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"))
+    # floats travel as they are, anything else as doubles
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     ids = rows.select("vec_id", F.when(fine, F.size(e)).alias("dims"), F.when(fine, F.xxhash64(e, F.lit(5))).alias("node"))
     lengths = ids.where("dims is not null").groupBy("dims").agg(F.count("*").alias("n")).where("n > 1").collect()
     ids = ids.select("vec_id", "node")
@@ -142,6 +148,7 @@ def linked(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, sam
 def _of_length(good: DataFrame, dims: int, n: int, threshold: float, recall: float, sample: int) -> DataFrame:
     """(node, links, component) of the n valid vectors of one length."""
     e = F.col("embedding")
+    number = np.float32 if good.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
     classes = good.groupBy(F.xxhash64(e, F.lit(5)).alias("node")).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     classes = materialize(classes)
 
@@ -166,7 +173,7 @@ def _of_length(good: DataFrame, dims: int, n: int, threshold: float, recall: flo
             if len(centres):
                 cos = u @ centres.T
                 ball = np.where(cos.max(1) >= math.cos(radius), cos.argmax(1), -1).astype(np.int32)
-            raw = np.ascontiguousarray(np.asarray(b.column("embedding").flatten(), np.float32)).reshape(len(u), dims)
+            raw = np.ascontiguousarray(np.asarray(b.column("embedding").flatten(), number)).reshape(len(u), dims)
             yield pa.RecordBatch.from_arrays(
                 [b.column("node"), b.column("least"), b.column("copies"), pa.array(ball), pa.array([x.tobytes() for x in raw], pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))],
                 names=["node", "least", "copies", "ball", "vec", "keys", "each"],
@@ -200,7 +207,7 @@ def _of_length(good: DataFrame, dims: int, n: int, threshold: float, recall: flo
         key, cross, part, node, copies, ball = (np.asarray(rows.column(c)) for c in ("key", "cross", "part", "node", "copies", "ball"))
         table = int(rows.column("table")[0].as_py())
         order = np.lexsort((node, key))
-        v = np.frombuffer(b"".join(rows.column("vec").to_pylist()), np.float32).reshape(len(node), -1)[order].astype(float)
+        v = np.frombuffer(b"".join(rows.column("vec").to_pylist()), number).reshape(len(node), -1)[order].astype(float)
         v /= np.linalg.norm(v, axis=1, keepdims=True)
         keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.int32).reshape(len(node), -1)[order][:, :table]
         key, cross, part, node, copies, ball = (x[order] for x in (key, cross, part, node, copies, ball))

@@ -531,6 +531,14 @@ def test_embeddings_shared_direction(spark):
         assert sum(got.values()) >= 0.96 * want.sum()
 
 
+def test_embeddings_tie_at_the_threshold_in_doubles(spark):
+    """A pair at the threshold links and one just below it does not; floats could not tell them apart."""
+    a, b = [1.0, 0.0], lambda c: [c, math.sqrt(1 - c * c)]
+    data = [(1, a), (2, b(0.9 + 1e-12)), (3, [0.0, 0.0, 1.0]), (4, [0.0, math.sqrt(1 - (0.9 - 1e-10) ** 2), 0.9 - 1e-10])]
+    got = {r.vec_id: r.n_links for r in embeddings.linked(spark.createDataFrame(data, "vec_id long, embedding array<double>"), 0.9).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
 def test_embeddings_salted_and_lengths(spark, monkeypatch):
     rng = np.random.default_rng(6)
     centre = np.eye(16)[0]
