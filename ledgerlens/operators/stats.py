@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank
+from .windows import average_rank, global_row_number, ranged
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -24,11 +24,11 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(n), label).withColumn("weight", F.lit(float(total or 1)) / (F.col("_c") * (k or 1))).drop("_c")  # a row per class
 
 
-def train_classifier(df: DataFrame, label: str, kind: str = "gbt", **params):
+def train_classifier(df: DataFrame, label: str, kind: str = "gbt", seed: int = 7, **params):
     from pyspark.ml import classification as c
 
     make = {"gbt": c.GBTClassifier, "forest": c.RandomForestClassifier, "logistic": c.LogisticRegression}[kind]
-    return make(labelCol=label, weightCol="weight", seed=7, **params).fit(df) if kind != "logistic" else make(labelCol=label, weightCol="weight", **params).fit(df)
+    return make(labelCol=label, weightCol="weight", seed=seed, **params).fit(df) if kind != "logistic" else make(labelCol=label, weightCol="weight", **params).fit(df)
 
 
 def train_regressor(df: DataFrame, label: str, **params):
@@ -68,15 +68,14 @@ def ks_two_sample(df: DataFrame, value: str, side: str) -> DataFrame:
 
     Counts per distinct value first; cumulative shares over ranges of values, as for ranks.
     """
-    counts = df.groupBy(value).agg(F.count_if(F.col(side) == 0).alias("a"), F.count_if(F.col(side) == 1).alias("b"))
-    lo, hi, na, nb = counts.agg(F.min(value), F.max(value), F.sum("a"), F.sum("b")).first()
-    width = (float(hi - lo) / 64) if lo is not None and hi > lo else 1.0
-    c = counts.withColumn("_b", F.floor((F.col(value) - F.lit(lo)) / width))
-    per = c.groupBy("_b").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))  # 65 rows
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    off = per.select("_b", (F.sum("sa").over(w) - F.col("sa")).alias("oa"), (F.sum("sb").over(w) - F.col("sb")).alias("ob"))
-    v = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    d = c.join(F.broadcast(off), "_b").select(F.abs((F.col("oa") + F.sum("a").over(v)) / F.lit(float(na or 1)) - (F.col("ob") + F.sum("b").over(v)) / F.lit(float(nb or 1))).alias("d"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(side) == 0).alias("a"), F.count_if(F.col(side) == 1).alias("b"))
+    n, na, nb = counts.agg(F.count("*"), F.sum("a"), F.sum("b")).first()
+    c, r = ranged(counts, value, n)
+    per = c.groupBy(r).agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))  # a row for each range
+    w = Window.orderBy(r).rowsBetween(Window.unboundedPreceding, 0)
+    off = per.select(r, (F.sum("sa").over(w) - F.col("sa")).alias("oa"), (F.sum("sb").over(w) - F.col("sb")).alias("ob"))
+    v = Window.partitionBy(r).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    d = c.join(off, r).select(F.abs((F.col("oa") + F.sum("a").over(v)) / F.lit(float(na or 1)) - (F.col("ob") + F.sum("b").over(v)) / F.lit(float(nb or 1))).alias("d"))
     m = F.sqrt(F.lit(float((na or 1) * (nb or 1)) / float((na or 1) + (nb or 1))))
     x = F.col("ks") * m
     terms = sum((F.exp(-2.0 * k * k * x * x) * (2.0 if k % 2 else -2.0) for k in range(1, 21)), F.lit(0.0))
@@ -98,6 +97,42 @@ def threshold_search(df: DataFrame, proba: str, outcome: str, least: int) -> Dat
     return g.withColumn("usable", F.col("n") >= least)
 
 
+def chosen_thresholds(df: DataFrame, proba: str, outcome: str, least: int) -> DataFrame:
+    """(ceiling, floor, source, ev): where to buy and where to skip.
+
+    The ceiling is the usable threshold of the highest mean outcome, if that is positive; the floor the highest threshold
+    below it under which the mean outcome is negative on enough rows. Without such a ceiling the upper and the lower
+    quintile of the scores are used.
+    """
+    above = threshold_search(df, proba, outcome, least).where("usable").agg(F.max_by(F.struct("threshold", "ev"), F.struct(F.round("ev", 9), -F.col("threshold"))).alias("m"))
+    grid = F.explode(F.array(*(F.lit(i / 10) for i in range(1, 10)))).alias("threshold")
+    below = df.select(proba, outcome, grid).where(F.col(proba) < F.col("threshold")).groupBy("threshold").agg(F.count("*").alias("n"), F.avg(outcome).alias("ev")).where((F.col("n") >= least) & (F.col("ev") < 0))
+    below = below.agg(F.sort_array(F.collect_list("threshold")).alias("low"))  # nine at most
+    q = df.agg(F.percentile(proba, F.lit(0.8)).alias("hi"), F.percentile(proba, F.lit(0.2)).alias("lo"))
+    j = above.crossJoin(below).crossJoin(q)  # a row each
+    good = F.coalesce(F.col("m.ev") > 0, F.lit(False))
+    floor = F.array_max(F.filter("low", lambda t: t < F.col("m.threshold")))
+    return j.select(F.when(good, F.col("m.threshold")).otherwise(F.col("hi")).alias("ceiling"), F.when(good, F.coalesce(floor, F.lit(0.0))).otherwise(F.col("lo")).alias("floor"), F.when(good, "search").otherwise("quintiles").alias("source"), F.when(good, F.col("m.ev")).alias("ev"))
+
+
+def top_precision(df: DataFrame, score: str, label: str, tie: str, share: float = 0.1) -> DataFrame:
+    """(n_top, precision, base_rate, lift) of the `share` of rows with the highest score, ties by `tie`."""
+    n = df.count()
+    k = max(1, int(n * share))
+    r = global_row_number(df.withColumn("_down", -F.col(score)), "_down", (tie,))
+    top = F.col("row") <= k
+    g = r.agg(F.count_if(top).alias("n_top"), F.avg(F.when(top, F.col(label))).alias("precision"), F.avg(label).alias("base_rate"))
+    return g.withColumn("lift", F.try_divide("precision", "base_rate"))
+
+
+def permuted(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """df with its labels dealt out anew: the row that is k-th by a hash gets the label of the k-th by `key`."""
+    order = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)).cast("double")
+    by_key = global_row_number(df.select(F.col(key).alias("_k"), F.col(label).alias("_label")), "_k").select("row", "_label")
+    by_hash = global_row_number(df.withColumn("_h", order), "_h", (key,))
+    return by_hash.join(by_key, "row").drop("row", "_h", label).withColumnRenamed("_label", label)
+
+
 def gated_eval(df: DataFrame, proba: str, outcome: str, lo: float, hi: float) -> DataFrame:
     zone = F.when(F.col(proba) >= hi, "BUY").when(F.col(proba) < lo, "SKIP").otherwise("RULES")
     return df.groupBy(zone.alias("zone")).agg(F.count("*").alias("n"), F.avg((F.col(outcome) > 0).cast("int")).alias("win_rate"), F.avg(outcome).alias("mean_outcome"))
@@ -117,19 +152,55 @@ def economic_backtest(df: DataFrame, proba: str, pnl: str, threshold: float, cos
 
 
 def leak_check(importance: DataFrame, leaks: list[str], top: int = 10) -> DataFrame:
-    """Known leaks among the `top` features (feature, importance) of a model; a model has few features."""
-    r = importance.orderBy(F.desc("importance"), "feature").limit(top)
+    """Known leaks among the `top` features (feature, importance) of a model, ties by name; a model has few features."""
+    r = importance.orderBy(F.desc(F.round("importance", 9)), "feature").limit(top)
     return r.select("feature", "importance", F.col("feature").isin(leaks).alias("leak"))
 
 
-def bootstrap_ci(df: DataFrame, key: str, value: str, draws: int, seed: int, level: float = 0.95) -> DataFrame:
-    """Percentile interval of a mean by hash-seeded Poisson weights; one pass, draws are a small broadcast range."""
-    u = (F.pmod(F.xxhash64(key, "b", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    w = F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).when(u < 0.99634, 4).otherwise(5)
-    d = df.sparkSession.range(draws).withColumnRenamed("id", "b")
-    m = df.select(key, value).crossJoin(F.broadcast(d)).withColumn("w", w).groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
+def bootstrap_ci(df: DataFrame, key: str, score: str, label: str, draws: int, seed: int, level: float = 0.95, bins: int = 1000, share: float = 0.1) -> DataFrame:
+    """(metric, mean, lo, hi): percentile intervals of base rate, AUC and precision among the top `share` by score.
+
+    Every row gets a Poisson weight for each draw, hashed from its key, and counts per draw and bin of the score (of `bins`
+    equal ones between its least and its greatest) are all that leaves a task: draws x bins at most, whatever the rows.
+    Pairs within a bin count half for the AUC, and the bin at the cut counts in part for the precision.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    lo, hi = df.agg(F.min(score).cast("double"), F.max(score).cast("double")).first()
+    width = (hi - lo) / bins if lo is not None and hi > lo else 1.0
+    cuts = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, i + 1)) for i in range(10)])  # of a Poisson variable of mean 1
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+        return x ^ (x >> np.uint64(33))
+
+    def count(batches):
+        total = np.zeros((draws, 2, bins + 1))
+        for b in batches:
+            h, at, y = (np.asarray(b.column(i)) for i in range(3))
+            for d in range(draws):
+                u = mixed(h.view(np.uint64) ^ mixed(np.full(1, d + 1, np.uint64))).astype(float) / 2.0**64
+                np.add.at(total[d], (y, at), np.searchsorted(cuts, u))
+        d, y, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(y), pa.array(at), pa.array(total[d, y, at])], names=["draw", "y", "bin", "w"])
+
+    at = F.least(F.floor((F.col(score) - F.lit(lo or 0.0)) / width), F.lit(bins)).cast("long")
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isin(0, 1)).select(F.xxhash64(key, F.lit(seed)).alias("h"), at.alias("at"), F.col(label).cast("long").alias("y"))
+    g = rows.mapInArrow(count, "draw long, y long, bin long, w double").groupBy("draw", "bin").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0.0)).alias("q"))
+    w = Window.partitionBy("draw").orderBy(F.desc("bin"))
+    whole = Window.partitionBy("draw")
+    g = g.select("*", F.sum("p").over(w).alias("p_up"), F.sum(F.col("p") + F.col("q")).over(w).alias("n_up"), F.sum(F.col("p") + F.col("q")).over(whole).alias("n"))
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("n") * share - (F.col("n_up") - F.col("p") - F.col("q"))) / (F.col("p") + F.col("q"))))
+    m = g.groupBy("draw").agg(
+        F.try_divide(F.sum("p"), F.sum(F.col("p") + F.col("q"))).alias("base_rate"),
+        F.try_divide(F.sum(F.col("q") * (F.col("p_up") - F.col("p") / 2)), F.sum("p") * F.sum("q")).alias("auc"),
+        F.try_divide(F.sum(F.col("p") * inside), F.sum((F.col("p") + F.col("q")) * inside)).alias("precision"),
+    )
     cut = (1 - level) / 2
-    return m.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(cut)).alias("lo"), F.percentile("m", F.lit(1 - cut)).alias("hi"))
+    long = m.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in ("base_rate", "auc", "precision")))).alias("x")).select("x.*")
+    return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(cut)).alias("lo"), F.percentile("v", F.lit(1 - cut)).alias("hi"))
 
 
 def knn_label_noise(df: DataFrame, key: str, vector: str, label: str, k: int, block: int = 512) -> DataFrame:
@@ -182,8 +253,15 @@ def skill_gate(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("verdict", v)
 
 
-def model_health(df: DataFrame, proba: str, by: str) -> DataFrame:
-    """Spread between the 1st and 99th percentile of each group's scores, its median, and whether the spread is too small."""
-    p = lambda q: F.percentile(proba, F.lit(q))
-    g = df.groupBy(by).agg(p(0.01).alias("p1"), p(0.5).alias("p50"), p(0.99).alias("p99"))
-    return g.withColumn("flat", F.col("p99") - F.col("p1") < 0.30)
+def model_health(df: DataFrame, proba: str, by: str, label: str, recent, base_auc: float, base_median: float, flat: float = 0.30, drop: float = 0.05, shift: float = 0.10) -> DataFrame:
+    """Per group: percentiles of the scores, whether their spread is too small, and whether recent rows (a condition) have lost
+    AUC or moved their median against a baseline."""
+    p = lambda q, c=True: F.percentile(F.when(c, F.col(proba)) if c is not True else F.col(proba), F.lit(q))
+    g = df.groupBy(by).agg(p(0.01).alias("p1"), p(0.5).alias("p50"), p(0.99).alias("p99"), p(0.5, recent).alias("recent_p50"))
+    now = df.where(recent & F.col(label).isNotNull())
+    w = Window.partitionBy(by).orderBy(proba)
+    counts = now.groupBy(by, proba).agg(F.count_if(F.col(label) == 1).alias("a"), F.count_if(F.col(label) == 0).alias("b"))
+    under = F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("b") / 2
+    auc_ = counts.withColumn("u", F.col("a") * under).groupBy(by).agg(F.try_divide(F.sum("u"), F.sum("a") * F.sum("b")).alias("recent_auc"))
+    g = g.join(auc_, by, "left").withColumn("flat", F.col("p99") - F.col("p1") < flat)
+    return g.withColumn("auc_drop", F.coalesce(F.lit(base_auc) - F.col("recent_auc") > drop, F.lit(False))).withColumn("p50_shift", F.coalesce(F.abs(F.col("recent_p50") - base_median) > shift, F.lit(False)))

@@ -92,54 +92,78 @@ def drawdown(book: DataFrame, keys: list[str], order: list[str], start: float) -
     return b.groupBy(*keys).agg(F.max_by("dd", F.struct(*order)).alias("current_drawdown"), F.max("dd").alias("max_drawdown"))
 
 
-def average_rank(df: DataFrame, value: str, buckets: int = 64) -> DataFrame:
-    """df with avg_rank, ties sharing the mean of their ranks.
+RANGES, MOST_RANGES, PER_RANGE = 64, 1024, 10_000  # so many ranges of rows, and between these about so many rows in each
 
-    Ranks come from counts per distinct value in two stages: values are dealt into ranges, ranges get offsets, and only counts
-    are summed, never rows in one task.
+
+def ranged(df: DataFrame, value: str, n: int) -> tuple[DataFrame, str]:
+    """df with a range number that grows with `value` (NULL last) and the name of its column.
+
+    Bounds are approximate quantiles, so ranges hold about as many rows each however the values are spread.
+    """
+    k = min(MOST_RANGES, max(RANGES, n // PER_RANGE))
+    bounds = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / k for i in range(1, k)], 10 * k).alias("b")).first()["b"] or []
+    bounds = sorted(set(bounds))
+    own = "_range"
+    while own in df.columns:
+        own += "_"
+    rank = F.size(F.filter(F.lit(bounds), lambda b: b < F.col(value))) if len(bounds) else F.lit(0)
+    return df.withColumn(own, F.when(F.col(value).isNull(), len(bounds) + 1).otherwise(rank)), own
+
+
+def average_rank(df: DataFrame, value: str) -> DataFrame:
+    """df with avg_rank, ties sharing the mean of their ranks; NULL for NULL.
+
+    Ranks come from counts per distinct value in two stages: values are dealt into ranges of about equal counts, ranges get
+    offsets, and only counts are summed, never rows in one task.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    lo, hi = df.agg(F.min(value), F.max(value)).first()
-    width = ((hi - lo) / buckets if lo is not None and hi > lo else 1.0) or 1.0
-    counts = counts.withColumn("_b", F.floor((F.col(value) - F.lit(lo)) / F.lit(width)))
-    per = counts.groupBy("_b").agg(F.sum("c").alias("s"))  # buckets + 1 rows
-    offset = per.select("_b", (F.sum("s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("o"))
-    w = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.join(F.broadcast(offset), "_b").select(value, (F.col("o") + F.sum("c").over(w) - F.col("c") + (F.col("c") + 1) / 2).alias("avg_rank"))
+    counts, r = ranged(counts, value, counts.count())
+    per = counts.groupBy(r).agg(F.sum("c").alias("s"))  # a row for each range
+    offset = per.select(r, (F.sum("s").over(Window.orderBy(r).rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("o"))
+    w = Window.partitionBy(r).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranks = counts.join(offset, r).select(value, (F.col("o") + F.sum("c").over(w) - F.col("c") + (F.col("c") + 1) / 2).alias("avg_rank"))
     return df.join(ranks, value, "left")
 
 
-def chrono_split(df: DataFrame, key: str, share: float) -> DataFrame:
-    """df with split: the earliest floor(n * share) rows by `key` (unique) are train; the boundary is found by ranges of the key."""
-    n = df.count()
-    cut = int(n * share)
-    ranked = global_row_number(df, key)
+def chrono_split(df: DataFrame, key: str, share: float, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with split: the earliest floor(n * share) rows by `key`, then `ties`, are train; NULL keys are the latest."""
+    cut = int(df.count() * share)
+    ranked = global_row_number(df, key, ties)
     return ranked.withColumn("split", F.when(F.col("row") <= cut, "train").otherwise("test")).drop("row")
 
 
-def global_row_number(df: DataFrame, key: str, buckets: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
-    """df with row: the position by a numeric key (and ties), from offsets of key ranges and numbers within a range."""
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    width = float(hi - lo) / buckets if lo is not None and hi > lo else 1.0
-    d = df.withColumn("_b", F.floor((F.col(key) - F.lit(lo)) / F.lit(width)))
-    per = d.groupBy("_b").agg(F.count("*").alias("s"))  # buckets + 1 rows
-    offset = per.select("_b", (F.sum("s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("_o"))
-    return d.join(F.broadcast(offset), "_b").withColumn("row", F.col("_o") + F.row_number().over(Window.partitionBy("_b").orderBy(key, *ties))).drop("_b", "_o")
+def chrono_parts(df: DataFrame, key: str, shares: dict[str, float], ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with split: parts in order of `key`, then `ties`, each with its share of the rows; the last takes what is left."""
+    n, at, split = df.count(), 0.0, F.when(F.lit(False), "")
+    for name, share in list(shares.items())[:-1]:
+        at += share
+        split = split.when(F.col("row") <= int(n * at), name)
+    return global_row_number(df, key, ties).withColumn("split", split.otherwise(list(shares)[-1])).drop("row")
+
+
+def global_row_number(df: DataFrame, key: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with row: the position by a numeric key (NULL last) and ties, from offsets of key ranges and numbers within a range."""
+    d, r = ranged(df, key, df.count())
+    per = d.groupBy(r).agg(F.count("*").alias("s"))  # a row for each range
+    offset = per.select(r, (F.sum("s").over(Window.orderBy(r).rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("_o"))
+    return d.join(offset, r).withColumn("row", F.col("_o") + F.row_number().over(Window.partitionBy(r).orderBy(F.col(key).asc_nulls_last(), *ties))).drop(r, "_o")
 
 
 def grouped_split(df: DataFrame, group: str, key: str, share: float) -> DataFrame:
     """Train and test by groups in order of their first key (ties by group); no group is on both sides."""
     first = df.groupBy(group).agg(F.min(key).alias("f"))
     cut = int(first.count() * share)
-    order = global_row_number(first, "f", ties=(group,))
+    order = global_row_number(first, "f", (group,))
     return df.join(order.select(group, F.when(F.col("row") <= cut, "train").otherwise("test").alias("split")), group)
 
 
 def time_folds(df: DataFrame, key: str, k: int, burn: float = 0.1) -> DataFrame:
     """df with fold 0..k-1 of equal duration, after the first `burn` share of the time span; earlier rows are dropped."""
     lo, hi = df.agg(F.min(key), F.max(key)).first()
+    if lo is None:
+        return df.withColumn("fold", F.lit(0)).limit(0)
     start = lo + (hi - lo) * burn
-    width = (hi - start) / k
+    width = (hi - start) / k or 1.0
     return df.where(F.col(key) >= start).withColumn("fold", F.least(F.floor((F.col(key) - start) / width), F.lit(k - 1)).cast("int"))
 
 

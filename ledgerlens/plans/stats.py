@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats as S
-from ..operators.windows import chrono_split
+from ..operators.windows import chrono_parts
 from ..sources.tables import table
+from ..streaming.live import folder
 from .base import query
 from .store import POSITIONS_SQL, positions
 
-FEATURES = ["entry_buyer_number", "score", "proba", "hold_seconds"]
+FEATURES = ["entry_buyer_number", "score", "hold_seconds"]
+SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
 MID = 1704067200.0 + 15 * 86400.0
 
 
@@ -19,42 +21,54 @@ def labelled(spark, sf_dir):
     return p.withColumn("label", (F.col("pnl_pct") + F.col("score") / 4 > 10).cast("int"))
 
 
-def _split(spark, sf_dir):
-    d = S.assembled(S.balanced(labelled(spark, sf_dir), "label"), FEATURES)
-    s = chrono_split(d, "entry_time", 0.7)
-    return s.where("split = 'train'"), s.where("split = 'test'")
+def _parts(df, label="label"):
+    """Rows with a vector of features and balanced weights, by time: 70 % train, 15 % validation, 15 % test."""
+    d = S.assembled(S.balanced(df, label), FEATURES)
+    s = chrono_parts(d, "entry_time", SHARES, ("id",))
+    return tuple(s.where(F.col("split") == name) for name in SHARES)
+
+
+def _report(model, rows, name):
+    """AUC, precision among the top 10 % and base rate of a model on rows."""
+    p = S.probabilities(model, rows, ["id", "label"])
+    return S.auc(p, "proba", "label").crossJoin(S.top_precision(p, "proba", "label", "id")).withColumn("part", F.lit(name))  # a row each
 
 
 @query()
 def train_entry(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
+    """A boosted classifier, chosen on nothing but its training part: how it does on validation and test."""
+    train, val, test = _parts(labelled(spark, sf_dir))
     m = S.train_classifier(train, "label", "gbt", maxIter=5, maxDepth=3)
-    return S.probabilities(m, test, ["id", "label"])
+    return _report(m, val, "val").unionByName(_report(m, test, "test"))
 
 
 @query()
 def train_entry_regression(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
+    """The clipped result as a number: rank correlation with the result, and AUC of its sign, on the test part."""
+    train, _, test = _parts(labelled(spark, sf_dir))
     m = S.train_regressor(train.withColumn("y", F.greatest(F.least("pnl_pct", F.lit(300.0)), F.lit(-100.0))), "y", maxIter=5, maxDepth=3)
-    return m.transform(test).select("id", "pnl_pct", "prediction")
+    p = m.transform(test).select("id", "pnl_pct", "prediction").withColumn("won", (F.col("pnl_pct") > 0).cast("int"))
+    return S.spearman(p, "prediction", "pnl_pct").crossJoin(S.auc(p, "prediction", "won").select(F.col("auc").alias("sign_auc")))  # a row each
 
 
 @query()
 def train_quantile(spark, sf_dir):
-    from pyspark.ml.regression import AFTSurvivalRegression
-
-    train, test = _split(spark, sf_dir)
-    t = train.withColumn("censor", (F.col("exit_reason") != "timeout").cast("double")).withColumn("life", F.greatest("hold_seconds", F.lit(0.1)))
+    """Quantile heads for the hold and for the result (moved above 0): the share of test rows at or below each."""
     from pyspark.ml.feature import VectorAssembler
-
-    a = VectorAssembler(inputCols=["entry_buyer_number", "score", "proba"], outputCol="x")
-    m = AFTSurvivalRegression(featuresCol="x", labelCol="life", censorCol="censor", quantileProbabilities=[0.25, 0.75], quantilesCol="q").fit(a.transform(t))
     from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import AFTSurvivalRegression
 
-    q = vector_to_array("q")
-    return m.transform(a.transform(test)).select("id", "hold_seconds", q[0].alias("q25"), q[1].alias("q75"))
-
-
+    train, _, test = _parts(labelled(spark, sf_dir))
+    a, out = VectorAssembler(inputCols=["entry_buyer_number", "score"], outputCol="x"), None
+    closed = F.col("exit_reason") != "timeout"
+    for head, y, known in (("hold", F.col("hold_seconds"), closed.cast("double")), ("result", F.col("pnl_pct") + 101.0, F.lit(1.0))):
+        t = train.withColumn("y", F.greatest(y, F.lit(0.1))).withColumn("censor", known)
+        m = AFTSurvivalRegression(featuresCol="x", labelCol="y", censorCol="censor", quantileProbabilities=[0.25, 0.75], quantilesCol="q").fit(a.transform(t))
+        p = m.transform(a.transform(test.withColumn("y", y))).select("y", F.posexplode(vector_to_array("q")).alias("i", "at"))
+        row = p.groupBy("i").agg(F.count("*").alias("n"), F.avg((F.col("y") <= F.col("at")).cast("int")).alias("coverage"))
+        row = row.select(F.lit(head).alias("head"), F.when(F.col("i") == 0, 0.25).otherwise(0.75).alias("quantile"), "n", "coverage")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(f"WITH {POSITIONS_SQL}, x AS (SELECT min(score) AS lo, max(score) AS hi FROM positions) SELECT least(floor((score - lo) / ((hi - lo) / 10)), 9)::BIGINT AS cell, count(*) AS n, quantile_cont(pnl_pct, 0.25) AS q25, quantile_cont(pnl_pct, 0.75) AS q75 FROM positions, x GROUP BY 1", rounded=("q25", "q75"))
@@ -64,20 +78,40 @@ def quantile_cells(spark, sf_dir):
 
 @query()
 def train_timing(spark, sf_dir):
+    """Three classes (enter, wait, skip): the confusion table on the test part."""
     d = labelled(spark, sf_dir).withColumn("label", F.when(F.col("pnl_pct") > 20, 2).when(F.col("pnl_pct") > -20, 1).otherwise(0))
-    a = S.assembled(S.balanced(d, "label"), FEATURES)
-    m = S.train_classifier(a, "label", "forest", numTrees=8, maxDepth=4)
-    return m.transform(a).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    train, _, test = _parts(d)
+    m = S.train_classifier(train, "label", "forest", numTrees=8, maxDepth=4)
+    return m.transform(test).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
 @query()
 def train_hazard(spark, sf_dir):
+    """Hazard per bucket of life on later positions; `degenerate` if the model tells nearly nothing apart."""
     from ..operators.exits import hazard_rows
 
-    h = hazard_rows(positions(spark, sf_dir), 5.0, 50.0, -3.0).join(positions(spark, sf_dir).select("id", "score"), "id")
-    a = S.assembled(S.balanced(h.withColumnRenamed("died", "label"), "label"), ["bucket", "score"])
-    m = S.train_classifier(a, "label", "logistic")
-    return S.probabilities(m, a, ["id", "bucket", "label"]).groupBy("bucket").agg(F.count("*").alias("n"), F.avg("label").alias("rate"), F.avg("proba").alias("mean_proba"))
+    p = positions(spark, sf_dir)
+    h = hazard_rows(p, 5.0, 50.0, -3.0).withColumnRenamed("died", "label").join(p.select("id", "score", "entry_time"), "id")
+    a = chrono_parts(S.assembled(S.balanced(h, "label"), ["bucket", "score"]), "entry_time", SHARES, ("id", "bucket"))
+    m = S.train_classifier(a.where("split = 'train'"), "label", "logistic")
+    r = S.probabilities(m, a.where("split = 'test'"), ["id", "bucket", "label"])
+    spread = r.agg(F.percentile("proba", F.lit(0.99)).alias("hi"), F.percentile("proba", F.lit(0.01)).alias("lo")).select((F.col("hi") - F.col("lo") < 0.01).alias("degenerate"))
+    return r.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("label").alias("rate"), F.avg("proba").alias("mean_proba")).crossJoin(spread)  # a row
+
+
+@query(
+    f"""WITH {POSITIONS_SQL}, th AS (SELECT t / 10 AS threshold, count(*) FILTER (proba >= t / 10) AS n, avg(pnl) FILTER (proba >= t / 10) AS ev, count(*) FILTER (proba < t / 10) AS nb, avg(pnl) FILTER (proba < t / 10) AS eb FROM positions, range(1, 10) r(t) WHERE {{0}} GROUP BY t),
+m AS (SELECT arg_max(threshold, round(ev, 9) - threshold * 1e-12) AS threshold, max(ev) AS ev FROM th WHERE n >= 30), q AS (SELECT quantile_cont(proba, 0.8) AS hi, quantile_cont(proba, 0.2) AS lo FROM positions WHERE {{0}})
+SELECT '{{1}}' AS part, CASE WHEN ev > 0 THEN threshold ELSE hi END AS ceiling, CASE WHEN ev > 0 THEN coalesce((SELECT max(th.threshold) FROM th WHERE nb >= 30 AND eb < 0 AND th.threshold < m.threshold), 0) ELSE lo END AS floor, CASE WHEN ev > 0 THEN 'search' ELSE 'quintiles' END AS source, CASE WHEN ev > 0 THEN ev END AS ev FROM m, q""".replace("{0}", "true").replace("{1}", "all")
+    + " UNION ALL "
+    + f"""SELECT * FROM (WITH {POSITIONS_SQL}, th AS (SELECT t / 10 AS threshold, count(*) AS n, avg(pnl) AS ev FROM positions, range(1, 10) r(t) WHERE pnl < 0 AND proba >= t / 10 GROUP BY t HAVING count(*) >= 30) SELECT 'losers' AS part, quantile_cont(proba, 0.8) AS ceiling, quantile_cont(proba, 0.2) AS floor, 'quintiles' AS source, NULL::DOUBLE AS ev FROM positions WHERE pnl < 0)""",
+    rounded=("ceiling", "floor", "ev"),
+)
+def chosen_thresholds(spark, sf_dir):
+    """Where to buy and to skip, for all positions and for those that only lost, which leave nothing to choose."""
+    p = positions(spark, sf_dir)
+    both = [S.chosen_thresholds(rows, "proba", "pnl", 30).withColumn("part", F.lit(name)) for name, rows in (("all", p), ("losers", p.where("pnl < 0")))]
+    return both[0].unionByName(both[1])
 
 
 @query(f"WITH {POSITIONS_SQL} SELECT t / 10 AS threshold, count(*) AS n, avg(pnl) AS ev, avg((pnl > 0)::INT) AS win_rate, count(*) >= 30 AS usable FROM positions, range(1, 10) r(t) WHERE proba >= t / 10 GROUP BY t", rounded=("ev", "win_rate"))
@@ -92,13 +126,14 @@ def gated_eval(spark, sf_dir):
 
 @query()
 def platt(spark, sf_dir):
+    """A logistic curve over a score, fitted on the validation part: Brier score and calibration by bin on the test part."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    d = VectorAssembler(inputCols=["score"], outputCol="features").transform(labelled(spark, sf_dir))
-    n = max(1, d.count())
-    m = LogisticRegression(labelCol="label", regParam=1.0 / n, standardization=False).fit(d)
-    return S.probabilities(m, d, ["id", "label"])
+    _, val, test = _parts(labelled(spark, sf_dir))
+    a = VectorAssembler(inputCols=["score"], outputCol="x")
+    m = LogisticRegression(featuresCol="x", labelCol="label", regParam=1.0 / max(1, val.count()), standardization=False).fit(a.transform(val))
+    return S.calibration_bins(S.probabilities(m, a.transform(test), ["id", "label"]), "proba", "label")
 
 
 _LABEL = f"{POSITIONS_SQL}, lb AS (SELECT *, (pnl_pct + score / 4 > 10)::INT AS label FROM positions WHERE status = 'closed')"
@@ -126,7 +161,8 @@ def auc_rank(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return S.bootstrap_ci(labelled(spark, sf_dir), "id", "label", 200, 7)
+    """Intervals of base rate, AUC and precision among the top 10 % by score, from 500 draws."""
+    return S.bootstrap_ci(labelled(spark, sf_dir), "id", "score", "label", 500, 7)
 
 
 @query(f"WITH {POSITIONS_SQL}, r AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS a, rank() OVER (ORDER BY pnl_pct) + (count(*) OVER (PARTITION BY pnl_pct) - 1) / 2 AS b FROM positions) SELECT count(*) AS n, corr(a, b) AS spearman FROM r", rounded=("spearman",))
@@ -157,15 +193,15 @@ def economic_backtest(spark, sf_dir):
     return S.economic_backtest(positions(spark, sf_dir), "proba", "pnl", 0.5, 0.002)
 
 
-_IMPORTANCE = f"im AS (SELECT 'proba' AS feature, abs(corr(proba, pnl_pct)) AS importance FROM positions UNION ALL SELECT 'score', abs(corr(score, pnl_pct)) FROM positions UNION ALL SELECT 'entry_buyer_number', abs(corr(entry_buyer_number, pnl_pct)) FROM positions)"
+_CANDIDATES = ["proba", *FEATURES]
+_IMPORTANCE = "im AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, pnl_pct)) AS importance FROM positions" for c in _CANDIDATES) + ")"
 
 
-@query(f"WITH {POSITIONS_SQL}, {_IMPORTANCE} SELECT feature, importance, feature IN ('proba') AS leak FROM im ORDER BY importance DESC LIMIT 2", rounded=("importance",))
+@query(f"WITH {POSITIONS_SQL}, {_IMPORTANCE} SELECT feature, importance, feature IN ('proba') AS leak FROM im ORDER BY round(importance, 9) DESC, feature LIMIT 3", rounded=("importance",))
 def leak_check(spark, sf_dir):
-    names = [c for c in FEATURES if c != "hold_seconds"]
-    g = positions(spark, sf_dir).agg(*(F.abs(F.corr(c, "pnl_pct")).alias(c) for c in names))
-    cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in names))
-    return S.leak_check(g.select(F.explode(cells).alias("x")).select("x.*"), ["proba"], 2)
+    g = positions(spark, sf_dir).agg(*(F.abs(F.corr(c, "pnl_pct")).alias(c) for c in _CANDIDATES))
+    cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in _CANDIDATES))
+    return S.leak_check(g.select(F.explode(cells).alias("x")).select("x.*"), ["proba"], 3)
 
 
 def _auc_of(train, test):
@@ -176,26 +212,28 @@ def _auc_of(train, test):
 @query()
 def shuffled_labels(spark, sf_dir):
     """A model of permuted labels should have no skill."""
-    train, test = _split(spark, sf_dir)
-    shuffled = train.withColumn("label", (F.pmod(F.xxhash64("id"), F.lit(1000)) < 400).cast("int"))
+    train, _, test = _parts(labelled(spark, sf_dir))
+    shuffled = S.balanced(S.permuted(train.drop("weight"), "id", "label", 7), "label")
     return _auc_of(train, test).withColumn("kind", F.lit("real")).unionByName(_auc_of(shuffled, test).withColumn("kind", F.lit("shuffled")))
 
 
 @query()
 def adversarial(spark, sf_dir):
-    """Whether train and test rows can be told apart."""
+    """Whether earlier and later rows can be told apart, by a model of one half of the rows on the other."""
     d = S.assembled(S.balanced(labelled(spark, sf_dir).withColumn("label", (F.col("entry_time") >= MID).cast("int")), "label"), FEATURES)
-    return _auc_of(d.where("id % 2 = 0"), d.where("id % 2 = 1"))
+    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    return _auc_of(d.where(half == 0), d.where(half == 1))
 
 
 @query()
 def rolling_walk_forward(spark, sf_dir):
+    """Five windows: trained on all folds before, tested on the next."""
     from ..operators.windows import time_folds
 
     d = S.assembled(S.balanced(labelled(spark, sf_dir), "label"), FEATURES)
-    f = time_folds(d, "entry_time", 4, 0.0)
+    f = time_folds(d, "entry_time", 6, 0.0)
     out = None
-    for k in range(1, 4):
+    for k in range(1, 6):
         r = _auc_of(f.where(F.col("fold") < k), f.where(F.col("fold") == k)).withColumn("fold", F.lit(k))
         out = r if out is None else out.unionByName(r)
     return out
@@ -203,11 +241,11 @@ def rolling_walk_forward(spark, sf_dir):
 
 @query()
 def feature_stability(spark, sf_dir):
-    """Importance of features over halves of the rows: dead, active or unstable."""
-    d = S.assembled(S.balanced(labelled(spark, sf_dir), "label"), FEATURES)
+    """Importance of features over five seeds of a model of all training rows: dead, active or unstable."""
+    train, _, _ = _parts(labelled(spark, sf_dir))
     names, rows = [*FEATURES, *(f"{c}_null" for c in FEATURES)], []
-    for seed in range(3):
-        m = S.train_classifier(d.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == 0), "label", "forest", numTrees=5, maxDepth=3)
+    for seed in range(5):
+        m = S.train_classifier(train, "label", "forest", seed=seed, numTrees=5, maxDepth=3)
         rows += [(n, float(x)) for n, x in zip(names, m.featureImportances.toArray())]
     g = spark.createDataFrame(rows, "feature string, importance double").groupBy("feature").agg(F.min("importance").alias("lo"), F.max("importance").alias("hi"))
     return g.withColumn("state", F.when(F.col("hi") < 0.01, "dead").when(F.col("lo") >= 0.01, "active").otherwise("unstable"))
@@ -224,11 +262,23 @@ def skill_gate(spark, sf_dir):
     return S.skill_gate(g.withColumn("auc", F.when(F.col("model") != "c0", F.col("auc"))))
 
 
-@query(f"WITH {POSITIONS_SQL} SELECT config_id, quantile_cont(proba, 0.01) AS p1, quantile_cont(proba, 0.5) AS p50, quantile_cont(proba, 0.99) AS p99, quantile_cont(proba, 0.99) - quantile_cont(proba, 0.01) < 0.30 AS flat FROM positions GROUP BY config_id", rounded=("p1", "p50", "p99"))
+@query(
+    f"""WITH {_LABEL}, g AS (SELECT config_id, quantile_cont(score, 0.01) AS p1, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.99) AS p99, quantile_cont(CASE WHEN entry_time >= {MID} THEN score END, 0.5) AS recent_p50 FROM lb GROUP BY config_id),
+r AS (SELECT config_id, label, rank() OVER (PARTITION BY config_id ORDER BY score) + (count(*) OVER (PARTITION BY config_id, score) - 1) / 2 AS rk FROM lb WHERE entry_time >= {MID}),
+a AS (SELECT config_id, (sum(rk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / nullif(count(*) FILTER (label = 1) * count(*) FILTER (label = 0), 0) AS recent_auc FROM r GROUP BY config_id)
+SELECT config_id, p1, p50, p99, recent_p50, recent_auc, p99 - p1 < 30 AS flat, coalesce(0.75::DOUBLE - recent_auc > 0.05::DOUBLE, false) AS auc_drop, coalesce(abs(recent_p50 - 50) > 3, false) AS p50_shift FROM g LEFT JOIN a USING (config_id)""",
+    rounded=("p1", "p50", "p99", "recent_p50", "recent_auc"),
+)
 def model_health(spark, sf_dir):
-    return S.model_health(positions(spark, sf_dir), "proba", "config_id")
+    return S.model_health(labelled(spark, sf_dir), "score", "config_id", "label", F.col("entry_time") >= MID, 0.75, 50.0, flat=30.0, shift=3.0)
 
 
 @query(f"WITH {POSITIONS_SQL} SELECT id, 'entry' AS model, entry_time AS scored_at, proba, abs(proba - 0.5) * 2 AS confidence FROM positions", rounded=("confidence",))
 def shadow_log(spark, sf_dir):
-    return positions(spark, sf_dir).select("id", F.lit("entry").alias("model"), F.col("entry_time").alias("scored_at"), "proba", (F.abs(F.col("proba") - 0.5) * 2).alias("confidence"))
+    """Predictions appended to a log by day, in two runs, and read back."""
+    where = folder(spark)
+    p = positions(spark, sf_dir).select("id", F.lit("entry").alias("model"), F.col("entry_time").alias("scored_at"), "proba", (F.abs(F.col("proba") - 0.5) * 2).alias("confidence"))
+    for later in (False, True):
+        rows = p.where((F.col("scored_at") >= MID) == later).withColumn("day", F.date_format(F.timestamp_seconds("scored_at"), "yyyy-MM-dd"))
+        rows.write.mode("append").partitionBy("day").parquet(where)
+    return spark.read.parquet(where).drop("day")

@@ -100,9 +100,9 @@ def avg_rank(spark, sf_dir):
     return W.average_rank(positions(spark, sf_dir), "score").select("id", "score", "avg_rank")
 
 
-@query("SELECT event_id, CASE WHEN row_number() OVER (ORDER BY ts) <= floor((SELECT count(*) FROM events) * 0.8) THEN 'train' ELSE 'test' END AS split FROM events")
+@query("SELECT event_id, CASE WHEN row_number() OVER (ORDER BY ts, event_id) <= floor((SELECT count(*) FROM events) * 0.8) THEN 'train' ELSE 'test' END AS split FROM events")
 def chrono_split(spark, sf_dir):
-    return W.chrono_split(stream_trades(spark, sf_dir).select("event_id", "ts"), "ts", 0.8).select("event_id", "split")
+    return W.chrono_split(stream_trades(spark, sf_dir).select("event_id", "ts"), "ts", 0.8, ("event_id",)).select("event_id", "split")
 
 
 @query(f"WITH {B_TRADES}, f AS (SELECT actor_id, row_number() OVER (ORDER BY min(ts), actor_id) AS r, count(*) OVER () AS n FROM trades GROUP BY actor_id) SELECT event_id, CASE WHEN r <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM trades JOIN f USING (actor_id)")

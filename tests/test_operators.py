@@ -2,11 +2,14 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import exits as E
+from ledgerlens.operators import features as X
 from ledgerlens.operators import joins as J
 from ledgerlens.operators import metrics as M
+from ledgerlens.operators import stats as S
 from ledgerlens.operators import windows as W
 from ledgerlens.streaming import live as L
 
@@ -159,3 +162,40 @@ def test_average_rank_and_row_number(spark):
     n = {r.id: r.row for r in W.global_row_number(d.withColumn("v", F.col("id").cast("double")), "v").collect()}
     assert n == {i: i + 1 for i in range(7)}
     assert W.average_rank(d.limit(0), "v").count() == 0
+
+
+def test_bootstrap_brackets_the_exact_figures(spark):
+    r = random.Random(4)
+    rows = [(i, r.gauss(1.0 if i % 4 == 0 else 0.0, 1.0), int(i % 4 == 0)) for i in range(800)]
+    got = {x.metric: x for x in S.bootstrap_ci(spark.createDataFrame(rows, "id long, score double, label int"), "id", "score", "label", 200, 3).collect()}
+    pos, neg = [s for _, s, y in rows if y], [s for _, s, y in rows if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
+    top = sorted(rows, key=lambda x: -x[1])[:80]
+    for name, exact in (("base_rate", 0.25), ("auc", auc), ("precision", sum(y for *_, y in top) / 80)):
+        assert got[name].lo < exact < got[name].hi and abs(got[name]["mean"] - exact) < 0.03, name
+        assert 0.01 < got[name].hi - got[name].lo < 0.3
+
+
+def test_permuted_labels_are_the_same_labels(spark):
+    d = spark.range(300).select("id", (F.col("id") % 5 == 0).cast("int").alias("label"))
+    got = {r.id: r.label for r in S.permuted(d, "id", "label", 7).collect()}
+    assert len(got) == 300 and sum(got.values()) == 60
+    assert 120 < sum(v != int(k % 5 == 0) for k, v in got.items()) + 60 < 240  # not where they were
+
+
+def test_splits_with_ties_nulls_and_no_rows(spark):
+    d = spark.createDataFrame([(i, None if i == 3 else float(i // 4)) for i in range(20)], "id long, t double")
+    rows = {r.id: r.split for r in W.chrono_parts(d, "t", {"a": 0.5, "b": 0.25, "c": 0.25}, ("id",)).collect()}
+    order = sorted((i for i in range(20) if i != 3), key=lambda i: (i // 4, i)) + [3]
+    assert [rows[i] for i in order] == ["a"] * 10 + ["b"] * 5 + ["c"] * 5
+    one_value = spark.createDataFrame([(i, 1.0) for i in range(9)] + [(9, 1e18)], "id long, t double")
+    assert {r.id: r.row for r in W.global_row_number(one_value, "t", ("id",)).collect()} == {i: i + 1 for i in range(10)}
+    assert W.time_folds(d.limit(0), "t", 3).count() == 0 and W.chrono_split(d.limit(0), "t", 0.5).count() == 0
+
+
+def test_features_in_order(spark):
+    d = spark.createDataFrame([(1, 2.0, 3.0)], "entity_id long, b double, a double")
+    assert X.in_order(d, ["a", "b"], "entity_id").columns == ["entity_id", "a", "b"]
+    with pytest.raises(ValueError):
+        X.in_order(d, ["a", "c"])
+    assert len(X.FEATURE_ORDER) == len(set(X.FEATURE_ORDER)) == 82
