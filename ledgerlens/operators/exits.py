@@ -165,14 +165,15 @@ def inactivity_exit(trades: DataFrame, entries: DataFrame, gap: float) -> DataFr
     return j.select("entity_id", (F.coalesce("t", "entry_ts") + gap).alias("exit_ts"), F.lit("dead_token").alias("reason"))
 
 
-def exit_samples(trades: DataFrame, entries: DataFrame, step: float, n: int, back: float, ahead: float, far: float, drop: float) -> DataFrame:
-    """Samples every `step` after entry: price, buys of the last `back`, running peak, whether the price falls by `drop` percent
+def exit_samples(trades: DataFrame, entries: DataFrame, step: float, back: float, ahead: float, far: float, drop: float) -> DataFrame:
+    """Samples every `step` after entry, up to the entity's last event: price, buys of the last `back`, running peak, whether the price falls by `drop` percent
     within `ahead`, and the price `far` ahead.
 
     Each look-up is an as-of or range aggregate over events and samples merged by time: range windows on whole seconds.
     """
     e = after_entry(trades, entries).select("entity_id", F.col("ts").alias("t"), "price", (F.col("side") == "buy").cast("int").alias("is_buy"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("i"), "entry_price")
-    s = entries.select("entity_id", "entry_ts", "entry_price", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
+    n = e.groupBy("entity_id").agg(F.max("t").alias("end")).join(entries, "entity_id").withColumn("n", F.floor((F.col("end") - F.col("entry_ts")) / step).cast("int"))
+    s = n.where("n > 0").select("entity_id", "entry_ts", "entry_price", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
     s = s.select("entity_id", (F.col("entry_ts") + F.col("i") * step).alias("t"), F.lit(None).cast("double").alias("price"), F.lit(0).alias("is_buy"), F.lit(1).alias("kind"), "i", "entry_price")
     u = e.unionByName(s).withColumn("sec", F.floor("t"))
     by = Window.partitionBy("entity_id").orderBy("t", "kind")

@@ -235,7 +235,7 @@ def entry_dataset_early(spark, sf_dir):
     return dataset(spark, sf_dir, EARLY_SPAN, X.FEATURE_ORDER_EARLY)
 
 
-_SAMPLE_SQL = f"""{ENTRY_SQL}, af AS (SELECT t.entity_id, t.ts, t.event_id, t.price, t.side, entry_ts FROM trades t JOIN entries USING (entity_id) WHERE ts > entry_ts), sm AS (SELECT entity_id, i, entry_ts + i * {12 * 3600.0} AS t FROM entries, range(1, 21) r(i))
+_SAMPLE_SQL = f"""{ENTRY_SQL}, af AS (SELECT t.entity_id, t.ts, t.event_id, t.price, t.side, entry_ts FROM trades t JOIN entries USING (entity_id) WHERE ts > entry_ts), sm AS (SELECT entity_id, i, entry_ts + i * {12 * 3600.0} AS t FROM entries JOIN (SELECT entity_id, max(ts) AS z FROM af GROUP BY entity_id) USING (entity_id), unnest(range(1, floor((z - entry_ts) / {12 * 3600.0})::BIGINT + 1)) u(i))
 SELECT sm.entity_id, sm.i::INT AS i, arg_max(af.price, af.ts) FILTER (af.ts <= t) AS price, max(af.price) FILTER (af.ts <= t) AS peak, count(*) FILTER (af.side = 'buy' AND floor(af.ts) BETWEEN floor(t) - {int(DAY)} AND floor(t)) AS buys_back,
  coalesce(min(af.price) FILTER (floor(af.ts) BETWEEN floor(t) + 1 AND floor(t) + {int(DAY)}) <= arg_max(af.price, af.ts) FILTER (af.ts <= t) * (1 - 50 / 100), false)::INT AS label,
  (arg_max(af.price, af.ts) FILTER (floor(af.ts) <= floor(t) + {int(2 * DAY)}) - arg_max(af.price, af.ts) FILTER (af.ts <= t)) / arg_max(af.price, af.ts) FILTER (af.ts <= t) * 100 AS forward_return
@@ -244,18 +244,18 @@ FROM sm JOIN af USING (entity_id) GROUP BY sm.entity_id, sm.i HAVING count(*) FI
 
 @query(f"WITH {_SAMPLE_SQL}", rounded=("forward_return",))
 def exit_dataset(spark, sf_dir):
-    return E.exit_samples(stream_trades(spark, sf_dir), entries(spark, sf_dir), 12 * 3600.0, 20, DAY, DAY, 2 * DAY, 50.0)
+    return E.exit_samples(stream_trades(spark, sf_dir), entries(spark, sf_dir), 12 * 3600.0, DAY, DAY, 2 * DAY, 50.0)
 
 
 @query()
 def forward_hold(spark, sf_dir):
-    """Time to exit if entered at each sample: samples become positions of their own."""
-    e = entries(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("entry_ts", F.col("entry_ts") + F.col("i") * 2 * DAY)
-    key = F.col("entity_id") * 10 + F.col("i")
-    e = e.withColumn("real", F.col("entity_id")).withColumn("entity_id", key)
-    t = stream_trades(spark, sf_dir).withColumnRenamed("entity_id", "real").join(e.select("real", "entity_id"), "real").drop("real")
-    s = E.simulated(t, e, configs(spark).where("config_id = 'loose'"), WHALE, TICK)
-    return s.select(F.floor(F.col("entity_id") / 10).alias("entity_id"), (F.col("entity_id") % 10).alias("i"), "reason", "hold")
+    """What entering at each sample of exit_dataset, at its price, would have come to: samples become positions of their own."""
+    t = stream_trades(spark, sf_dir)
+    s = E.exit_samples(t, entries(spark, sf_dir), 12 * 3600.0, DAY, DAY, 2 * DAY, 50.0).join(entries(spark, sf_dir).select("entity_id", "entry_ts", "creator_id"), "entity_id")
+    s = s.select(F.col("entity_id").alias("real"), F.xxhash64("entity_id", "i").alias("entity_id"), "i", "creator_id", (F.col("entry_ts") + F.col("i") * 12 * 3600.0).alias("entry_ts"), F.col("price").alias("entry_price"))
+    later = t.withColumnRenamed("entity_id", "real").join(s.select("real", "entity_id", "entry_ts"), "real").where(F.col("ts") > F.col("entry_ts")).drop("real", "entry_ts")
+    r = E.simulated(later, s.drop("real", "i"), configs(spark).where("config_id = 'loose'"), WHALE, TICK)
+    return r.select("entity_id", "reason", "hold", "pnl").join(s.select("entity_id", "real", "i"), "entity_id").select(F.col("real").alias("entity_id"), "i", "reason", "hold", "pnl")
 
 
 AGES = (DAY, 2 * DAY, 4 * DAY)
@@ -306,11 +306,20 @@ def survival_curve(spark, sf_dir):
 GRID = {"stop": [10, 15, 20], "lo": [1, 3, 5], "hi": [3, 6, 9], "mode": ["fast", "full"], "fast_score": [10, 20, 30]}
 
 
-@query("""SELECT DISTINCT stop, lo, hi, mode, CASE WHEN mode = 'full' THEN 10 ELSE fast_score END AS fast_score FROM (VALUES (10), (15), (20)) a(stop), (VALUES (1), (3), (5)) b(lo), (VALUES (3), (6), (9)) c(hi), (VALUES ('fast'), ('full')) d(mode), (VALUES (10), (20), (30)) e(fast_score)
-WHERE lo < hi AND stop <= 20 AND (SELECT count(*) FROM events) > 0""")
+@query(
+    f"""WITH {POSITIONS_SQL}, g AS (SELECT DISTINCT stop, lo, hi, mode, CASE WHEN mode = 'full' THEN 10 ELSE fast_score END AS fast_score FROM (VALUES (10), (15), (20)) a(stop), (VALUES (1), (3), (5)) b(lo), (VALUES (3), (6), (9)) c(hi), (VALUES ('fast'), ('full')) d(mode), (VALUES (10), (20), (30)) e(fast_score) WHERE lo < hi),
+r AS (SELECT stop, lo, hi, mode, fast_score, count(*) AS trades, sum(greatest(pnl_pct, -stop)) AS pnl FROM positions JOIN g ON lower(entry_type) = mode AND entry_buyer_number BETWEEN lo AND hi AND (mode = 'full' OR score >= fast_score) WHERE status = 'closed' GROUP BY ALL)
+SELECT stop, lo, hi, mode, fast_score, coalesce(trades, 0) AS trades, coalesce(pnl, 0) AS pnl FROM g LEFT JOIN r USING (stop, lo, hi, mode, fast_score)""",
+    rounded=("pnl",),
+)
 def grid_combos(spark, sf_dir):
+    """Every combination of a grid, run as rules over the closed positions; combinations without trades are kept."""
     g = E.grid_combos(spark, GRID, [("lo", "hi")], {"fast_score": ("mode", "full")})
-    return g if not stream_trades(spark, sf_dir).isEmpty() else g.limit(0)
+    axes = list(GRID)
+    p = positions(spark, sf_dir).where("status = 'closed'").withColumn("kind", F.lower("entry_type"))
+    fits = (F.col("kind") == F.col("mode")) & F.col("entry_buyer_number").between(F.col("lo"), F.col("hi")) & ((F.col("mode") == "full") | (F.col("score") >= F.col("fast_score")))
+    r = p.join(F.broadcast(g), fits).groupBy(*axes).agg(F.count("*").alias("trades"), F.sum(F.greatest("pnl_pct", -F.col("stop"))).alias("pnl"))  # the grid is a parameter
+    return g.join(r, axes, "left").select(*axes, F.coalesce("trades", F.lit(0)).alias("trades"), F.coalesce("pnl", F.lit(0.0)).alias("pnl"))
 
 
 @query()

@@ -66,6 +66,7 @@ CHECKED = {
     "rolling_walk_forward": lambda rs: [r.fold for r in sorted(rs, key=lambda r: r.fold)] == [1, 2, 3, 4, 5] and all(0 <= r.auc <= 1 for r in rs),
     "feature_stability": lambda rs: {r.state for r in rs} <= {"dead", "active", "unstable"} and {r.feature: r.state for r in rs}["score"] == "active" and len(rs) == 6,
     "bootstrap_ci": lambda rs: {r.metric for r in rs} == {"base_rate", "auc", "precision"} and all(r.lo <= r["mean"] <= r.hi for r in rs),
+    "forward_hold": lambda rs: len({(r.entity_id, r.i) for r in rs}) == len(rs) > 500 and max(r.i for r in rs) > 20 and {r.reason for r in rs} >= {"hard_stop", "timeout"} and all(r.hold > 0 for r in rs),
     "random_sample": lambda rs: len({r.entity_id for r in rs}) == len(rs) == 200,
 }
 
