@@ -63,6 +63,14 @@ def fingerprint(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
+def config_diff(configs: DataFrame, name: str, version: str, fields: list[str]) -> DataFrame:
+    """(version, field, old, new) for every field in which a version of `name` differs from the one before it; NULL is a value."""
+    w = Window.partitionBy(name).orderBy(version)
+    was = configs.withColumn("_was", F.lag(F.struct(*fields)).over(w)).where("_was is not null")
+    cells = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"_was.{c}").cast("string").alias("old"), F.col(c).cast("string").alias("new")) for c in fields))
+    return was.select(version, F.inline(cells)).where(~F.col("old").eqNullSafe(F.col("new")))
+
+
 def synthetic_key(amount: Column) -> Column:
     """What tells one event from another where there is no signature."""
     return F.concat_ws(":", "entity_id", "actor_id", F.floor("ts").cast("string"), amount.cast("string"), "side")

@@ -305,17 +305,22 @@ def axis_interaction(runs: DataFrame, a: str, b: str, b_values: list[str]) -> Da
     return g.groupBy(a).pivot(b, b_values).agg(F.first("m"))
 
 
-def sensitivity(runs: DataFrame, group: str, value: str) -> DataFrame:
-    """Per value of an axis: mean, median, 10 % trimmed mean, spread, share of profitable runs; and the axis' F statistic."""
-    w = Window.partitionBy(group)
-    r = runs.withColumn("k", F.row_number().over(w.orderBy(value, "run_id"))).withColumn("m", F.count("*").over(w))
-    cut = F.floor(F.col("m") * 0.1)
-    inner = (F.col("k") > cut) & (F.col("k") <= F.col("m") - cut)
-    g = r.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.avg(F.when(inner, F.col(value))).alias("trimmed"), F.stddev_samp(value).alias("std"), F.avg((F.col(value) > 0).cast("int")).alias("survival"), F.sum(F.col(value) * F.col(value)).alias("sq"))
-    total = g.agg(F.sum("n").alias("_n"), F.count("*").alias("_k"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("_m"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_s"), F.sum("sq").alias("_q"))
-    between, within = F.col("_s") - F.col("_n") * F.col("_m") * F.col("_m"), F.col("_q") - F.col("_s")
-    f = (between / (F.col("_k") - 1)) / (within / (F.col("_n") - F.col("_k")))
-    return g.crossJoin(total).select(group, "n", "mean", "median", "trimmed", "std", "survival", f.alias("anova_f"))  # total is one row
+def sensitivity(runs: DataFrame, axes: list[str], value: str, tail: float = 0.99) -> DataFrame:
+    """Per value of an axis, or per cell of several: mean, median, 10 % trimmed mean, deviation, share of profitable runs, runs
+    in the top tail and how much denser it is there than overall; and the axes' spread of means and F statistic."""
+    w = Window.partitionBy(*axes)
+    r = runs.withColumn("_k", F.row_number().over(w.orderBy(value, "run_id"))).withColumn("_m", F.count("*").over(w))
+    cut = F.floor(F.col("_m") * 0.1)
+    inner = (F.col("_k") > cut) & (F.col("_k") <= F.col("_m") - cut)
+    r = r.crossJoin(runs.agg(F.percentile(value, F.lit(tail)).alias("_tail")))  # a row
+    v = F.col(value)
+    g = r.groupBy(*axes).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.avg(F.when(inner, v)).alias("trimmed"), F.stddev_samp(v).alias("std"), F.avg((v > 0).cast("int")).alias("survival"), F.count_if(v >= F.col("_tail")).alias("top_count"), F.sum(v * v).alias("_sq"))
+    total = g.agg(F.sum("n").alias("_n"), F.count("*").alias("_c"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("_mean"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_s"), F.sum("_sq").alias("_q"), F.sum("top_count").alias("_top"), (F.max("mean") - F.min("mean")).alias("spread"))
+    between, within = F.col("_s") - F.col("_n") * F.col("_mean") * F.col("_mean"), F.col("_q") - F.col("_s")
+    f = (between / (F.col("_c") - 1)) / (within / (F.col("_n") - F.col("_c")))
+    lift = (F.col("top_count") / F.greatest("_top", F.lit(1))) / (F.col("n") / F.col("_n"))
+    out = [*axes, "n", "mean", "median", "trimmed", "std", "survival", "top_count", lift.alias("top_lift"), "spread", f.alias("anova_f")]
+    return g.crossJoin(total).select(*out)  # total is one row
 
 
 def overfit_guardrails(runs: DataFrame) -> DataFrame:

@@ -387,16 +387,34 @@ def axis_interaction(spark, sf_dir):
     return E.axis_interaction(runs(spark, sf_dir), "a", "b", ["0", "1", "2"]).select("a", F.col("0").alias("b0"), F.col("1").alias("b1"), F.col("2").alias("b2"))
 
 
-@query(
-    f"""WITH {POSITIONS_SQL}, r AS (SELECT config_id, pnl, row_number() OVER (PARTITION BY config_id ORDER BY pnl, id) AS k, count(*) OVER (PARTITION BY config_id) AS m FROM positions WHERE status = 'closed'),
-g AS (SELECT config_id, count(*) AS n, avg(pnl) AS mean, median(pnl) AS median, avg(pnl) FILTER (k > floor(m * 0.1) AND k <= m - floor(m * 0.1)) AS trimmed, stddev_samp(pnl) AS std, avg((pnl > 0)::INT) AS survival, sum(pnl * pnl) AS sq FROM r GROUP BY config_id),
-t AS (SELECT sum(n) AS bn, count(*) AS bk, sum(mean * n) / sum(n) AS bm, sum(n * mean * mean) AS bs, sum(sq) AS bq FROM g)
-SELECT config_id, n, mean, median, trimmed, std, survival, ((bs - bn * bm * bm) / (bk - 1)) / ((bq - bs) / (bn - bk)) AS anova_f FROM g, t""",
-    rounded=("mean", "median", "trimmed", "std", "survival", "anova_f"),
-)
+_SENSE = ("mean", "median", "trimmed", "std", "survival", "top_lift", "spread", "anova_f")
+
+
+def _sensitivity_sql(axes: str, where: str = "true") -> str:
+    return f"""WITH {POSITIONS_SQL}, ru AS (SELECT *, (entry_buyer_number % 3)::INT AS buyers FROM positions WHERE status = 'closed' AND {where}), r AS (SELECT {axes}, pnl, row_number() OVER (PARTITION BY {axes} ORDER BY pnl, id) AS k, count(*) OVER (PARTITION BY {axes}) AS m FROM ru), tl AS (SELECT quantile_cont(pnl, 0.99) AS cut FROM ru),
+g AS (SELECT {axes}, count(*) AS n, avg(pnl) AS mean, median(pnl) AS median, avg(pnl) FILTER (k > floor(m * 0.1) AND k <= m - floor(m * 0.1)) AS trimmed, stddev_samp(pnl) AS std, avg((pnl > 0)::INT) AS survival, count(*) FILTER (pnl >= cut) AS top_count, sum(pnl * pnl) AS sq FROM r, tl GROUP BY {axes}),
+t AS (SELECT sum(n) AS bn, count(*) AS bk, sum(mean * n) / sum(n) AS bm, sum(n * mean * mean) AS bs, sum(sq) AS bq, sum(top_count) AS bt, max(mean) - min(mean) AS spread FROM g)
+SELECT {axes}, n, mean, median, trimmed, std, survival, top_count, (top_count / greatest(bt, 1)) / (n / bn) AS top_lift, spread, ((bs - bn * bm * bm) / (bk - 1)) / ((bq - bs) / (bn - bk)) AS anova_f FROM g, t"""
+
+
+def _sense(spark, sf_dir, axes, where="true"):
+    p = positions(spark, sf_dir).where(f"status = 'closed' and {where}").withColumn("buyers", (F.col("entry_buyer_number") % 3).cast("int"))
+    return E.sensitivity(p.withColumnRenamed("id", "run_id"), axes, "pnl")
+
+
+@query(_sensitivity_sql("config_id"), rounded=_SENSE)
 def sensitivity(spark, sf_dir):
-    p = positions(spark, sf_dir).where("status = 'closed'").select("config_id", "pnl", F.col("id").alias("run_id"))
-    return E.sensitivity(p, "config_id", "pnl")
+    return _sense(spark, sf_dir, ["config_id"])
+
+
+@query(_sensitivity_sql("config_id, buyers"), rounded=_SENSE)
+def sensitivity_pairs(spark, sf_dir):
+    return _sense(spark, sf_dir, ["config_id", "buyers"])
+
+
+@query(_sensitivity_sql("config_id", "exit_reason = 'timeout'"), rounded=_SENSE)
+def sensitivity_conditional(spark, sf_dir):
+    return _sense(spark, sf_dir, ["config_id"], "exit_reason = 'timeout'")
 
 
 @query(f"WITH {RUNS_SQL}, g AS (SELECT median(trades) AS median_trades, count(*) FILTER (oos_pnl > 0) AS n_profitable, avg((oos_pnl < pnl * 0.2)::INT) AS collapse FROM runs) SELECT *, median_trades < 20 AS few_trades, n_profitable = 0 AS none_profitable, collapse >= 0.8 AS collapsed FROM g", rounded=("collapse",))

@@ -199,6 +199,15 @@ def config_fingerprint(spark, sf_dir):
     return p.select("p_partkey", X.fingerprint("size", "type", "brand").alias("fingerprint"))
 
 
+_DIFF = " UNION ALL ".join(f"SELECT p_partkey, '{c}' AS field, o_{c}::VARCHAR AS old, {c}::VARCHAR AS new FROM w WHERE prev IS NOT NULL AND o_{c} IS DISTINCT FROM {c}" for c in ("p_name", "p_size", "p_type"))
+
+
+@query(f"WITH w AS (SELECT *, lag(p_partkey) OVER w AS prev, lag(p_name) OVER w AS o_p_name, lag(p_size) OVER w AS o_p_size, lag(p_type) OVER w AS o_p_type FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)) {_DIFF}")
+def config_diff(spark, sf_dir):
+    """Field by field, what changed from one version of a brand's configuration to the next."""
+    return X.config_diff(table(spark, sf_dir, "part"), "p_brand", "p_partkey", ["p_name", "p_size", "p_type"])
+
+
 @query(f"WITH {B_TRADES} SELECT event_id, entity_id || ':' || actor_id || ':' || floor(ts)::BIGINT || ':' || (round_even(amount * 100, 0) / 100)::DECIMAL(18,2) || ':' || side AS syn_key, 'sig' || (event_id // 3) AS sig_key FROM trades")
 def dedup_keys(spark, sf_dir):
     t = stream_trades(spark, sf_dir)
