@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, embeddings, jaccard, mixing, quality, rlz, sharding, tokencount, urls
-from .packing import discard, stored
+from .packing import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,13 +44,11 @@ def op5_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_edit_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Trees of all documents are built and stored, edited and stored again, and edited once more from the stored table."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    edits = tokencount.sample_edits(docs)
-    built = stored(tokencount.build_trees(docs, vocabulary))
-    once = stored(tokencount.edit_trees(built, edits.where("seq < 3"), vocabulary))
-    discard(built)
-    return tokencount.tree_counts(tokencount.edit_trees(once, edits.where("seq = 3"), vocabulary))
+    """Trees of all documents are built, edited twice and stored, leaves taken apart and all; then edited once more from that table."""
+    built = tokencount.build_trees(table(spark, sf_dir, "documents"), vocabulary)
+    edits = tokencount.sample_edits(F.col("text"), F.col("doc_id"))
+    once = stored(tokencount.edit_in_place(built.withColumn("todo", F.array(*edits[:2])), "todo", vocabulary))
+    return tokencount.tree_counts(tokencount.edit_in_place(once.withColumn("todo", F.array(edits[2])), "todo", vocabulary))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,6 @@ import base64
 import re
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +36,7 @@ class Counter:
     """Tokens of a pre-token, remembered for the short ones."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, remember: int = 200_000):
+        import regex
         import tiktoken
 
         self.encode = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -263,10 +263,18 @@ def edit_trees(trees: DataFrame, edits: DataFrame, vocabulary: str, pattern: str
     are cut to it, nulls count as 0 and as nothing. Edits that repeat a doc_id and seq are one, the first by position,
     length and text; those of a null or unknown doc_id do nothing. Trees without edits stay as they are.
     """
-    small_batches(trees.sparkSession)
-    make = _counter(trees.sparkSession, vocabulary, pattern)
     one = edits.where("doc_id is not null").groupBy("doc_id", "seq").agg(F.min(F.struct("pos", "del", "ins")).alias("e"))
     todo = one.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "e"))), lambda x: x["e"]).alias("todo"))
+    return edit_in_place(trees.join(todo, "doc_id", "left"), "todo", vocabulary, pattern)
+
+
+def edit_in_place(trees: DataFrame, todo: str, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
+    """TREE after the edits that each row brings along: the column `todo`, an array of (pos, del, ins), applied in order.
+
+    Nothing is joined or shuffled. A null array, or a null entry, is no edit.
+    """
+    small_batches(trees.sparkSession)
+    make = _counter(trees.sparkSession, vocabulary, pattern)
     names = [f.name for f in _ARROW]
 
     def of(batches):
@@ -274,17 +282,18 @@ def edit_trees(trees: DataFrame, edits: DataFrame, vocabulary: str, pattern: str
         for b in batches:
             out = []
             for r in b.to_pylist():
-                if r["todo"]:
+                some = [e for e in r["todo"] or [] if e is not None]
+                if some:
                     tree = Tree.restored(r["text"], r["chars"], r["tokens"], r["cuts"], counter)
-                    for e in r["todo"]:
+                    for e in some:
                         tree.edit(e["pos"] or 0, e["del"] or 0, e["ins"] or "")
                     r["text"], r["chars"], r["tokens"], r["cuts"] = tree.row()
-                    r["n_edits"] += len(r["todo"])
+                    r["n_edits"] += len(some)
                     r["n_reencoded"] += tree.reencoded
                 out.append(r)
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in zip(names, _ARROW)], schema=_ARROW)
 
-    return trees.join(todo, "doc_id", "left").select(*names, "todo").mapInArrow(of, TREE)
+    return trees.select(*names, F.col(todo).alias("todo")).mapInArrow(of, TREE)
 
 
 def tree_counts(trees: DataFrame) -> DataFrame:
@@ -292,14 +301,13 @@ def tree_counts(trees: DataFrame) -> DataFrame:
     return trees.select("doc_id", "n_tokens", "n_edits", F.get("tokens", F.lit(1)).cast("long").alias("n_tokens_edited"), "n_reencoded")
 
 
-def sample_edits(docs: DataFrame) -> DataFrame:
-    """EDITS that follow from docs (doc_id, text) alone: an insertion, a deletion and a replacement, at hashed positions."""
-    n = F.coalesce(F.length("text"), F.lit(0))
-    spot = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), n + 1).cast("int")
-    edit = lambda seq, pos, cut, ins: F.struct(F.lit(seq).alias("seq"), pos.alias("pos"), F.lit(cut).alias("del"), ins.alias("ins"))
-    three = F.array(
-        edit(1, spot(1), 0, F.concat(F.lit(" revised "), F.col("doc_id").cast("string"))),
-        edit(2, spot(2), 11, F.lit("")),
-        edit(3, spot(3), 5, F.coalesce(F.substring("text", 1, 9), F.lit(""))),
-    )
-    return docs.select(F.col("doc_id").cast("long"), F.inline(three))
+def sample_edits(text, doc_id):
+    """Three edits that follow from a row alone: an insertion, a deletion and a replacement, at hashed positions."""
+    n = F.coalesce(F.length(text), F.lit(0))
+    spot = lambda k: F.pmod(F.xxhash64(doc_id, F.lit(k)), n + 1).cast("int")
+    edit = lambda pos, cut, ins: F.struct(pos.alias("pos"), F.lit(cut).alias("del"), ins.alias("ins"))
+    return [
+        edit(spot(1), 0, F.concat(F.lit(" revised "), F.coalesce(doc_id.cast("string"), F.lit("")))),
+        edit(spot(2), 11, F.lit("")),
+        edit(spot(3), 5, F.coalesce(F.substring(text, 1, 9), F.lit(""))),
+    ]

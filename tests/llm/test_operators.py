@@ -431,6 +431,43 @@ def test_urls(spark):
     assert urls.judged(pages, spark.createDataFrame([], "host string, path string, action string")).where("verdict = 'allow'").count() == len(got)
 
 
+def test_urls_empty_long_and_many_lengths(spark, monkeypatch):
+    """No pages, no rules, hosts of hundreds of labels, very long paths, and rules of more path lengths than are listed."""
+    rules = [("b.com", "/" + "x" * n, "block" if n % 2 else "allow") for n in range(20)]
+    some = ["http://" + "a." * 300 + "b.com/" + "x" * 5000, "http://b.com/", "http://b.com/xxxy", "http://a.b.com", "x" * 70_000, None]
+    pages = spark.createDataFrame(list(enumerate(some)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "host string, path string, action string")
+    want = {0: "block", 1: "allow", 2: "block", 3: "deny", 4: "deny", 5: "deny"}
+    for most in (4096, 3):
+        monkeypatch.setattr(urls, "MAX_LENGTHS", most)
+        assert {r.page_id: r.verdict for r in urls.judged(pages, table, "deny").collect()} == want
+    assert urls.judged(pages.limit(0), table).count() == 0 and urls.judged(pages, table.limit(0), "deny").where("verdict = 'deny'").count() == 6
+
+
+def test_chat_repeats_clashes_and_long_texts(spark):
+    """Rows that repeat, columns named like those used on the way, schemas that name an argument twice, a long text."""
+    call = ("a", "sum", {"x": "1", "y": "z"})
+    row = lambda t, r, text, c, result, after: (1, t, r, text, c, result, after, "k", 5, "z", True, 9)
+    m = [row(0, "assistant", "w " * 50_000, call, None, None)] * 2 + [row(1, "tool", "ok", None, "a", None)]
+    messages = spark.createDataFrame(m, chat.MESSAGE + ", kind string, level int, json string, linked boolean, call_id int")
+    s = [("sum", "x", "integer", False), ("sum", "x", "string", True), ("sum", "y", None, None), ("sum", "x", "integer", False)]
+    got = chat.format_messages(messages, spark.createDataFrame(s, "name string, argument string, type string, required boolean")).collect()
+    assert [(r.turn, r.level, r.linked, r.error) for r in sorted(got, key=lambda r: r.turn)] == [(0, 0, True, "wrong type of y")] * 2 + [(1, 1, True, None)]
+    assert all('"x":1,"y":"z"' in r.json for r in got if r.turn == 0)
+
+
+def test_quality_bounds(spark, monkeypatch):
+    """Repeated labels and rows count as often as they stand, and both bounds hold."""
+    data = [(i, " ".join(f"g{(i * 7 + j) % 30}" if i % 2 else f"b{(i * 5 + j) % 30}" for j in range(20))) for i in range(200)] * 2
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] * 2, "doc_id long, quality int")
+    few = quality.score(table, labels, max_train_rows=40).collect()
+    monkeypatch.setattr(quality, "MAX_TRAIN_FEATURES", 3000)
+    fewer = quality.score(table, labels).collect()
+    for got in (few, fewer):
+        assert len(got) == 400 and np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
+
+
 def test_chat(spark):
     call = lambda i, n="sum", **a: (i, n, a)
     m = [
@@ -592,6 +629,25 @@ def test_edit_counts(spark):
     assert tokencount.build_trees(t.limit(0), path).count() == 0
 
 
+def test_edits_that_rows_bring_along(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    counter = tokencount.Counter(tokencount.load_ranks(path))
+    data = [(1, "one two  three\n\n four's " * 60, "x"), (2, None, "y"), (2, "é" * 700, "y"), (None, "", None)]
+    trees = tokencount.build_trees(spark.createDataFrame(data, "doc_id long, text string, todo string"), path)
+    edits = tokencount.sample_edits(F.col("text"), F.col("doc_id"))
+    once = tokencount.edit_in_place(trees.withColumn("todo", F.array(edits[0], edits[1], F.lit(None))), "todo", path).collect()
+    spots = {(r.doc_id, r.text): [r[f"p{k}"] for k in (1, 2)] for r in trees.select("doc_id", "text", *(e["pos"].alias(f"p{k + 1}") for k, e in enumerate(edits))).collect()}
+    want = []
+    for d, t, _ in data:
+        (p, q), x = spots[d, t or ""], t or ""
+        x = x[:p] + f" revised {'' if d is None else d}" + x[p:]
+        x = x[:q] + x[q + 11 :]
+        want.append((d, x, len(counter.encode(x)), 2))
+    assert bag((r.doc_id, r.text, r.tokens[1], r.n_edits) for r in once) == bag(want)
+    same = tokencount.edit_in_place(trees.withColumn("todo", F.lit(None).cast("array<struct<pos:int,del:int,ins:string>>")), "todo", path)
+    assert bag(map(str, same.collect())) == bag(map(str, trees.collect()))
+
+
 def test_packed_hash_is_sparks(spark):
     x = np.array([0, 1, -1, 2**62, -(2**63), 12345678901], np.int64)
     got = [r.h for r in spark.createDataFrame([(int(v),) for v in x], "v long").select(F.xxhash64("v").alias("h")).collect()]
