@@ -123,15 +123,15 @@ lv(conv_id, turn, level) AS (
   SELECT u.conv_id, u.turn, CASE WHEN a.turn IS NULL THEN 0 ELSE 1 END
   FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn - 1 LEFT JOIN u p ON p.conv_id = u.conv_id AND p.turn = u.turn - 2 WHERE a.turn IS NULL OR p.turn IS NULL
   UNION ALL SELECT u.conv_id, u.turn, level + 2 FROM lv JOIN u ON u.conv_id = lv.conv_id AND u.turn = lv.turn + 2 JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn - 1),
-x AS (SELECT q.*, c.level AS at, r.turn IS NOT NULL AS has_result, n % 5 AS m, '"query":' || to_json(coalesce(text, ''))::VARCHAR AS query,
+x AS (SELECT q.*, c.level AS lvl, r.turn IS NOT NULL AS has_result, n % 5 AS m, '"query":' || to_json(coalesce(text, ''))::VARCHAR AS query,
         CASE WHEN role = 'user' THEN q.turn WHEN role = 'assistant' THEN q.turn - 1 END AS t
       FROM q LEFT JOIN lv c ON c.conv_id = q.conv_id AND c.turn = CASE WHEN role = 'user' THEN q.turn WHEN role = 'assistant' THEN q.turn - 1 END
              LEFT JOIN a r ON r.conv_id = q.conv_id AND r.turn = q.turn + 1 AND role = 'user')
-SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN at WHEN role = 'assistant' AND at IS NOT NULL THEN at + 1 ELSE 0 END::INT AS level, 't' || t AS call_id,
-       CASE WHEN role = 'user' THEN has_result WHEN role = 'assistant' THEN at IS NOT NULL END AS linked,
+SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN lvl WHEN role = 'assistant' AND lvl IS NOT NULL THEN lvl + 1 ELSE 0 END::INT AS level, 't' || t AS call_id,
+       CASE WHEN role = 'user' THEN has_result WHEN role = 'assistant' THEN lvl IS NOT NULL END AS linked,
        CASE WHEN role = 'user' THEN m = 4 END AS valid,
        CASE WHEN role = 'user' THEN CASE m WHEN 0 THEN 'wrong type of turn' WHEN 1 THEN 'missing argument words' WHEN 2 THEN 'unknown argument extra' WHEN 3 THEN 'unknown tool' END
-            WHEN role = 'assistant' AND at IS NULL THEN 'orphan' END AS error,
+            WHEN role = 'assistant' AND lvl IS NULL THEN 'orphan' END AS error,
        '{' || CASE WHEN role = 'user' THEN '"call":{"arguments":{' || CASE m
            WHEN 0 THEN query || ',"turn":"x' || turn || '","words":' || n
            WHEN 1 THEN query || ',"turn":' || turn
