@@ -40,6 +40,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     """
     host, path = parsed(F.col("url"))
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
+    pages = pages.withColumn("a", F.xxhash64("host", "path")).withColumn("b", F.xxhash64(F.lit(1), "path", "host"))  # names the pair on the way
     rules = rules.where("host is not null and path is not null and action is not null").select(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path"), "action")
     rules = rules.groupBy("r_host", "r_path").agg(F.max("action").alias("action"))  # block over allow
     rules = rules.withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path"))).withColumn("short", _short(F.col("r_digest")))
@@ -47,13 +48,14 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     every = F.sequence(F.lit(0), F.length("path"))
     if len(lengths) <= MAX_LENGTHS:
         every = F.filter(F.lit(lengths), lambda n: n <= F.length("path")) if lengths else F.array().cast("array<int>")
-    urls = pages.select("host", "path").distinct()
+    urls = pages.select("a", "b", "host", "path").distinct()
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     paths = F.transform(every, lambda n: F.substring(F.col("path"), F.lit(1), n))
-    each = urls.withColumn("e_host", F.explode(hosts)).withColumn("e_path", F.explode(paths)).withColumn("digest", _digest(F.col("e_host"), F.col("e_path"))).withColumn("short", _short(F.col("digest")))
+    each = urls.withColumn("e_host", F.explode(hosts)).withColumn("e_path", F.explode(paths)).select("a", "b", _digest(F.col("e_host"), F.col("e_path")).alias("digest"))
+    each = each.withColumn("short", _short(F.col("digest")))
     fits = each.join(rules, "short").where(F.col("digest") == F.col("r_digest"))
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), "action", F.concat("r_host", "r_path").alias("rule"))
-    best = fits.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", "best.rule", "best.action")
-    out = pages.join(best, ["host", "path"], "left")
+    best = fits.groupBy("a", "b").agg(F.max(rank).alias("best")).select("a", "b", "best.rule", "best.action")
+    out = pages.join(best, ["a", "b"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
