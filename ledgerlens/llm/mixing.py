@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .packing import materialize
+from .packing import materialize, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,27 +50,47 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     docs keep their values whatever their names, but those named like the results are replaced.
 
     Keys are uniform, so their leading bits range-partition a source evenly whatever its size: sums per (source, range)
-    give each range its offset, and a window within the range does the rest.
+    show in which range the budget ends, and prefix sums within that range alone give the key at which the source is cut.
+    Every document then decides by its own key, so texts are never shuffled.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
     own = "_"  # starts the names of columns used on the way, and no name of docs
     while any(c.lower().startswith(own) for c in docs.columns):
         own += "_"
-    key, part, before, offset, sum_, named, numbered, goal_size, goal = (own + c for c in ("key", "part", "before", "offset", "sum", "named", "numbered", "size", "goal"))
-    sized = docs.withColumn("size", word_count("text")).withColumn(key, F.xxhash64(F.lit(seed), "doc_id", "text"))
-    slim = materialize(sized.select("source", "size", key))
-    bits = max(0, (slim.count() // per_bucket).bit_length())
-    span = F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
-    sums = slim.groupBy("source", span.alias(part)).agg(F.sum("size").alias(sum_))
-    by_range = Window.partitionBy("source").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    parts = sums.select(F.col("source").alias(named), F.col(part).alias(numbered), F.coalesce(F.sum(sum_).over(by_range), F.lit(0)).alias(offset))
-    goals = targets(sums.groupBy("source").agg(F.sum(sum_).alias("source_size")), list(weights), share, most)
-    goals = goals.select(F.col("source").alias(own + "source"), F.col("source_size").alias(goal_size), F.col("target").alias(goal))
-    parts = parts.join(goals, F.col(named).eqNullSafe(F.col(own + "source"))).drop(own + "source")
-    inside = Window.partitionBy("source", part).orderBy(key, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn(part, span).withColumn(before, F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(parts, F.col("source").eqNullSafe(F.col(named)) & (F.col(part) == F.col(numbered)))
-    epochs = F.when(F.col(goal_size) > 0, F.floor(F.col(goal) / F.col(goal_size))).otherwise(F.lit(0)).cast("long")
-    left = F.round(goal).cast("long") - epochs * F.col(goal_size) - F.col(offset) - F.col(before)
-    taken = F.col("size") * epochs + F.greatest(F.lit(0).cast("long"), F.least("size", left))
+    key, named, goal_size, goal, epochs, cut, rest, n_at, place = (own + c for c in ("key", "named", "size", "goal", "epochs", "cut", "rest", "n", "place"))
+    random = F.xxhash64(F.lit(seed), "doc_id", "text").bitwiseXOR(F.lit(-(1 << 63)))
+    sized = docs.withColumn("size", word_count("text")).withColumn(key, random)
+    slim = materialize(sized.select("source", "size", F.col(key).alias("key")))
+    cuts = stored(_cuts(slim, list(weights), share, most, per_bucket))
+    cuts = cuts.select(*(F.col(c).alias(n) for c, n in (("source", named), ("source_size", goal_size), ("target", goal), ("epochs", epochs), ("cut", cut), ("rest", rest), ("n", n_at))))
+    placed = sized.join(cuts, F.col("source").eqNullSafe(F.col(named)))
+    at_cut = F.coalesce(F.col(key) == F.col(cut), F.lit(False))
+    if cuts.where(F.col(n_at) > 1).isEmpty():
+        placed = placed.withColumn(place, F.lit(1))
+    else:  # rows that repeat share the key at which their source is cut: they are numbered
+        among = Window.partitionBy(named).orderBy("doc_id")
+        placed = placed.where(~at_cut).withColumn(place, F.lit(1)).unionByName(placed.where(at_cut).withColumn(place, F.row_number().over(among)))
+    part = F.greatest(F.lit(0).cast("long"), F.least("size", F.col(rest) - (F.col(place) - 1) * F.col("size")))
+    more = F.when(F.col(key) < F.col(cut), F.col("size")).when(at_cut, part).otherwise(F.lit(0))
+    taken = (F.col("size") * F.col(epochs) + more).cast("long")
     return placed.select(*(F.col(f"`{c}`") for c in docs.columns), "size", F.col(goal_size).alias("source_size"), F.col(goal).alias("target"), taken.alias("taken"))
+
+
+def _cuts(slim: DataFrame, weights: list[float], share: float, most: float, per_bucket: int) -> DataFrame:
+    """(source, source_size, target, epochs, cut, rest, n) for slim (source, size, key): after its whole epochs a source takes the
+    documents with keys below `cut` and `rest` words of the n that have it; cut is NULL where nothing more is taken."""
+    bits = max(0, (slim.count() // per_bucket).bit_length())
+    slim = slim.withColumn("part", F.shiftright("key", 64 - bits) if bits else F.lit(0).cast("long"))
+    sums = materialize(slim.groupBy("source", "part").agg(F.sum("size").alias("words")))
+    goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    goals = materialize(goals.withColumn("epochs", epochs).withColumn("left", F.round("target").cast("long") - F.col("epochs") * F.col("source_size")))
+    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    reach = sums.withColumn("after", F.sum("words").over(upto)).alias("s").join(goals.alias("g"), F.expr("s.source <=> g.source"))
+    here = reach.where("left > 0 and after - words <= left and left < after").select(F.col("s.source").alias("source"), "part", (F.col("left") - F.col("after") + F.col("words")).alias("rest"))  # one range of a source
+    keys = slim.alias("d").join(here.alias("h"), F.expr("d.source <=> h.source and d.part = h.part")).groupBy(F.col("d.source").alias("source"), "key", "rest").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    keys = keys.withColumn("after", F.sum("words").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)))
+    cut = keys.where("after - words <= rest and rest < after").select("source", F.col("key").alias("cut"), (F.col("rest") - F.col("after") + F.col("words")).alias("rest"), "n")
+    # where the budget is all of a source, nothing lies behind the cut
+    whole = F.when(F.col("left") >= F.col("source_size"), F.lit((1 << 63) - 1))
+    return goals.alias("g").join(cut.alias("c"), F.expr("g.source <=> c.source"), "left").select("g.source", "source_size", "target", "epochs", F.coalesce("cut", whole).alias("cut"), F.coalesce("c.rest", F.lit(0)).cast("long").alias("rest"), F.coalesce("n", F.lit(1)).cast("long").alias("n"))
