@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, jaccard, mixing, quality, rlz, sharding, tokencount, urls
+from . import chat, decontaminate, embeddings, jaccard, manifest, mixing, quality, rlz, sharding, tokencount, urls
 from .packing import stored
 
 
@@ -69,10 +69,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 4, 85)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    claims = {"text": F.when(odd, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    return manifest.manifest(table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text"), claims)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_tool_calls, op2_vector_sharding, op3_rlz_dedup, op4_url_filter, op5_itq_dedup, op6_edit_counts, op7_decontamination, op8_quality, op9_source_mix, op10_jaccard_join)
-}
+    for f in (
+        op1_tool_calls, op2_vector_sharding, op3_rlz_dedup, op4_url_filter, op5_itq_dedup, op6_edit_counts, op7_decontamination, op8_quality, op9_source_mix, op10_jaccard_join,
+        op11_merkle_manifest,
+    )
+}
 
 #: Words of every document by position, as CTEs for the statements below.
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -158,4 +167,32 @@ SELECT u.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, least(u.vec_id, coalesce(c
        u.vec_id = least(u.vec_id, coalesce(c.m, u.vec_id)) AS kept
 FROM u LEFT JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)"""
 
-ORACLE_SQL = {"op1_tool_calls": _OP1, "op4_url_filter": _OP4, "op5_itq_dedup": _OP5, "op3_rlz_dedup": _OP3, "op7_decontamination": _OP7, "op10_jaccard_join": _OP10}
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+#: CRC-32 bit by bit; 3988292384 is its polynomial, 4294967295 its start
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295::BIGINT)"""
+
+_OP11 = f"""WITH RECURSIVE
+x AS (SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf,
+             CASE WHEN {_CRC} % 2 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")} ELSE {_LEAF.format(text="text")} END AS claim FROM documents),
+p AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, claim) - 1 AS idx FROM x),
+lo(tree, level, idx, n, h) AS (SELECT tree, 0, idx, n, leaf FROM p UNION ALL
+  SELECT tree, level + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM lo WHERE n > 1 GROUP BY tree, level, idx // 3),
+hi(level, idx, n, h) AS (SELECT 0, tree, count(*) OVER (), h FROM lo WHERE n = 1 UNION ALL
+  SELECT level + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM hi WHERE n > 1 GROUP BY level, idx // 3),
+nodes AS (SELECT tree, level, idx, n, h FROM lo UNION ALL SELECT -1, level, idx, n, h FROM hi),
+-- a lone node of a source stands at its place above the sources
+steps AS (SELECT tree, level, idx, n,
+  coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, idx // 3 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+  coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, idx // 3 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM nodes),
+climb(doc_id, src, leaf, i, tree, level, idx, f, proof) AS (SELECT doc_id, tree, leaf, idx, tree, 0, idx, claim, '' FROM p UNION ALL
+  SELECT doc_id, src, leaf, i, CASE WHEN s.n > 1 THEN c.tree ELSE -1 END, CASE WHEN s.n > 1 THEN c.level + 1 ELSE 0 END, CASE WHEN s.n > 1 THEN c.idx // 3 ELSE c.tree END,
+         CASE WHEN s.n > 1 THEN sha256(b || f || a) ELSE f END, CASE WHEN s.n > 1 THEN proof || b || a ELSE proof END
+  FROM climb c JOIN steps s ON s.tree = c.tree AND s.level = c.level AND s.idx = c.idx WHERE s.n > 1 OR c.tree >= 0)
+SELECT c.doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = root.h AS verified
+FROM climb c JOIN steps s ON s.tree = -1 AND c.tree = -1 AND s.level = c.level AND s.idx = c.idx AND s.n = 1
+JOIN (SELECT tree, h FROM lo WHERE n = 1) sub ON sub.tree = c.src, (SELECT h FROM hi WHERE n = 1) root"""
+
+ORACLE_SQL = {"op11_merkle_manifest": _OP11, "op1_tool_calls": _OP1, "op4_url_filter": _OP4, "op5_itq_dedup": _OP5, "op3_rlz_dedup": _OP3, "op7_decontamination": _OP7, "op10_jaccard_join": _OP10}
