@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, jaccard, manifest, mixing, quality, rlz, sharding, tokencount, urls
+from . import chat, decontaminate, embeddings, jaccard, manifest, mixing, phrases, quality, rlz, sharding, tokencount, urls
 from .packing import stored
 
 
@@ -75,11 +75,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text"), claims)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), 100, 5, 100, 2000)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_tool_calls, op2_vector_sharding, op3_rlz_dedup, op4_url_filter, op5_itq_dedup, op6_edit_counts, op7_decontamination, op8_quality, op9_source_mix, op10_jaccard_join,
-        op11_merkle_manifest,
+        op11_merkle_manifest, op12_collocations,
     )
 }
 
@@ -195,4 +199,17 @@ SELECT c.doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(proof) AS proof_
 FROM climb c JOIN steps s ON s.tree = -1 AND c.tree = -1 AND s.level = c.level AND s.idx = c.idx AND s.n = 1
 JOIN (SELECT tree, h FROM lo WHERE n = 1) sub ON sub.tree = c.src, (SELECT h FROM hi WHERE n = 1) root"""
 
-ORACLE_SQL = {"op11_merkle_manifest": _OP11, "op1_tool_calls": _OP1, "op4_url_filter": _OP4, "op5_itq_dedup": _OP5, "op3_rlz_dedup": _OP3, "op7_decontamination": _OP7, "op10_jaccard_join": _OP10}
+_OP12 = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_FOLD.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM documents),
+tot AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM p GROUP BY lang),
+f AS (SELECT lang, ws[i:i + k - 1] AS x, count(*)::HUGEINT AS f FROM p, unnest([1, 2, 3, 4, 5]) AS ks(k), unnest(range(1, len(ws) - k + 2)) AS t(i) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE len(x) > 1),
+cut AS (SELECT c.lang, c.x, c.f AS a, k, lf.f AS l, rf.f AS r, n, (1000 * c.f * n) // (lf.f * rf.f) AS score
+        FROM c JOIN tot USING (lang), unnest(range(1, len(c.x))) AS t(k) JOIN f lf ON lf.lang = c.lang AND lf.x = c.x[1:k] JOIN f rf ON rf.lang = c.lang AND rf.x = c.x[k + 1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, k) = 1),
+part AS (SELECT c.lang, c.x[i:i + k - 1] AS x, max(f) AS f FROM c, unnest(range(2, len(c.x))) AS t(k), unnest(range(1, len(c.x) - k + 2)) AS u(i) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN part USING (lang, x) WHERE part.f IS NULL OR 100 * part.f < 100 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(x, ' ')) AS rank, array_to_string(x, ' ') AS phrase,
+         a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM kept) WHERE rank <= 2000"""
+
+ORACLE_SQL = {"op12_collocations": _OP12, "op11_merkle_manifest": _OP11, "op1_tool_calls": _OP1, "op4_url_filter": _OP4, "op5_itq_dedup": _OP5, "op3_rlz_dedup": _OP3, "op7_decontamination": _OP7, "op10_jaccard_join": _OP10}
