@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, jaccard, manifest, mixing, phrases, quality, rlz, sharding, tokencount, urls
+from . import chat, decontaminate, embeddings, jaccard, manifest, mixing, neighbours, phrases, quality, rlz, sharding, tokencount, urls
 from .packing import stored
 
 
@@ -79,11 +79,16 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), 100, 5, 100, 2000)
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_tool_calls, op2_vector_sharding, op3_rlz_dedup, op4_url_filter, op5_itq_dedup, op6_edit_counts, op7_decontamination, op8_quality, op9_source_mix, op10_jaccard_join,
-        op11_merkle_manifest, op12_collocations,
+        op11_merkle_manifest, op12_collocations, op13_neighbours,
     )
 }
 
@@ -212,4 +217,11 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
   SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(x, ' ')) AS rank, array_to_string(x, ' ') AS phrase,
          a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM kept) WHERE rank <= 2000"""
 
-ORACLE_SQL = {"op12_collocations": _OP12, "op11_merkle_manifest": _OP11, "op1_tool_calls": _OP1, "op4_url_filter": _OP4, "op5_itq_dedup": _OP5, "op3_rlz_dedup": _OP3, "op7_decontamination": _OP7, "op10_jaccard_join": _OP10}
+#: Exact: on small tables the search has to find all.
+_OP13 = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (v.e[i] - q.e[i]) * (v.e[i] - q.e[i])), lambda a, x: a + x)) AS score
+      FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND len(v.e) = len(q.e)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank, vec_id, score FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+ORACLE_SQL = {"op13_neighbours": _OP13, "op12_collocations": _OP12, "op11_merkle_manifest": _OP11, "op1_tool_calls": _OP1, "op4_url_filter": _OP4, "op5_itq_dedup": _OP5, "op3_rlz_dedup": _OP3, "op7_decontamination": _OP7, "op10_jaccard_join": _OP10}
