@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import pnl_pct
-from .decisions import exit_zone
+from .decisions import exit_zone, ladder
 from .windows import WARM, pulse
 
 PARAMS = "config_id string, stop double, take_profit double, trail_from double, trail_by double, max_hold double, dead_rate double, dying double, pressure double, drop_ratio double, drop_floor double, blood_events double, near_grad double"
@@ -37,45 +37,58 @@ def states(trades: DataFrame, entries: DataFrame, whale: float, tick: float) ->
     return e.withColumn("tick_ts", F.when(F.col("warm") & (F.col("next_ts").isNull() | (first_tick <= F.col("next_ts"))), first_tick))
 
 
+#: Share that a model's partial sale takes, by the probability it was sure with.
+LADDER = [(0.55, 0.30), (0.65, 0.50), (0.75, 0.70)]
+
+
 def signals(s: DataFrame, configs: DataFrame, creator_dump: bool = True, whale: bool = False, scores: DataFrame | None = None, confident: float = 0.10) -> DataFrame:
     """Rows of `states` under each configuration with `reason`: the first rule of the cascade that fires, or NULL.
 
     configs (PARAMS) is a parameter table, a row per configuration, and is broadcast. scores (entity_id, proba, q25,
-    max_hold_pred), a row per entity, let a model's view change the cascade: sell before the stop in a loss that it expects to
-    grow, hold on against weak exits and early profits when it is sure, sell when it says so after 15 s, and set the longest hold.
+    max_hold_pred), a row per entity, add a model's view. It never holds up a hard rule. In a loss that it expects to grow it sells before the stop;
+    when it is sure, it passes up the profit target, and with it all that comes after on that row (`passed`); it sets the longest hold. Where no rule
+    fires, `zone` tells what it asks for: HOLD_HARD keeps a weak pulse from selling a part, SELL_ALL and SELL_PARTIAL count from 15 s on; `share` is
+    what a partial sale takes. With scores, `reason` does not hold SELL_ALL, since a partial sale on the same row comes first: see `escalated`.
     """
     c = F.col
     no = F.lit(False)
-    tighten, hold, sure, sell, longest = no, no, no, no, c("max_hold")
+    tighten, sure, longest, zone, share = no, no, c("max_hold"), F.lit("RULES"), F.lit(0.0)
     if scores is not None:
         s = s.join(scores.select("entity_id", "proba", "q25", "max_hold_pred"), "entity_id", "left")
         zone = exit_zone(c("proba"), c("pnl"))
         selling, held = zone.isin("SELL_ALL", "SELL_PARTIAL"), zone == "HOLD_HARD"
         yes = lambda x: F.coalesce(x, no)
         tighten = yes(selling & (c("pnl") > -c("stop")) & (c("pnl") <= -5) & c("q25").between(-100, 0) & (c("q25") < -5))
-        hold, sell = yes(held), yes(selling & (c("elapsed") >= 15))
         sure = yes(held & (c("proba") < confident) & (c("peak_pnl") < 300) & (c("pnl") < 500))
+        zone, share = F.when(~selling | (c("elapsed") >= 15), zone).otherwise("RULES"), ladder(c("proba"), LADDER, 0.0)
         longest = F.coalesce(F.greatest(F.least(F.lit(30.0), c("max_hold")), F.least("max_hold_pred", "max_hold")), c("max_hold"))
     j = s.crossJoin(F.broadcast(configs))
+    target = c("pnl") >= c("take_profit")
     rules = [
         (c("pnl") < -c("stop"), "hard_stop"),
-        (tighten, "model_tighten"),
         (F.lit(creator_dump) & c("creator_selling"), "creator_dump"),
-        (~hold & (c("buy_rate") < c("dead_rate")), "pulse_dead"),
-        (~hold & (c("declining_run") >= c("dying")), "trend_dying"),
-        (~hold & (c("sell_rate") > c("buy_rate") * c("pressure")), "sell_pressure"),
-        (~hold & (c("drop_ratio") > 0) & (c("peak_rate") >= c("drop_floor")) & (c("of_peak") <= c("drop_ratio")), "buy_rate_drop"),
-        (~hold & (c("new_actor_rate") == 0) & (c("window_events") >= c("blood_events")), "no_new_blood"),
+        (c("buy_rate") < c("dead_rate"), "pulse_dead"),
+        (c("declining_run") >= c("dying"), "trend_dying"),
+        (c("sell_rate") > c("buy_rate") * c("pressure"), "sell_pressure"),
+        ((c("drop_ratio") > 0) & (c("peak_rate") >= c("drop_floor")) & (c("of_peak") <= c("drop_ratio")), "buy_rate_drop"),
+        ((c("new_actor_rate") == 0) & (c("window_events") >= c("blood_events")), "no_new_blood"),
         (F.lit(whale) & c("whale_exit"), "whale_exit"),
         (c("reserve_pct") > c("near_grad"), "near_graduation"),
-        (~sure & (c("pnl") >= c("take_profit")), "take_profit"),
-        ((c("peak_pnl") >= c("trail_from")) & (c("peak_pnl") - c("pnl") >= c("trail_by")), "trailing_stop"),
-        (sell, "model_sell"),
-        (c("elapsed") > c("longest"), "timeout"),
+        (tighten, "model_tighten"),
+        (target & ~sure, "take_profit"),
+        (~target & (c("peak_pnl") >= c("trail_from")) & (c("peak_pnl") - c("pnl") >= c("trail_by")), "trailing_stop"),
+        (~target & (c("elapsed") > c("longest")), "timeout"),
     ]
     # the stop is tested on every event, the others once the window is warm
     j = j.withColumn("longest", longest)
-    return j.withColumn("reason", F.coalesce(*(F.when(cond if i == 0 else c("warm") & cond, r) for i, (cond, r) in enumerate(rules))))
+    reason = F.coalesce(*(F.when(cond if i == 0 else c("warm") & cond, r) for i, (cond, r) in enumerate(rules)))
+    return j.withColumn("reason", reason).withColumn("zone", F.coalesce(zone, F.lit("RULES"))).withColumn("share", F.coalesce(share, F.lit(0.0))).withColumn("passed", c("warm") & target & c("reason").isNull())
+
+
+def escalated(sig: DataFrame) -> DataFrame:
+    """sig where no partial sales are made: a SELL_ALL that no rule forestalls is the row's reason."""
+    sell = F.col("warm") & ~F.col("passed") & (F.col("zone") == "SELL_ALL")
+    return sig.withColumn("reason", F.coalesce("reason", F.when(sell, "model_sell")))
 
 
 def exit_at(sig: DataFrame, ticks_count_as_no_new_actor: bool = True) -> DataFrame:
@@ -94,13 +107,19 @@ def first_exits(sig: DataFrame, ticks_count_as_no_new_actor: bool = True) -> Dat
 
 
 def simulated(trades: DataFrame, entries: DataFrame, configs: DataFrame, whale: float, tick: float, scores: DataFrame | None = None, legs: dict[str, float] | None = None) -> DataFrame:
-    """The whole replay per configuration and entity; positions without a signal end as timeout at their last price.
+    """The whole replay per configuration and entity: `closed` on the `states` of the positions."""
+    return closed(states(trades, entries, whale, tick), configs, tick, scores, legs)
+
+
+def closed(s: DataFrame, configs: DataFrame, tick: float, scores: DataFrame | None = None, legs: dict[str, float] | None = None) -> DataFrame:
+    """How each position ends under each configuration; those without a signal end as timeout at their last price.
 
     Everything comes from one aggregation of the signal rows, which stay where the windows put them. scores: see `signals`.
     legs (parameters of `partial_exits`): the result is weighted over partial sales, and `remaining` says what the exit sold.
     """
     c = F.col
-    sig = exit_at(signals(states(trades, entries, whale, tick), configs, scores=scores))
+    sig = signals(s, configs, scores=scores)
+    sig = exit_at(sig if legs else escalated(sig))
     by_tick = c("reason").isNull() & (c("tick_ts") == c("next_ts"))
     seen = lambda side: F.when(by_tick, c(f"{side}s_next")).otherwise(c(f"{side}s_now")).alias(f"{side}s")
     exit_ = F.struct(c("at").alias("exit_ts"), c("price").alias("exit_price"), c("why").alias("reason"), "pnl", seen("buy"), seen("sell"))
@@ -114,31 +133,44 @@ def simulated(trades: DataFrame, entries: DataFrame, configs: DataFrame, whale:
         "sells": F.count_if((c("side") == "sell") & (c("ts") <= until)),
     }
     if legs:
-        out["rows"] = F.array_sort(F.collect_list(F.struct("order", "pnl", "warm", "buy_rate", "reason", "why")))
+        # where a model sells all depends on the legs: the fold finds the row, with what an exit by event there would be
+        here = F.struct(c("ts").alias("exit_ts"), c("price").alias("exit_price"), F.lit("model_sell").alias("reason"), "pnl", c("buys_now").alias("buys"), c("sells_now").alias("sells"))
+        out["rows"] = F.array_sort(F.collect_list(F.struct("order", *LEG_ROWS, "why", here.alias("here"))))
     g = sig.groupBy("config_id", "entity_id").agg(*(x.alias(k) for k, x in out.items()))
+    if legs:
+        g = g.withColumn("legs", _legs(c("rows"), **legs))
+        sold = F.filter("rows", lambda r: (r["order"] == c("legs.end")) & (c("legs.why") == "model_sell"))
+        g = g.withColumn("x", F.coalesce(F.get(sold, F.lit(0))["here"], c("x")))
     done = c("x").isNotNull()
     pick = lambda a, b: F.when(done, c(a)).otherwise(c(b))
     hold = F.when(done, c("x.exit_ts") - c("entry_ts")).otherwise(c("max_hold") + tick)
     pnl, more = pick("x.pnl", "last.pnl"), []
     if legs:
-        g = g.withColumn("legs", _legs(c("rows"), **legs))
         pnl, more = c("legs.got") + c("legs.left") * c("legs.last"), [c("legs.sold").alias("remaining")]
     return g.select("config_id", "entity_id", "entry_ts", F.coalesce("x.reason", F.lit("timeout")).alias("reason"), pick("x.exit_price", "last.price").alias("exit_price"), pnl.alias("pnl"), hold.alias("hold"), pick("x.buys", "buys").alias("n_buys"), pick("x.sells", "sells").alias("n_sells"), *more)
 
 
+#: What the fold of partial sales looks at on each row.
+LEG_ROWS = ("pnl", "warm", "buy_rate", "reason", "zone", "share", "passed")
+
+
 def _legs(rows: Column, profit_at: float, profit_share: float, weak_rate: float, weak_at: float, weak_share: float, moonbag: float) -> Column:
-    """A fold over rows (order, pnl, warm, buy_rate, reason, why): what is left, what was got, and what the full exit sold."""
-    start = F.struct(F.lit(1.0).alias("left"), F.lit(0.0).alias("got"), F.lit(False).alias("took"), F.lit(None).cast("string").alias("why"), F.lit(0.0).alias("last"), F.lit(0.0).alias("sold"))
+    """A fold over rows (order, LEG_ROWS, why): what is left, what was got, and the row, reason and share of the full exit."""
+    start = F.struct(F.lit(1.0).alias("left"), F.lit(0.0).alias("got"), F.lit(False).alias("took"), F.lit(None).cast("string").alias("why"), F.lit(0.0).alias("last"), F.lit(0.0).alias("sold"), F.lit(None).cast("int").alias("end"))
 
     def step(a: Column, r: Column) -> Column:
         free = a["left"] - moonbag
-        can = r["warm"] & r["reason"].isNull() & (free > 0.01)
+        quiet = r["warm"] & r["reason"].isNull() & ~r["passed"]
+        can = quiet & (free > 0.01)
         strong = F.coalesce(can & (r["pnl"] > profit_at) & ~a["took"], F.lit(False))
-        weak = can & ~strong & (r["buy_rate"] < weak_rate) & (r["pnl"] > weak_at)
-        part = F.when(strong, F.least(F.lit(profit_share), free)).when(weak, F.least(F.lit(weak_share), free)).otherwise(0.0)
-        left = F.when(r["why"].isNotNull(), 0.0).otherwise(a["left"] - part)
-        sold = F.when(r["why"].isNotNull(), a["left"] - part).otherwise(0.0)
-        moved = F.struct(left.alias("left"), (a["got"] + (a["left"] - left) * r["pnl"]).alias("got"), (a["took"] | strong).alias("took"), r["why"].alias("why"), r["pnl"].alias("last"), sold.alias("sold"))
+        weak = F.coalesce(can & ~strong & (r["buy_rate"] < weak_rate) & (r["pnl"] > weak_at), F.lit(False))
+        asked = quiet & ~strong & ~weak
+        part = F.when(strong, profit_share).when(weak & (r["zone"] != "HOLD_HARD"), weak_share).when(asked & (free > 0.01) & (r["zone"] == "SELL_PARTIAL"), r["share"]).otherwise(0.0)
+        part = F.when(part > 0, F.least(part, free)).otherwise(0.0)
+        why = F.coalesce(F.when(asked & (r["zone"] == "SELL_ALL"), "model_sell"), r["why"])
+        left = F.when(why.isNotNull(), 0.0).otherwise(a["left"] - part)
+        sold = F.when(why.isNotNull(), a["left"] - part).otherwise(0.0)
+        moved = F.struct(left.alias("left"), (a["got"] + (a["left"] - left) * r["pnl"]).alias("got"), (a["took"] | strong).alias("took"), why.alias("why"), r["pnl"].alias("last"), sold.alias("sold"), r["order"].cast("int").alias("end"))
         return F.when(a["why"].isNotNull(), a).otherwise(moved)
 
     return F.aggregate(rows, start, step)
@@ -150,7 +182,7 @@ def partial_exits(sig: DataFrame, profit_at: float, profit_share: float, weak_ra
     A fold over each position's rows in order, inside the JVM: a strong profit sells once, a weak pulse in profit again and
     again, down to the moonbag; the first full exit sells the rest, else the last price values it.
     """
-    rows = F.array_sort(F.collect_list(F.struct("order", "pnl", "warm", "buy_rate", "reason", F.col("reason").alias("why"))))
+    rows = F.array_sort(F.collect_list(F.struct("order", *LEG_ROWS, F.col("reason").alias("why"))))
     x = sig.groupBy("config_id", "entity_id").agg(rows.alias("rows")).withColumn("x", _legs(F.col("rows"), profit_at, profit_share, weak_rate, weak_at, weak_share, moonbag))
     return x.select("config_id", "entity_id", (F.col("x.got") + F.col("x.left") * F.col("x.last")).alias("pnl"), F.col("x.left").alias("remaining"), F.coalesce("x.why", F.lit("timeout")).alias("reason"))
 

@@ -90,17 +90,21 @@ LEGS = {"profit_at": 200.0, "profit_share": 0.30, "weak_rate": 0.60, "weak_at":
 
 
 def legs_sql(rows: str) -> str:
-    """A fold over the table `rows` (config_id, entity_id, ord, pnl, warm, buy_rate, reason, why) as CTEs that end in `legs`."""
-    return f"""lr AS MATERIALIZED (SELECT config_id, entity_id, ord, pnl, warm, buy_rate, reason, why FROM {rows}),
+    """A fold over the table `rows` (config_id, entity_id, ord, pnl, warm, buy_rate, reason, zone, share, passed, why) as CTEs that end in `legs`."""
+    return f"""lr AS MATERIALIZED (SELECT config_id, entity_id, ord, pnl, warm, buy_rate, reason, zone, share, passed, why FROM {rows}),
 lf AS (SELECT config_id, entity_id, 0::BIGINT AS ord, 1.0::DOUBLE AS rest, 0.0::DOUBLE AS got, false AS took, NULL::VARCHAR AS why, 0.0::DOUBLE AS last, 0.0::DOUBLE AS sold FROM (SELECT DISTINCT config_id, entity_id FROM lr)
- UNION ALL SELECT config_id, entity_id, ord, CASE WHEN why IS NOT NULL THEN 0 ELSE rest - part END, got + CASE WHEN why IS NOT NULL THEN rest ELSE part END * pnl, took OR strong, why, pnl, CASE WHEN why IS NOT NULL THEN rest - part ELSE 0 END FROM
- (SELECT *, CASE WHEN strong THEN least(0.30::DOUBLE, rest - 0.10::DOUBLE) WHEN can AND NOT strong AND buy_rate < 0.60 AND pnl > 50 THEN least(0.50::DOUBLE, rest - 0.10::DOUBLE) ELSE 0 END AS part FROM
- (SELECT *, can AND pnl > 200 AND NOT took AS strong FROM
- (SELECT lr.config_id, lr.entity_id, lr.ord, lr.pnl, lr.buy_rate, lr.why, lf.rest, lf.got, lf.took, lr.warm AND lr.reason IS NULL AND lf.rest - 0.10::DOUBLE > 0.01 AS can FROM lf JOIN lr ON lr.config_id = lf.config_id AND lr.entity_id = lf.entity_id AND lr.ord = lf.ord + 1 WHERE lf.why IS NULL)))),
-legs AS (SELECT config_id, entity_id, arg_max(got + rest * last, ord) AS pnl, arg_max(rest, ord) AS rest, arg_max(sold, ord) AS sold, arg_max(why, ord) AS why FROM lf WHERE ord > 0 GROUP BY ALL)"""
+ UNION ALL SELECT config_id, entity_id, ord, CASE WHEN w IS NOT NULL THEN 0 ELSE rest - part END, got + CASE WHEN w IS NOT NULL THEN rest ELSE part END * pnl, took OR strong, w, pnl, CASE WHEN w IS NOT NULL THEN rest - part ELSE 0 END FROM
+ (SELECT *, coalesce(CASE WHEN quiet AND NOT strong AND NOT weak AND zone = 'SELL_ALL' THEN 'model_sell' END, why) AS w, CASE WHEN strong THEN least(0.30::DOUBLE, rest - 0.10::DOUBLE) WHEN weak AND zone <> 'HOLD_HARD' THEN least(0.50::DOUBLE, rest - 0.10::DOUBLE)
+   WHEN can AND NOT weak AND zone = 'SELL_PARTIAL' THEN least(share, rest - 0.10::DOUBLE) ELSE 0 END AS part FROM
+ (SELECT *, can AND NOT strong AND buy_rate < 0.60 AND pnl > 50 AS weak FROM (SELECT *, can AND pnl > 200 AND NOT took AS strong FROM (SELECT *, quiet AND rest - 0.10::DOUBLE > 0.01 AS can FROM
+ (SELECT lr.config_id, lr.entity_id, lr.ord, lr.pnl, coalesce(lr.buy_rate, 1) AS buy_rate, lr.why, lr.zone, lr.share, lf.rest, lf.got, lf.took, lr.warm AND lr.reason IS NULL AND NOT lr.passed AS quiet FROM lf JOIN lr ON lr.config_id = lf.config_id AND lr.entity_id = lf.entity_id AND lr.ord = lf.ord + 1 WHERE lf.why IS NULL)))))),
+legs AS (SELECT config_id, entity_id, arg_max(got + rest * last, ord) AS pnl, arg_max(rest, ord) AS rest, arg_max(sold, ord) AS sold, arg_max(why, ord) AS why, max(ord) AS ended FROM lf WHERE ord > 0 GROUP BY ALL)"""
 
 
-@query(f"WITH RECURSIVE {STATES_SQL}, {legs_sql('(SELECT *, reason AS why FROM sig)')} SELECT config_id, entity_id, pnl, rest AS remaining, coalesce(why, 'timeout') AS reason FROM legs", rounded=("pnl", "remaining"))
+_PLAIN = "(SELECT *, reason AS why, 'RULES' AS zone, 0.0::DOUBLE AS share, coalesce(warm AND pnl >= take_profit AND reason IS NULL, false) AS passed FROM sig)"
+
+
+@query(f"WITH RECURSIVE {STATES_SQL}, {legs_sql(_PLAIN)} SELECT config_id, entity_id, pnl, rest AS remaining, coalesce(why, 'timeout') AS reason FROM legs", rounded=("pnl", "remaining"))
 def partial_exits(spark, sf_dir):
     return E.partial_exits(signal_rows(spark, sf_dir), **LEGS)
 
@@ -113,11 +117,15 @@ def simulate_exit(spark, sf_dir):
 #: A model's view of each entity, made of its first event: probability, lower quantile, predicted hold.
 _SCORES = f"""sc AS (SELECT entity_id, arg_min(amount, ts * 1e6 + event_id) / 100 AS proba, arg_min(reserve, ts * 1e6 + event_id) - 60 AS q25, arg_min(qty, ts * 1e6 + event_id) * {2 * DAY} AS max_hold_pred FROM trades GROUP BY entity_id)"""
 _FULL_SIG = STATES_SQL[: STATES_SQL.index("sig AS (")] + f"""{_SCORES},
-zn AS (SELECT st.*, configs.*, proba, q25, greatest(least(30, max_hold), least(max_hold_pred, max_hold)) AS longest, CASE WHEN proba >= 0.8 THEN 'SELL_ALL' WHEN proba >= 0.55 THEN 'SELL_PARTIAL' WHEN proba < 0.2 AND pnl >= -5 THEN 'HOLD_HARD' ELSE 'RULES' END AS zone FROM st JOIN sc USING (entity_id), configs),
-sig AS (SELECT *, CASE WHEN pnl < -stop THEN 'hard_stop' WHEN NOT warm THEN NULL WHEN zone LIKE 'SELL%' AND pnl <= -5 AND q25 BETWEEN -100 AND 0 AND q25 < -5 AND pnl > -stop THEN 'model_tighten' WHEN creator_selling THEN 'creator_dump' WHEN zone <> 'HOLD_HARD' AND buy_rate < dead_rate THEN 'pulse_dead' WHEN zone <> 'HOLD_HARD' AND declining_run >= dying THEN 'trend_dying'
- WHEN zone <> 'HOLD_HARD' AND sell_rate > buy_rate * pressure THEN 'sell_pressure' WHEN zone <> 'HOLD_HARD' AND drop_ratio > 0 AND peak_rate >= drop_floor AND of_peak <= drop_ratio THEN 'buy_rate_drop' WHEN zone <> 'HOLD_HARD' AND new_actor_rate = 0 AND window_events >= blood_events THEN 'no_new_blood' WHEN reserve_pct > near_grad THEN 'near_graduation'
- WHEN NOT (zone = 'HOLD_HARD' AND proba < 0.1 AND peak_pnl < 300 AND pnl < 500) AND pnl >= take_profit THEN 'take_profit' WHEN peak_pnl >= trail_from AND peak_pnl - pnl >= trail_by THEN 'trailing_stop' WHEN zone LIKE 'SELL%' AND elapsed >= 15 THEN 'model_sell' WHEN elapsed > longest THEN 'timeout' END AS reason FROM zn),
+zn AS (SELECT st.*, configs.*, proba, q25, greatest(least(30, max_hold), least(max_hold_pred, max_hold)) AS longest, CASE WHEN proba >= 0.8 THEN 'SELL_ALL' WHEN proba >= 0.55 THEN 'SELL_PARTIAL' WHEN proba < 0.2 AND pnl >= -5 THEN 'HOLD_HARD' ELSE 'RULES' END AS view,
+ CASE WHEN proba >= 0.75 THEN 0.7 WHEN proba >= 0.65 THEN 0.5 WHEN proba >= 0.55 THEN 0.3 ELSE 0 END::DOUBLE AS share FROM st JOIN sc USING (entity_id), configs),
+sig AS (SELECT *, CASE WHEN view LIKE 'SELL%' AND elapsed < 15 THEN 'RULES' ELSE view END AS zone, CASE WHEN pnl < -stop THEN 'hard_stop' WHEN NOT warm THEN NULL WHEN creator_selling THEN 'creator_dump' WHEN buy_rate < dead_rate THEN 'pulse_dead' WHEN declining_run >= dying THEN 'trend_dying' WHEN sell_rate > buy_rate * pressure THEN 'sell_pressure'
+ WHEN drop_ratio > 0 AND peak_rate >= drop_floor AND of_peak <= drop_ratio THEN 'buy_rate_drop' WHEN new_actor_rate = 0 AND window_events >= blood_events THEN 'no_new_blood' WHEN reserve_pct > near_grad THEN 'near_graduation'
+ WHEN view LIKE 'SELL%' AND pnl <= -5 AND q25 BETWEEN -100 AND 0 AND q25 < -5 AND pnl > -stop THEN 'model_tighten'
+ WHEN pnl >= take_profit THEN CASE WHEN NOT (view = 'HOLD_HARD' AND proba < 0.1 AND peak_pnl < 300 AND pnl < 500) THEN 'take_profit' END WHEN peak_pnl >= trail_from AND peak_pnl - pnl >= trail_by THEN 'trailing_stop' WHEN elapsed > longest THEN 'timeout' END AS reason FROM zn),
 """ + STATES_SQL[STATES_SQL.index("ex AS (") :].replace("tick_ts - entry_ts > max_hold", "tick_ts - entry_ts > longest")
+_SCORED = """sold AS (SELECT config_id, entity_id, ex.ts, ex.price FROM ex JOIN legs USING (config_id, entity_id) WHERE legs.why = 'model_sell' AND ex.ord = legs.ended),
+after_sold AS (SELECT config_id, sold.entity_id, count(*) FILTER (a.side = 'buy') AS b, count(*) FILTER (a.side = 'sell') AS s FROM sold JOIN after a ON a.entity_id = sold.entity_id AND a.ts <= sold.ts GROUP BY ALL)"""
 
 
 def scores(spark, sf_dir):
@@ -125,7 +133,7 @@ def scores(spark, sf_dir):
     return first.select("entity_id", (F.col("f.amount") / 100).alias("proba"), (F.col("f.reserve") - 60).alias("q25"), (F.col("f.qty") * 2 * DAY).alias("max_hold_pred"))
 
 
-@query(f"WITH RECURSIVE {_FULL_SIG}, {legs_sql('ex')} SELECT sim.* REPLACE (legs.pnl AS pnl), legs.sold AS remaining FROM sim JOIN legs USING (config_id, entity_id)", rounded=("pnl", "exit_price", "remaining"))
+@query(f"WITH RECURSIVE {_FULL_SIG}, {legs_sql('(SELECT *, coalesce(warm AND pnl >= take_profit AND reason IS NULL, false) AS passed FROM ex)')}, {_SCORED} SELECT sim.* REPLACE (legs.pnl AS pnl, CASE WHEN sold.ts IS NULL THEN reason ELSE 'model_sell' END AS reason, coalesce(sold.price, exit_price) AS exit_price, coalesce(sold.ts - entry_ts, hold) AS hold, coalesce(b, n_buys) AS n_buys, coalesce(s, n_sells) AS n_sells), legs.sold AS remaining FROM sim JOIN legs USING (config_id, entity_id) LEFT JOIN sold USING (config_id, entity_id) LEFT JOIN after_sold USING (config_id, entity_id)", rounded=("pnl", "exit_price", "remaining"))
 def simulate_exit_scored(spark, sf_dir):
     """The replay with a model's overrides and partial sales, in the same pass."""
     return E.simulated(stream_trades(spark, sf_dir), entries(spark, sf_dir), configs(spark), WHALE, TICK, scores(spark, sf_dir), LEGS)

@@ -125,7 +125,8 @@ def fast_metrics(spark, sf_dir):
 
 @query(
     f"""WITH {events_sql()} SELECT entity_id, count(*) FILTER (is_buy) AS buy_count, count(*) FILTER (NOT is_buy) AS sell_count, count(DISTINCT actor_id) FILTER (is_buy) AS unique_buyers,
-coalesce(sum(amount) FILTER (is_buy), 0) AS buy_volume, coalesce(list(amount ORDER BY ts, event_id) FILTER (is_buy), []) AS buy_amounts FROM r GROUP BY entity_id"""
+coalesce(sum(amount) FILTER (is_buy), 0) AS buy_volume, coalesce(list(amount ORDER BY ts, event_id) FILTER (is_buy), []) AS buy_amounts, coalesce(bool_or(NOT is_buy AND actor_id = creator_id), false) AS creator_sold,
+CASE WHEN last(reserve ORDER BY ts, event_id) > 0 THEN least(last(reserve ORDER BY ts, event_id) / 85 * 100, 100) ELSE 0 END AS reserve_pct FROM r GROUP BY entity_id"""
 )
 def observation_metrics(spark, sf_dir):
     return M.observation_metrics(window(spark, sf_dir))
