@@ -119,14 +119,14 @@ WITH RECURSIVE climb(tree, family, lane, at_tree, at_level, at_idx, node, subroo
   SELECT tree, family, lane, tree, 0, family, head, head, ended, '', folded FROM {families}
   UNION ALL
   SELECT c.tree, c.family, c.lane, l.up_tree, l.up_level, l.up_idx, l.parent, IF(l.up_tree >= 0, l.parent, c.subroot), l.ended,
-         concat(c.proof, l.before, l.after), transform(c.folded, f -> sha2(concat(l.before, f, l.after), 256))
+         concat(c.proof, l.before, l.after), transform(c.folded, f -> unhex(sha2(concat(l.before, lower(hex(f)), l.after), 256)))
   FROM climb c JOIN {links} l ON l.lane = c.lane AND l.tree = c.at_tree AND l.level = c.at_level AND l.idx = c.at_idx)
 SELECT tree, family, node AS root, subroot, proof, folded FROM climb WHERE ended
 """
 
 
 def climbed(families: DataFrame, links: DataFrame) -> DataFrame:
-    """(tree, family, root, subroot, proof, folded) of families (tree, family, lane, head, ended, folded), stored.
+    """(tree, family, root, subroot, proof, folded) of families (tree, family, lane, head, ended, folded), stored. folded: binary.
 
     The recursion ends where no node has a link. The session's bounds on a recursive query are lifted while it runs, as
     its rows are the families times their levels.
@@ -191,20 +191,21 @@ def manifest(docs: DataFrame, fields: Sequence[str], claims: dict[str, Column],
     links, n_trees = trees(low)
 
     # within a family: every member's digest folded up to the head, and the digests beside its path
-    folded, proof = F.col("m.claim"), F.lit("")
-    for i in range(STEP):
-        x = F.col(f"l{i}")
-        before, after = _beside(x, F.floor(F.col("i") / FANOUT**i).cast("int"))
-        folded = F.when(F.col("more") | (F.size(x) > 1), F.sha2(F.concat(before, folded, after), 256)).otherwise(folded)
-        proof = F.concat(proof, before, after)
-    member = low.select("*", F.posexplode("kin").alias("i", "m"))
-    member = member.select("tree", "family", "n", F.element_at(f"l{STEP}", 1).alias("head"), F.struct("i", F.col("m.key").alias("key"), F.col("m.leaf").alias("leaf"), folded.alias("folded"), proof.alias("proof")).alias("m"))
-    paths = stored(member.groupBy("tree", "family").agg(F.first("n").alias("n"), F.first("head").alias("head"), F.array_sort(F.collect_list("m")).alias("kin")))
+    def path(m: Column, i: Column) -> Column:
+        folded, proof = m["claim"], F.lit("")
+        for level in range(STEP):
+            x = F.col(f"l{level}")
+            before, after = _beside(x, F.floor(i / FANOUT**level).cast("int"))
+            folded = F.when(F.col("more") | (F.size(x) > 1), F.sha2(F.concat(before, folded, after), 256)).otherwise(folded)
+            proof = F.concat(proof, before, after)
+        return F.struct(m["key"].alias("key"), m["leaf"].alias("leaf"), F.unhex(folded).alias("folded"), proof.alias("proof"))
+
+    paths = stored(low.select("tree", "family", "n", F.element_at(f"l{STEP}", 1).alias("head"), F.transform("kin", path).alias("kin")))
     discard(low)
     start = paths.join(n_trees).select("tree", "family", _lane(F.col("tree"), F.floor(F.col("family") / LANE)).alias("lane"), "head", ((F.col("n") <= FAMILY) & (F.col("trees") == 1)).alias("ended"), F.col("kin.folded").alias("folded"))
     ends = climbed(start, links).withColumnRenamed("folded", "ends")
     out = paths.join(ends, ["tree", "family"]).select("root", "subroot", F.col("proof").alias("above"), "ends", F.posexplode("kin").alias("i", "m"))
-    end = F.get("ends", F.col("i"))
+    end = F.lower(F.hex(F.get("ends", F.col("i"))))
     return out.select(
         F.col("m.key").alias(key), F.col("m.leaf").alias("leaf"), "subroot", "root", F.sha2(F.concat("m.proof", "above"), 256).alias("proof_sha256"), end.alias("folded_root"), (end == F.col("root")).alias("verified"),
     )
