@@ -13,21 +13,27 @@ from .windows import WARM, pulse
 PARAMS = "config_id string, stop double, take_profit double, trail_from double, trail_by double, max_hold double, dead_rate double, dying double, pressure double, drop_ratio double, drop_floor double, blood_events double, near_grad double"
 
 
-def after_entry(trades: DataFrame, entries: DataFrame) -> DataFrame:
-    """Events of each position (entity_id, entry_ts, entry_price, creator_id) later than its entry."""
-    return trades.join(entries.select("entity_id", "entry_ts", "entry_price", "creator_id"), "entity_id").where(F.col("ts") > F.col("entry_ts"))
+def after_entry(trades: DataFrame, entries: DataFrame, keys: tuple = ("entity_id",)) -> DataFrame:
+    """Events of each position (keys, entry_ts, entry_price, creator_id) later than its entry.
+
+    With more keys than the entity an entity has many positions. Then the events are dealt by entity, once each, and meet their positions where they are:
+    whatever is windowed or grouped by `keys` later needs no other exchange, so what is shuffled does not grow with the positions.
+    """
+    if len(keys) > 1:
+        trades = trades.repartition("entity_id")
+    return trades.join(entries.select(*keys, "entry_ts", "entry_price", "creator_id"), "entity_id").where(F.col("ts") > F.col("entry_ts"))
 
 
-def states(trades: DataFrame, entries: DataFrame, whale: float, tick: float) -> DataFrame:
+def states(trades: DataFrame, entries: DataFrame, whale: float, tick: float, keys: tuple = ("entity_id",)) -> DataFrame:
     """Every event after entry with what any exit rule looks at; none of it depends on a rule's parameters.
 
     Warm rows (from the 15th event on) have the pulse columns and `tick_ts`, the first tick of the grid entry + i * tick
     after the event if no event comes before it: between events nothing but time and the lack of new actors can change.
     """
-    w = Window.partitionBy("entity_id").orderBy("ts", "event_id")
+    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    by_time = Window.partitionBy("entity_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    e = pulse(after_entry(trades, entries), whale, cold=True).withColumnRenamed("rn", "order")
+    by_time = Window.partitionBy(*keys).orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    e = pulse(after_entry(trades, entries, keys), whale, keys=keys, cold=True).withColumnRenamed("rn", "order")
     e = e.withColumn("warm", F.col("order") >= WARM).withColumn("pnl", pnl_pct(F.col("entry_price"), F.col("price"), 0.0)).withColumn("elapsed", F.col("ts") - F.col("entry_ts"))
     e = e.withColumn("next_ts", F.lead("ts").over(w)).withColumn("peak_pnl", F.max(F.when(F.col("warm"), F.col("pnl"))).over(upto))
     for side in ("buy", "sell"):
@@ -106,12 +112,15 @@ def first_exits(sig: DataFrame, ticks_count_as_no_new_actor: bool = True) -> Dat
     return g.select("config_id", "entity_id", "x.*")
 
 
-def simulated(trades: DataFrame, entries: DataFrame, configs: DataFrame, whale: float, tick: float, scores: DataFrame | None = None, legs: dict[str, float] | None = None) -> DataFrame:
-    """The whole replay per configuration and entity: `closed` on the `states` of the positions."""
-    return closed(states(trades, entries, whale, tick), configs, tick, scores, legs)
+def simulated(trades: DataFrame, entries: DataFrame, configs: DataFrame, whale: float, tick: float, scores: DataFrame | None = None, legs: dict[str, float] | None = None, keys: tuple = ("entity_id",)) -> DataFrame:
+    """The whole replay per configuration and position: `closed` on the `states` of the positions.
+
+    keys name a position: an entity, or an entity and more where many replays start on one entity's events.
+    """
+    return closed(states(trades, entries, whale, tick, keys), configs, tick, scores, legs, keys)
 
 
-def closed(s: DataFrame, configs: DataFrame, tick: float, scores: DataFrame | None = None, legs: dict[str, float] | None = None) -> DataFrame:
+def closed(s: DataFrame, configs: DataFrame, tick: float, scores: DataFrame | None = None, legs: dict[str, float] | None = None, keys: tuple = ("entity_id",)) -> DataFrame:
     """How each position ends under each configuration; those without a signal end as timeout at their last price.
 
     Everything comes from one aggregation of the signal rows, which stay where the windows put them. scores: see `signals`.
@@ -136,7 +145,7 @@ def closed(s: DataFrame, configs: DataFrame, tick: float, scores: DataFrame | No
         # where a model sells all depends on the legs: the fold finds the row, with what an exit by event there would be
         here = F.struct(c("ts").alias("exit_ts"), c("price").alias("exit_price"), F.lit("model_sell").alias("reason"), "pnl", c("buys_now").alias("buys"), c("sells_now").alias("sells"))
         out["rows"] = F.array_sort(F.collect_list(F.struct("order", *LEG_ROWS, "why", here.alias("here"))))
-    g = sig.groupBy("config_id", "entity_id").agg(*(x.alias(k) for k, x in out.items()))
+    g = sig.groupBy("config_id", *keys).agg(*(x.alias(k) for k, x in out.items()))
     if legs:
         g = g.withColumn("legs", _legs(c("rows"), **legs))
         sold = F.filter("rows", lambda r: (r["order"] == c("legs.end")) & (c("legs.why") == "model_sell"))
@@ -147,7 +156,7 @@ def closed(s: DataFrame, configs: DataFrame, tick: float, scores: DataFrame | No
     pnl, more = pick("x.pnl", "last.pnl"), []
     if legs:
         pnl, more = c("legs.got") + c("legs.left") * c("legs.last"), [c("legs.sold").alias("remaining")]
-    return g.select("config_id", "entity_id", "entry_ts", F.coalesce("x.reason", F.lit("timeout")).alias("reason"), pick("x.exit_price", "last.price").alias("exit_price"), pnl.alias("pnl"), hold.alias("hold"), pick("x.buys", "buys").alias("n_buys"), pick("x.sells", "sells").alias("n_sells"), *more)
+    return g.select("config_id", *keys, "entry_ts", F.coalesce("x.reason", F.lit("timeout")).alias("reason"), pick("x.exit_price", "last.price").alias("exit_price"), pnl.alias("pnl"), hold.alias("hold"), pick("x.buys", "buys").alias("n_buys"), pick("x.sells", "sells").alias("n_sells"), *more)
 
 
 #: What the fold of partial sales looks at on each row.
@@ -236,15 +245,33 @@ def snapshot_features(events: DataFrame, tokens: DataFrame, ages: tuple) -> Data
     )
 
 
-def timing_labels(snaps: DataFrame, final: DataFrame, better: float) -> DataFrame:
-    """ENTER, WAIT or SKIP at each age: the result of entering now against entering at the next age."""
-    j = snaps.join(final, "entity_id", "left")
-    now = F.when(F.col("price") > 0, (F.col("final_price") - F.col("price")) / F.col("price") * 100)
-    j = j.withColumn("pnl_now", now).withColumn("pnl_next", F.lead(now).over(Window.partitionBy("entity_id").orderBy("age")))
-    label = F.when(F.col("pnl_now").isNull(), "SKIP").when((F.col("pnl_next") > F.col("pnl_now") + better) & (F.col("pnl_next") > 0), "WAIT").when(F.col("pnl_now") > 0, "ENTER").otherwise("SKIP")
+def timing_labels(snaps: DataFrame, trades: DataFrame, tokens: DataFrame, config: DataFrame, whale: float, tick: float, lost: float, gained: float, urgent: float) -> DataFrame:
+    """(entity_id, age, pnl_now, pnl_next, label): whether to enter an entity at each age, by what the exit replay makes of entering there.
+
+    snaps (entity_id, age, price) has the last price seen at each age, NULL before the first event. The replay enters at the age, at that price,
+    and runs under the one row of `config` on the events after it; without any it comes to 0. SKIP: no price, or a result below `lost`. ENTER: a
+    result above `gained` that waiting for the next age would cut by `urgent` at least, or that has no next age. WAIT: all else. pnl_now is
+    NULL without a price.
+    """
+    c = F.col
+    starts = snaps.where("price > 0").join(tokens.select("entity_id", "created_at", "creator_id"), "entity_id")
+    starts = starts.select("entity_id", "age", (c("created_at") + c("age")).alias("entry_ts"), c("price").alias("entry_price"), "creator_id")
+    keys = ("entity_id", "age")
+    got = simulated(trades, starts, config, whale, tick, keys=keys).select(*keys, "pnl")
+    j = snaps.select("entity_id", "age", "price").join(got, list(keys), "left").withColumn("pnl_now", F.when(c("price") > 0, F.coalesce("pnl", F.lit(0.0))))
+    w = Window.partitionBy("entity_id").orderBy("age")
+    j = j.withColumn("pnl_next", F.lead("pnl_now").over(w)).withColumn("is_last", F.lead("age").over(w).isNull())
+    # an age without a price is the first ones only, so the next age has a result if this one has
+    label = F.when(c("pnl_now").isNull() | (c("pnl_now") < lost), "SKIP").when(c("pnl_now") <= gained, "WAIT").when(c("is_last") | (c("pnl_now") - c("pnl_next") >= urgent), "ENTER").otherwise("WAIT")
     return j.select("entity_id", "age", "pnl_now", "pnl_next", label.alias("label"))
 
 
+def forward_holds(trades: DataFrame, samples: DataFrame, config: DataFrame, whale: float, tick: float) -> DataFrame:
+    """(entity_id, i, reason, hold, pnl): what entering at each sample (entity_id, i, entry_ts, entry_price, creator_id) would have come to; without later events no row."""
+    keys = ("entity_id", "i")
+    return simulated(trades, samples, config, whale, tick, keys=keys).select(*keys, "reason", "hold", "pnl")
+
+
 def hazard_rows(book: DataFrame, bucket: float, horizon: float, loss: float) -> DataFrame:
     """One row per position and bucket of its life; the last one dies if the position closed at a loss within the horizon."""
     life = F.least(F.col("hold_seconds"), F.lit(horizon))

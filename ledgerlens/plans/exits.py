@@ -255,15 +255,23 @@ def exit_dataset(spark, sf_dir):
     return E.exit_samples(stream_trades(spark, sf_dir), entries(spark, sf_dir), 12 * 3600.0, DAY, DAY, 2 * DAY, 50.0)
 
 
-@query()
+def many_starts_sql(starts: str) -> str:
+    """STATES_SQL for many positions of an entity: `starts` is a CTE (entity_id, sid, entry_ts, entry_price, creator_id); results carry sid as entity_id."""
+    sql = STATES_SQL.replace("after AS (SELECT t.*, entry_ts, entry_price, creator_id FROM trades t JOIN entries USING (entity_id) WHERE ts > entry_ts)", starts + ", after AS (SELECT t.* REPLACE (s.sid AS entity_id), s.entry_ts, s.entry_price, s.creator_id FROM trades t JOIN starts s ON s.entity_id = t.entity_id WHERE t.ts > s.entry_ts)")
+    assert "starts s ON" in sql
+    return sql
+
+
+_START_SAMPLES = f"xs AS ({_SAMPLE_SQL.split('sm AS', 1)[1].replace('(SELECT entity_id, i', 'WITH sm AS (SELECT entity_id, i', 1)}), starts AS (SELECT entity_id, entity_id * 100000 + i AS sid, entry_ts + i * {12 * 3600.0} AS entry_ts, price AS entry_price, creator_id FROM xs JOIN entries USING (entity_id))"
+
+
+@query(f"WITH {many_starts_sql('af AS (SELECT t.entity_id, t.ts, t.event_id, t.price, t.side, entry_ts FROM trades t JOIN entries USING (entity_id) WHERE ts > entry_ts), ' + _START_SAMPLES)} SELECT (entity_id // 100000)::BIGINT AS entity_id, (entity_id % 100000)::INT AS i, reason, hold, pnl FROM sim WHERE config_id = 'loose'", rounded=("pnl",))
 def forward_hold(spark, sf_dir):
-    """What entering at each sample of exit_dataset, at its price, would have come to: samples become positions of their own."""
-    t = stream_trades(spark, sf_dir)
-    s = E.exit_samples(t, entries(spark, sf_dir), 12 * 3600.0, DAY, DAY, 2 * DAY, 50.0).join(entries(spark, sf_dir).select("entity_id", "entry_ts", "creator_id"), "entity_id")
-    s = s.select(F.col("entity_id").alias("real"), F.xxhash64("entity_id", "i").alias("entity_id"), "i", "creator_id", (F.col("entry_ts") + F.col("i") * 12 * 3600.0).alias("entry_ts"), F.col("price").alias("entry_price"))
-    later = t.withColumnRenamed("entity_id", "real").join(s.select("real", "entity_id", "entry_ts"), "real").where(F.col("ts") > F.col("entry_ts")).drop("real", "entry_ts")
-    r = E.simulated(later, s.drop("real", "i"), configs(spark).where("config_id = 'loose'"), WHALE, TICK)
-    return r.select("entity_id", "reason", "hold", "pnl").join(s.select("entity_id", "real", "i"), "entity_id").select(F.col("real").alias("entity_id"), "i", "reason", "hold", "pnl")
+    """What entering at each sample of exit_dataset, at its price, would have come to: many positions on one copy of the events."""
+    t, e = stream_trades(spark, sf_dir), entries(spark, sf_dir)
+    s = E.exit_samples(t, e, 12 * 3600.0, DAY, DAY, 2 * DAY, 50.0).join(e.select("entity_id", "entry_ts", "creator_id"), "entity_id")
+    s = s.select("entity_id", "i", (F.col("entry_ts") + F.col("i") * 12 * 3600.0).alias("entry_ts"), F.col("price").alias("entry_price"), "creator_id")
+    return E.forward_holds(t, s, configs(spark).where("config_id = 'loose'"), WHALE, TICK)
 
 
 AGES = (DAY, 2 * DAY, 4 * DAY)
@@ -281,14 +289,19 @@ def snapshot_features(spark, sf_dir):
     return snaps(spark, sf_dir)
 
 
+#: Results in percent below which an age is not worth entering, above which it is, and what waiting has to cost.
+_LOST, _GAINED, _URGENT = -5.0, 5.0, 10.0
+_STARTS = f"{_SNAPS}, starts AS (SELECT entity_id, entity_id * 10000000 + age AS sid, created_at + age AS entry_ts, price AS entry_price, creator_id FROM sn JOIN tokens USING (entity_id) WHERE price > 0)"
+
+
 @query(
-    f"""WITH {B}, {_SNAPS}, fi AS (SELECT entity_id, arg_max(price, ts) AS final_price FROM trades GROUP BY entity_id), a AS (SELECT sn.*, CASE WHEN price > 0 THEN (final_price - price) / price * 100 END AS pnl_now FROM sn LEFT JOIN fi USING (entity_id)),
-b AS (SELECT *, lead(pnl_now) OVER (PARTITION BY entity_id ORDER BY age) AS pnl_next FROM a) SELECT entity_id, age, pnl_now, pnl_next, CASE WHEN pnl_now IS NULL THEN 'SKIP' WHEN pnl_next > pnl_now + 10 AND pnl_next > 0 THEN 'WAIT' WHEN pnl_now > 0 THEN 'ENTER' ELSE 'SKIP' END AS label FROM b""",
+    f"""WITH {many_starts_sql(_STARTS)}, tl AS (SELECT sn.entity_id, sn.age, CASE WHEN sn.price > 0 THEN coalesce(sim.pnl, 0) END AS pnl_now FROM sn LEFT JOIN sim ON sim.config_id = 'loose' AND sim.entity_id = sn.entity_id * 10000000 + sn.age),
+tm AS (SELECT *, lead(pnl_now) OVER (PARTITION BY entity_id ORDER BY age) AS pnl_next, lead(age) OVER (PARTITION BY entity_id ORDER BY age) IS NULL AS is_last FROM tl)
+SELECT entity_id, age, pnl_now, pnl_next, CASE WHEN pnl_now IS NULL OR pnl_now < {_LOST} THEN 'SKIP' WHEN pnl_now <= {_GAINED} THEN 'WAIT' WHEN is_last OR pnl_now - pnl_next >= {_URGENT} THEN 'ENTER' ELSE 'WAIT' END AS label FROM tm""",
     rounded=("pnl_now", "pnl_next"),
 )
 def timing_labels(spark, sf_dir):
-    final = stream_trades(spark, sf_dir).groupBy("entity_id").agg(F.max_by("price", "ts").alias("final_price"))
-    return E.timing_labels(snaps(spark, sf_dir), final, 10.0)
+    return E.timing_labels(snaps(spark, sf_dir), stream_trades(spark, sf_dir), stream_tokens(spark, sf_dir), configs(spark).where("config_id = 'loose'"), WHALE, TICK, _LOST, _GAINED, _URGENT)
 
 
 _HAZ = f"""{POSITIONS_SQL}, hz0 AS (SELECT id, config_id, greatest(ceil(least(hold_seconds, 50) / 5), 1)::INT AS n, status = 'closed' AND hold_seconds <= 50 AND pnl_pct < -3 AS dies FROM positions),
