@@ -101,16 +101,44 @@ def _by_doc(ids: np.ndarray, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return mine[order], order
 
 
-def _word_index(w: W.Words, ids: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word indices of (doc, pos) in a slice, once for each row that has this id, and the entries they come from."""
-    sorted_ids, rows = _by_doc(ids, w)
-    lo, hi = np.searchsorted(sorted_ids, doc, "left"), np.searchsorted(sorted_ids, doc, "right")
-    n = hi - lo
-    entry = np.repeat(np.arange(len(doc)), n)
-    row = rows[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-    at, end = w.first[row] + pos[entry], w.first[row + 1]
-    ok = at < end  # rows that repeat an id may have other texts
-    return at[ok], entry[ok]
+#: Positions carry which of an id's texts they are of, above their own bits.
+VARIANT = 40
+
+
+class _Texts:
+    """The rows of a bucket: ids, which of its id's texts each row holds, and the smaller document that it is an exact copy of."""
+
+    def __init__(self, rows: pa.Table, copies: list[np.ndarray] | None = None):
+        column = rows.column("doc_id")
+        self.ids = np.asarray(column.fill_null(-1).combine_chunks() if column.null_count else column)
+        self.variant, self.of = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), -1, np.int64)
+        self.is_copy = np.zeros(len(self.ids), bool)
+        if copies is None or not len(self.ids):
+            return
+        a, b = (np.asarray(rows.column(c)) for c in ("a", "b"))
+        order = np.lexsort((b, a, self.ids))
+        ids, a, b = self.ids[order], a[order], b[order]
+        new_id = np.r_[True, ids[1:] != ids[:-1]]
+        number = np.cumsum(new_id | np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        self.variant[order] = number - number[np.flatnonzero(new_id)][np.cumsum(new_id) - 1]
+        known = {(d, x, y): r for d, r, x, y in zip(*(c.tolist() for c in copies))}
+        if known:
+            found = [known.get(k) for k in zip(ids.tolist(), a.tolist(), b.tolist())]
+            some = [i for i, r in enumerate(found) if r is not None]
+            self.is_copy[order[some]], self.of[order[some]] = True, [found[i] for i in some]
+
+    def words(self, w: W.Words, doc: np.ndarray, pos: np.ndarray, any_text: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Word indices in a slice of (doc, pos), once for each row that holds that text (or, any_text, that id), and the entries they come from."""
+        sorted_ids, rows = _by_doc(self.ids, w)
+        lo, hi = np.searchsorted(sorted_ids, doc, "left"), np.searchsorted(sorted_ids, doc, "right")
+        n = hi - lo
+        entry = np.repeat(np.arange(len(doc)), n)
+        row = rows[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        at, end = w.first[row] + (pos[entry] & ((1 << VARIANT) - 1)), w.first[row + 1]
+        ok = at < end
+        if not any_text:
+            ok &= pos[entry] >> VARIANT == self.variant[w.at + row]
+        return at[ok], entry[ok]
 
 
 def repeated_spans(docs: DataFrame, k: int = 13, buckets: int | None = None) -> DataFrame:
@@ -122,29 +150,29 @@ def repeated_spans(docs: DataFrame, k: int = 13, buckets: int | None = None) ->
     one space. spans are the factors of the parse in order: runs of repeating windows that go on in the same reference
     document. An exact copy of an earlier document has no spans of its own: ref_doc is that document.
     Null and empty texts have no words (the digest of nothing). A null doc_id is before and after nothing: it keeps all
-    its words. Rows that repeat are answered each; equal ids never repeat each other. doc_id names one text: where rows of
-    one id hold different texts, a repeating window of one counts for the same positions of the others. Extra columns
-    are ignored.
+    its words. Rows that repeat are answered each; equal ids never repeat each other. Rows of one id may hold different
+    texts: each is judged by its own windows. Extra columns are ignored.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     n = buckets or bucket_count(docs.count())
     known = docs.where("doc_id is not null")
-    texts = known.withColumn("bucket", bucket_of(F.col("doc_id"), n))
+    whole = (F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
+    texts = known.select("doc_id", "text", *whole, bucket_of(F.col("doc_id"), n).alias("bucket"))
 
     # exact copies are known from whole-text digests; they take no part in the exchanges beyond the first
-    digests = known.where("text is not null").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
+    digests = known.where("text is not null").select("doc_id", *whole)
     first = digests.groupBy("a", "b").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last")).where("ref <> last")
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a text may have very many copies
     digests = digests.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    copies = digests.join(first, ["a", "b", "salt"]).where("doc_id <> ref").select("doc_id", "ref").withColumn("bucket", bucket_of(F.col("doc_id"), n))
+    copies = digests.join(first, ["a", "b", "salt"]).where("doc_id <> ref").select("doc_id", "ref", "a", "b").distinct().withColumn("bucket", bucket_of(F.col("doc_id"), n))
 
     def note(batches):
         for b in batches:
-            doc, ref, bucket = (np.asarray(b.column(i)) for i in range(3))
-            yield rows_of(NOTE, bucket, owner=doc, value=ref)
+            doc, ref, bucket, x, y = (np.asarray(b.column(i)) for i in range(5))
+            yield rows_of(NOTE, bucket, owner=doc, value=ref, ref=x, at=y)
 
-    copies = copies.select("doc_id", "ref", "bucket").mapInArrow(note, PACKED)
+    copies = copies.select("doc_id", "ref", "bucket", "a", "b").mapInArrow(note, PACKED)
 
     def send_anchors(batches):
         for b in batches:
@@ -158,30 +186,27 @@ def repeated_spans(docs: DataFrame, k: int = 13, buckets: int | None = None) ->
 
     def send_windows(key, hits: pa.Table, rows: pa.Table) -> pa.Table:
         doc, pos = read(hits, REPLY, "owner", "value")
-        copy, _ = read(hits, NOTE, "owner", "value")
-        ids, got = np.asarray(rows.column("doc_id")), []
-        keep = ~np.isin(doc, copy)
-        doc, pos = doc[keep], pos[keep]
+        held, got = _Texts(rows, read(hits, NOTE, "owner", "value", "ref", "at")), []
         for w in W.slices(rows.column("text"), W.PLAIN):
-            anchor, _ = _word_index(w, ids, doc, pos)
+            anchor, _ = held.words(w, doc, pos, any_text=True)
             if not len(anchor) or len(w.hash) < k:
                 continue
             near = W.covered(len(w.hash) + k, np.maximum(anchor + min(ANCHOR, k) - k, 0), anchor + 1 - np.maximum(anchor + min(ANCHOR, k) - k, 0))
             i = w.windows(k)
-            i = i[near[i]]
+            i = i[near[i] & ~held.is_copy[w.at + w.row[i]]]
             if len(i):
-                got.append((w.span_hash(i, k, seed=1), ids[w.at + w.row[i]], w.pos[i]))
+                got.append((w.span_hash(i, k, seed=1), held.ids[w.at + w.row[i]], w.pos[i] + (held.variant[w.at + w.row[i]] << VARIANT)))
         return pa.Table.from_batches(list(_send(*(np.concatenate(x) for x in zip(*got)), n, True)) if got else [], ARROW)
 
     def parse(key, hits: pa.Table, rows: pa.Table) -> pa.Table:
         doc, pos, ref, at = read(hits, REPLY, "owner", "value", "ref", "at")
-        copy, of = read(hits, NOTE, "owner", "value")
-        return _parsed(rows, k, doc, pos, ref, at, copy, of)
+        return _parsed(rows, k, _Texts(rows, read(hits, NOTE, "owner", "value", "ref", "at")), doc, pos, ref, at)
 
     def untouched(batches):
         none = np.zeros(0, np.int64)
         for b in batches:
-            yield from _parsed(pa.Table.from_batches([b]), k, *[none] * 6).to_batches()
+            rows = pa.Table.from_batches([b])
+            yield from _parsed(rows, k, _Texts(rows), *[none] * 4).to_batches()
 
     anchors = known.mapInArrow(send_anchors, PACKED).groupBy("bucket").applyInArrow(_match(n, False), PACKED)
     hits = anchors.unionByName(copies).groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(send_windows, PACKED)
@@ -194,28 +219,24 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans a
 _SPANS = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "ref_doc", "ref_start")]))
 
 
-def _parsed(rows: pa.Table, k: int, doc, pos, ref, at, copy, of) -> pa.Table:
-    column = rows.column("doc_id")
-    ids = np.asarray(column.fill_null(-1).combine_chunks() if column.null_count else column)
-    order = np.argsort(copy)
-    copy, of = copy[order], of[order]
+def _parsed(rows: pa.Table, k: int, held: _Texts, doc, pos, ref, at) -> pa.Table:
+    column, place = rows.column("doc_id"), (1 << VARIANT) - 1
     out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept_sha256", "spans")}
     for w in W.slices(rows.column("text"), W.PLAIN):
-        word, entry = _word_index(w, ids, doc, pos) if len(doc) else (np.zeros(0, np.int64),) * 2
+        word, entry = held.words(w, doc, pos) if len(doc) else (np.zeros(0, np.int64),) * 2
         o = np.lexsort((ref[entry], word)) if len(entry) else np.zeros(0, np.int64)
         word, entry = word[o], entry[o]
         if len(word):  # the same window may be answered twice; its smallest reference counts
             one = np.r_[True, word[1:] != word[:-1]]
             word, entry = word[one], entry[one]
-        mine = ids[w.at : w.at + w.rows]
-        spot = np.minimum(np.searchsorted(copy, mine), max(len(copy) - 1, 0))
-        is_copy = (copy[spot] == mine) & (w.counts >= k) if len(copy) else np.zeros(w.rows, bool)
+        here = slice(w.at, w.at + w.rows)
+        of, is_copy = held.of[here], held.is_copy[here] & (w.counts >= k)
         n, factors = w.counts, [[] for _ in range(w.rows)]
         row, start, length, rd, ra = _factors(w, k, word, ref[entry], at[entry])
-        for i, *factor in zip(row.tolist(), start.tolist(), length.tolist(), rd.tolist(), ra.tolist()):
+        for i, *factor in zip(row.tolist(), start.tolist(), length.tolist(), rd.tolist(), (ra & place).tolist()):
             factors[i].append(dict(zip(("start", "length", "ref_doc", "ref_start"), factor)))
         for i in np.flatnonzero(is_copy).tolist():
-            factors[i] = [{"start": 0, "length": int(n[i]), "ref_doc": int(of[spot[i]]), "ref_start": 0}]
+            factors[i] = [{"start": 0, "length": int(n[i]), "ref_doc": int(of[i]), "ref_start": 0}]
         gone = W.covered(len(w.hash), w.first[row] + start, length) | is_copy[w.row]
         removed = np.bincount(w.row[gone], minlength=w.rows)
         out["n_words"].append(n), out["n_removed"].append(removed), out["spans"].extend(factors)
