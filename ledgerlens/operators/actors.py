@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import asof
+from .windows import running_median
 
 
 def activity(trades: DataFrame) -> DataFrame:
@@ -149,8 +150,7 @@ def creator_snapshots(tokens: DataFrame, trades: DataFrame, rug: float, graduate
     """At each entity's creation, what its creator's earlier entities came to.
 
     Per (creator_id, ref_ts): count, rugs (0 < last valuation < rug and reserve share < graduated), graduations, median of the
-    positive peaks, mean lifetime, mean interval between creations, age in days. The running median sorts the peaks of the frame;
-    a creator's earlier entities are few.
+    positive peaks, mean lifetime, mean interval between creations, age in days.
     """
     last = F.struct("ts", "event_id")
     per = trades.groupBy("entity_id").agg(F.max("mcap").alias("peak"), F.max_by("mcap", last).alias("last_mcap"), F.max("reserve").alias("top_reserve"), F.max("ts").alias("last_ts"))
@@ -158,19 +158,19 @@ def creator_snapshots(tokens: DataFrame, trades: DataFrame, rug: float, graduate
     pct = F.least(F.col("top_reserve") / 85.0 * 100.0, F.lit(100.0))
     t = t.withColumn("rug", (F.col("last_mcap") > 0) & (F.col("last_mcap") < rug) & (pct < graduated)).withColumn("grad", pct >= graduated).withColumn("ttl", F.col("last_ts") - F.col("created_at"))
     w = Window.partitionBy("creator_id").orderBy("created_at", "insert_order").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("n", F.count("*").over(w)).withColumn("lo", F.min("created_at").over(w)).withColumn("hi", F.max("created_at").over(w)).withColumn("peaks", F.array_sort(F.collect_list(F.when(F.col("peak") > 0, F.col("peak"))).over(w)))
-    k = F.size("peaks")
-    mid = lambda i: F.get("peaks", i.cast("int"))
-    median = F.when(k > 0, (mid(F.floor((k - 1) / 2)) + mid(F.floor(k / 2))) / 2)
+    t = t.withColumn("n", F.count("*").over(w)).withColumn("lo", F.min("created_at").over(w)).withColumn("hi", F.max("created_at").over(w))
+    t = t.withColumn("rug_count", F.count_if("rug").over(w)).withColumn("graduated_count", F.count_if("grad").over(w)).withColumn("avg_ttl", F.avg("ttl").over(w))
+    t = t.withColumn("positive", F.when(F.col("peak") > 0, F.col("peak")))
+    t = running_median(t, "creator_id", ["created_at", "insert_order"], "positive", "median_peak")
     return t.select(
         "creator_id",
         "entity_id",
         F.col("created_at").alias("ref_ts"),
         F.col("n").alias("n_prior"),
-        F.count_if("rug").over(w).alias("rug_count"),
-        F.count_if("grad").over(w).alias("graduated_count"),
-        median.alias("median_peak"),
-        F.avg("ttl").over(w).alias("avg_ttl"),
+        "rug_count",
+        "graduated_count",
+        "median_peak",
+        "avg_ttl",
         F.when(F.col("n") > 1, (F.col("hi") - F.col("lo")) / (F.col("n") - 1)).alias("mean_interval"),
         ((F.col("created_at") - F.col("lo")) / 86400.0).alias("age_days"),
     )

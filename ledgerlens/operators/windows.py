@@ -180,3 +180,44 @@ def tail_outcomes(df: DataFrame, score: str, outcome: str, tie: str, parts: int
     top = df.orderBy(F.desc(score), tie).limit(k).agg(F.lit("top").alias("tail"), F.count("*").alias("n"), F.avg(outcome).alias("mean_outcome"))
     low = df.orderBy(score, tie).limit(k).agg(F.lit("bottom").alias("tail"), F.count("*").alias("n"), F.avg(outcome).alias("mean_outcome"))
     return top.unionByName(low)
+
+
+#: A value's rank is taken apart into digits of this base, one window for each.
+RADIX = 16
+
+
+def running_median(rows: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """rows with `name`: the median of the non-null `value`s of the key's earlier rows in `order`, NULL without any.
+
+    A descent through the digits of ranks: values are ranked within their key; each row asks for the middle places among what came
+    before it. At every level the values and the questions that share the digits so far lie in time order, and running counts by the next digit
+    tell where a place lies. What a task holds does not grow with a key: windows run over sorted rows and carry RADIX counts. Levels: the logarithm of the largest
+    key to the base RADIX. Rows of equal order are put in any order.
+    """
+    c = F.col
+    in_time = Window.partitionBy(key).orderBy(*order)
+    before = in_time.rowsBetween(Window.unboundedPreceding, -1)
+    t = rows.withColumn("_at", F.row_number().over(in_time)).withColumn("_m", F.count(value).over(before))
+    t = t.withColumn("_rank", F.when(c(value).isNotNull(), F.count(value).over(Window.partitionBy(key).orderBy(F.col(value).asc_nulls_last(), "_at").rowsBetween(Window.unboundedPreceding, -1))))
+    most = t.groupBy(key).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 1
+    levels = 1
+    while RADIX**levels < most:
+        levels += 1
+    items = t.where(c(value).isNotNull()).select(c(key).alias("_key"), "_at", F.lit(1).alias("kind"), c("_rank").alias("k"))
+    middle = F.explode(F.array(F.floor((c("_m") - 1) / 2), F.floor(c("_m") / 2)))
+    asked = t.where("_m > 0").select(c(key).alias("_key"), "_at", F.lit(0).alias("kind"), middle.alias("k"))
+    u = items.unionByName(asked).withColumn("prefix", F.lit(0).cast("long"))
+    for level in reversed(range(levels)):
+        w = Window.partitionBy("_key", "prefix").orderBy("_at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = F.floor(c("k") / RADIX**level) % RADIX  # of an item: k stays its rank
+        upto = [F.count_if((c("kind") == 1) & (own <= j)).over(w) for j in range(RADIX - 1)]
+        u = u.withColumn("counts", F.array(F.lit(0).cast("long"), *upto))
+        taken = F.size(F.filter("counts", lambda x: x <= c("k"))) - 1  # of a question: below how many digits its place is not
+        u = u.withColumn("digit", F.when(c("kind") == 1, own).otherwise(taken))
+        left = F.when(c("kind") == 1, c("k")).otherwise(c("k") - F.get("counts", c("digit").cast("int")))
+        u = u.withColumn("left", left).select("_key", "_at", "kind", c("left").alias("k"), (c("prefix") * RADIX + c("digit")).alias("prefix"))
+    found = u.where("kind = 0").select("_key", "_at", c("prefix").alias("_rank"))
+    values = t.where(c(value).isNotNull()).select(c(key).alias("_key"), "_rank", c(value).alias("_v"))
+    found = found.join(values, ["_key", "_rank"]).groupBy("_key", "_at").agg(F.avg("_v").alias(name))
+    found = found.withColumnsRenamed({"_at": "_of"})
+    return t.join(found, (c(key) == c("_key")) & (c("_at") == c("_of")), "left").select(*rows.columns, name)
