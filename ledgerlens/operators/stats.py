@@ -265,3 +265,65 @@ def model_health(df: DataFrame, proba: str, by: str, label: str, recent, base_au
     auc_ = counts.withColumn("u", F.col("a") * under).groupBy(by).agg(F.try_divide(F.sum("u"), F.sum("a") * F.sum("b")).alias("recent_auc"))
     g = g.join(auc_, by, "left").withColumn("flat", F.col("p99") - F.col("p1") < flat)
     return g.withColumn("auc_drop", F.coalesce(F.lit(base_auc) - F.col("recent_auc") > drop, F.lit(False))).withColumn("p50_shift", F.coalesce(F.abs(F.col("recent_p50") - base_median) > shift, F.lit(False)))
+
+
+def leaf_quantiles(train: DataFrame, test: DataFrame, key: str, target: str, qs: tuple, trees: int = 20, depth: int = 5, smallest: int = 20, seed: int = 7) -> DataFrame:
+    """test (key, features, ...) with `q`, an array of the predicted quantiles `qs` of `target`: quantile leaves of a forest.
+
+    A forest is fitted to the target's rank share, which no long tail can pull; each of its leaves holds the quantiles of the training rows that
+    fall into it, and a row's prediction is the mean over its leaves, one of each tree. Leaves have `smallest` rows at least, so the table of leaves is
+    small against the rows. Rows of train without a target are left out; a test row falls into leaves of training rows only.
+    """
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import RandomForestRegressor
+
+    known = average_rank(train.where(F.col(target).isNotNull()), target)
+    m = RandomForestRegressor(featuresCol="features", labelCol="avg_rank", numTrees=trees, maxDepth=depth, minInstancesPerNode=smallest, subsamplingRate=0.7, seed=seed, leafCol="_leaf").fit(known)
+    at = lambda df, *keep: m.transform(df).select(*keep, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
+    leaves = at(known, target).groupBy("tree", "leaf").agg(F.percentile(target, F.array(*map(F.lit, qs))).alias("_q"))
+    cells = at(test, key).join(leaves, ["tree", "leaf"]).select(key, F.posexplode("_q").alias("i", "v")).groupBy(key, "i").agg(F.avg("v").alias("v"))
+    per = cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("q"))  # one for each of qs
+    return test.join(per, key)
+
+
+def coverage(rows: DataFrame, target: str, qs: tuple) -> DataFrame:
+    """(quantile, n, coverage): the share of rows at or below each predicted quantile, which should be the quantile itself."""
+    at = rows.select(F.col(target).alias("y"), F.posexplode("q").alias("i", "at"))
+    name = F.element_at(F.array(*map(F.lit, qs)), F.col("i") + 1)
+    return at.groupBy("i").agg(F.count("*").alias("n"), F.avg((F.col("y") <= F.col("at")).cast("int")).alias("coverage")).select(name.alias("quantile"), "n", "coverage")
+
+
+def permutation_importance(model, df: DataFrame, features: list[str], label: str, key: str, seed: int, bins: int = 10_000) -> DataFrame:
+    """(feature, auc, importance): how much AUC a fitted model loses on df (key, features, label) when one feature is dealt anew among its rows.
+
+    All features in one pass. Rows are numbered by key; feature f of row r comes from row (a_f * r + b_f) mod n, a permutation of its own. The cells of all
+    features travel once and meet their rows as a second vector; then each row is scored once for each feature and once as it is. AUCs come from counts
+    by `bins` equal ranges of the probability, ties within one counting half.
+    """
+    from math import gcd
+    from random import Random
+
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    n = df.count()
+    rows = global_row_number(df.select(F.xxhash64(key, F.lit(seed)).cast("double").alias("_h"), key, label, vector_to_array("features").alias("_x")), "_h", (key,)).withColumn("row", F.col("row") - 1)
+    r, deals = Random(seed), []
+    for _ in features:
+        a = r.randrange(1, max(n, 2))
+        while gcd(a, max(n, 1)) != 1:
+            a = r.randrange(1, max(n, 2))
+        deals.append((a, r.randrange(max(n, 1))))
+    to = F.array(*(((F.lit(a).cast("decimal(20,0)") * F.col("row") + b) % max(n, 1)).cast("long") for a, b in deals))
+    dealt = rows.select(F.posexplode(F.arrays_zip("_x", to.alias("to"))).alias("f", "c")).select(F.col("c.to").alias("row"), "f", F.col("c._x").alias("v"))
+    dealt = dealt.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda x: x["v"]).alias("_p"))  # a row's features
+    both = rows.join(dealt, "row").select(label, "_x", "_p", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))).alias("f"))
+    mixed = F.transform("_x", lambda x, i: F.when(i == F.col("f"), F.get("_p", i)).otherwise(x))
+    scored = model.transform(both.select("f", label, array_to_vector(mixed).alias("features")))
+    bin_ = F.least(F.floor(vector_to_array("probability")[1] * bins), F.lit(bins - 1))
+    g = scored.groupBy("f", bin_.alias("bin")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
+    w = Window.partitionBy("f").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # bins, not rows
+    g = g.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    a = g.groupBy("f").agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
+    whole = a.where("f = -1").select(F.col("auc").alias("_whole"))
+    name = F.element_at(F.array(*map(F.lit, features)), F.col("f") + 1)
+    return a.where("f >= 0").crossJoin(F.broadcast(whole)).select(name.alias("feature"), "auc", (F.col("_whole") - F.col("auc")).alias("importance"))  # a row

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import stats as S
 from ..operators.windows import chrono_parts
-from ..sources.tables import table
+from ..sources.tables import stream_trades, table
 from ..streaming.live import folder
 from .base import query
 from .store import POSITIONS_SQL, positions
 
 FEATURES = ["entry_buyer_number", "score", "hold_seconds"]
 SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
+DAY = 86400.0
 MID = 1704067200.0 + 15 * 86400.0
 
 
@@ -53,20 +54,11 @@ def train_entry_regression(spark, sf_dir):
 
 @query()
 def train_quantile(spark, sf_dir):
-    """Quantile heads for the hold and for the result (moved above 0): the share of test rows at or below each."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import AFTSurvivalRegression
-
+    """Quantile leaves for the hold and for the result: the share of test rows at or below each."""
     train, _, test = _parts(labelled(spark, sf_dir))
-    a, out = VectorAssembler(inputCols=["entry_buyer_number", "score"], outputCol="x"), None
-    closed = F.col("exit_reason") != "timeout"
-    for head, y, known in (("hold", F.col("hold_seconds"), closed.cast("double")), ("result", F.col("pnl_pct") + 101.0, F.lit(1.0))):
-        t = train.withColumn("y", F.greatest(y, F.lit(0.1))).withColumn("censor", known)
-        m = AFTSurvivalRegression(featuresCol="x", labelCol="y", censorCol="censor", quantileProbabilities=[0.25, 0.75], quantilesCol="q").fit(a.transform(t))
-        p = m.transform(a.transform(test.withColumn("y", y))).select("y", F.posexplode(vector_to_array("q")).alias("i", "at"))
-        row = p.groupBy("i").agg(F.count("*").alias("n"), F.avg((F.col("y") <= F.col("at")).cast("int")).alias("coverage"))
-        row = row.select(F.lit(head).alias("head"), F.when(F.col("i") == 0, 0.25).otherwise(0.75).alias("quantile"), "n", "coverage")
+    qs, out = (0.25, 0.75), None
+    for head, y in (("hold", "hold_seconds"), ("result", "pnl_pct")):
+        row = S.coverage(S.leaf_quantiles(train, test, "id", y, qs), y, qs).select(F.lit(head).alias("head"), "quantile", "n", "coverage")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -204,6 +196,21 @@ def leak_check(spark, sf_dir):
     return S.leak_check(g.select(F.explode(cells).alias("x")).select("x.*"), ["proba"], 3)
 
 
+@query()
+def leak_importance(spark, sf_dir):
+    """Permutation importance of a model of the exit dataset, one of whose columns looks ahead: it has to be named among the most important ones."""
+    from ..operators.exits import exit_samples
+    from .exits import entries
+
+    names, leaks = ["i", "price", "peak", "buys_back", "forward_return"], ["forward_return"]
+    e = entries(spark, sf_dir)
+    d = exit_samples(stream_trades(spark, sf_dir), e, DAY / 2, DAY, DAY, 2 * DAY, 50.0).join(e.select("entity_id", "entry_ts"), "entity_id")
+    d = d.withColumn("t", F.col("entry_ts") + F.col("i") * DAY / 2).withColumn("id", F.col("entity_id") * 100_000 + F.col("i"))
+    parts = chrono_parts(S.assembled(S.balanced(d, "label"), names), "t", SHARES, ("id",))
+    m = S.train_classifier(parts.where("split = 'train'"), "label", "gbt", maxIter=5, maxDepth=4)
+    return S.leak_check(S.permutation_importance(m, parts.where("split = 'test'"), names, "label", "id", 3), leaks)
+
+
 def _auc_of(train, test):
     m = S.train_classifier(train, "label", "logistic")
     return S.auc(S.probabilities(m, test, ["id", "label"]), "proba", "label").select("n1", "n0", "auc")

@@ -57,7 +57,8 @@ def one(rs):
 CHECKED = {
     "train_entry": lambda rs: {r.part for r in rs} == {"val", "test"} and all(0 <= r.auc <= 1 and 0 <= r.precision <= 1 and r.n_top == 13 and r.n1 + r.n0 == 135 for r in rs),
     "train_entry_regression": lambda rs: -1 <= one(rs).spearman <= 1 and 0 <= one(rs).sign_auc <= 1,
-    "train_quantile": lambda rs: {(r.head, r.quantile) for r in rs} == {(h, q) for h in ("hold", "result") for q in (0.25, 0.75)} and all(abs(r.coverage - r.quantile) <= 0.25 for r in rs if r.head == "result"),
+    "train_quantile": lambda rs: {(r.head, r.quantile) for r in rs} == {(h, q) for h in ("hold", "result") for q in (0.25, 0.75)} and all(abs(r.coverage - r.quantile) <= 0.12 for r in rs if r.head == "result"),
+    "leak_importance": lambda rs: max(rs, key=lambda r: r.importance).feature == "forward_return" and {r.feature for r in rs if r.leak} == {"forward_return"} and len(rs) == 5,
     "train_timing": lambda rs: {r.label for r in rs} <= {0, 1, 2} and sum(r.n for r in rs) == 135,
     "train_hazard": lambda rs: all(0 <= r.rate <= 1 and 0 < r.mean_proba < 1 for r in rs) and len({r.degenerate for r in rs}) == 1,
     "platt": lambda rs: sum(r.n for r in rs) == 135 and all(r.brier <= 1 for r in rs),
