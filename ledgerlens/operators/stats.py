@@ -267,23 +267,29 @@ def model_health(df: DataFrame, proba: str, by: str, label: str, recent, base_au
     return g.withColumn("auc_drop", F.coalesce(F.lit(base_auc) - F.col("recent_auc") > drop, F.lit(False))).withColumn("p50_shift", F.coalesce(F.abs(F.col("recent_p50") - base_median) > shift, F.lit(False)))
 
 
-def leaf_quantiles(train: DataFrame, test: DataFrame, key: str, target: str, qs: tuple, trees: int = 20, depth: int = 5, smallest: int = 20, seed: int = 7) -> DataFrame:
-    """test (key, features, ...) with `q`, an array of the predicted quantiles `qs` of `target`: quantile leaves of a forest.
+def leaf_quantiles(train: DataFrame, test: DataFrame, key: str, target: str, qs: tuple, trees: int = 20, depth: int = 4, smallest: int = 20, seed: int = 7) -> DataFrame:
+    """test (key, features, ...) with `q`, an array of the predicted quantiles `qs` of `target`: quantile leaves of two forests.
 
-    A forest is fitted to the target's rank share, which no long tail can pull; each of its leaves holds the quantiles of the training rows that
-    fall into it, and a row's prediction is the mean over its leaves, one of each tree. Leaves have `smallest` rows at least, so the table of leaves is
-    small against the rows. Rows of train without a target are left out; a test row falls into leaves of training rows only.
+    The first forest is fitted to the target's rank, which no long tail can pull, and tells rows apart by level; the second, two levels deep, to how
+    far ranks lie from the first one's prediction, and tells them apart by spread. The i-th trees of both cut the rows into cells, each with the quantiles of
+    the training rows in it; a row's prediction is the mean over its cells. A row whose cell holds no training row in some pair of trees
+    goes without that pair. Rows of train without a target are left out.
     """
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import RandomForestRegressor
 
+    def forest(y: str, levels: int, leaf: str, out: str, least: int):
+        return RandomForestRegressor(featuresCol="features", labelCol=y, predictionCol=out, numTrees=trees, maxDepth=levels, minInstancesPerNode=least, subsamplingRate=0.7, seed=seed, leafCol=leaf)
+
     known = average_rank(train.where(F.col(target).isNotNull()), target)
-    m = RandomForestRegressor(featuresCol="features", labelCol="avg_rank", numTrees=trees, maxDepth=depth, minInstancesPerNode=smallest, subsamplingRate=0.7, seed=seed, leafCol="_leaf").fit(known)
-    at = lambda df, *keep: m.transform(df).select(*keep, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
-    leaves = at(known, target).groupBy("tree", "leaf").agg(F.percentile(target, F.array(*map(F.lit, qs))).alias("_q"))
-    cells = at(test, key).join(leaves, ["tree", "leaf"]).select(key, F.posexplode("_q").alias("i", "v")).groupBy(key, "i").agg(F.avg("v").alias("v"))
-    per = cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("q"))  # one for each of qs
-    return test.join(per, key)
+    level = forest("avg_rank", depth, "_a", "_level", 4 * smallest).fit(known)
+    spread = forest("_far", 2, "_b", "_spread", 4 * smallest).fit(level.transform(known).withColumn("_far", F.abs(F.col("avg_rank") - F.col("_level"))))
+    both = F.arrays_zip(vector_to_array("_a").alias("a"), vector_to_array("_b").alias("b"))
+    at = lambda df, *keep: spread.transform(level.transform(df)).select(*keep, F.posexplode(both).alias("tree", "cell"))
+    cells = at(known, target).groupBy("tree", "cell").agg(F.percentile(target, F.array(*map(F.lit, qs))).alias("_q"))
+    got = at(test, key).join(cells, ["tree", "cell"]).select(key, F.posexplode("_q").alias("i", "v")).groupBy(key, "i").agg(F.avg("v").alias("v"))
+    per = got.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("q"))  # one for each of qs
+    return test.join(per, key, "left")
 
 
 def coverage(rows: DataFrame, target: str, qs: tuple) -> DataFrame:
