@@ -1,7 +1,7 @@
 """Phrase collocations: exact counts of frequent phrases by double-array tries, scored by their weakest cut.
 
-Texts are read once. Each batch of a language becomes a row of codes, one for each word in order and -1 between pieces, and
-the words that the codes stand for, with their counts. Frequent words get global ids by a join of those words, never
+Texts are read once. A task turns them into rows of codes, one for each word in order and -1 between pieces, and gives out
+for each language the words that its codes stand for, with their counts. Frequent words get global ids by a join of those words, never
 of the occurrences, and ids take the place of codes; infrequent words become breaks, since no frequent phrase holds them.
 
 Candidates are Apriori-safe. A pair of frequent words is one if it occurs often enough; a longer phrase if all its pairs are
@@ -20,14 +20,16 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .packing import discard, small_batches, stored
+from .packing import INDEX, PACKED, bucket_count, discard, key_bucket, read, rows_of, small_batches, stored
 from .ranking import ranked
 
 SHARD = 1 << 19  # phrases in one trie
-WORDS = 1 << 19  # words in one row of codes, about
+WORDS = 1 << 17  # words in one row of codes, about: bounds what a task holds of a text column
+BLOCK = 1 << 14  # phrases whose counts travel as one row
 _BREAK, _BLANK = 1, 2
 #: Bytes that end a piece and bytes that end a word.
 _KIND = np.zeros(256, np.uint8)
@@ -60,39 +62,55 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, first
 
 
+CODED = "part int, lang string, codes binary, words array<string>, counts array<long>"
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, codes, words, counts) of batches (lang, text): one for each language and about WORDS words."""
+    """CODED rows of batches (lang, text): codes of about WORDS words each, and at the end one row with the words of each language."""
+    part = TaskContext.get().partitionId()
     held: dict[str, list[pa.Array]] = {}
     size: dict[str, int] = {}
+    known: dict[str, dict[bytes, int]] = {}
+    counts: dict[str, np.ndarray] = {}
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
     def row(lang: str) -> pa.RecordBatch:
         words, first = words_of(pa.concat_arrays(held.pop(lang)))
         size.pop(lang)
-        known = pc.dictionary_encode(words)
-        code = np.asarray(known.indices).astype(np.int32)
-        at = np.arange(len(code)) + np.cumsum(first)
-        codes = np.full(len(code) + int(first.sum()), -1, np.int32)
-        codes[at] = code
-        counts = np.bincount(code, minlength=len(known.dictionary))
-        vocabulary = known.dictionary.cast(pa.large_string()).cast(pa.string())
-        one = pa.array([0, len(vocabulary)], pa.int32())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang]), pa.array([codes.tobytes()], pa.binary()), pa.ListArray.from_arrays(one, vocabulary), pa.ListArray.from_arrays(one, pa.array(counts, pa.int64()))], names=["lang", "codes", "words", "counts"]
-        )
+        here, code_of = pc.dictionary_encode(words), known.setdefault(lang, {})
+        code = np.array([code_of.setdefault(x, len(code_of)) for x in here.dictionary.to_pylist()], np.int32)
+        n = np.zeros(len(code_of), np.int64)
+        n[: len(counts.get(lang, ()))] = counts.get(lang, ())
+        place = np.asarray(here.indices)
+        n[code] += np.bincount(place, minlength=len(code))
+        counts[lang] = n
+        codes = np.full(len(place) + int(first.sum()), -1, np.int32)
+        codes[np.arange(len(place)) + np.cumsum(first)] = code[place]
+        return pa.RecordBatch.from_pylist([{"part": part, "lang": lang, "codes": codes.tobytes()}], schema)
 
     for b in batches:
         lang = b.column("lang").dictionary_encode()
         index = np.asarray(lang.indices)
         for i, name in enumerate(lang.dictionary.to_pylist()):
             texts = b.column("text").take(pa.array(np.flatnonzero(index == i)))
-            held.setdefault(name, []).append(texts)
-            size[name] = size.get(name, 0) + texts.nbytes
-            if size[name] > 6 * WORDS:
-                yield row(name)
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(texts):  # whole texts, up to the bytes that a row still takes
+                have, used = size.get(name, 0), ends[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, used + 6 * WORDS - have, "right")))
+                held.setdefault(name, []).append(texts.slice(at, stop - at))
+                size[name] = have + int(ends[stop - 1] - used)
+                if size[name] >= 5 * WORDS:
+                    yield row(name)
+                at = stop
         while sum(size.values()) > 12 * WORDS:  # many languages
             yield row(max(size, key=size.get))
     for name in list(held):
         yield row(name)
+    for name, code_of in known.items():
+        words = pa.array(list(code_of), pa.large_binary()).cast(pa.large_string()).cast(pa.string())
+        one = pa.array([0, len(code_of)], pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, pa.array(counts[name]))], schema=schema)
 
 
 @dataclass
@@ -216,6 +234,30 @@ def _often(ids: DataFrame, lengths: tuple[int, ...], longest: int, least: int) -
     return out.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*names)
 
 
+def _pairs(ids: DataFrame, least: int, buckets: int) -> DataFrame:
+    """(w1, w2): the pairs of neighbouring ids that occur `least` times in a table of ids.
+
+    Pairs are many and mostly rare, so each row's sums travel by bucket as packed arrays, a few bytes a pair.
+    """
+
+    def send(batches):
+        for b in batches:
+            for raw in b.column("ids"):
+                x = np.frombuffer(raw.as_buffer(), np.int32).astype(np.int64)
+                ok = (x[:-1] >= 0) & (x[1:] >= 0)
+                key, n = np.unique(x[:-1][ok] << 32 | x[1:][ok], return_counts=True)
+                if len(key):
+                    yield rows_of(INDEX, key_bucket(key.view(np.uint64), buckets), owner=key, value=np.minimum(n, least))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        key, n = read(rows, INDEX, "owner", "value")
+        key, at = np.unique(key, return_inverse=True)
+        often = key[np.bincount(at, n, len(key)) >= least]
+        return pa.table({"w1": pa.array((often >> 32).astype(np.int32)), "w2": pa.array((often & 0xFFFFFFFF).astype(np.int32))})
+
+    return ids.select("ids").mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(meet, "w1 int, w2 int")
+
+
 def _shards(phrases: DataFrame, longest: int) -> Iterator[tuple[int, Trie]]:
     """(first, trie) of each shard of a ranked table of phrases; the trie's phrase i has the rank first + i."""
     names = [f"w{i + 1}" for i in range(longest)]
@@ -251,23 +293,38 @@ def _marked(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return ids
 
 
+def _count(model, longest: int):
+    """A task's counts of the phrases of a broadcast trie, in blocks of BLOCK phrases."""
+
+    def of(batches):
+        tree = model.value
+        n = np.zeros(len(tree.check), np.int64)
+        for b in batches:
+            for raw in b.column("ids"):
+                for _, state in tree.walk(np.frombuffer(raw.as_buffer(), np.int32), longest):
+                    n += np.bincount(state, minlength=len(n))
+        accepts = tree.phrase >= 0
+        out = np.zeros(int(tree.phrase.max(initial=-1)) + 1, np.int64)
+        out[tree.phrase[accepts]] = n[accepts]
+        blocks = range(-(-len(out) // BLOCK)) if out.any() else range(0)
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([out[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in blocks], pa.binary())], names=["block", "n"])
+
+    return of
+
+
+def _add(rows: pa.Table) -> pa.Table:
+    f = sum(np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("n"))
+    at = int(rows.column("block")[0].as_py()) * BLOCK + np.arange(len(f))
+    return pa.table({"at": pa.array(at[f > 0]), "f": pa.array(f[f > 0])})
+
+
 def _counted(ids: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
     """(rank, f): exact occurrences of ranked phrases, stored."""
     spark, out = ids.sparkSession, []
     for first, tree in _shards(phrases, longest):
         model = spark.sparkContext.broadcast(tree)
-
-        def count(batches, model=model, first=first):
-            tree = model.value
-            n = np.zeros(len(tree.check), np.int64)
-            for b in batches:
-                for raw in b.column("ids"):
-                    for _, state in tree.walk(np.frombuffer(raw.as_buffer(), np.int32), longest):
-                        n += np.bincount(state, minlength=len(n))
-            some = np.flatnonzero((tree.phrase >= 0) & (n > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(tree.phrase[some] + first), pa.array(n[some])], names=["rank", "f"])
-
-        out.append(stored(ids.select("ids").mapInArrow(count, "rank long, f long").groupBy("rank").agg(F.sum("f").alias("f"))))
+        sums = ids.select("ids").mapInArrow(_count(model, longest), "block int, n binary").groupBy("block").applyInArrow(_add, "at long, f long")
+        out.append(stored(sums.select((F.col("at") + first).alias("rank"), "f")))
         model.destroy()
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "rank long, f long")
 
@@ -281,21 +338,22 @@ def counts(docs: DataFrame, least: int, longest: int = 5) -> tuple[DataFrame, Da
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
-    coded = stored(texts.mapInArrow(_coded, "lang string, codes binary, words array<string>, counts array<long>").withColumn("b", F.monotonically_increasing_id()))
-    each = coded.select("b", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select("b", "lang", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    coded = stored(texts.mapInArrow(_coded, CODED))
+    each = coded.where("words is not null").select("part", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select("part", "lang", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     totals = stored(each.groupBy("lang").agg(F.sum("n").alias("n")))
     words = ranked(each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), F.desc("f"), F.col("lang"), F.col("word"), name="id").withColumn("id", F.col("id").cast("int"))
 
-    known = each.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("b").agg(F.collect_list(F.struct("code", "id")).alias("known"))
-    plain = coded.select("b", "codes").join(known, "b").select("codes", F.col("known.code").alias("code"), F.col("known.id").alias("id"))
+    known = each.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("part", "lang").agg(F.collect_list(F.struct("code", "id")).alias("known"))
+    plain = coded.where("codes is not null").select("part", "lang", "codes").join(known, ["part", "lang"]).select("codes", F.col("known.code").alias("code"), F.col("known.id").alias("id"))
 
     def translate(batches):
         for b in batches:
             out = []
             for raw, code, id_ in zip(b.column("codes"), b.column("code"), b.column("id")):
                 x = np.frombuffer(raw.as_buffer(), np.int32)
-                new = np.full(int(x.max(initial=0)) + 2, -1, np.int32)  # its last place is that of -1
-                new[np.asarray(code.values)] = np.asarray(id_.values)
+                code, id_ = np.asarray(code.values), np.asarray(id_.values)
+                new = np.full(max(int(x.max(initial=0)), int(code.max(initial=0))) + 2, -1, np.int32)  # its last place is that of -1
+                new[code] = id_
                 x = new[x]
                 x = x[np.r_[True, (x[1:] >= 0) | (x[:-1] >= 0)]] if len(x) else x  # one break is as good as many
                 out.append(x.tobytes())
@@ -305,7 +363,9 @@ def counts(docs: DataFrame, least: int, longest: int = 5) -> tuple[DataFrame, Da
     discard(coded)
     names = [f"w{i + 1}" for i in range(longest)]
     order = [F.col(c).asc_nulls_first() for c in names]
-    pairs = ranked(_often(ids, (2,), longest, least), *order)
+    buckets = bucket_count(totals.agg(F.sum("n")).first()[0] or 0, WORDS * 4)
+    frequent = _pairs(ids, least, buckets).select("w1", "w2", *(F.lit(None).cast("int").alias(c) for c in names[2:]))
+    pairs = ranked(frequent, *order)
     ids = _marked(ids, pairs)
     longer = _often(ids, tuple(range(3, longest + 1)), longest, least) if longest > 2 else pairs.limit(0)
     phrases = ranked(pairs.select(*names).unionByName(longer.select(*names)), *order)
