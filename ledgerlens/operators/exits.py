@@ -396,6 +396,29 @@ def robustness(book: DataFrame, config: str, fold: str, least: int) -> DataFrame
     return g.groupBy(config).agg(F.count("*").alias("folds"), F.count_if(F.col("pnl") > 0).alias("survived"), F.min("pnl").alias("worst"), F.max("pnl").alias("best"), F.max_by(fold, "pnl").alias("best_fold"), F.coalesce(F.sum("flip"), F.lit(0)).alias("flips"))
 
 
+def nested_walk_forward(book: DataFrame, config: str, fold: str, value: str, least: int, top: int) -> DataFrame:
+    """Choice within walk-forward: (fold, place, config, train_n, train_mean, test_n, test_mean, survived, n_survived, regime_flip).
+
+    book has a row for every replayed position of every configuration, with its fold 0, 1, ... For each fold from 1 on the `top` configurations of the best
+    mean over all earlier folds, with `least` positions there, are chosen, ties by name; then it counts what they make in the fold, which
+    the choice has not seen. survived: above 0 there; n_survived: how many of the fold's chosen ones are. regime_flip: the mean of all configurations has another sign in the
+    fold than before it. Everything after the first aggregation has a row for each configuration and fold.
+    """
+    c = F.col
+    g = book.groupBy(config, fold).agg(F.count("*").alias("n"), F.sum(value).alias("s"))
+    # every configuration has a row in every fold, so that an empty one is chosen and judged too
+    g = g.select(config).distinct().join(F.broadcast(g.select(fold).distinct())).join(g, [config, fold], "left").na.fill(0, ["n", "s"])  # folds are few
+    before = Window.partitionBy(config).orderBy(fold).rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("train_n", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("_ts", F.coalesce(F.sum("s").over(before), F.lit(0.0)))
+    whole = g.groupBy(fold).agg(F.try_divide(F.sum("s"), F.sum("n")).alias("_now"), F.try_divide(F.sum("_ts"), F.sum("train_n")).alias("_then"))
+    g = g.where(c(fold) > 0).where(c("train_n") >= least).withColumn("train_mean", c("_ts") / c("train_n")).withColumn("test_mean", F.try_divide("s", "n"))
+    place = F.row_number().over(Window.partitionBy(fold).orderBy(F.desc(F.round("train_mean", 9)), config))
+    g = g.withColumn("place", place).where(c("place") <= top).withColumn("survived", F.coalesce(c("test_mean") > 0, F.lit(False)))
+    g = g.withColumn("n_survived", F.count_if("survived").over(Window.partitionBy(fold)))
+    flip = F.coalesce(F.signum("_now") * F.signum("_then") < 0, F.lit(False)).alias("regime_flip")
+    return g.join(whole, fold).select(fold, "place", config, "train_n", "train_mean", c("n").alias("test_n"), "test_mean", "survived", "n_survived", flip)
+
+
 def regression_gate(book: DataFrame, base_wr: float, base_avg: float, base_pf: float, k: float, pf_share: float) -> DataFrame:
     """Win rate, mean and profit factor against a frozen baseline: FAIL beyond k standard errors, WARN on one sign."""
     won = (F.col("pnl") > 0).cast("double")

@@ -9,6 +9,7 @@ from ..operators import features as X
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators.books import sweep_summary as summary
+from ..operators.windows import time_folds
 from ..sources.tables import ledger_tokens, ledger_trades, stream_tokens, stream_trades
 from .base import A, B, query
 from .decisions import _FULL, decided
@@ -467,6 +468,20 @@ def walk_forward(spark, sf_dir):
     return g.withColumn("held", (F.col("train_pnl") > 0) == (F.col("test_pnl") > 0))
 
 
+@query(
+    f"""WITH {STATES_SQL}, lim AS (SELECT min(entry_ts) AS lo, (max(entry_ts) - min(entry_ts)) / 5 AS w FROM sim), fb AS (SELECT config_id, pnl, least(floor((entry_ts - lo) / w), 4)::INT AS fold FROM sim, lim),
+g0 AS (SELECT config_id, fold, count(pnl) AS n, coalesce(sum(pnl), 0) AS s FROM (SELECT DISTINCT config_id FROM fb) CROSS JOIN (SELECT DISTINCT fold FROM fb) LEFT JOIN fb USING (config_id, fold) GROUP BY ALL),
+g1 AS (SELECT *, coalesce(sum(n) OVER b, 0)::BIGINT AS train_n, coalesce(sum(s) OVER b, 0) AS ts FROM g0 WINDOW b AS (PARTITION BY config_id ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+wh AS (SELECT fold, coalesce(sign(sum(s)) * sign(sum(ts)) < 0, false) AS regime_flip FROM g1 GROUP BY fold),
+ch AS (SELECT *, ts / train_n AS train_mean, CASE WHEN n > 0 THEN s / n END AS test_mean, row_number() OVER (PARTITION BY fold ORDER BY round(ts / train_n, 9) DESC, config_id)::INT AS place FROM g1 WHERE fold > 0 AND train_n >= 10)
+SELECT fold, place, config_id, train_n, train_mean, n AS test_n, test_mean, coalesce(test_mean > 0, false) AS survived, count(*) FILTER (coalesce(test_mean > 0, false)) OVER (PARTITION BY fold) AS n_survived, regime_flip FROM ch JOIN wh USING (fold) WHERE place <= 2""",
+    rounded=("train_mean", "test_mean"),
+)
+def walk_forward_nested(spark, sf_dir):
+    """The two configurations that earlier folds would have chosen, judged on the next fold by the exit replay."""
+    return E.nested_walk_forward(time_folds(simulation(spark, sf_dir), "entry_ts", 5, 0.0), "config_id", "fold", "pnl", 10, 2)
+
+
 @query(
     f"""WITH {POSITIONS_SQL}, g AS (SELECT count(*) AS n, avg((pnl > 0)::INT) AS wr, stddev_pop((pnl > 0)::INT) / sqrt(count(*)) AS wr_se, avg(pnl) AS avg_pnl, stddev_samp(pnl) / sqrt(count(*)) AS avg_se, sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl <= 0) AS pf FROM positions WHERE status = 'closed'),
 s AS (SELECT *, (wr < 0.55 - 2 * wr_se)::INT + (avg_pnl < 0.001 - 2 * avg_se)::INT + (pf < 0.9 * 1.0)::INT AS signs FROM g) SELECT *, CASE WHEN signs >= 2 THEN 'FAIL' WHEN signs = 1 THEN 'WARN' ELSE 'PASS' END AS verdict FROM s""",
