@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import pnl_pct
 from .decisions import exit_zone, ladder
+from .portfolio import portfolio_admission as portfolio_admission
 from .windows import WARM, pulse
 
 PARAMS = "config_id string, stop double, take_profit double, trail_from double, trail_by double, max_hold double, dead_rate double, dying double, pressure double, drop_ratio double, drop_floor double, blood_events double, near_grad double"
@@ -312,34 +312,6 @@ def grid_sample(spark, axes: dict[str, list], k: int, seed: int) -> DataFrame:
     return draws.select("id", *cols).groupBy(*axes).agg(F.min("id").alias("id")).orderBy("id").limit(k).drop("id")
 
 
-def portfolio_admission(candidates: DataFrame, slots: int, cash: float, stake: float) -> DataFrame:
-    """Admit candidates (config_id, id, entry_ts, exit_ts, pnl, by_tick) in order of time under free slots and cash.
-
-    The book depends on its own past, so each configuration is one sequential fold over its candidates; their exits are known and
-    do not depend on the book. A slot frees before an entry at the same instant if the exit came from a tick.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["entry_ts", "id"])
-        open_, money, out = [], cash, []
-        for r in pdf.itertuples():
-            still = []
-            for x in open_:
-                if x[0] < r.entry_ts or (x[0] == r.entry_ts and x[2]):
-                    money += stake + x[1]
-                else:
-                    still.append(x)
-            open_ = still
-            ok = len(open_) < slots and money >= stake
-            if ok:
-                money -= stake
-                open_.append((r.exit_ts, r.pnl * stake, r.by_tick))
-            out.append(ok)
-        return pd.DataFrame({"config_id": pdf["config_id"], "id": pdf["id"], "admitted": out})
-
-    return candidates.select("config_id", "id", "entry_ts", "exit_ts", "pnl", "by_tick").groupBy("config_id").applyInPandas(fold, "config_id string, id long, admitted boolean")
-
-
 def axis_marginals(runs: DataFrame) -> DataFrame:
     """Per axis value of runs (params map, trades, pnl): mean result by trades and by combination, and whether they disagree."""
     e = runs.select(F.explode("params").alias("axis", "value"), "trades", "pnl")

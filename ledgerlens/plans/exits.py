@@ -358,7 +358,16 @@ def candidates(spark, sf_dir):
     return p.select("config_id", "id", F.col("entry_time").alias("entry_ts"), (F.col("entry_time") + F.col("hold_seconds") * 600).alias("exit_ts"), "pnl", (F.col("exit_reason") == "timeout").alias("by_tick"))
 
 
-@query()
+_LEFT = "p.x < c.entry_ts OR (p.x = c.entry_ts AND p.t)"
+
+
+@query(
+    f"""WITH RECURSIVE {POSITIONS_SQL}, cd AS MATERIALIZED (SELECT config_id, id, entry_time AS entry_ts, entry_time + hold_seconds * 600 AS exit_ts, round(pnl * 0.1 * 1e9)::BIGINT AS gain, exit_reason = 'timeout' AS by_tick, row_number() OVER (PARTITION BY config_id ORDER BY entry_time, id) AS k FROM positions WHERE status = 'closed'),
+f AS (SELECT DISTINCT config_id, 0::BIGINT AS k, 0::BIGINT AS id, false AS admitted, 1000000000::BIGINT AS cash, []::STRUCT(x DOUBLE, g BIGINT, t BOOLEAN)[] AS op FROM cd
+UNION ALL SELECT config_id, k, id, ok, cash - CASE WHEN ok THEN 100000000 ELSE 0 END, CASE WHEN ok THEN list_append(still, {{'x': exit_ts, 'g': gain, 't': by_tick}}) ELSE still END FROM (SELECT *, len(still) < 3 AND cash >= 100000000 AS ok FROM (
+SELECT c.*, list_filter(f.op, lambda p: NOT ({_LEFT})) AS still, (f.cash + coalesce(list_sum(list_transform(list_filter(f.op, lambda p: {_LEFT}), lambda p: p.g + 100000000)), 0))::BIGINT AS cash FROM f JOIN cd c ON c.config_id = f.config_id AND c.k = f.k + 1) a) b)
+SELECT config_id, id, admitted FROM f WHERE k > 0"""
+)
 def portfolio_admission(spark, sf_dir):
     return E.portfolio_admission(candidates(spark, sf_dir), 3, 1.0, 0.1)
 
