@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .knn import knn_label_noise as knn_label_noise
 from .windows import average_rank, global_row_number, ranged
 
 
@@ -203,43 +204,6 @@ def bootstrap_ci(df: DataFrame, key: str, score: str, label: str, draws: int, se
     return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(cut)).alias("lo"), F.percentile("v", F.lit(1 - cut)).alias("hi"))
 
 
-def knn_label_noise(df: DataFrame, key: str, vector: str, label: str, k: int, block: int = 512) -> DataFrame:
-    """(key, label, noise): the share of the k nearest other rows, by Euclidean distance of standardised features, of another label.
-
-    Rows are dealt into blocks, every block meets every block, and each meeting returns k neighbours per row, so a task
-    never holds more than two blocks; the final k come from a window over the blocks' candidates.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    stats = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()  # a row per dimension
-    mean, std = np.array([r["m"] for r in stats]), np.array([r["s"] or 1.0 for r in stats])
-    n = max(1, -(-df.count() // block))
-    base = df.select(F.col(key).cast("long").alias("id"), vector, F.col(label).cast("int").alias("label"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("home"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(F.col("home").alias("q"), j.alias("r"), F.lit(True).alias("asks")))
-    other = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(j.alias("q"), F.col("home").alias("r"), F.lit(False).alias("asks")))
-    dealt = base.select("id", vector, "label", F.explode(F.concat(pairs, other)).alias("c")).select("id", vector, "label", "c.q", "c.r", "c.asks")
-
-    def meet(rows: pa.Table) -> pa.Table:
-        ids, lab, asks = (np.asarray(rows.column(c)) for c in ("id", "label", "asks"))
-        v = np.asarray(rows.column(vector).combine_chunks().flatten(), float).reshape(len(ids), -1)
-        v = (v - mean) / np.where(std > 0, std, 1.0)
-        a, b = v[asks], v[~asks]
-        d = ((a[:, None, :] - b[None, :, :]) ** 2).sum(2) if len(a) * len(b) < 1 << 16 else (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-        d[ids[asks][:, None] == ids[~asks][None, :]] = np.inf
-        m = min(k, d.shape[1])
-        order = np.lexsort((np.broadcast_to(ids[~asks], d.shape), d), axis=1)[:, :m]
-        near = np.take_along_axis(d, order, 1)
-        i = np.repeat(np.arange(len(a)), m)
-        ok = np.isfinite(near.ravel())
-        return pa.table({"id": ids[asks][i][ok], "label": lab[asks][i][ok].astype(np.int32), "near": ids[~asks][order.ravel()][ok], "near_label": lab[~asks][order.ravel()][ok].astype(np.int32), "d": near.ravel()[ok]})
-
-    found = dealt.groupBy("q", "r").applyInArrow(meet, "id long, label int, near long, near_label int, d double")
-    w = Window.partitionBy("id").orderBy("d", "near")
-    best = found.withColumn("i", F.row_number().over(w)).where(F.col("i") <= k)
-    return best.groupBy("id", "label").agg((F.avg((F.col("near_label") != F.col("label")).cast("int"))).alias("noise")).withColumnRenamed("id", key)
-
-
 def model_compare(df: DataFrame, scores: list[str], outcome: str, thresholds: list[float]) -> DataFrame:
     """Two or more scores at several thresholds on the same rows."""
     cells = F.array(*(F.struct(F.lit(s).alias("model"), F.col(s).alias("p")) for s in scores))
