@@ -153,13 +153,22 @@ LEDGER_TICK = 30 * DAY
 LEDGER_CONFIG = ("book", 60.0, 150.0, 80.0, 40.0, 900 * DAY, 0.05, 4.0, 3.0, 0.2, 0.3, 21.0, 200.0)
 
 
+def _ledger_sim_sql(span: float, configs: list[tuple]) -> str:
+    """CTEs up to `sim`: the replay of each entity of the ledger that is entered after its window, under each configuration."""
+    values = ", ".join("(" + ", ".join(repr(x) if isinstance(x, str) else f"{x}::DOUBLE" for x in r) + ")" for r in configs)
+    later = STATES_SQL[len(ENTRY_SQL) :].replace(_CONFIG_SQL, f"configs({', '.join(_COLS)}) AS (VALUES {values})").replace(str(TICK), str(LEDGER_TICK))
+    later = later.replace("(SELECT entity_id, event_id, buy_rate", "(SELECT entity_id, event_id, ts, buy_rate").replace("USING (entity_id, event_id)),", "USING (entity_id, event_id, ts)),")
+    return f"""{A}, entries AS (SELECT entity_id, creator_id, arg_min(ts, ts * 1e6 + event_id) AS entry_ts, arg_min(price, ts * 1e6 + event_id) AS entry_price FROM trades JOIN tokens USING (entity_id) WHERE {_usable(span)} GROUP BY ALL){later}"""
+
+
+def _usable(span: float) -> str:
+    return f"side = 'buy' AND amount <> 0 AND qty <> 0 AND ts >= created_at + {span}"
+
+
 def _label_sql(span: float) -> str:
     """(entity_id, status, reason, pnl) of each entity's position in the ledger."""
-    later = STATES_SQL[len(ENTRY_SQL) :].replace(_CONFIG_SQL, f"configs({', '.join(_COLS)}) AS (VALUES ({', '.join(repr(x) if isinstance(x, str) else f'{x}::DOUBLE' for x in LEDGER_CONFIG)}))").replace(str(TICK), str(LEDGER_TICK))
-    later = later.replace("(SELECT entity_id, event_id, buy_rate", "(SELECT entity_id, event_id, ts, buy_rate").replace("USING (entity_id, event_id)),", "USING (entity_id, event_id, ts)),")
-    usable = f"side = 'buy' AND amount <> 0 AND qty <> 0 AND ts >= created_at + {span}"
-    return f"""{A}, entries AS (SELECT entity_id, creator_id, arg_min(ts, ts * 1e6 + event_id) AS entry_ts, arg_min(price, ts * 1e6 + event_id) AS entry_price FROM trades JOIN tokens USING (entity_id) WHERE {usable} GROUP BY ALL){later},
-stt AS (SELECT entity_id, CASE WHEN count(*) FILTER (ts >= created_at + {span}) = 0 THEN 'doa_no_trades' WHEN count(*) FILTER ({usable}) = 0 THEN 'doa_no_entry' END AS status FROM tokens LEFT JOIN trades USING (entity_id) GROUP BY entity_id)
+    return f"""{_ledger_sim_sql(span, [LEDGER_CONFIG])},
+stt AS (SELECT entity_id, CASE WHEN count(*) FILTER (ts >= created_at + {span}) = 0 THEN 'doa_no_trades' WHEN count(*) FILTER ({_usable(span)}) = 0 THEN 'doa_no_entry' END AS status FROM tokens LEFT JOIN trades USING (entity_id) GROUP BY entity_id)
 SELECT entity_id, coalesce(status, reason, 'timeout') AS exit_reason, coalesce(CASE WHEN status IS NULL THEN pnl END, 0) AS realized FROM stt LEFT JOIN sim USING (entity_id)"""
 
 
@@ -361,17 +370,52 @@ def candidates(spark, sf_dir):
 _LEFT = "p.x < c.entry_ts OR (p.x = c.entry_ts AND p.t)"
 
 
-@query(
-    f"""WITH RECURSIVE {POSITIONS_SQL}, cd AS MATERIALIZED (SELECT config_id, id, entry_time AS entry_ts, entry_time + hold_seconds * 600 AS exit_ts, round(pnl * 0.1 * 1e9)::BIGINT AS gain, exit_reason = 'timeout' AS by_tick, row_number() OVER (PARTITION BY config_id ORDER BY entry_time, id) AS k FROM positions WHERE status = 'closed'),
-f AS (SELECT DISTINCT config_id, 0::BIGINT AS k, 0::BIGINT AS id, false AS admitted, 1000000000::BIGINT AS cash, []::STRUCT(x DOUBLE, g BIGINT, t BOOLEAN)[] AS op FROM cd
-UNION ALL SELECT config_id, k, id, ok, cash - CASE WHEN ok THEN 100000000 ELSE 0 END, CASE WHEN ok THEN list_append(still, {{'x': exit_ts, 'g': gain, 't': by_tick}}) ELSE still END FROM (SELECT *, len(still) < 3 AND cash >= 100000000 AS ok FROM (
-SELECT c.*, list_filter(f.op, lambda p: NOT ({_LEFT})) AS still, (f.cash + coalesce(list_sum(list_transform(list_filter(f.op, lambda p: {_LEFT}), lambda p: p.g + 100000000)), 0))::BIGINT AS cash FROM f JOIN cd c ON c.config_id = f.config_id AND c.k = f.k + 1) a) b)
-SELECT config_id, id, admitted FROM f WHERE k > 0"""
-)
+def _admission_sql(slots: int, cash: float, stake: float) -> str:
+    """CTEs from candidates cd0 (config_id, id, entry_ts, exit_ts, pnl, by_tick) to `adm` (config_id, id, admitted): one step of recursion a candidate."""
+    each = round(stake * 1e9)
+    return f"""cd AS MATERIALIZED (SELECT config_id, id, entry_ts, exit_ts, round(pnl * {stake} * 1e9)::BIGINT AS gain, by_tick, row_number() OVER (PARTITION BY config_id ORDER BY entry_ts, id) AS k FROM cd0),
+f AS (SELECT DISTINCT config_id, 0::BIGINT AS k, 0::BIGINT AS id, false AS admitted, {round(cash * 1e9)}::BIGINT AS cash, []::STRUCT(x DOUBLE, g BIGINT, t BOOLEAN)[] AS op FROM cd
+UNION ALL SELECT config_id, k, id, ok, cash - CASE WHEN ok THEN {each} ELSE 0 END, CASE WHEN ok THEN list_append(still, {{'x': exit_ts, 'g': gain, 't': by_tick}}) ELSE still END FROM (SELECT *, len(still) < {slots} AND cash >= {each} AS ok FROM (
+SELECT c.*, list_filter(f.op, lambda p: NOT ({_LEFT})) AS still, (f.cash + coalesce(list_sum(list_transform(list_filter(f.op, lambda p: {_LEFT}), lambda p: p.g + {each})), 0))::BIGINT AS cash FROM f JOIN cd c ON c.config_id = f.config_id AND c.k = f.k + 1) a) b),
+adm AS (SELECT config_id, id, admitted FROM f WHERE k > 0)"""
+
+
+@query(f"WITH RECURSIVE {POSITIONS_SQL}, cd0 AS (SELECT config_id, id, entry_time AS entry_ts, entry_time + hold_seconds * 600 AS exit_ts, pnl, exit_reason = 'timeout' AS by_tick FROM positions WHERE status = 'closed'), {_admission_sql(3, 1.0, 0.1)} SELECT * FROM adm")
 def portfolio_admission(spark, sf_dir):
     return E.portfolio_admission(candidates(spark, sf_dir), 3, 1.0, 0.1)
 
 
+#: Whole configurations: when to enter (score, buyers), how to leave (exits.PARAMS), each with a book of its own.
+BOOKS = [
+    (30, 3, ("a", 60.0, 150.0, 80.0, 40.0, 900 * DAY, 0.05, 4.0, 3.0, 0.2, 0.3, 21.0, 200.0)),
+    (15, 4, ("b", 40.0, 60.0, 30.0, 20.0, 300 * DAY, 0.05, 2.0, 1.0, 0.3, 0.3, 5.0, 99.5)),
+    (45, 2, ("c", 90.0, 900.0, 300.0, 200.0, 1500 * DAY, 0.0, 99.0, 99.0, 0.0, 0.3, 99.0, 200.0)),
+]
+_SLOTS, _CASH, _STAKE = 5, 1.0, 0.15
+
+
+@query(
+    f"""WITH RECURSIVE dec AS (SELECT * FROM (WITH {_FULL} SELECT entity_id, score, unique_buyers FROM decided WHERE gate IS NULL)),
+si AS (SELECT * FROM (WITH {_ledger_sim_sql(FULL, [r for *_, r in BOOKS])} SELECT config_id, entity_id, entry_ts, reason, pnl, hold FROM sim)),
+bk AS (SELECT si.* FROM si JOIN (VALUES {", ".join(f"('{r[0]}', {buy}, {buyers})" for buy, buyers, r in BOOKS)}) cf(config_id, buy, buyers) USING (config_id) JOIN dec USING (entity_id) WHERE score >= buy AND unique_buyers >= buyers),
+cd0 AS (SELECT config_id, entity_id AS id, entry_ts, entry_ts + hold AS exit_ts, pnl / 100 AS pnl, reason = 'timeout' AS by_tick FROM bk), {_admission_sql(_SLOTS, _CASH, _STAKE)}
+SELECT config_id, entity_id, entry_ts, reason, pnl, hold, admitted FROM bk JOIN adm USING (config_id) WHERE adm.id = bk.entity_id""",
+    rounded=("pnl",),
+)
+def config_books(spark, sf_dir):
+    """The same entities under whole configurations: each enters by its own thresholds, leaves by its own rules, and admits what its own book has room and cash for."""
+    tokens, trades = ledger_tokens(spark, sf_dir), ledger_trades(spark, sf_dir)
+    entry = spark.createDataFrame([(r[0], buy, buyers) for buy, buyers, r in BOOKS], "config_id string, buy int, buyers int")  # a row per configuration
+    wanted = decided(spark, sf_dir).where("gate is null").select("entity_id", "score", "unique_buyers")
+    wanted = wanted.join(F.broadcast(entry), (F.col("score") >= F.col("buy")) & (F.col("unique_buyers") >= F.col("buyers"))).select("config_id", "entity_id")
+    inside = M.entry_points(tokens, trades, FULL).where("status = 'entered'").join(tokens.select("entity_id", "creator_id"), "entity_id")
+    book = E.simulated(trades, inside, spark.createDataFrame([r for *_, r in BOOKS], E.PARAMS), WHALE, LEDGER_TICK).join(wanted, ["config_id", "entity_id"])
+    book = book.select("config_id", "entity_id", "entry_ts", "reason", "pnl", "hold")
+    found = book.select("config_id", F.col("entity_id").alias("id"), "entry_ts", (F.col("entry_ts") + F.col("hold")).alias("exit_ts"), (F.col("pnl") / 100).alias("pnl"), (F.col("reason") == "timeout").alias("by_tick"))
+    admitted = E.portfolio_admission(found, _SLOTS, _CASH, _STAKE).withColumnRenamed("id", "entity_id")
+    return book.join(admitted, ["config_id", "entity_id"])
+
+
 @query(
     f"""WITH {ENTRY_SQL}, af AS (SELECT t.*, entry_ts, lead(ts) OVER (PARTITION BY t.entity_id ORDER BY ts, event_id) AS nx FROM trades t JOIN entries USING (entity_id) WHERE ts > entry_ts),
 q AS (SELECT entity_id, min(ts) AS t FROM af WHERE nx IS NULL OR nx - ts > {DAY} GROUP BY entity_id) SELECT entity_id, coalesce(t, entry_ts) + {DAY} AS exit_ts, 'dead_token' AS reason FROM entries LEFT JOIN q USING (entity_id)"""
@@ -413,6 +457,12 @@ def axis_bootstrap(spark, sf_dir):
     return E.axis_bootstrap(runs(spark, sf_dir), 200, 7)
 
 
+@query()
+def axis_verdicts(spark, sf_dir):
+    """Which value of each axis of the runs is best, by trades and by combinations, with bootstrap bounds."""
+    return E.axis_verdicts(runs(spark, sf_dir), 200, 7)
+
+
 @query(f"WITH {RUNS_SQL} SELECT a, sum(pnl * trades) FILTER (b = '0') / sum(trades) FILTER (b = '0') AS b0, sum(pnl * trades) FILTER (b = '1') / sum(trades) FILTER (b = '1') AS b1, sum(pnl * trades) FILTER (b = '2') / sum(trades) FILTER (b = '2') AS b2 FROM runs GROUP BY a", rounded=("b0", "b1", "b2"))
 def axis_interaction(spark, sf_dir):
     return E.axis_interaction(runs(spark, sf_dir), "a", "b", ["0", "1", "2"]).select("a", F.col("0").alias("b0"), F.col("1").alias("b1"), F.col("2").alias("b2"))

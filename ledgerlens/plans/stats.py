@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats as S
+from ..operators.actors import _shared
 from ..operators.windows import chrono_parts
-from ..sources.tables import stream_trades, table
+from ..sources.tables import ledger_tokens, stream_tokens, stream_trades, table
 from ..streaming.live import folder
 from .base import query
 from .store import POSITIONS_SQL, positions
@@ -22,10 +23,10 @@ def labelled(spark, sf_dir):
     return p.withColumn("label", (F.col("pnl_pct") + F.col("score") / 4 > 10).cast("int"))
 
 
-def _parts(df, label="label"):
+def _parts(df, label="label", features=FEATURES, time="entry_time"):
     """Rows with a vector of features and balanced weights, by time: 70 % train, 15 % validation, 15 % test."""
-    d = S.assembled(S.balanced(df, label), FEATURES)
-    s = chrono_parts(d, "entry_time", SHARES, ("id",))
+    d = S.assembled(S.balanced(df, label), features)
+    s = chrono_parts(d, time, SHARES, ("id",))
     return tuple(s.where(F.col("split") == name) for name in SHARES)
 
 
@@ -52,6 +53,57 @@ def train_entry_regression(spark, sf_dir):
     return S.spearman(p, "prediction", "pnl_pct").crossJoin(S.auc(p, "prediction", "won").select(F.col("auc").alias("sign_auc")))  # a row each
 
 
+def _entry_rows(spark, sf_dir, early=False):
+    """The dataset of entries, written once: its plan is long, and training reads it many times."""
+    from ..operators.features import FEATURE_ORDER, FEATURE_ORDER_EARLY
+    from .exits import EARLY_SPAN, dataset
+    from .metrics import FULL
+
+    order = FEATURE_ORDER_EARLY if early else FEATURE_ORDER
+    d = dataset(spark, sf_dir, EARLY_SPAN if early else FULL, order).join(ledger_tokens(spark, sf_dir).select("entity_id", "created_at"), "entity_id")
+    return _shared(d.withColumnRenamed("entity_id", "id")), order
+
+
+@query()
+def train_entry_dataset(spark, sf_dir):
+    """The entry model on its own vector and label, as known at the end of the window and at the first age: validation and test."""
+    out = None
+    for early in (False, True):
+        d, order = _entry_rows(spark, sf_dir, early)
+        train, val, test = _parts(d, features=order, time="created_at")
+        m = S.train_classifier(train, "label", "gbt", maxIter=5, maxDepth=3)
+        r = _report(m, val, "val").unionByName(_report(m, test, "test")).withColumn("variant", F.lit("early" if early else "full"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query()
+def train_value_dataset(spark, sf_dir):
+    """The result of entering, clipped to [-100, 300], from the same vector: rank correlation, and AUC of its sign, on validation and test."""
+    d, order = _entry_rows(spark, sf_dir)
+    train, val, test = _parts(d, features=order, time="created_at")
+    m, out = S.train_regressor(train.withColumn("y", F.greatest(F.least("realized", F.lit(300.0)), F.lit(-100.0))), "y", maxIter=5, maxDepth=3), None
+    for name, rows in (("val", val), ("test", test)):
+        p = m.transform(rows).select("realized", "prediction", "label")
+        r = S.spearman(p, "prediction", "realized").crossJoin(S.auc(p, "prediction", "label").select(F.col("auc").alias("sign_auc"))).withColumn("part", F.lit(name))  # a row each
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query()
+def train_timing_dataset(spark, sf_dir):
+    """When to enter: three classes from the replay at each age, told from what is seen by then; the test part by label and prediction."""
+    from . import exits
+
+    seen = exits.snaps(spark, sf_dir).join(stream_tokens(spark, sf_dir).select("entity_id", "created_at"), "entity_id")
+    d = exits.timing_labels(spark, sf_dir).select("entity_id", "age", "label").join(seen, ["entity_id", "age"])
+    kind = F.array_position(F.array(*map(F.lit, ("SKIP", "WAIT", "ENTER"))), F.col("label")) - 1
+    d = _shared(d.withColumns({"label": kind.cast("int"), "at": F.col("created_at") + F.col("age"), "id": F.concat_ws("/", "entity_id", "age")}))
+    train, _, test = _parts(d, features=["age", "n_events", "n_buys", "buy_volume", "unique_buyers", "price", "reserve"], time="at")
+    m = S.train_classifier(train, "label", "forest", numTrees=8, maxDepth=4)
+    return m.transform(test).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
 @query()
 def train_quantile(spark, sf_dir):
     """Quantile leaves for the hold and for the result: the share of test rows at or below each."""
@@ -91,6 +143,27 @@ def train_hazard(spark, sf_dir):
     return r.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("label").alias("rate"), F.avg("proba").alias("mean_proba")).crossJoin(spread)  # a row
 
 
+@query()
+def train_hazard_lives(spark, sf_dir):
+    """How long positions live, predicted bucket by bucket: of the test part the lives, how many differ, and their rank correlation with the holds.
+
+    Under five different lives the model is degenerate: it tells positions apart by next to nothing.
+    """
+    from ..operators.exits import hazard_rows, survival_curve
+
+    p = positions(spark, sf_dir).select("id", "config_id", "score", "entry_buyer_number", "proba", "entry_time", "hold_seconds", "status", "pnl_pct")
+    names = ["bucket", "score", "entry_buyer_number", "proba"]
+    parts = chrono_parts(p, "entry_time", SHARES, ("id",))
+    lived = hazard_rows(parts, 5.0, 50.0, -3.0).withColumnRenamed("died", "label").join(parts.select("id", "split", *names[1:]), "id").where("split = 'train'").select("id", "label", *names)
+    ahead = parts.where("split = 'test'").select("id", *names[1:], F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bucket"))  # what a life is read from: every bucket up to the horizon
+    both = S.assembled(S.balanced(lived, "label").withColumn("_test", F.lit(False)).unionByName(ahead.withColumn("_test", F.lit(True)), allowMissingColumns=True), names)
+    m = S.train_classifier(both.where("not _test"), "label", "gbt", maxIter=5, maxDepth=3)
+    lives = survival_curve(S.probabilities(m, both.where("_test"), ["id", "bucket"]).withColumnRenamed("proba", "h"), ["id"], 0.7, 5.0)
+    lives = _shared(lives.join(p.select("id", "hold_seconds"), "id"))
+    n = lives.agg(F.count_distinct("predicted_life").alias("lives"), F.min("predicted_life").alias("shortest"), F.max("predicted_life").alias("longest"))
+    return S.spearman(lives, "predicted_life", "hold_seconds").crossJoin(n).withColumn("degenerate", F.col("lives") < 5)  # a row each
+
+
 @query(
     f"""WITH {POSITIONS_SQL}, th AS (SELECT t / 10 AS threshold, count(*) FILTER (proba >= t / 10) AS n, avg(pnl) FILTER (proba >= t / 10) AS ev, count(*) FILTER (proba < t / 10) AS nb, avg(pnl) FILTER (proba < t / 10) AS eb FROM positions, range(1, 10) r(t) WHERE {{0}} GROUP BY t),
 m AS (SELECT arg_max(threshold, round(ev, 9) - threshold * 1e-12) AS threshold, max(ev) AS ev FROM th WHERE n >= 30), q AS (SELECT quantile_cont(proba, 0.8) AS hi, quantile_cont(proba, 0.2) AS lo FROM positions WHERE {{0}})

@@ -58,6 +58,12 @@ CHECKED = {
     "train_entry": lambda rs: {r.part for r in rs} == {"val", "test"} and all(0 <= r.auc <= 1 and 0 <= r.precision <= 1 and r.n_top == 13 and r.n1 + r.n0 == 135 for r in rs),
     "train_entry_regression": lambda rs: -1 <= one(rs).spearman <= 1 and 0 <= one(rs).sign_auc <= 1,
     "train_quantile": lambda rs: {(r.head, r.quantile) for r in rs} == {(h, q) for h in ("hold", "result") for q in (0.25, 0.75)} and all(abs(r.coverage - r.quantile) <= 0.12 for r in rs if r.head == "result"),
+    "train_entry_dataset": lambda rs: {(r.variant, r.part) for r in rs} == {(v, p) for v in ("full", "early") for p in ("val", "test")} and all(r.n1 + r.n0 == 30 and r.n_top == 3 and 0 <= r.auc <= 1 for r in rs),
+    "train_value_dataset": lambda rs: {r.part for r in rs} == {"val", "test"} and all(r.n == 30 and -1 <= r.spearman <= 1 and 0 <= r.sign_auc <= 1 for r in rs),
+    "train_timing_dataset": lambda rs: {r.label for r in rs} == {0, 1, 2} and sum(r.n for r in rs) == 45 and sum(r.n for r in rs if r.label == r.prediction) > 22,
+    "train_hazard_lives": lambda rs: one(rs).n == 150 and 1 <= one(rs).lives <= 10 and one(rs).degenerate == (one(rs).lives < 5) and 5 <= one(rs).shortest <= one(rs).longest <= 50,
+    "axis_bootstrap": lambda rs: len({(r.axis, r.value) for r in rs}) == len(rs) == 7 and all(r.lo <= r.hi for r in rs),
+    "axis_verdicts": lambda rs: len(rs) == 7 and all(r.lo <= r.by_trades <= r.hi and r.level == (0.99 if r.axis == "a" else 0.95) for r in rs) and all(sum(r.verdict in ("best", "trades_best") for r in rs if r.axis == x) <= 1 for x in "ab"),
     "leak_importance": lambda rs: max(rs, key=lambda r: r.importance).feature == "forward_return" and {r.feature for r in rs if r.leak} == {"forward_return"} and len(rs) == 5,
     "train_timing": lambda rs: {r.label for r in rs} <= {0, 1, 2} and sum(r.n for r in rs) == 135,
     "train_hazard": lambda rs: all(0 <= r.rate <= 1 and 0 < r.mean_proba < 1 for r in rs) and len({r.degenerate for r in rs}) == 1,
