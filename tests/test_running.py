@@ -44,3 +44,12 @@ def test_flag_at(spark):
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
     none = spark.createDataFrame([], "k string, flag string, valid_from double, valid_to double")
     assert [x.flag for x in J.flag_at(spark.createDataFrame(probes[:3], "k string, ts double, i int"), none, "k").collect()] == [None] * 3
+
+
+def test_flag_at_numbers_no_rows(spark):
+    """Rows that a shuffle brings in another order when they are read again must not get another's flag, so no row number is a key."""
+    probes = spark.createDataFrame([("a", 3.0, 1), ("a", 3.0, 2), ("a", 9.0, 3), (None, 3.0, 4), ("a", None, 5)], "k string, ts double, i int").repartition(3, "i")
+    spans = spark.createDataFrame([("a", "f", 1.0, 5.0)], "k string, flag string, valid_from double, valid_to double")
+    out = J.flag_at(probes, spans, "k")
+    assert "monotonically_increasing_id" not in out._jdf.queryExecution().toString()
+    assert sorted((r.i, r.flag) for r in out.collect()) == [(1, "f"), (2, "f"), (3, None), (4, None), (5, None)]
