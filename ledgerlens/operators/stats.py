@@ -10,9 +10,11 @@ from .windows import average_rank, global_row_number, ranged
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    """NULLs become the mean of their column, with an indicator beside it, in one vector."""
+    """NULLs, and what is NaN or infinite, become the mean of their column, with an indicator beside it, in one vector."""
     from pyspark.ml.feature import VectorAssembler
 
+    floats = [c for c in features if dict(df.dtypes)[c] in ("double", "float")]
+    df = df.withColumns({c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in floats})  # NaN counts as larger than all
     means = df.agg(*(F.avg(c).alias(c) for c in features)).first()
     filled = df.withColumns({f"{c}_null": F.col(c).isNull().cast("double") for c in features}).fillna({c: float(means[c] or 0.0) for c in features})
     return VectorAssembler(inputCols=[*features, *(f"{c}_null" for c in features)], outputCol="features").transform(filled.withColumns({c: F.col(c).cast("double") for c in features}))
