@@ -83,3 +83,13 @@ def test_positions_go_on(spark, cut):
     done = {(r.config_id, r.entity_id) for r in first.collect()}
     begun = {e for e in range(1, 7) for t in [sorted(r[2] for r in every[0] if r[0] == e)] if any(x >= t[0] + 3 for x in t)}
     assert counts == {c: sum((c, e) not in done for e in begun) for c, *_ in CONFIGS if any((c, e) not in done for e in begun)}
+
+
+def test_events_after_the_last_window_need_no_state(spark, monkeypatch):
+    """Once an entity's windows are closed, its events are over: they don't wait for a creation."""
+    where = L.folder(spark)
+    batches = [[(1, "create", 1000.0, None, 0.0), buy(1, 1001.0, 5.0)], [buy(1, 1100.0, 1.0)], [buy(1, 1200.0, 1.0)], [buy(1, 1300.0, 2.0), buy(1, 1301.0, 2.0)]]
+    out = T.timed(T.entity_windows(stream(spark, batches, MESSAGE), (10.0,), "5 seconds"), where)
+    assert [tuple(r) for r in out.collect()] == [(1, 10.0, 1, 1, 5.0)]
+    early = spark.read.format("statestore").option("stateVarName", "early").load(f"{where}/state")
+    assert early.count() == 0
