@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .actors import _shared
 from .knn import knn_label_noise as knn_label_noise
 from .windows import average_rank, global_row_number, ranged
 
@@ -247,7 +248,7 @@ def leaf_quantiles(train: DataFrame, test: DataFrame, key: str, target: str, qs:
     def forest(y: str, levels: int, leaf: str, out: str, least: int):
         return RandomForestRegressor(featuresCol="features", labelCol=y, predictionCol=out, numTrees=trees, maxDepth=levels, minInstancesPerNode=least, subsamplingRate=0.7, seed=seed, leafCol=leaf)
 
-    known = average_rank(train.where(F.col(target).isNotNull()), target)
+    known = _shared(average_rank(train.where(F.col(target).isNotNull()), target))  # both forests read it many times
     level = forest("avg_rank", depth, "_a", "_level", 4 * smallest).fit(known)
     spread = forest("_far", 2, "_b", "_spread", 4 * smallest).fit(level.transform(known).withColumn("_far", F.abs(F.col("avg_rank") - F.col("_level"))))
     both = F.arrays_zip(vector_to_array("_a").alias("a"), vector_to_array("_b").alias("b"))

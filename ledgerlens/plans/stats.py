@@ -23,16 +23,19 @@ def labelled(spark, sf_dir):
     return p.withColumn("label", (F.col("pnl_pct") + F.col("score") / 4 > 10).cast("int"))
 
 
-def _parts(df, label="label", features=FEATURES, time="entry_time"):
-    """Rows with a vector of features and balanced weights, by time: 70 % train, 15 % validation, 15 % test."""
-    d = S.assembled(S.balanced(df, label), features)
-    s = chrono_parts(d, time, SHARES, ("id",))
+def _parts(df, label="label", features=FEATURES, time="entry_time", keep=()):
+    """Rows with a vector of features and balanced weights, by time: 70 % train, 15 % validation, 15 % test.
+
+    Written once, as models and reports read them many times: id, label, weight, features and the columns of `keep`.
+    """
+    d = S.assembled(S.balanced(df.select(*dict.fromkeys(("id", label, time, *features, *keep))), label), features)
+    s = _shared(chrono_parts(d.select(*dict.fromkeys(("id", label, time, "weight", "features", *keep))), time, SHARES, ("id",)))
     return tuple(s.where(F.col("split") == name) for name in SHARES)
 
 
 def _report(model, rows, name):
     """AUC, precision among the top 10 % and base rate of a model on rows."""
-    p = S.probabilities(model, rows, ["id", "label"])
+    p = _shared(S.probabilities(model, rows, ["id", "label"]))
     return S.auc(p, "proba", "label").crossJoin(S.top_precision(p, "proba", "label", "id")).withColumn("part", F.lit(name))  # a row each
 
 
@@ -47,9 +50,9 @@ def train_entry(spark, sf_dir):
 @query()
 def train_entry_regression(spark, sf_dir):
     """The clipped result as a number: rank correlation with the result, and AUC of its sign, on the test part."""
-    train, _, test = _parts(labelled(spark, sf_dir))
+    train, _, test = _parts(labelled(spark, sf_dir), keep=("pnl_pct",))
     m = S.train_regressor(train.withColumn("y", F.greatest(F.least("pnl_pct", F.lit(300.0)), F.lit(-100.0))), "y", maxIter=5, maxDepth=3)
-    p = m.transform(test).select("id", "pnl_pct", "prediction").withColumn("won", (F.col("pnl_pct") > 0).cast("int"))
+    p = _shared(m.transform(test).select("id", "pnl_pct", "prediction").withColumn("won", (F.col("pnl_pct") > 0).cast("int")))
     return S.spearman(p, "prediction", "pnl_pct").crossJoin(S.auc(p, "prediction", "won").select(F.col("auc").alias("sign_auc")))  # a row each
 
 
@@ -81,10 +84,10 @@ def train_entry_dataset(spark, sf_dir):
 def train_value_dataset(spark, sf_dir):
     """The result of entering, clipped to [-100, 300], from the same vector: rank correlation, and AUC of its sign, on validation and test."""
     d, order = _entry_rows(spark, sf_dir)
-    train, val, test = _parts(d, features=order, time="created_at")
+    train, val, test = _parts(d, features=order, time="created_at", keep=("realized",))
     m, out = S.train_regressor(train.withColumn("y", F.greatest(F.least("realized", F.lit(300.0)), F.lit(-100.0))), "y", maxIter=5, maxDepth=3), None
     for name, rows in (("val", val), ("test", test)):
-        p = m.transform(rows).select("realized", "prediction", "label")
+        p = _shared(m.transform(rows).select("realized", "prediction", "label"))
         r = S.spearman(p, "prediction", "realized").crossJoin(S.auc(p, "prediction", "label").select(F.col("auc").alias("sign_auc"))).withColumn("part", F.lit(name))  # a row each
         out = r if out is None else out.unionByName(r)
     return out
@@ -107,7 +110,7 @@ def train_timing_dataset(spark, sf_dir):
 @query()
 def train_quantile(spark, sf_dir):
     """Quantile leaves for the hold and for the result: the share of test rows at or below each."""
-    train, _, test = _parts(labelled(spark, sf_dir))
+    train, _, test = _parts(labelled(spark, sf_dir), keep=("hold_seconds", "pnl_pct"))
     qs, out = (0.25, 0.75), None
     for head, y in (("hold", "hold_seconds"), ("result", "pnl_pct")):
         row = S.coverage(S.leaf_quantiles(train, test, "id", y, qs), y, qs).select(F.lit(head).alias("head"), "quantile", "n", "coverage")
@@ -134,11 +137,11 @@ def train_hazard(spark, sf_dir):
     """Hazard per bucket of life on later positions; `degenerate` if the model tells nearly nothing apart."""
     from ..operators.exits import hazard_rows
 
-    p = positions(spark, sf_dir)
-    h = hazard_rows(p, 5.0, 50.0, -3.0).withColumnRenamed("died", "label").join(p.select("id", "score", "entry_time"), "id")
-    a = chrono_parts(S.assembled(S.balanced(h, "label"), ["bucket", "score"]), "entry_time", SHARES, ("id", "bucket"))
+    h = hazard_rows(positions(spark, sf_dir), 5.0, 50.0, -3.0, ("score", "entry_time")).withColumnRenamed("died", "label")
+    d = S.assembled(S.balanced(h, "label"), ["bucket", "score"]).select("id", "bucket", "label", "weight", "features", "entry_time")
+    a = _shared(chrono_parts(d, "entry_time", SHARES, ("id", "bucket")))
     m = S.train_classifier(a.where("split = 'train'"), "label", "logistic")
-    r = S.probabilities(m, a.where("split = 'test'"), ["id", "bucket", "label"])
+    r = _shared(S.probabilities(m, a.where("split = 'test'"), ["id", "bucket", "label"]))
     spread = r.agg(F.percentile("proba", F.lit(0.99)).alias("hi"), F.percentile("proba", F.lit(0.01)).alias("lo")).select((F.col("hi") - F.col("lo") < 0.01).alias("degenerate"))
     return r.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("label").alias("rate"), F.avg("proba").alias("mean_proba")).crossJoin(spread)  # a row
 
@@ -153,13 +156,14 @@ def train_hazard_lives(spark, sf_dir):
 
     p = positions(spark, sf_dir).select("id", "config_id", "score", "entry_buyer_number", "proba", "entry_time", "hold_seconds", "status", "pnl_pct")
     names = ["bucket", "score", "entry_buyer_number", "proba"]
-    parts = chrono_parts(p, "entry_time", SHARES, ("id",))
-    lived = hazard_rows(parts, 5.0, 50.0, -3.0).withColumnRenamed("died", "label").join(parts.select("id", "split", *names[1:]), "id").where("split = 'train'").select("id", "label", *names)
-    ahead = parts.where("split = 'test'").select("id", *names[1:], F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bucket"))  # what a life is read from: every bucket up to the horizon
+    parts = _shared(chrono_parts(p, "entry_time", SHARES, ("id",)))
+    kept = ("hold_seconds", *names[1:])
+    lived = hazard_rows(parts.where("split = 'train'"), 5.0, 50.0, -3.0, kept).withColumnRenamed("died", "label").select("id", "label", "hold_seconds", *names)
+    ahead = parts.where("split = 'test'").select("id", *kept, F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bucket"))  # what a life is read from: every bucket up to the horizon
     both = S.assembled(S.balanced(lived, "label").withColumn("_test", F.lit(False)).unionByName(ahead.withColumn("_test", F.lit(True)), allowMissingColumns=True), names)
+    both = _shared(both.select("id", "bucket", "hold_seconds", "label", "weight", "features", "_test"))
     m = S.train_classifier(both.where("not _test"), "label", "gbt", maxIter=5, maxDepth=3)
-    lives = survival_curve(S.probabilities(m, both.where("_test"), ["id", "bucket"]).withColumnRenamed("proba", "h"), ["id"], 0.7, 5.0)
-    lives = _shared(lives.join(p.select("id", "hold_seconds"), "id"))
+    lives = _shared(survival_curve(S.probabilities(m, both.where("_test"), ["id", "hold_seconds", "bucket"]).withColumnRenamed("proba", "h"), ["id", "hold_seconds"], 0.7, 5.0))
     n = lives.agg(F.count_distinct("predicted_life").alias("lives"), F.min("predicted_life").alias("shortest"), F.max("predicted_life").alias("longest"))
     return S.spearman(lives, "predicted_life", "hold_seconds").crossJoin(n).withColumn("degenerate", F.col("lives") < 5)  # a row each
 
@@ -195,7 +199,7 @@ def platt(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    _, val, test = _parts(labelled(spark, sf_dir))
+    _, val, test = _parts(labelled(spark, sf_dir), keep=("score",))
     a = VectorAssembler(inputCols=["score"], outputCol="x")
     m = LogisticRegression(featuresCol="x", labelCol="label", regParam=1.0 / max(1, val.count()), standardization=False).fit(a.transform(val))
     return S.calibration_bins(S.probabilities(m, a.transform(test), ["id", "label"]), "proba", "label")
@@ -286,14 +290,14 @@ def leak_importance(spark, sf_dir):
 
 def _auc_of(train, test):
     m = S.train_classifier(train, "label", "logistic")
-    return S.auc(S.probabilities(m, test, ["id", "label"]), "proba", "label").select("n1", "n0", "auc")
+    return S.auc(_shared(S.probabilities(m, test, ["id", "label"])), "proba", "label").select("n1", "n0", "auc")
 
 
 @query()
 def shuffled_labels(spark, sf_dir):
     """A model of permuted labels should have no skill."""
     train, _, test = _parts(labelled(spark, sf_dir))
-    shuffled = S.balanced(S.permuted(train.drop("weight"), "id", "label", 7), "label")
+    shuffled = S.balanced(_shared(S.permuted(train.drop("weight"), "id", "label", 7)), "label")
     return _auc_of(train, test).withColumn("kind", F.lit("real")).unionByName(_auc_of(shuffled, test).withColumn("kind", F.lit("shuffled")))
 
 
