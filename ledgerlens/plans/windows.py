@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as X
 from ..operators import joins as J
 from ..operators import windows as W
-from ..sources.tables import ledger_tokens, ledger_trades, stream_tokens, stream_trades, table
+from ..sources.tables import kept, ledger_tokens, ledger_trades, stream_tokens, stream_trades, table
 from .base import A, A_TRADES, B, B_TRADES, query
 from .store import POSITIONS_SQL, positions
 
@@ -71,7 +71,7 @@ def curve_verify(spark, sf_dir):
 
 for _name, _open in (("entities_last_5min", True), ("concurrent_observations", False)):
     query(f"WITH {A} SELECT t.entity_id, count(o.entity_id) AS n FROM tokens t LEFT JOIN tokens o ON o.insert_order < t.insert_order AND o.created_at < t.created_at AND o.created_at {'>' if _open else '>='} t.created_at - {3 * DAY} GROUP BY t.entity_id", _name)(
-        lambda spark, sf_dir, open_=_open: J.ranged_count(ledger_tokens(spark, sf_dir), 3 * DAY, open_)
+        lambda spark, sf_dir, open_=_open: J.ranged_count(ledger_tokens(spark, kept(spark, sf_dir)), 3 * DAY, open_)
     )
 
 
