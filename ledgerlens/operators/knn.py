@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from .actors import _shared
 
-CENTRES, RINGS, BLOCK = 1024, 32, 512  # at most; the last one bounds what a task compares at once
+CENTRES, RINGS, BLOCK = 1024, 32, 512  # at most; the last one is the least size of a block
+#: Where distances hardly differ a row goes to nearly every block, so blocks grow with the rows: what is sent then grows as the rows do, up to SHARES * LARGEST of them.
+SHARES, LARGEST = 32, 1 << 16
+CELLS = 1 << 22  # distances in memory at once
 SLACK = 1e-6  # distances are rounded; bounds give way by so much
 
 
@@ -67,13 +70,16 @@ def _meet(dealt: DataFrame, by: list[str], k: int) -> DataFrame:
         q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
         r = r[np.argsort(ids[r], kind="stable")]  # ties by id
         found = []
-        for q in np.array_split(q, max(1, -(-len(q) // BLOCK))):
+        for q in np.array_split(q, max(1, -(-len(q) * max(1, len(r)) // CELLS))):
             d = np.round(_between(v[q], v[r]), 9)
             d[(ids[q][:, None] == ids[r][None, :]) | (d > reach[q][:, None])] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(d, order, 1)
-            i, j = np.nonzero(np.isfinite(near))
-            found.append((q[i], r[order[i, j]], near[i, j]))
+            cut = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
+            i, j = np.nonzero((d <= cut) & np.isfinite(d))
+            order = np.lexsort((j, d[i, j], i))
+            i, j = i[order], j[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k  # of those as far as the k-th, the first by id
+            i, j = i[first], j[first]
+            found.append((q[i], r[j], d[i, j]))
         a, b, d = (np.concatenate(x) for x in zip(*found))
         return pa.table({"id": ids[a], "label": pa.array(rows.column("label").combine_chunks().take(pa.array(a))), "near": ids[b], "near_label": rows.column("label").combine_chunks().take(pa.array(b)), "d": d})
 
@@ -110,14 +116,15 @@ def _probes(homes: DataFrame, centres: np.ndarray, near: DataFrame, k: int) -> D
     return asking.mapInArrow(search, "id long, label int, v array<double>, reach double, cell int, ring int, sub int")
 
 
-def nearest(df: DataFrame, key: str, vector: str, label: str, k: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def nearest(df: DataFrame, key: str, vector: str, label: str, k: int, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """((id, label, near, near_label, d, place), the probes): the k nearest other rows of every row, exact, ties by id.
 
     Vectors are standardised by column, distances are Euclidean and rounded to 9 digits. A row first meets its own block, whose k-th neighbour
     bounds how far the others may lie; then it is sent to the blocks whose ring reaches within that bound, and to no other. A block asked by
     many meets them in parts. How many blocks that are depends on the data: few where rows cluster, nearly all where distances hardly differ.
-    Rows without a vector take no part.
+    Without `block` blocks hold a SHARES-th of the rows, BLOCK at least. Rows without a vector take no part.
     """
+    block = block or max(BLOCK, min(LARGEST, df.where(F.col(vector).isNotNull()).count() // SHARES))
     homes, centres = _homes(df, key, vector, label, block)
     where = ["cell", "ring", "sub"]
     both = homes.select("id", "label", "v", *where, F.explode(F.array(F.lit(True), F.lit(False))).alias("asks"), F.lit(float("inf")).alias("reach"))
@@ -131,7 +138,7 @@ def nearest(df: DataFrame, key: str, vector: str, label: str, k: int, block: int
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k), probes
 
 
-def knn_label_noise(df: DataFrame, key: str, vector: str, label: str, k: int, block: int = BLOCK) -> DataFrame:
+def knn_label_noise(df: DataFrame, key: str, vector: str, label: str, k: int, block: int | None = None) -> DataFrame:
     """(key, label, noise): the share of the k nearest other rows, by Euclidean distance of standardised features, of another label."""
     best, _ = nearest(df, key, vector, label, k, block)
     return best.groupBy("id", "label").agg(F.avg((F.col("near_label") != F.col("label")).cast("int")).alias("noise")).withColumnRenamed("id", key)

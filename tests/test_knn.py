@@ -53,3 +53,23 @@ def test_few_and_none(spark):
     rows = [(1, [0.0, 1.0], 0, "x"), (2, [1.0, 1.0], 1, "x")]
     assert {(r.vec_id, r.noise) for r in K.knn_label_noise(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding", "label", 5).collect()} == {(1, 1.0), (2, 1.0)}
     assert K.knn_label_noise(spark.createDataFrame([], SCHEMA), "vec_id", "embedding", "label", 5).count() == 0
+
+
+def test_blocks_grow_with_the_rows(spark, monkeypatch):
+    """Where nothing can be left out a row goes to a bounded number of blocks, and the result stays exact, ties by id."""
+    import numpy as np
+
+    from ledgerlens.operators import knn as K
+
+    monkeypatch.setattr(K, "BLOCK", 8)
+    monkeypatch.setattr(K, "CELLS", 3000, raising=False)
+    r = np.random.default_rng(3)
+    v = r.integers(0, 3, (1200, 12)).astype(float)  # many equal distances
+    df = spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(v)], "id long, v array<double>, label int").repartition(4)
+    best, probes = K.nearest(df, "id", "v", "label", 4)
+    assert probes.count() <= 1200 * 3 * 32
+    z = (v - v.mean(0)) / v.std(0)
+    d = np.round(np.sqrt(np.maximum((z * z).sum(1)[:, None] + (z * z).sum(1)[None, :] - 2 * z @ z.T, 0)), 9)
+    np.fill_diagonal(d, np.inf)
+    got = {(x.id, x.place): x.near for x in best.collect()}
+    assert len(got) == 4800 and all(abs(d[i, got[i, p + 1]] - d[i, j]) < 1e-6 for i in range(1200) for p, j in enumerate(np.argsort(d[i], kind="stable")[:4]))
