@@ -6,14 +6,15 @@ from collections.abc import Iterator
 from math import inf
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .actors import _shared
 from .windows import ranged
 
 UNIT = 1e9  # money is counted in whole billionths, so that sums don't depend on their order
-PER = 10_000  # candidates in a range, about: far more than a book needs to forget its start
+PER = 10_000  # candidates in a range, about, at least where there are several ranges
+PARTS = 32  # ranges at most: so many turns it takes at most, if books never forget their start
 _OPEN = "array<struct<exit_ts: double, gain: bigint, by_tick: boolean>>"
 #: What a range's fold was started with and came to. Its decisions hold for any cash from cash - slack on, below cash + need.
 _SUMMARY = f"open {_OPEN}, cash long, first_ts double, end_open {_OPEN}, delta long, slack long, need long"
@@ -30,34 +31,34 @@ def _free(open_: list, cash: int, ts: float, stake: int) -> tuple[list, int]:
     return still, cash
 
 
-def _run(rows: DataFrame, starts: DataFrame, turn: int, slots: int, stake: int) -> DataFrame:
-    """The fold over every range of `starts` (config_id, part, open, cash) from its own start: a row for each candidate, and a summary.
+def _run(rows: DataFrame, starts: DataFrame, turn: int, slots: int, stake: int, decide: bool) -> DataFrame:
+    """The fold over every range of `starts` (config_id, part, open, cash) from its own start: a summary for each, or, to decide, a row for each candidate.
 
-    Rows stream in order through a task, which holds open positions only, `slots` at most, however many candidates a range has.
+    rows lie in order where `_dealt` put them, and a range's start comes with its first row, so nothing is shuffled. They stream through a task, which
+    holds open positions only, `slots` at most, however many candidates a range has.
     """
-    schema = f"config_id string, part int, turn int, id long, admitted boolean, {_SUMMARY}"
-    arrow = [("config_id", pa.string()), ("part", pa.int32()), ("turn", pa.int32()), ("id", pa.int64()), ("admitted", pa.bool_())]
     op = pa.list_(pa.struct([("exit_ts", pa.float64()), ("gain", pa.int64()), ("by_tick", pa.bool_())]))
-    arrow += [("open", op), ("cash", pa.int64()), ("first_ts", pa.float64()), ("end_open", op), ("delta", pa.int64()), ("slack", pa.int64()), ("need", pa.int64())]
-    shape = pa.schema(arrow)
+    if decide:
+        schema, shape = "config_id string, id long, admitted boolean", pa.schema([("config_id", pa.string()), ("id", pa.int64()), ("admitted", pa.bool_())])
+    else:
+        schema = f"config_id string, part int, turn int, {_SUMMARY}"
+        arrow = [("config_id", pa.string()), ("part", pa.int32()), ("turn", pa.int32())]
+        shape = pa.schema([*arrow, ("open", op), ("cash", pa.int64()), ("first_ts", pa.float64()), ("end_open", op), ("delta", pa.int64()), ("slack", pa.int64()), ("need", pa.int64())])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, out = None, []
 
         def close() -> None:
-            if at is not None:
-                out.append({**at, "id": None, "end_open": held, "delta": money - at["cash"], "slack": slack, "need": need})
+            if at is not None and not decide:
+                out.append({**at, "end_open": held, "delta": money - at["cash"], "slack": slack, "need": need})
 
         held, money, slack, need = [], 0, None, None
         for b in batches:
             for r in b.to_pylist():
-                if r["id"] is None:
+                if r["first"]:
                     close()
-                    at = {"config_id": r["config_id"], "part": r["part"], "turn": turn, "open": r["open"], "cash": r["cash"], "first_ts": None}
+                    at = {"config_id": r["config_id"], "part": r["part"], "turn": turn, "open": r["open"], "cash": r["cash"], "first_ts": r["entry_ts"]}
                     held, money, slack, need = r["open"], r["cash"], None, None
-                    continue
-                if at["first_ts"] is None:
-                    at["first_ts"] = r["entry_ts"]
                 held, money = _free(held, money, r["entry_ts"], stake)
                 ok = False
                 if len(held) < slots:
@@ -67,19 +68,26 @@ def _run(rows: DataFrame, starts: DataFrame, turn: int, slots: int, stake: int)
                         held = [*held, {k: r[k] for k in ("exit_ts", "gain", "by_tick")}]
                     else:
                         need = -left if need is None else min(need, -left)
-                out.append({"config_id": r["config_id"], "part": r["part"], "turn": turn, "id": r["id"], "admitted": ok})
+                if decide:
+                    out.append({"config_id": r["config_id"], "id": r["id"], "admitted": ok})
             yield pa.RecordBatch.from_pylist(out, shape)
             out = []
         close()
         yield pa.RecordBatch.from_pylist(out, shape)
 
-    none = lambda t, c: F.lit(None).cast(t).alias(c)
-    heads = starts.select("config_id", "part", none("double", "entry_ts"), none("long", "id"), none("double", "exit_ts"), none("long", "gain"), none("boolean", "by_tick"), "open", "cash")
-    todo = starts.select(F.col("config_id").alias("_c"), F.col("part").alias("_p"))
-    mine = rows.join(F.broadcast(todo), F.col("config_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")), "left_semi")  # a row for each range
-    both = heads.unionByName(mine.select("*", none(_OPEN, "open"), none("long", "cash")))
-    # a start has neither time nor id, so it sorts before its range's candidates
-    return both.repartition("config_id", "part").sortWithinPartitions("config_id", "part", F.asc_nulls_first("entry_ts"), F.asc_nulls_first("id")).mapInArrow(fold, schema)
+    c = F.col
+    todo = starts.select(c("config_id").alias("_c"), c("part").alias("_p"), "open", "cash")
+    mine = rows.join(F.broadcast(todo), c("config_id").eqNullSafe(c("_c")) & (c("part") == c("_p")))  # a row for each range
+    return mine.select(*rows.columns, F.when(c("first"), c("open")).alias("open"), F.when(c("first"), c("cash")).alias("cash")).mapInArrow(fold, schema)
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """rows with `part`, a range of time, and whether they are its first, each range of a configuration in order in one task; written once."""
+    known, part = ranged(rows, "entry_ts", n, max(1, n // PER), PARTS)
+    known = known.withColumn("part", F.col(part).cast("int"))
+    w = Window.partitionBy("config_id", "part").orderBy("entry_ts", "id")
+    known = known.withColumn("first", F.row_number().over(w) == 1)
+    return _shared(known.select("config_id", "part", "entry_ts", "id", "exit_ts", "gain", "by_tick", "first"))
 
 
 def _chain(runs: DataFrame, cash: int, stake: int) -> DataFrame:
@@ -109,7 +117,8 @@ def portfolio_admission(candidates: DataFrame, slots: int, cash: float, stake: f
     A position comes back with stake * (1 + pnl) at its exit; one that closes at the instant of an entry makes room for it if its exit came from a tick.
     The book depends on its own past, but soon forgets it: ranges of time are folded side by side, first from an empty book and then from what the
     ranges before came to, and only ranges whose start turned out other than assumed are folded again. A fold says for which cash
-    its decisions hold, so another balance alone is no reason. Each turn settles at least the first range that was wrong, as a rule nearly all.
+    its decisions hold, so another balance alone is no reason. Each turn settles at least the first range that was wrong, as a rule nearly all; turns
+    write a row for each range, and what is decided comes from one more fold, from the starts that hold.
     A candidate without an entry time or id is not admitted; one without an exit never leaves; no pnl is 0. A null configuration is one like others.
     """
     c = F.col
@@ -117,21 +126,17 @@ def portfolio_admission(candidates: DataFrame, slots: int, cash: float, stake: f
     never = rows.where("entry_ts is null or id is null").select("config_id", "id", F.lit(False).alias("admitted"))
     known = rows.where("entry_ts is not null and id is not null")
     n = known.count()
-    known, part = ranged(known, "entry_ts", n, max(1, n // PER))
-    known = _shared(known.select("config_id", c(part).cast("int").alias("part"), "entry_ts", "id", "exit_ts", "gain", "by_tick"))
+    known = _dealt(known, n)
     money, each, turn = round(cash * UNIT), round(stake * UNIT), 0
-    starts = known.groupBy("config_id", "part").agg(F.array().cast(_OPEN).alias("open"), F.lit(money).cast("long").alias("cash"))
-    done = None
+    starts = known.where("first").select("config_id", "part", F.array().cast(_OPEN).alias("open"), F.lit(money).cast("long").alias("cash"))
+    last = None
     while True:
-        ran = _shared(_run(known, starts, turn, slots, each))
-        done = ran if done is None else done.unionByName(ran)
-        last = done.where("id is null").groupBy("config_id", "part").agg(F.max_by(F.struct("*"), "turn").alias("s")).select("s.*")
+        ran = _run(known, starts, turn, slots, each, False)
+        ran = ran if last is None else last.unionByName(ran)
+        last = _shared(ran.groupBy("config_id", "part").agg(F.max_by(F.struct("*"), "turn").alias("s")).select("s.*"))  # a row for each range
         chain = _shared(_chain(last, money, each))
         starts = chain.where("todo").select("config_id", "part", "open", "cash")
         if starts.isEmpty():
             break
         turn += 1
-    final = chain.select(c("config_id").alias("_c"), c("part").alias("_p"), c("turn").alias("_t"))
-    is_last = c("config_id").eqNullSafe(c("_c")) & (c("part") == c("_p")) & (c("turn") == c("_t"))
-    got = done.where("id is not null").join(F.broadcast(final), is_last, "left_semi").select("config_id", "id", "admitted")  # a row for each range
-    return got.unionByName(never)
+    return _run(known, chain, turn, slots, each, True).unionByName(never)

@@ -56,3 +56,15 @@ def test_hardly_any_range_runs_again(spark, monkeypatch):
     got = {x.id: x.admitted for x in P.portfolio_admission(spark.createDataFrame(rows, SCHEMA), 3, 1.0, 0.1).collect()}
     assert got == plain(rows, 3, 1.0, 0.1)
     assert turns[0] == 10 and turns[1] == 9 and len(turns) <= 5, turns
+
+
+def test_books_that_never_forget(spark, monkeypatch):
+    """Positions outlive ranges, so that a range's start depends on all before it: ranges, and with them turns, are few whatever the rows, and turns keep no decisions."""
+    monkeypatch.setattr(P, "PER", 10)
+    starts, run = [], P._run
+    monkeypatch.setattr(P, "_run", lambda rows, todo, *a: (starts.append(todo.count()), run(rows, todo, *a))[1])
+    r = random.Random(6)
+    rows = [("a", i, float(i), i + 60.0 + r.randrange(7), r.uniform(-0.01, 0.01), False, "x") for i in range(1200)]
+    out = P.portfolio_admission(spark.createDataFrame(rows, SCHEMA).repartition(3), 3, 1.0, 0.1)
+    assert {x.id: x.admitted for x in out.collect()} == plain(rows, 3, 1.0, 0.1)
+    assert max(starts) <= 32 and len(starts) <= 34
