@@ -1,18 +1,19 @@
 """Phrase collocations: exact counts of frequent phrases by double-array tries, scored by their weakest cut.
 
 Texts are read once. A task turns them into rows of codes, one for each word in order and -1 between pieces, and gives out
-for each language the words that its codes stand for, with their counts. Frequent words get global ids by a join of those words, never
-of the occurrences, and ids take the place of codes; infrequent words become breaks, since no frequent phrase holds them.
+for each language the words that its codes stand for, with their counts, dealt into buckets of words. Where a bucket meets, frequent words get
+global ids, and each task gets back one packed row of its codes for them; ids take the place of codes; infrequent words become breaks, since no frequent phrase holds them.
 
 Candidates are Apriori-safe. A pair of frequent words is one if it occurs often enough; a longer phrase if all its pairs are
 candidates and it occurs often enough. "Often enough" is decided by sums of what each batch saw, cut at the threshold, which
-is enough to tell and small to send. Candidates, sorted, are cut into shards of SHARD phrases; the trie of a shard (at
+is enough to tell and small to send; a batch is about JOINED words of a task, as a phrase that returns within it travels once. Candidates, sorted, are cut into shards of SHARD phrases; the trie of a shard (at
 most `longest` nodes a phrase) is broadcast as a double array and all positions of a batch walk it together, level by level,
 counting the states that accept. Counts are summed over batches and shards.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -24,11 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .packing import INDEX, PACKED, bucket_count, discard, key_bucket, read, rows_of, small_batches, stored
+from .packing import INDEX, PACKED, bucket_count, discard, key_bucket, read, rows_of, small_batches, squeeze, stored, unsqueeze
 from .ranking import ranked
+from .wordhash import mix
 
 SHARD = 1 << 19  # phrases in one trie
 WORDS = 1 << 17  # words in one row of codes, about: bounds what a task holds of a text column
+JOINED = 1 << 20  # words of a task whose pairs and phrases are summed before they travel
+PER_BUCKET, BUCKETS = 1 << 16, 64  # documents for each bucket of words, and the fewest buckets
 BLOCK = 1 << 14  # phrases whose counts travel as one row
 _BREAK, _BLANK = 1, 2
 #: Bytes that end a piece and bytes that end a word.
@@ -62,17 +66,27 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, first
 
 
-CODED = "part int, lang string, codes binary, words array<string>, counts array<long>"
+def packed(x: np.ndarray) -> bytes:
+    """Integers from -1 on, with their bytes transposed: compression shrinks them to the bytes that differ."""
+    return np.ascontiguousarray((np.asarray(x, np.int32) + 1).view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """CODED rows of batches (lang, text): codes of about WORDS words each, and at the end one row with the words of each language."""
+def ints(raw) -> np.ndarray:
+    """What `packed` made of integers."""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.int32).ravel() - 1
+
+
+CODED = "part int, lang string, bucket int, codes binary, words array<string>, counts array<long>"
+
+
+def _coded(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """CODED rows of batches (lang, text): codes of about WORDS words each, and at the end for each language a row of words for each bucket, with their codes."""
     part = TaskContext.get().partitionId()
     held: dict[str, list[pa.Array]] = {}
     size: dict[str, int] = {}
     known: dict[str, dict[bytes, int]] = {}
     counts: dict[str, np.ndarray] = {}
-    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("bucket", pa.int32()), ("codes", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
     def row(lang: str) -> pa.RecordBatch:
         words, first = words_of(pa.concat_arrays(held.pop(lang)))
@@ -86,7 +100,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts[lang] = n
         codes = np.full(len(place) + int(first.sum()), -1, np.int32)
         codes[np.arange(len(place)) + np.cumsum(first)] = code[place]
-        return pa.RecordBatch.from_pylist([{"part": part, "lang": lang, "codes": codes.tobytes()}], schema)
+        return pa.RecordBatch.from_pylist([{"part": part, "lang": lang, "codes": packed(codes)}], schema)
 
     for b in batches:
         lang = b.column("lang").dictionary_encode()
@@ -108,9 +122,62 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for name in list(held):
         yield row(name)
     for name, code_of in known.items():
-        words = pa.array(list(code_of), pa.large_binary()).cast(pa.large_string()).cast(pa.string())
-        one = pa.array([0, len(code_of)], pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, pa.array(counts[name]))], schema=schema)
+        if not code_of:
+            continue
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in code_of), np.int64, len(code_of))
+        order = np.argsort(bucket, kind="stable")
+        words = pa.array(list(code_of), pa.large_binary()).take(pa.array(order)).cast(pa.large_string()).cast(pa.string())
+        cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0]), len(order)].astype(np.int32)
+        codes = [packed(order[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
+        lists = [pa.ListArray.from_arrays(pa.array(cuts), x) for x in (words, pa.array(counts[name][order]))]
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(codes), pa.int32()), pa.array([name] * len(codes)), pa.array(bucket[order][cuts[:-1]], pa.int32()), pa.array(codes, pa.binary()), *lists], schema=schema)
+
+
+MET = "part int, lang string, bucket int, n long, words array<string>, f array<long>, codes binary, at binary"
+
+
+def _met(least: int):
+    """MET rows of one bucket of a language: its frequent words with their counts and n, all its occurrences, and for each task the codes of these words and their places."""
+
+    def meet(rows: pa.Table) -> pa.Table:
+        words, count = (pa.concat_arrays(rows.column(c).chunks) for c in ("words", "counts"))
+        size = pc.list_value_length(words).to_numpy()
+        word = words.flatten().dictionary_encode()
+        place = np.asarray(word.indices)
+        f = np.zeros(len(word.dictionary), np.int64)
+        np.add.at(f, place, np.asarray(count.flatten()))
+        often = f >= least
+        at, end = np.where(often, np.cumsum(often) - 1, -1)[place], np.cumsum(size)
+        lang, bucket = rows.column("lang")[0].as_py(), rows.column("bucket")[0].as_py()
+        out = [{"part": None, "lang": lang, "bucket": bucket, "n": int(f.sum()), "words": word.dictionary.filter(pa.array(often)).to_pylist(), "f": f[often].tolist()}]
+        for part, raw, i, j in zip(rows.column("part").to_pylist(), rows.column("codes"), end - size, end):
+            has = at[i:j] >= 0
+            out.append({"part": part, "lang": lang, "bucket": bucket, "codes": packed(ints(raw.as_buffer())[has]), "at": packed(at[i:j][has])})
+        types = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        return pa.Table.from_pylist(out, pa.schema(list(zip(("part", "lang", "bucket", "n", "words", "f", "codes", "at"), types))))
+
+    return meet
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, pair) of about JOINED words: rows (ids, ok) of a task behind one another, and where a pair of words starts that `ok` marks, or any if it is null.
+
+    A row begins with a break, so no pair spans two.
+    """
+    held, pairs, size = [], [], 0
+    for b in batches:
+        for raw, ok in zip(b.column("ids"), b.column("ok")):
+            x = ints(raw.as_buffer())
+            if not len(x):
+                continue
+            pair = (x[:-1] >= 0) & (x[1:] >= 0) if not ok.is_valid else np.unpackbits(np.frombuffer(ok.as_buffer(), np.uint8), count=len(x) - 1).astype(bool)
+            held.append(x), pairs.append(np.r_[pair, False])
+            size += len(x)
+            if size >= JOINED:
+                yield np.concatenate(held), np.concatenate(pairs)[:-1]
+                held, pairs, size = [], [], 0
+    if held:
+        yield np.concatenate(held), np.concatenate(pairs)[:-1]
 
 
 @dataclass
@@ -213,41 +280,56 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[cut], np.diff(np.r_[cut, len(rows)])
 
 
-def _often(ids: DataFrame, lengths: tuple[int, ...], longest: int, least: int) -> DataFrame:
+def _often(ids: DataFrame, lengths: tuple[int, ...], longest: int, least: int, buckets: int) -> DataFrame:
     """Phrases (w1, w2, ..., null after the last) of these lengths that occur `least` times, of the rows (ids, ok) of a table:
-    ok marks the positions from which a pair is a candidate; null: any two words are."""
-    names = [f"w{i + 1}" for i in range(longest)]
+    ok marks the positions from which a pair is a candidate; null: any two words are.
 
-    def walk(batches):
-        for b in batches:
-            for raw, ok in zip(b.column("ids"), b.column("ok")):
-                x = np.frombuffer(raw.as_buffer(), np.int32)
-                pair = (x[:-1] >= 0) & (x[1:] >= 0) if not ok.is_valid else np.unpackbits(np.frombuffer(ok.as_buffer(), np.uint8), count=max(len(x) - 1, 0)).astype(bool)
-                for k in lengths:
-                    at = _windows(pair, k - 1)
-                    if len(at):
-                        rows, n = _distinct(x[at[:, None] + np.arange(k)])
-                        cols = [pa.array(rows[:, i]) if i < k else pa.nulls(len(rows), pa.int32()) for i in range(longest)]
-                        yield pa.RecordBatch.from_arrays([*cols, pa.array(np.minimum(n, least))], names=[*names, "n"])
+    Each batch's sums travel by bucket, one packed row for each, with a column of words in each of `ids`.
+    """
+    names = [f"w{i + 1}" for i in range(longest)]
 
-    out = ids.select("ids", "ok").mapInArrow(walk, ", ".join(f"{c} int" for c in names) + ", n long")
-    return out.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*names)
+    def send(batches):
+        for x, pair in _joined(batches):
+            found = [(k, *_distinct(x[at[:, None] + np.arange(k)])) for k in lengths if len(at := _windows(pair, k - 1))]
+            if not found:
+                continue
+            rows = np.concatenate([np.pad(r, ((0, 0), (0, longest - k)), constant_values=-1) for k, r, _ in found]).astype(np.int64)
+            n = np.minimum(np.concatenate([n for _, _, n in found]), least)
+            key = np.zeros(len(rows), np.uint64)
+            for word in rows.T:
+                key = mix(key ^ word.view(np.uint64))
+            bucket = key_bucket(key, buckets)
+            order = np.lexsort((*rows.T[::-1], bucket))
+            bucket, rows, n = bucket[order], rows[order], n[order]
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            runs = list(zip(cuts[:-1], cuts[1:]))
+            words = [[squeeze(w[i:j]) for w in rows.T] for i, j in runs]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([squeeze(n[i:j]) for i, j in runs], pa.binary()), pa.array(words, pa.list_(pa.binary()))], names=["bucket", "n", "ids"])
+
+    def meet(sent: pa.Table) -> pa.Table:
+        n = np.concatenate([unsqueeze(x.as_buffer()) for x in sent.column("n")])
+        rows = np.concatenate([np.stack([unsqueeze(w.as_buffer()) for w in x.values], 1) for x in sent.column("ids")])
+        order = np.lexsort(rows.T[::-1])
+        rows = rows[order]
+        cut = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)])
+        rows = rows[cut][np.add.reduceat(n[order], cut) >= least].astype(np.int32)
+        return pa.table({c: pa.array(w, pa.int32(), mask=w < 0) for c, w in zip(names, rows.T)})
+
+    return ids.select("ids", "ok").mapInArrow(send, "bucket int, n binary, ids array<binary>").groupBy("bucket").applyInArrow(meet, ", ".join(f"{c} int" for c in names))
 
 
 def _pairs(ids: DataFrame, least: int, buckets: int) -> DataFrame:
     """(w1, w2): the pairs of neighbouring ids that occur `least` times in a table of ids.
 
-    Pairs are many and mostly rare, so each row's sums travel by bucket as packed arrays, a few bytes a pair.
+    Pairs are many and mostly rare, so each batch's sums travel by bucket as packed arrays, a few bytes a pair.
     """
 
     def send(batches):
-        for b in batches:
-            for raw in b.column("ids"):
-                x = np.frombuffer(raw.as_buffer(), np.int32).astype(np.int64)
-                ok = (x[:-1] >= 0) & (x[1:] >= 0)
-                key, n = np.unique(x[:-1][ok] << 32 | x[1:][ok], return_counts=True)
-                if len(key):
-                    yield rows_of(INDEX, key_bucket(key.view(np.uint64), buckets), owner=key, value=np.minimum(n, least))
+        for x, ok in _joined(batches):
+            x = x.astype(np.int64)
+            key, n = np.unique(x[:-1][ok] << 32 | x[1:][ok], return_counts=True)
+            if len(key):
+                yield rows_of(INDEX, key_bucket(key.view(np.uint64), buckets), owner=key, value=np.minimum(n, least))
 
     def meet(rows: pa.Table) -> pa.Table:
         key, n = read(rows, INDEX, "owner", "value")
@@ -255,7 +337,7 @@ def _pairs(ids: DataFrame, least: int, buckets: int) -> DataFrame:
         often = key[np.bincount(at, n, len(key)) >= least]
         return pa.table({"w1": pa.array((often >> 32).astype(np.int32)), "w2": pa.array((often & 0xFFFFFFFF).astype(np.int32))})
 
-    return ids.select("ids").mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(meet, "w1 int, w2 int")
+    return ids.select("ids", "ok").mapInArrow(send, PACKED).groupBy("bucket").applyInArrow(meet, "w1 int, w2 int")
 
 
 def _shards(phrases: DataFrame, longest: int) -> Iterator[tuple[int, Trie]]:
@@ -277,7 +359,7 @@ def _marked(ids: DataFrame, pairs: DataFrame) -> DataFrame:
             for b in batches:
                 out = []
                 for raw, ok in zip(b.column("ids"), b.column("ok")):
-                    x = np.frombuffer(raw.as_buffer(), np.int32)
+                    x = ints(raw.as_buffer())
                     valid = np.zeros(max(len(x) - 1, 0), bool)
                     if ok.is_valid:
                         valid |= np.unpackbits(np.frombuffer(ok.as_buffer(), np.uint8), count=len(valid)).astype(bool)
@@ -301,7 +383,7 @@ def _count(model, longest: int):
         n = np.zeros(len(tree.check), np.int64)
         for b in batches:
             for raw in b.column("ids"):
-                for _, state in tree.walk(np.frombuffer(raw.as_buffer(), np.int32), longest):
+                for _, state in tree.walk(ints(raw.as_buffer()), longest):
                     n += np.bincount(state, minlength=len(n))
         accepts = tree.phrase >= 0
         out = np.zeros(int(tree.phrase.max(initial=-1)) + 1, np.int64)
@@ -338,36 +420,42 @@ def counts(docs: DataFrame, least: int, longest: int = 5) -> tuple[DataFrame, Da
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
-    coded = stored(texts.mapInArrow(_coded, CODED))
-    each = coded.where("words is not null").select("part", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select("part", "lang", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    totals = stored(each.groupBy("lang").agg(F.sum("n").alias("n")))
-    words = ranked(each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), F.desc("f"), F.col("lang"), F.col("word"), name="id").withColumn("id", F.col("id").cast("int"))
-
-    known = each.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("part", "lang").agg(F.collect_list(F.struct("code", "id")).alias("known"))
-    plain = coded.where("codes is not null").select("part", "lang", "codes").join(known, ["part", "lang"]).select("codes", F.col("known.code").alias("code"), F.col("known.id").alias("id"))
+    many = bucket_count(docs.count(), PER_BUCKET, BUCKETS)
+    coded = stored(texts.mapInArrow(lambda batches: _coded(batches, many), CODED))
+    met = stored(coded.where("words is not null").groupBy("lang", "bucket").applyInArrow(_met(least), MET))
+    of_bucket = met.where("words is not null").select("lang", "bucket", "n", "words", "f")  # a row for each bucket of a language
+    totals = stored(of_bucket.groupBy("lang").agg(F.sum("n").alias("n")))
+    before = F.coalesce(F.sum(F.size("words")).over(Window.orderBy("lang", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = F.broadcast(stored(of_bucket.select("lang", "bucket", before.cast("int").alias("shift"))))
+    words = of_bucket.join(shift, ["lang", "bucket"]).select("lang", "shift", F.posexplode(F.arrays_zip("words", "f")).alias("i", "w"))
+    words = stored(words.select("lang", F.col("w.words").alias("word"), F.col("w.f").alias("f"), (F.col("shift") + F.col("i")).cast("int").alias("id")))
+
+    known = met.where("words is null").join(shift, ["lang", "bucket"]).groupBy("part", "lang").agg(F.collect_list(F.struct("codes", "at", "shift")).alias("known"))
+    plain = coded.where("words is null").select("part", "lang", "codes").join(known, ["part", "lang"]).select("codes", F.col("known.codes").alias("code"), F.col("known.at").alias("at"), F.col("known.shift").alias("shift"))
 
     def translate(batches):
         for b in batches:
             out = []
-            for raw, code, id_ in zip(b.column("codes"), b.column("code"), b.column("id")):
-                x = np.frombuffer(raw.as_buffer(), np.int32)
-                code, id_ = np.asarray(code.values), np.asarray(id_.values)
+            for raw, codes, at, shift in zip(b.column("codes"), b.column("code"), b.column("at"), b.column("shift")):
+                x = ints(raw.as_buffer())
+                code = np.concatenate([ints(c.as_buffer()) for c in codes.values])
+                id_ = np.concatenate([ints(a.as_buffer()) + s for a, s in zip(at.values, np.asarray(shift.values))])
                 new = np.full(max(int(x.max(initial=0)), int(code.max(initial=0))) + 2, -1, np.int32)  # its last place is that of -1
                 new[code] = id_
                 x = new[x]
                 x = x[np.r_[True, (x[1:] >= 0) | (x[:-1] >= 0)]] if len(x) else x  # one break is as good as many
-                out.append(x.tobytes())
+                out.append(packed(x))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names=["ids", "ok"])
 
     ids = stored(plain.mapInArrow(translate, "ids binary, ok binary"))
-    discard(coded)
+    discard(coded, met)
     names = [f"w{i + 1}" for i in range(longest)]
     order = [F.col(c).asc_nulls_first() for c in names]
     buckets = bucket_count(totals.agg(F.sum("n")).first()[0] or 0, WORDS * 4)
     frequent = _pairs(ids, least, buckets).select("w1", "w2", *(F.lit(None).cast("int").alias(c) for c in names[2:]))
     pairs = ranked(frequent, *order)
     ids = _marked(ids, pairs)
-    longer = _often(ids, tuple(range(3, longest + 1)), longest, least) if longest > 2 else pairs.limit(0)
+    longer = _often(ids, tuple(range(3, longest + 1)), longest, least, buckets) if longest > 2 else pairs.limit(0)
     phrases = ranked(pairs.select(*names).unionByName(longer.select(*names)), *order)
     found = phrases.join(_counted(ids, phrases, longest), "rank").select(F.array_compact(F.array(*names)).alias("ids"), "f")
     found = stored(found.unionByName(words.select(F.array("id").alias("ids"), "f")))

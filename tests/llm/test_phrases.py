@@ -91,3 +91,16 @@ def test_trie():
         n.update(tree.phrase[state][tree.phrase[state] >= 0].tolist())
     want = Counter(tuple(x[i : i + k].tolist()) for k in range(1, 5) for i in range(len(x) - k + 1))
     assert {tuple(table[i][table[i] >= 0].tolist()): c for i, c in n.items()} == {p: want[p] for p in rows if want[p]}
+
+
+def test_ids_travel_packed(spark, monkeypatch):
+    """Phrases that return within a task travel once, in packed rows; batches end anywhere, and no phrase spans two rows."""
+    r = np.random.default_rng(5)
+    runs = [np.r_[-1, r.integers(-1, 6, n)].astype(np.int32) for n in (0, 1, 7, 300, 900)]
+    assert all((phrases.ints(phrases.packed(x)) == x).all() for x in runs)
+    ids = spark.createDataFrame([(bytearray(phrases.packed(x)), None) for x in runs], "ids binary, ok binary").repartition(1)
+    want = Counter(tuple(x[i : i + k].tolist()) for x in runs for k in (3, 4) for i in range(len(x) - k + 1) if (x[i : i + k] >= 0).all())
+    for joined in (1, 1 << 20):
+        monkeypatch.setattr(phrases, "JOINED", joined)
+        got = phrases._often(ids, (3, 4), 4, 5, 3).collect()
+        assert sorted(tuple(w for w in row if w is not None) for row in got) == sorted(p for p, n in want.items() if n >= 5)
