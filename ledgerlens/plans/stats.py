@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import stats as S
 from ..operators.actors import _shared
 from ..operators.windows import chrono_parts
-from ..sources.tables import ledger_tokens, stream_tokens, stream_trades, table
+from ..sources.tables import kept, ledger_tokens, stream_tokens, stream_trades, table
 from ..streaming.live import folder
 from .base import query
 from .store import POSITIONS_SQL, positions
@@ -56,23 +56,26 @@ def train_entry_regression(spark, sf_dir):
     return S.spearman(p, "prediction", "pnl_pct").crossJoin(S.auc(p, "prediction", "won").select(F.col("auc").alias("sign_auc")))  # a row each
 
 
-def _entry_rows(spark, sf_dir, early=False):
+def _entry_rows(spark, sf_dir, early=False, shared=None):
     """The dataset of entries, written once: its plan is long, and training reads it many times."""
     from ..operators.features import FEATURE_ORDER, FEATURE_ORDER_EARLY
     from .exits import EARLY_SPAN, dataset
     from .metrics import FULL
 
-    order = FEATURE_ORDER_EARLY if early else FEATURE_ORDER
-    d = dataset(spark, sf_dir, EARLY_SPAN if early else FULL, order).join(ledger_tokens(spark, sf_dir).select("entity_id", "created_at"), "entity_id")
+    order, sf_dir = FEATURE_ORDER_EARLY if early else FEATURE_ORDER, kept(spark, sf_dir)
+    d = dataset(spark, sf_dir, EARLY_SPAN if early else FULL, order, shared).join(ledger_tokens(spark, sf_dir).select("entity_id", "created_at"), "entity_id")
     return _shared(d.withColumnRenamed("entity_id", "id")), order
 
 
 @query()
 def train_entry_dataset(spark, sf_dir):
     """The entry model on its own vector and label, as known at the end of the window and at the first age: validation and test."""
-    out = None
+    from .exits import dataset_parts
+
+    out, sf_dir = None, kept(spark, sf_dir)
+    shared = dataset_parts(spark, sf_dir)
     for early in (False, True):
-        d, order = _entry_rows(spark, sf_dir, early)
+        d, order = _entry_rows(spark, sf_dir, early, shared)
         train, val, test = _parts(d, features=order, time="created_at")
         m = S.train_classifier(train, "label", "gbt", maxIter=5, maxDepth=3)
         r = _report(m, val, "val").unionByName(_report(m, test, "test")).withColumn("variant", F.lit("early" if early else "full"))

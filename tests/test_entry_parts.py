@@ -33,3 +33,18 @@ def test_dataset_joins_written_parts(spark):
     got = nodes(X.entry_dataset_early(spark, SF))
     assert "Window" not in got and "Generate" not in got
     assert sum(n.startswith("FileScan") for n in got) <= 2, got
+
+
+def test_both_vectors_share_their_ledger_and_parts(spark, monkeypatch):
+    """The ledger is written once, and what no span changes is made once, for both variants."""
+    from ledgerlens.plans import stats
+
+    made, asked = [], []
+    monkeypatch.setattr(X, "dataset_parts", lambda spark, sf_dir: made.append(sf_dir) or "parts")
+    monkeypatch.setattr(stats, "_entry_rows", lambda spark, sf_dir, early, shared: asked.append((sf_dir, early, shared)) or (None, []))
+    monkeypatch.setattr(stats, "_parts", lambda *a, **k: (None, None, None))
+    monkeypatch.setattr(stats.S, "train_classifier", lambda *a, **k: None)
+    monkeypatch.setattr(stats, "_report", lambda *a: spark.range(1))
+    assert stats.train_entry_dataset(spark, SF).count() == 4
+    assert len(made) == 1 and made[0].trades and made[0].tokens
+    assert asked == [(made[0], False, "parts"), (made[0], True, "parts")]
