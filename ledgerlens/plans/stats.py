@@ -280,15 +280,15 @@ def leak_check(spark, sf_dir):
 def leak_importance(spark, sf_dir):
     """Permutation importance of a model of the exit dataset, one of whose columns looks ahead: it has to be named among the most important ones."""
     from ..operators.exits import exit_samples
-    from .exits import entries
+    from .exits import kept_entries
 
     names, leaks = ["i", "price", "peak", "buys_back", "forward_return"], ["forward_return"]
-    e = entries(spark, sf_dir)
+    e = kept_entries(spark, sf_dir)
     d = exit_samples(stream_trades(spark, sf_dir), e, DAY / 2, DAY, DAY, 2 * DAY, 50.0).join(e.select("entity_id", "entry_ts"), "entity_id")
     d = _shared(d.withColumn("t", F.col("entry_ts") + F.col("i") * DAY / 2).withColumn("id", F.col("entity_id") * 100_000 + F.col("i")))
-    parts = chrono_parts(S.assembled(S.balanced(d, "label"), names), "t", SHARES, ("id",))
-    m = S.train_classifier(parts.where("split = 'train'"), "label", "gbt", maxIter=5, maxDepth=4)
-    return S.leak_check(S.permutation_importance(m, parts.where("split = 'test'"), names, "label", "id", 3), leaks)
+    train, _, test = _parts(d, features=names, time="t")
+    m = S.train_classifier(train, "label", "gbt", maxIter=5, maxDepth=4)
+    return S.leak_check(S.permutation_importance(m, test, names, "label", "id", 3), leaks)
 
 
 def _auc_of(train, test):
