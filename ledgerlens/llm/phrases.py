@@ -229,27 +229,31 @@ def trie(phrases: np.ndarray) -> Trie:
     used, base = np.zeros(2 * (total + room), bool), np.zeros(total, np.int64)
     used[0] = True
     slot = np.zeros(total, np.int64)
-    floor = 1
-    for s in np.argsort(-degree, kind="stable"):  # those with most children first, each at the first base without a clash
+    floor, lead, most = 1, 1, 0
+    for s in np.argsort(-degree, kind="stable"):  # those with most children first, each at the next base without a clash
         if degree[s] < 2:
             break
+        if 2 * degree[s] <= most or not most:  # nodes of half as many children may fit where larger ones did not; those of about as many go on where the last one was put
+            most, lead = degree[s], floor
         kids = by[children[begin[s] : begin[s + 1]]]
-        lead = floor
+        apart, wide = (kids - kids[0]).tolist(), 1 << (16 if degree[s] >= 64 else 12)
         while True:
-            free = lead + np.flatnonzero(~used[lead : lead + 4096])
-            tries = free[:64] - kids[0]
-            tries = tries[tries + kids[-1] < len(used)]
-            if len(tries):
-                good = np.flatnonzero(~used[tries[:, None] + kids].any(1))
-                if len(good):
-                    base[s] = tries[good[0]]
-                    break
-            lead = int(free[:64][-1]) + 1 if len(free) else lead + 4096
-            if lead + room >= len(used):
+            while lead + wide + room >= len(used):
                 used = np.r_[used, np.zeros(len(used), bool)]
+            clash = used[lead : lead + wide].copy()  # of all bases of a stretch at once
+            for i, k in enumerate(apart):
+                clash |= used[lead + k : lead + k + wide]
+                if i % 16 == 15 and clash.all():
+                    break
+            at = int(clash.argmin())
+            if not clash[at]:
+                lead += at
+                break
+            lead += wide
+        base[s] = lead - kids[0]
         used[base[s] + kids] = True
         slot[children[begin[s] : begin[s + 1]]] = base[s] + kids
-        while floor < len(used) and used[floor : floor + 64].all():
+        while used[floor : floor + 64].all() and floor < len(used):
             floor += 64
     single = np.flatnonzero(degree == 1)  # one child fits any free place
     kids = children[begin[single]]
